@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, pii
+from tessera.llm import fingerprint, packing, pii, secrets
 from tessera.llm.common import table
 
 
+def op3_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_bestfit_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op6_secret_scan, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
