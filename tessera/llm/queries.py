@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, ngram_join, packing, pii, secrets
+from tessera.llm import decontamination, fingerprint, ngram_join, packing, pii, secrets
 from tessera.llm.common import table
 
 
@@ -26,9 +26,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op6_secret_scan, op7_ngram_jaccard_join, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
