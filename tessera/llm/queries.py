@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprint, ngram_join, packing, pii, secrets
-from tessera.llm.common import table
+from tessera.llm import decontamination, fingerprint, ngram_join, packing, pii, quality, secrets
+from tessera.llm.common import fold, table
 
 
 def op3_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,14 @@ def op4_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold("doc_id", 5) != 0)
+    return quality.scored(docs, model).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -34,5 +43,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
