@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprint, ngram_join, packing, pii, quality, secrets
+from tessera.llm import decontamination, fingerprint, langid, ngram_join, packing, pii, quality, secrets, toxicity
 from tessera.llm.common import fold, table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs, fold("doc_id", 3) != 1)
+    return langid.identify(docs, profiles).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_bottomk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
@@ -39,9 +45,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.fit(docs, labels, fold("doc_id", 4) != 2)
+    return toxicity.scored(docs, net).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity_bigru, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
