@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprint, langid, ngram_join, packing, pii, quality, secrets, toxicity
+from tessera.llm import chat, decontamination, fingerprint, langid, ngram_join, packing, pii, quality, secrets, toxicity
 from tessera.llm.common import fold, table
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.fit(docs, fold("doc_id", 3) != 1)
@@ -57,5 +61,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity_bigru, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_language_id, op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity_bigru, op10_pii)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": chat.ORACLE_SQL}
