@@ -1,8 +1,71 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of `documents`
+(the last one: packed pieces). run() writes each stage's rows as Parquet and rereads them as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, ngram_join, packing, pii, quality
+from tessera.llm.common import table, written
+
+#: Near-duplicates: five-word shingles, a similarity of 0.8 or more.
+WIDTH, SIMILAR = 5, ngram_join.PartEnum(num=80, den=100)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return docs.where(~quality.rejected(docs, model))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near-duplicates."""
+    found, _ = written(ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR), "groups")
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    out = docs.join(kept, "doc_id")
+    once = out.where("__rows = 1").drop("__rows")
+    # rows that repeat an id are a group as well
+    again = out.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"]) if kept.where("__rows > 1").limit(1).count() else None
+    alone = docs.where("doc_id is null")
+    result = once.unionByName(alone) if again is None else once.unionByName(again).unionByName(alone)
+    return result.select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no test item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data masked."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    import public_tokenizers
+
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("bestfit_packing", packing_stage),
+]
+
+#: A network, alignment and a tokenizer are no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
