@@ -17,6 +17,7 @@ score is 0; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import collections
 import math
 import zlib
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import sampled
 
-TOXIC = 1500
-CLEAN = 3000
+TOXIC = 1000
+CLEAN = 2000
+#: Windows of clean texts that a pass may pick hard ones from.
+POOL = 16_000
 THRESHOLD = 0.3
 WINDOW, STRIDE = 24, 16
 WORDS, GRAMS = 1 << 15, 1 << 14
@@ -69,20 +72,28 @@ def gram_ids(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], np.concatenate([[0], np.cumsum(lengths)[:-1]])
 
 
-def evidence(toxic: list[list[bytes]], clean: list[list[bytes]], ids, size: int) -> np.ndarray:
-    """How strongly each hashed id speaks for toxic texts: its log odds over their standard error, from the numbers of
-    texts of either side that hold it."""
-    counts = []
-    for side in (toxic, clean):
-        n = np.zeros(size)
-        for text in side:
-            if text:
-                n[np.unique(ids(text))] += 1
-        counts.append(n)
-    t, c = counts
-    odds = np.log((t + 0.5) / (len(toxic) + 1)) - np.log((c + 0.5) / (len(clean) + 1))
-    z = odds / np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    return np.where(t + c >= 3, z, 0.0)
+def evidence(toxic: list, clean: list) -> dict:
+    """How strongly each item of a set speaks for toxic texts: the signed root of the likelihood ratio statistic of the
+    numbers of texts of either side that hold it. toxic, clean: the texts' items. Items of one text alone have none."""
+    counts = [collections.Counter(), collections.Counter()]
+    for side, n in zip((toxic, clean), counts):
+        for items in side:
+            n.update(set(items))
+    keys = [k for k in {**counts[0], **counts[1]} if counts[0][k] + counts[1][k] >= 2]
+    t, c = (np.array([n[k] for k in keys], float) for n in counts)
+    share = (len(toxic) + 1) / (len(toxic) + len(clean) + 2)
+    n = t + c
+    root = 2 * (t * np.log((t + 1e-9) / (n * share + 1e-9)) + c * np.log((c + 1e-9) / (n * (1 - share) + 1e-9)))
+    z = np.sign(t - n * share) * np.sqrt(np.maximum(root, 0))
+    return dict(zip(keys, np.clip(z, -12, 12).tolist()))
+
+
+def gram_evidence(toxic: list[list[bytes]], clean: list[list[bytes]]) -> np.ndarray:
+    """The same for hashed character trigrams."""
+    found = evidence(*[[gram_ids(t)[0].tolist() if t else [] for t in side] for side in (toxic, clean)])
+    out = np.zeros(GRAMS)
+    out[list(found)] = list(found.values())
+    return out
 
 
 class Network:
@@ -100,7 +111,8 @@ class Network:
         }
         for d in "fb":
             self.p |= {f"x{d}": n(INPUT, 3 * HIDDEN), f"h{d}": n(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN)}
-        self.word_z, self.gram_z = np.zeros(WORDS), np.zeros(GRAMS)
+        self.word_z: dict[bytes, float] = {}
+        self.gram_z = np.zeros(GRAMS)
         self.slope, self.shift = 1.0, 0.0
 
     def as_float32(self) -> Network:
@@ -113,7 +125,7 @@ class Network:
         g, at = gram_ids(some)
         n = np.diff(np.append(at, len(g)))[:, None]
         chars = np.add.reduceat(np.column_stack([self.p["char"][g], self.gram_z[g] / 4]), at) / n
-        return np.column_stack([self.p["word"][w], self.word_z[w] / 4, chars]).astype(self.p["out"].dtype)
+        return np.column_stack([self.p["word"][w], np.fromiter((self.word_z.get(x, 0.0) for x in some), float, len(some)) / 4, chars]).astype(self.p["out"].dtype)
 
     def project(self, x: np.ndarray) -> list[np.ndarray]:
         return [x @ self.p[f"x{d}"] + self.p[f"c{d}"] for d in "fb"]
@@ -181,12 +193,12 @@ class Network:
             g |= {f"x{name}": gx, f"h{name}": gu, f"c{name}": gc}
         return g, dx
 
-    def learn(self, toxic: list[list[bytes]], clean: list[list[bytes]], passes: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
+    def learn(self, toxic: list[list[bytes]], clean: list[list[bytes]], passes: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> Network:
         """Windows of toxic texts are picked by the present network (at first by word evidence), those of clean texts by
         chance, with as many hard ones."""
         r = np.random.default_rng(seed)
-        self.word_z = evidence(toxic, clean, word_ids, WORDS)
-        self.gram_z = evidence(toxic, clean, lambda t: gram_ids(t)[0], GRAMS)
+        self.word_z = evidence(toxic, clean)
+        self.gram_z = gram_evidence(toxic, clean)
         distinct = sorted({w for t in (*toxic, *clean) for w in t})
         number, v_size = {w: i for i, w in enumerate(distinct)}, len(distinct)
         sides = []
@@ -206,8 +218,9 @@ class Network:
         word_z, gram_z = [], []
         for fold in range(FOLDS):
             rest = [[t for i, t in enumerate(side) if i % FOLDS != fold] for side in (toxic, clean)]
-            word_z.append(evidence(*rest, word_ids, WORDS)[w_ids] / 4)
-            gram_z.append(np.add.reduceat(evidence(*rest, lambda t: gram_ids(t)[0], GRAMS)[g_ids], g_at) / g_n / 4 if v_size else [])
+            got = evidence(*rest)
+            word_z.append(np.array([got.get(w, 0.0) for w in distinct]) / 4)
+            gram_z.append(np.add.reduceat(gram_evidence(*rest)[g_ids], g_at) / g_n / 4 if v_size else [])
         word_z, gram_z = np.concatenate(word_z), np.concatenate(gram_z)
 
         def rows_of(own):
@@ -258,8 +271,17 @@ class Network:
                     v[key] = 0.999 * v[key] + 0.001 * d * d
                     pace = rate * (0.1 if key in ("word", "char") else 1.0)
                     self.p[key] = self.p[key] - pace * (1 - step / (steps + 1)) * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
-            projected = self.project(rows_of(np.arange(FOLDS * v_size + 1))[0])
-            ts, cs = self._all(projected, tw), self._all(projected, cw)
+            last = turn == passes - 1
+            pool = np.arange(len(cw)) if last else np.sort(r.permutation(len(cw))[:POOL])
+            ts, cs = np.zeros(len(tw)), np.full(len(cw), -np.inf)
+            for fold in range(FOLDS):
+                own = np.arange(fold * v_size, (fold + 1) * v_size + 1)  # the first stands for padding
+                parts = [rows_of(np.where(own[i : i + 20_000] == fold * v_size, 0, own[i : i + 20_000]))[0] for i in range(0, len(own), 20_000)]
+                projected = [np.concatenate(x).astype(np.float32) for x in zip(*map(self.project, parts))]
+                for rows, owner, out, pick in ((tw, to, ts, np.arange(len(tw))), (cw, co, cs, pool)):
+                    pick = pick[owner[pick] % FOLDS == fold]
+                    if len(pick):
+                        out[pick] = self._all(projected, np.maximum(rows[pick] - fold * v_size, 0))
         top_t, top_c = np.full(len(toxic), -np.inf), np.full(len(clean), -np.inf)
         np.maximum.at(top_t, to, ts)
         np.maximum.at(top_c, co, cs)
