@@ -6,16 +6,15 @@ A document's set is its distinct shingles of `width` words. Two sets link when |
 2. Signatures. Sets are dealt into size bands. A pair is handled in the band of its larger set, where its Hamming
    distance is at most k = floor(2 * (1 - J) / (1 + J) * largest size). The feature domain is cut into n1 partitions by
    hash, of which at least one holds at most floor(k / n1) = k2 differences, and each into n2 parts; subsets of n2 - k2
-   parts are enumerated, so that one subset is free of differences. A signature hashes the features in a subset.
-   SPARE further partitions make similar sets agree in SPARE + 1 of them, so signatures of partitions without features
-   are left out unless a set has more than SPARE such partitions. A set whose partner may be in the next band has
-   signatures there too.
-3. Candidate clusters: neighbours in each signature's order are joined, and components of those joins taken. Each
-   linked pair shares a signature, so it lies within one cluster; a signature with n sets costs n - 1 rows.
-4. Verification is exact and stays inside clusters. Sets of a cluster are dealt into blocks of about BLOCK; tasks
-   compare block with block and emit, for each set, a partner that proves its connection and its number of links, never
-   the pairs.
-5. Components of the proofs give component_id.
+   parts are enumerated, so that one subset is free of differences. A signature hashes the features in a subset. A
+   subset without features is left out unless the set fills at most k2 parts of the partition; otherwise one of the
+   filled parts is free of differences too. A set whose partner may be in the next band has signatures there too.
+3. Candidates. Signatures that up to SMALL sets share give pairs, at most SMALL - 1 a set. Larger groups are not paired:
+   neighbours in a signature's order are joined, and components of those joins are clusters; a signature with n sets
+   costs n - 1 rows. Each linked pair is a pair or lies within a cluster.
+4. Verification is exact. Sets of a cluster are dealt into blocks of about BLOCK; tasks compare block with block and emit
+   a forest of links and each set's number of links, never the pairs.
+5. Components of the forest give component_id.
 
 Defined cases: null text, empty text and text without words give an empty set, which links with nothing; with fewer
 words than `width`, the whole sequence is one shingle; null ids stand alone; rows of one id are one node, which
@@ -41,8 +40,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import dropped, written
 from tessera.llm.components import components
 
-SPARE = 3
 BLOCK = 256
+SMALL = 8
 #: Ratio of a size band's ends.
 BAND = 1.5
 _TOPS = [1]
@@ -76,7 +75,8 @@ def features(text: str | None, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class PartEnum:
-    """num / den: the least Jaccard similarity. n2 and k2: parts of a partition, and how many may differ."""
+    """num / den: the least Jaccard similarity. n2 and k2: parts of a partition, and how many may differ. Small sets, with
+    k of at most 3, have one partition of k + 3 parts, so that a signature never rests on a few features."""
 
     num: int = 90
     den: int = 100
@@ -103,18 +103,18 @@ class PartEnum:
             if k == 0:
                 out.append(mix(np.array([f.sum() + np.uint64(len(f))], np.uint64), 7000 + band))
                 continue
-            n1 = k // (self.k2 + 1) + 1 + SPARE
-            cell = (mix(f, 77) % np.uint64(n1 * self.n2)).astype(np.int64)
-            sums = np.zeros(n1 * self.n2, np.uint64)
+            n1, n2, k2 = (1, k + 3, k) if k <= 3 else (k // (self.k2 + 1) + 1, self.n2, self.k2)
+            cell = (mix(f, 77) % np.uint64(n1 * n2)).astype(np.int64)
+            sums = np.zeros(n1 * n2, np.uint64)
             np.add.at(sums, cell, mix(f, 78))
-            sums = sums.reshape(n1, self.n2)
-            filled = np.bincount(cell, minlength=n1 * self.n2).reshape(n1, self.n2)
-            empty = filled.sum(1) == 0
-            use = np.ones(n1, bool) if empty.sum() > SPARE else ~empty
-            for no, parts in enumerate(combinations(range(self.n2), self.n2 - self.k2)):
+            sums = sums.reshape(n1, n2)
+            filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
+            few = filled.sum(1) <= k2
+            for no, parts in enumerate(combinations(range(n2), n2 - k2)):
+                own = list(parts)
                 key = np.arange(n1, dtype=np.uint64) * np.uint64(1009) + np.uint64(no + 1)
-                sig = mix(mix(key, 9000 + band) ^ mix(sums[:, list(parts)].astype(np.uint64) + np.arange(len(parts), dtype=np.uint64) * _M1, 5).sum(1), 6)
-                out.append(sig[use])
+                sig = mix(mix(key, 9000 + band) ^ mix(sums[:, own] + np.arange(len(own), dtype=np.uint64) * _M1, 5).sum(1), 6)
+                out.append(sig[few | filled[:, own].any(1)])
         return np.concatenate(out)
 
 
@@ -211,20 +211,20 @@ def _compare(rows: list, width: int, num: int, den: int) -> list[tuple]:
 
 
 def _verified(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """members: cluster, rep, copies, block, lo, hi, text. Rows of one pair of blocks stand together in a partition; the
+    """members: g1 and g2 (a cluster or a pair), rep, copies, block, lo, hi, text. Rows of one pair of blocks stand together in a partition; the
     state of a task is one pair of blocks."""
     id_type = members.schema["rep"].dataType.simpleString()
-    names = ["cluster", "rep", "copies", "block", "lo", "hi", "text"]
-    dealt = members.select(*names).repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep")
+    names = ["g1", "g2", "rep", "copies", "block", "lo", "hi", "text"]
+    dealt = members.select(*names).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi", "rep")
 
     def run(batches):
         key, rows = None, []
         for b in batches:
             out = []
-            for cluster, rep, copies, block, lo, hi, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (cluster, lo, hi) != key:
+            for g1, g2, rep, copies, block, lo, hi, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (g1, g2, lo, hi) != key:
                     out += _compare(rows, width, num, den) if len(rows) > 1 else []
-                    key, rows = (cluster, lo, hi), []
+                    key, rows = (g1, g2, lo, hi), []
                 rows.append((rep, copies, block, lo, hi, text))
             if out:
                 yield _edges(out)
@@ -249,25 +249,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # nodes are h1 here: if two classes had one, they would only be compared in vain
     sigs = described.where(F.col("h1").isNotNull()).select("h1", F.explode("signatures").alias("sig"))
     w = W.partitionBy("sig").orderBy("h1")
-    pairs = sigs.select("h1", F.lag("h1").over(w).alias("prev")).where("prev is not null and prev != h1")
-    clusters, clusters_path = written(components(pairs.select(F.col("h1").alias("u"), F.col("prev").alias("v"))), "clusters")
+    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    shared = sigs.select("h1", F.count("*").over(every).alias("n"), F.array(*[F.lag("h1", i).over(w) for i in range(1, SMALL)]).alias("before"))
+    shared, shared_path = written(shared.where("n > 1"), "shared")
     dropped(spark, described_path)
 
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    chain = shared.where(F.col("n") > SMALL).select(F.col("h1").alias("u"), F.get("before", 0).alias("v")).where("u != v")
+    clusters, clusters_path = written(components(chain), "clusters")
+    pairs = shared.where(F.col("n") <= SMALL).select(F.col("h1").alias("b"), F.explode(F.array_compact("before")).alias("a")).where("a != b").distinct()
+    of = lambda side: clusters.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca != cb")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("h1"), F.col("a").alias("g1"), F.col("b").alias("g2"), F.lit(1).alias("blocks"))
+
+    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    grouped = clusters.join(sizes, "component").select(F.col("node").alias("h1"), F.col("component").alias("g1"), F.lit(None).cast("long").alias("g2"), "blocks")
     placed = (
-        clusters.join(sizes, "component")
-        .withColumnRenamed("node", "h1")
+        grouped.unionByName(paired)
         .join(classes.select("rep", "copies", "h1"), "h1")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("g1", "g2", "rep", "copies", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
-    members = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select(
-        F.col("component").alias("cluster"), "rep", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "text"
-    )
-    members = members.select("cluster", "rep", "copies", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "text")
+    members = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     checked, _ = written(_verified(members, width, how.num, how.den), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(checked.where("partner is not null").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
-    dropped(spark, clusters_path)
+    dropped(spark, clusters_path, shared_path)
     by_class = (
         classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .join(links, "rep", "left")
