@@ -7,7 +7,8 @@ runs above and below the alphabet's middle, and the lag-1 serial correlation of
 
 * The chi-squared statistic is held against what ordinary writing of the same length gives (symbol concentration
   `TEXT_S2`, `TEXT_S3` of each encoding): the p-value is the chance that ordinary writing spreads as evenly.
-* Runs and serial correlation veto a token whose order is not random (two-sided level `VETO`).
+* The same statistic over the alphabet's classes, runs and serial correlation veto a token that random symbols would
+  hardly give (level `VETO` each).
 * p-values are weighted by the token's bits (length times bits a symbol, mean one over the corpus), and the
   Benjamini-Hochberg step-up at level `q` runs over all candidates of the corpus. It needs only a histogram of
   -log10 p in steps of 0.01, so what meets in one place is some thousand rows at any corpus size.
@@ -38,6 +39,8 @@ ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ2345
 TEXT_S2 = {"hex": 0.125, "base32": 0.0667, "base64": 0.0667}
 TEXT_S3 = {"hex": 0.0180, "base32": 0.0054, "base64": 0.0054}
 VETO = 0.001
+#: Chi-squared values of that level for an alphabet's classes (upper case, lower case, digits, signs) as cells.
+COARSE = {"hex": 10.83, "base32": 10.83, "base64": 16.27}
 STEP = 100
 
 
@@ -88,6 +91,7 @@ def _battery(tokens: Column) -> Column:
             x["start"].alias("start"),
             x["end"].alias("end"),
             x["kind"].alias("kind"),
+            x["s"].alias("s"),
             F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")).alias("v"),
             F.aggregate(
                 F.array_distinct(chars),
@@ -106,6 +110,11 @@ def _battery(tokens: Column) -> Column:
         runs = 1 + total(F.transform(pairs, lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double")))
         serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / ((n - 1) * (k * k - 1) / 12)
         chi = k / n * x["squares"] - n
+        cells = [(F.regexp_count(x["s"], F.lit(p)), w) for p, w in (("[A-Z]", {"hex": 0.0, "base32": 26.0, "base64": 26.0}), ("[a-z]", {"hex": 6.0, "base32": 0.0, "base64": 26.0}), ("[0-9]", {"hex": 10.0, "base32": 6.0, "base64": 10.0}), ("[+/]", {"hex": 0.0, "base32": 0.0, "base64": 2.0}))]
+        coarse = F.lit(0.0)
+        for seen, widths in cells:
+            expected = n * pick(x["kind"], widths) / k
+            coarse = coarse + F.when(expected > 0, F.pow(seen - expected, F.lit(2.0)) / expected).otherwise(0.0)
         text_mean = k * (1 + (n - 1) * s2) - n
         text_sd = k * F.sqrt(4 * n * (s3 - s2 * s2) + 2 * s2)
         return F.struct(
@@ -115,11 +124,12 @@ def _battery(tokens: Column) -> Column:
             ((text_mean - chi) / text_sd).alias("t"),
             (F.abs(runs - 1 - (n - 1) / 2) / F.sqrt((n - 1) / 4)).alias("z_runs"),
             (F.abs(serial) * F.sqrt(n)).alias("z_serial"),
+            (coarse < pick(x["kind"], COARSE)).alias("even"),
         )
 
     z = 3.2905  # two-sided VETO
     done = F.transform(F.transform(F.filter(F.transform(tokens, encoded), lambda x: x["kind"].isNotNull()), indexed), tested)
-    return F.filter(done, lambda x: (x["z_runs"] < z) & (x["z_serial"] < z) & (x["t"] > 0))
+    return F.filter(done, lambda x: (x["z_runs"] < z) & (x["z_serial"] < z) & x["even"] & (x["t"] > 0))
 
 
 def _minus_log10_p(t: Column) -> Column:
