@@ -12,7 +12,8 @@ pieces of the capacity of which the first may be shorter.
 
 from __future__ import annotations
 
-import numpy as np
+from array import array
+
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -68,7 +69,7 @@ class _Words(dict):
     """Token bytes by word. A single space or line feed between two non-space characters always starts a new
     pre-token, so the pieces between them can be encoded one by one; anything else is encoded whole."""
 
-    def __init__(self, encode, before: str, most: int = 400_000):
+    def __init__(self, encode, before: str, most: int = 500_000):
         super().__init__()
         self.encode, self.before, self.most = encode, before, most
 
@@ -81,18 +82,42 @@ class _Words(dict):
         return ids
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level BPE writes bytes as: printable ones stand for themselves, the rest follow from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids by a tokenizers file, with words kept between calls."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.later = _Words(self.whole, ""), _Words(self.whole, " ")
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        t = self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = t.model, _byte_letters()
+        before = t.pre_tokenizer
+        plain = t.normalizer is None and isinstance(t.model, models.BPE) and isinstance(before, pre_tokenizers.ByteLevel)
+        self.byte_level = plain and not before.add_prefix_space and before.use_regex
+        self.first, self.later = _Words(self.word, ""), _Words(self.word, " ")
         self.feed = self.whole("\n")
+        self.marks = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """A word of letters is one pre-token, which the model takes without the steps around it; a comma or full stop
+        after letters is a pre-token of its own."""
+        if self.byte_level and max(word) < "\u0250":
+            bare = word[1:] if word[0] == " " else word
+            if bare.isalpha():
+                written = word.encode().decode("latin-1").translate(self.letters)
+                return array("I", [x.id for x in self.model.tokenize(written)]).tobytes()
+            if bare[-1] in self.marks and bare[:-1].isalpha():
+                return (self.later if word[0] == " " else self.first)[bare[:-1]] + self.marks[bare[-1]]
+        return self.whole(word)
 
     def __call__(self, text: str) -> bytes:
         try:
@@ -134,7 +159,7 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
     names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 
     def run(batches):
