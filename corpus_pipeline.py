@@ -26,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document, that of the least id, of each group of near-duplicates."""
     found, _ = written(ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR), "groups")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    out = docs.join(kept, "doc_id")
+    out = docs.join(kept.hint("merge"), "doc_id")  # what stays grows with the corpus: one plan at every size
     once = out.where("__rows = 1").drop("__rows")
     # rows that repeat an id are a group as well
     again = out.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"]) if kept.where("__rows > 1").limit(1).count() else None

@@ -270,7 +270,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("g1", "g2", "rep", "copies", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     )
-    members = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
+    members = placed.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     checked, _ = written(_verified(members, width, how.num, how.den), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(checked.where("partner is not null").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
