@@ -150,7 +150,7 @@ def _aligned(pairs: DataFrame, share: float) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, item, text, item_text, hits in zip(*(c.to_pylist() for c in b.columns)):
+            for doc, item, text, item_text, hits in (row for at in range(0, b.num_rows, 64) for row in zip(*(c.to_pylist() for c in b.slice(at, 64).columns))):
                 score, start, end, n = _best(text, item_text, [(h["position"], h["at"]) for h in hits])
                 if n and score >= share * 2 * n and score >= 2 * min(n, LEAST_WORDS):
                     out.append((doc, item, score / (2 * n), start, end))
@@ -198,7 +198,8 @@ def leaks(
             .drop("weight")
         )
         pairs, _ = written(pairs, "pairs")
-        found = _aligned(pairs.join(docs, "doc_id").join(own, "item_id"), share)
+        # candidates grow with the corpus, so their texts come by one shuffle of the documents at every size
+        found = _aligned(pairs.hint("merge").join(docs, "doc_id").join(own, "item_id"), share)
         out = out.unionByName(found)
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
@@ -206,4 +207,5 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that leak no test item, with their columns."""
-    return docs.join(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("__leaks")).distinct(), F.col("doc_id") == F.col("__leaks"), "left_anti")
+    found = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("__leaks")).distinct()
+    return docs.join(found.hint("merge"), F.col("doc_id") == F.col("__leaks"), "left_anti")

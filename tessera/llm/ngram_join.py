@@ -5,16 +5,21 @@ A document's set is its distinct shingles of `width` words. Two sets link when |
 1. Classes. Documents with equal sets are one class, kept by its least doc_id; copies never reach a pair.
 2. Signatures. Sets are dealt into size bands. A pair is handled in the band of its larger set, where its Hamming
    distance is at most k = floor(2 * (1 - J) / (1 + J) * largest size). The feature domain is cut into n1 partitions by
-   hash, of which at least one holds at most floor(k / n1) = k2 differences, and each into n2 parts; subsets of n2 - k2
-   parts are enumerated, so that one subset is free of differences. A signature hashes the features in a subset. A
-   subset without features is left out unless the set fills at most k2 parts of the partition; otherwise one of the
-   filled parts is free of differences too. A set whose partner may be in the next band has signatures there too.
+   hash, of which at least 1 + spare hold at most k2 differences each, and each into n2 parts; subsets of n2 - k2 parts
+   are enumerated, so that one subset is free of differences. A signature hashes the features in a subset; a subset
+   without features has none. A set that fills more than k2 parts of a partition meets its partner in a filled part
+   there; so only sets that fill at most k2 parts in more than `spare` partitions need signatures of empty subsets.
+   A set whose partner may be in the next band has signatures there too.
 3. Candidates. Signatures that up to SMALL sets share give pairs, at most SMALL - 1 a set. Larger groups are not paired:
    neighbours in a signature's order are joined, and components of those joins are clusters; a signature with n sets
    costs n - 1 rows. Each linked pair is a pair or lies within a cluster.
-4. Verification is exact. Sets of a cluster are dealt into blocks of about BLOCK; tasks compare block with block and emit
+4. Boilerplate can chain unlike sets into one cluster. Clusters of over REFINE sets are split: their sets' bitmaps of BITS
+   hashed features bound each intersection from above, |A & B| <= |A| - |bits of A alone|, and components of the pairs
+   whose bound reaches the threshold are the new clusters. Bitmaps are compared block by block (WIDE sets each), tasks
+   emit forests, never pairs.
+5. Verification is exact. Sets of a cluster are dealt into blocks of about BLOCK; tasks compare block with block and emit
    a forest of links and each set's number of links, never the pairs.
-5. Components of the forest give component_id.
+6. Components of the forest give component_id.
 
 Defined cases: null text, empty text and text without words give an empty set, which links with nothing; with fewer
 words than `width`, the whole sequence is one shingle; null ids stand alone; rows of one id are one node, which
@@ -30,10 +35,9 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +46,7 @@ from tessera.llm.components import components
 
 BLOCK = 256
 SMALL = 8
+REFINE, WIDE, BITS = 512, 4096, 2048
 #: Ratio of a size band's ends.
 BAND = 1.5
 _TOPS = [1]
@@ -103,13 +108,18 @@ class PartEnum:
             if k == 0:
                 out.append(mix(np.array([f.sum() + np.uint64(len(f))], np.uint64), 7000 + band))
                 continue
-            n1, n2, k2 = (1, k + 3, k) if k <= 3 else (k // (self.k2 + 1) + 1, self.n2, self.k2)
+            n1, n2, k2, spare = 1, k + 3, k, 0
+            if k > 3:
+                n1, n2, k2 = k // (self.k2 + 1) + 1, self.n2, self.k2
+                spare = max(3, n1 // 5)
+                n1 += spare
             cell = (mix(f, 77) % np.uint64(n1 * n2)).astype(np.int64)
             sums = np.zeros(n1 * n2, np.uint64)
             np.add.at(sums, cell, mix(f, 78))
             sums = sums.reshape(n1, n2)
             filled = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
             few = filled.sum(1) <= k2
+            few &= few.sum() > spare
             for no, parts in enumerate(combinations(range(n2), n2 - k2)):
                 own = list(parts)
                 key = np.arange(n1, dtype=np.uint64) * np.uint64(1009) + np.uint64(no + 1)
@@ -118,29 +128,124 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def _described(docs: DataFrame, width: int, how: PartEnum) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit hash (h1, h2) and its signatures. Of equal sets in one task only the first
-    carries signatures, so a group of copies costs a row for each task and signature, not for each copy."""
+def _hashed(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, the set's 128-bit hash (h1, h2; null for an empty set), and the bitmap of its features."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_shingles", "h1", "h2", "signatures"]
 
     def run(batches):
-        seen, none = set(), np.empty(0, np.int64)
         for b in batches:
-            n, h1, h2, sigs = [], [], [], []
-            for t in b.column(1):
+            sets = [features(t.as_py(), width) for t in b.column(1)]
+            h1, h2 = ([int(mix(f, salt).sum().view(np.int64)) if len(f) else None for f in sets] for salt in (1, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(map(bitmap, sets), pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "bits"])
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, bits binary")
+
+
+def bitmap(f: np.ndarray) -> bytes:
+    held = np.zeros(BITS, bool)
+    held[(mix(f, 31) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(held).tobytes()
+
+
+def _forest(pairs, names: list) -> list[tuple]:
+    """The edges that join new parts, of pairs of numbers of names."""
+    root, out = list(range(len(names))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((names[i], names[j]))
+    return out
+
+
+def _likely(rows: list, num: int, den: int) -> list[tuple]:
+    """A forest of the pairs of two blocks whose bitmaps allow a link. rows: (h1, n, bits, block, lo, hi)."""
+    lo, hi = rows[0][4], rows[0][5]
+    rows = sorted(rows, key=lambda r: r[1])
+    n = np.array([r[1] for r in rows])
+    bits = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint64).reshape(len(rows), -1)
+    weight, side = np.bitwise_count(bits).sum(1, dtype=np.int64), np.array([r[3] for r in rows])
+
+    def pairs():
+        ends = np.searchsorted(n, n * den // num, "right")
+        for i in range(len(rows)):
+            j = np.arange(i + 1, ends[i])
+            if lo != hi:
+                j = j[side[j] != side[i]]
+            if len(j):
+                both = np.bitwise_count(bits[j] & bits[i]).sum(1, dtype=np.int64)
+                most = np.minimum(n[i] - (weight[i] - both), n[j] - (weight[j] - both))
+                for x in j[most * (num + den) >= num * (n[i] + n[j])].tolist():
+                    yield i, x
+
+    return _forest(pairs(), [r[0] for r in rows])
+
+
+def _blocks(df: DataFrame, blocks: Column, by: str) -> DataFrame:
+    """df with block, lo and hi: a row for each pair of blocks that its own block is in. blocks: a column of counts."""
+    out = df.withColumn("block", F.pmod(F.xxhash64(by), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
+
+
+def _grouped(df: DataFrame, keys: list[str], columns: list[str], compare, schema: str) -> DataFrame:
+    """compare(rows) for the rows of each key: they stand together in a partition, and a task holds one key's rows."""
+    dealt = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, columns[0])
+    names, k = [x.split(" ")[0] for x in schema.split(", ")], len(keys)
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                    if row[:k] != key:
+                        out += compare(rows) if len(rows) > 1 else []
+                        key, rows = row[:k], []
+                    rows.append(row[k:])
+            if out:
+                yield batch(out)
+                out = []
+        if len(rows) > 1 and (out := compare(rows)):
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _signed(docs: DataFrame, width: int, how: PartEnum) -> DataFrame:
+    """h1, sig: a row for each signature. Of equal sets in one task only the first has signatures, so a group of copies
+    costs a row for each task and signature, not for each copy."""
+
+    def run(batches):
+        seen = set()
+        for b in batches:
+            keys, sigs, held = [], [], 0
+            for t in b.column(0):
                 f = features(t.as_py(), width)
-                n.append(len(f))
-                key = tuple(int(mix(f, salt).sum().view(np.int64)) for salt in (1, 2)) if len(f) else (None, None)
-                h1.append(key[0])
-                h2.append(key[1])
-                sigs.append(how.signatures(f).view(np.int64) if len(f) and key not in seen else none)
-                seen.add(key)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), flat], names)
+                key = tuple(int(mix(f, salt).sum().view(np.int64)) for salt in (1, 2))
+                if len(f) and key not in seen:
+                    seen.add(key)
+                    sigs.append(how.signatures(f).view(np.int64))
+                    keys.append(key[0])
+                    held += len(sigs[-1])
+                if held > 200_000:
+                    yield rows(keys, sigs)
+                    keys, sigs, held = [], [], 0
+            if keys:
+                yield rows(keys, sigs)
+
+    def rows(keys, sigs):
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, np.int64), [len(s) for s in sigs])), pa.array(np.concatenate(sigs))], ["h1", "sig"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, h1 long, h2 long, signatures array<long>")
+    return docs.select("text").mapInArrow(run, "h1 long, sig long")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -186,55 +291,12 @@ def _compare(rows: list, width: int, num: int, den: int) -> list[tuple]:
         np.fill_diagonal(linked, False)
     ids_a, ids_b = [r[0] for r in sides[0]], [r[0] for r in sides[-1]]
     copies_a, copies_b = np.array([r[1] for r in sides[0]]), np.array([r[1] for r in sides[-1]])
-    # a forest: each set joins the first set it links with, and labels settle over the block's own links
     out = []
-    one_way = [(linked, ids_a, ids_b, copies_b)] + ([] if lo == hi else [(linked.T, ids_b, ids_a, copies_a)])
-    for links, ids, others, copies in one_way:
-        for i in np.flatnonzero(links.any(1)):
-            out.append((ids[i], None, int(copies[links[i]].sum())))
-    root = list(range(len(ids_a) + (0 if lo == hi else len(ids_b))))
-    shift = 0 if lo == hi else len(ids_a)
-    names = ids_a if lo == hi else ids_a + ids_b
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for i, j in zip(*np.nonzero(linked)):
-        x, y = find(int(i)), find(int(j) + shift)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((names[int(i)], names[int(j) + shift], 0))
-    return out
-
-
-def _verified(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """members: g1 and g2 (a cluster or a pair), rep, copies, block, lo, hi, text. Rows of one pair of blocks stand together in a partition; the
-    state of a task is one pair of blocks."""
-    id_type = members.schema["rep"].dataType.simpleString()
-    names = ["g1", "g2", "rep", "copies", "block", "lo", "hi", "text"]
-    dealt = members.select(*names).repartition("g1", "g2", "lo", "hi").sortWithinPartitions("g1", "g2", "lo", "hi", "rep")
-
-    def run(batches):
-        key, rows = None, []
-        for b in batches:
-            out = []
-            for g1, g2, rep, copies, block, lo, hi, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (g1, g2, lo, hi) != key:
-                    out += _compare(rows, width, num, den) if len(rows) > 1 else []
-                    key, rows = (g1, g2, lo, hi), []
-                rows.append((rep, copies, block, lo, hi, text))
-            if out:
-                yield _edges(out)
-        if len(rows) > 1 and (out := _compare(rows, width, num, den)):
-            yield _edges(out)
-
-    def _edges(out):
-        return pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["rep", "partner", "links"]).astype({"rep": "Int64", "partner": "Int64"}), preserve_index=False)
-
-    return dealt.mapInArrow(run, f"rep {id_type}, partner {id_type}, links long")
+    for links, ids, copies in [(linked, ids_a, copies_b)] + ([] if lo == hi else [(linked.T, ids_b, copies_a)]):
+        out += [(ids[i], None, int(copies[links[i]].sum())) for i in np.flatnonzero(links.any(1))]
+    shift, names = (0, ids_a) if lo == hi else (len(ids_a), ids_a + ids_b)
+    found = ((int(i), int(j) + shift) for i, j in zip(*np.nonzero(linked)))
+    return out + [(x, y, 0) for x, y in _forest(found, names)]
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, how: PartEnum = PartEnum()) -> DataFrame:
@@ -242,20 +304,25 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links with, copies included)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described, described_path = written(_described(docs, width, how), "sets")
-    slim, _ = written(described.select("doc_id", "n_shingles", "h1", "h2"), "ids")
+    slim, _ = written(_hashed(docs, width), "ids")
     real = F.col("h1").isNotNull() & F.col("doc_id").isNotNull()
     classes, _ = written(slim.where(real).groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     # nodes are h1 here: if two classes had one, they would only be compared in vain
-    sigs = described.where(F.col("h1").isNotNull()).select("h1", F.explode("signatures").alias("sig"))
+    sigs = _signed(docs, width, how)
     w = W.partitionBy("sig").orderBy("h1")
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shared = sigs.select("h1", F.count("*").over(every).alias("n"), F.array(*[F.lag("h1", i).over(w) for i in range(1, SMALL)]).alias("before"))
     shared, shared_path = written(shared.where("n > 1"), "shared")
-    dropped(spark, described_path)
-
     chain = shared.where(F.col("n") > SMALL).select(F.col("h1").alias("u"), F.get("before", 0).alias("v")).where("u != v")
-    clusters, clusters_path = written(components(chain), "clusters")
+    chained, chained_path = written(components(chain), "chained")
+    counts = chained.groupBy("component").agg(F.count("*").alias("n"))
+    sized = chained.join(counts, "component")
+    wide = sized.where(F.col("n") > REFINE).select(F.col("node").alias("h1"), F.col("component").alias("g"), F.ceil(F.col("n") / WIDE).cast("int").alias("blocks"))
+    maps = slim.where(real).groupBy("h1").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
+    wide = _blocks(wide.join(maps, "h1"), F.col("blocks"), "h1")
+    likely = _grouped(wide, ["g", "lo", "hi"], ["h1", "n", "bits", "block", "lo", "hi"], lambda rows: _likely(rows, how.num, how.den), "u long, v long")
+    clusters, clusters_path = written(sized.where(F.col("n") <= REFINE).select("node", "component").unionByName(components(likely)), "clusters")
+    dropped(spark, chained_path)
     pairs = shared.where(F.col("n") <= SMALL).select(F.col("h1").alias("b"), F.explode(F.array_compact("before")).alias("a")).where("a != b").distinct()
     of = lambda side: clusters.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca != cb")
@@ -263,15 +330,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     grouped = clusters.join(sizes, "component").select(F.col("node").alias("h1"), F.col("component").alias("g1"), F.lit(None).cast("long").alias("g2"), "blocks")
-    placed = (
-        grouped.unionByName(paired)
-        .join(classes.select("rep", "copies", "h1"), "h1")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("g1", "g2", "rep", "copies", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    )
+    placed = _blocks(grouped.unionByName(paired).join(classes.select("rep", "copies", "h1"), "h1"), F.col("blocks"), "rep")
     members = placed.hint("merge").join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    checked, _ = written(_verified(members, width, how.num, how.den), "links")
+    compare = lambda rows: _compare(rows, width, how.num, how.den)
+    checked, _ = written(_grouped(members, ["g1", "g2", "lo", "hi"], ["rep", "copies", "block", "lo", "hi", "text"], compare, "rep long, partner long, links long"), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(checked.where("partner is not null").select(F.col("rep").alias("u"), F.col("partner").alias("v")))
     dropped(spark, clusters_path, shared_path)

@@ -26,6 +26,8 @@ POSITIVES = 4000
 UNLABELLED = 8000
 THRESHOLD = 0.3
 FEATURES = 20
+#: Taken off the estimated prior: too low a prior costs little, too high a one makes negatives positive.
+CAUTION = 0.02
 
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), b" \t\n\r\v\f", b"!?", b"|", b"$*#%&@^~+=_", b".,;:'\"-()", range(128, 256), b"<>{}[]\\/`"]
 
@@ -116,7 +118,9 @@ def train(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Net, float] | N
     every = np.concatenate([positive, unlabelled])
     # with a prior of 1/2 on both sides and no subtraction this is plain positive-against-unlabelled learning
     split = Net(every).fit(positive[::2], unlabelled[::2], 0.5, 600)
-    share = prior(split.score(positive[1::2]), split.score(unlabelled[1::2]))
+    for _ in range(2):
+        share = max(0.05, prior(split.score(positive[1::2]), split.score(unlabelled[1::2])) - CAUTION)
+        split = Net(every).fit(positive[::2], unlabelled[::2], share, 1000)  # tells them apart better than the first
     return Net(every).fit(positive, unlabelled, share), share
 
 

@@ -363,7 +363,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")):
         texts[r["y"]].setdefault(r["text"] or "", None)  # copies teach once
     sides = [[words(t) for t in texts[y]] for y in (1, 0)]
-    return Network().learn(*sides) if all(sides) else None
+    if not all(sides):
+        return None
+    net = Network().learn(*sides)
+    # toxic texts are rarer among labelled rows than in the sample
+    every = {r["y"]: r["count"] for r in marks.where("y in (0, 1)").groupBy("y").count().collect()}
+    net.shift += math.log(every[1] / every[0]) - math.log(len(sides[0]) / len(sides[1]))
+    return net
 
 
 def scored(docs: DataFrame, net: Network | None) -> DataFrame:

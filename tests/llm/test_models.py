@@ -49,10 +49,12 @@ def family(r, n_words, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("width,num", [(3, 90), (5, 80)])
-def test_jaccard_join(spark, width, num, monkeypatch):
+@pytest.mark.parametrize("width,num,refine", [(3, 90, 10), (5, 80, 10), (5, 80, 512)])
+def test_jaccard_join(spark, width, num, refine, monkeypatch):
     """Families of near copies about the threshold, large and small sets, copies, boilerplate; blocks of 16 sets."""
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "REFINE", refine)
+    monkeypatch.setattr(ngram_join, "WIDE", 32)
     r = random.Random(width)
     texts = ["", " ", "one", "One", "one two", "a b c d e f", "A b c d e f"] + family(r, 120, 60, 4) + family(r, 30, 60, 1) + family(r, 12, 20, 1) + family(r, 600, 12, 20)
     texts += [f"shared head line of eight words here {x}" for x in family(r, 8, 30, 3)] + ["copy of one text again and again"] * 40
