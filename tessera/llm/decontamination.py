@@ -189,7 +189,7 @@ def leaks(
         frequency = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.log(F.lit(float(rows)) / F.count("*")).alias("weight"))
         places = spark.createDataFrame(seeds.rows, "gram long, item_id long, at long")
         pairs = (
-            hits.join(places.join(frequency, "gram"), "gram")
+            hits.join(F.broadcast(places.join(frequency, "gram")), "gram")  # at most a row for each word of the block
             .groupBy("doc_id", "item_id", "gram")
             .agg(F.first("weight").alias("weight"), F.collect_list(F.struct("position", "at")).alias("hits"))
             .groupBy("doc_id", "item_id")
