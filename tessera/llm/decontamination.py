@@ -1,16 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds join training passages to test items; Smith-Waterman alignment scores
-them, so edited or paraphrased copies are found too.
+"""Benchmark decontamination: n-gram seeds join training passages to test items; Smith-Waterman alignment scores them,
+so edited or paraphrased copies are found too.
 
 1. Test items are taken in blocks of about BLOCK_CHARS characters (measured first), so the word list that a task holds
    is bounded whatever the size of the benchmark; each block is held against all rows. An item's distinct n-grams of
    `n` normalized words are its seeds.
-2. One scan of the documents yields seed hits (doc, gram, position), which are written; rows without hits end here.
-3. A seed's document frequency over the whole corpus gives its weight log(rows / frequency). Hits join seeds; a pair of
-   document and item goes on when the distinct seeds they share weigh `least_weight` or more: one rare seed is enough,
-   common ones must be many. No seed is dropped for being frequent, so a passage that half of the corpus repeats is found.
-4. Around the shared seeds' diagonals, windows of the document are aligned with the item (match 2, mismatch -1, gap -1).
+2. One scan of the documents per block finds the seeds that each text shares with each item. Every pair that shares a
+   seed goes on: how many rows hold a seed is never asked, so a passage that half of the corpus, or all of it, repeats
+   is found whole, edited or short as a rare one is. Nothing is shuffled but the leaks found.
+3. Around the shared seeds' diagonals, windows of the document are aligned with the item (match 2, mismatch -1, gap -1).
    A pair is a leak when the best score is at least `share` of the item's perfect score, and at least that of
-   LEAST_WORDS matches (or of the item, if shorter).
+   LEAST_WORDS matches (or of the item, if shorter). Only windows whose bound reaches that score are aligned: a word of
+   the text adds 2 to a score if the item has it and takes 1 if not, so no stretch of it scores above its sum of these.
 
 Words are runs between white space and ASCII punctuation, lower-cased. Defined cases: null or empty texts on either
 side match nothing; items of fewer than `n` words have one seed, the whole item; repeated rows of a document or item
@@ -27,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
-
 N = 3
 BLOCK_CHARS = 4_000_000
 SHARE = 0.4
 LEAST_WORDS = 8
-LEAST_WEIGHT = 6.0
+SLICE = 1 << 20
 _BREAKS = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
 
@@ -51,17 +49,25 @@ def _keys(columns: list[np.ndarray]) -> np.ndarray:
 
 
 class Seeds:
-    """The seeds of a block of test items: word ids, and n-grams as sorted 64-bit keys."""
+    """The seeds of a block of test items: word ids, items as arrays of them, and n-grams as sorted 64-bit keys with the
+    places (index of the item, position) of each."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n, self.vocabulary = n, {}
-        self.rows: list[tuple[int, int, int]] = []  # gram, item, position
+        self.ids: list[int] = []
+        self.texts: list[np.ndarray] = []
+        rows: list[tuple[int, int, int]] = []  # gram, index of the item, position
         for item, text in items:
             w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
             for p in range(max(1, len(w) - n + 1) if w else 0):
-                self.rows.append((self.key(w[p : p + n]), item, p))
-        self.short = any(g < 0 for g, _, _ in self.rows)
-        self.grams = np.unique(np.array([g for g, _, _ in self.rows], np.int64))
+                rows.append((self.key(w[p : p + n]), len(self.ids), p))
+            self.ids.append(item)
+            self.texts.append(np.array(w, np.int64))
+        grams, self.items, self.places = np.array(sorted(rows), np.int64).reshape(-1, 3).T
+        self.lengths = np.array([len(w) for w in self.texts], np.int64)
+        self.short = bool((grams < 0).any())
+        self.grams, self.first = np.unique(grams, return_index=True)
+        self.first = np.append(self.first, len(grams))
 
     def key(self, ids: list[int]) -> int:
         """A hash of n word ids; of fewer (a whole short item), a negative one."""
@@ -69,7 +75,7 @@ class Seeds:
         return h if len(ids) == self.n else -1 - h
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(grams, positions) of the seeds in a text's word ids (0: a word of no item)."""
+        """(indices of grams, positions) of the seeds in a text's word ids (0: a word of no item)."""
         grams, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for width in range(1, self.n + 1) if self.short else (self.n,):
             m = len(ids) - width + 1
@@ -78,31 +84,40 @@ class Seeds:
             known = np.flatnonzero(np.logical_and.reduce([ids[j : j + m] > 0 for j in range(width)]))
             keys = _keys([ids[known + j] for j in range(width)])
             keys = keys if width == self.n else -1 - keys
-            ok = self.grams[np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)] == keys
-            grams.append(keys[ok])
+            at = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+            ok = self.grams[at] == keys
+            grams.append(at[ok])
             places.append(known[ok])
         return np.concatenate(grams), np.concatenate(places)
 
-
-def _hits(docs: DataFrame, seeds) -> DataFrame:
-    def run(batches):
-        s = seeds.value
-        get = s.vocabulary.get
-        for b in batches:
-            at, grams, positions = [], [], []
-            for i, t in enumerate(b.column(1)):
-                w = words(t.as_py())
-                g, p = s.hits(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
-                at.append(np.full(len(g), i))
-                grams.append(g)
-                positions.append(p)
-            if at and (rows := np.concatenate(at)).size:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(np.concatenate(grams)), pa.array(np.concatenate(positions))],
-                    ["doc_id", "gram", "position"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, gram long, position long")
+    def windows(self, ids: np.ndarray) -> np.ndarray:
+        """(index of an item, start, end) of the stretches of a text around the seeds that it shares with the item."""
+        grams, positions = self.hits(ids)
+        counts = self.first[grams + 1] - self.first[grams]
+        total = np.concatenate([[0], np.cumsum(counts)])
+        found, at = np.empty((0, 3), np.int64), 0
+        while at < len(grams):  # SLICE places at a time, and those of one hit at least
+            to = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, "right")) - 1)
+            c = counts[at:to]
+            row = np.repeat(self.first[grams[at:to]] - (total[at:to] - total[at]), c) + np.arange(total[to] - total[at])
+            item = self.items[row]
+            start, n = np.repeat(positions[at:to], c) - self.places[row], self.lengths[item]
+            half = n // 2 + 4
+            new = np.stack([item, np.maximum(0, start - half), np.minimum(len(ids), start + n + half)], 1)
+            found, at = _merged(np.concatenate([found, new])), to
+        return found
+
+
+def _merged(windows: np.ndarray) -> np.ndarray:
+    """Windows of an item that touch become one."""
+    w = windows[np.lexsort((windows[:, 1], windows[:, 0]))]
+    if len(w) < 2:
+        return w
+    wide = int(w[:, 2].max()) + 1
+    reach = np.maximum.accumulate(w[:, 0] * wide + w[:, 2])  # the furthest end so far, within the item
+    heads = np.flatnonzero(np.concatenate([[True], w[1:, 0] * wide + w[1:, 1] > reach[:-1]]))
+    ends = reach[np.append(heads[1:], len(w)) - 1] - w[heads, 0] * wide
+    return np.stack([w[heads, 0], w[heads, 1], ends], 1)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -119,45 +134,49 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _best(text: str, item: str, hits: list[tuple[int, int]]) -> tuple[int, int, int, int]:
-    """(score, start, end, words of the item) of the best window around shared seeds; start and end are words of text."""
-    number: dict[bytes, int] = {}
-    a = np.array([number.setdefault(w, len(number) + 1) for w in words(item)])
-    b = np.array([number.get(w, 0) for w in words(text)])
-    half = len(a) // 2 + 4
-    windows: list[list[int]] = []
-    for at in sorted(p - q for p, q in hits):
-        lo, hi = max(0, at - half), min(len(b), at + len(a) + half)
-        if windows and lo <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], hi)
-        else:
-            windows.append([lo, hi])
-    best = (0, 0, 0, len(a))
+def _best(b: np.ndarray, a: np.ndarray, windows: list[tuple[int, int]], least: float, known: np.ndarray) -> tuple[int, int, int]:
+    """(score, start, end) in words of text b of the best window that scores `least` or more; 0s if none does. known: a
+    mask over the vocabulary, all false."""
+    best = (0, 0, 0)
+    known[a] = True
     for lo, hi in windows:
+        sums = np.cumsum(np.where(known[b[lo:hi]], 2, -1))
+        bound = int((sums - np.minimum(0, np.minimum.accumulate(sums))).max(initial=0))
+        if bound < least or bound <= best[0]:
+            continue
         score, end = align(a, b[lo:hi])
-        if score > best[0]:
-            best = (score, lo, lo + end, len(a))
+        if score >= least and score > best[0]:
+            best = (score, lo, lo + end)
+    known[a] = False
     if best[0]:
-        lo, end = best[1], best[2]
-        back = align(a[::-1], b[lo:end][::-1])[1]
-        best = (best[0], end - back, end, len(a))
+        score, lo, end = best
+        best = (score, end - align(a[::-1], b[lo:end][::-1])[1], end)
     return best
 
 
-def _aligned(pairs: DataFrame, share: float) -> DataFrame:
+def _found(docs: DataFrame, seeds, share: float) -> DataFrame:
     names = ["doc_id", "item_id", "score", "start_word", "end_word"]
 
     def run(batches):
-        for b in batches:
+        s = seeds.value
+        get, known = s.vocabulary.get, np.zeros(len(s.vocabulary) + 1, bool)
+        for batch in batches:
             out = []
-            for doc, item, text, item_text, hits in (row for at in range(0, b.num_rows, 64) for row in zip(*(c.to_pylist() for c in b.slice(at, 64).columns))):
-                score, start, end, n = _best(text, item_text, [(h["position"], h["at"]) for h in hits])
-                if n and score >= share * 2 * n and score >= 2 * min(n, LEAST_WORDS):
-                    out.append((doc, item, score / (2 * n), start, end))
+            for doc, t in zip(*batch.columns):
+                w = words(t.as_py())
+                ids = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
+                windows = s.windows(ids)
+                heads = np.flatnonzero(np.diff(windows[:, 0], prepend=-1))
+                for group in np.split(windows, heads[1:]) if len(heads) else ():
+                    i = int(group[0, 0])
+                    n = len(s.texts[i])
+                    score, start, end = _best(ids, s.texts[i], group[:, 1:].tolist(), max(share * 2 * n, 2 * min(n, LEAST_WORDS)), known)
+                    if score:
+                        out.append((doc.as_py(), s.ids[i], score / (2 * n), start, end))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
-    return pairs.select("doc_id", "item_id", "text", "item_text", "hits").mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
+    return docs.mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
 def leaks(
@@ -169,7 +188,6 @@ def leaks(
     item_text_col: str = "text",
     n: int = N,
     share: float = SHARE,
-    least_weight: float = LEAST_WEIGHT,
 ) -> DataFrame:
     """One row per document and test item that it leaks: doc_id, item_id, score (0 to 1), start_word, end_word."""
     spark = docs.sparkSession
@@ -178,29 +196,12 @@ def leaks(
     items = items.where("item_id is not null and item_text is not null").distinct()
     chars = items.agg(F.sum(F.char_length("item_text"))).first()[0] or 0
     blocks = math.ceil(chars / BLOCK_CHARS)
-    rows = docs.count()
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block)
         seeds = Seeds([(r["item_id"], r["item_text"]) for r in own.collect()], n)
-        if not seeds.rows:
-            continue
-        hits, _ = written(_hits(docs, spark.sparkContext.broadcast(seeds)), "hits")
-        frequency = hits.select("gram", "doc_id").distinct().groupBy("gram").agg(F.log(F.lit(float(rows)) / F.count("*")).alias("weight"))
-        places = spark.createDataFrame(seeds.rows, "gram long, item_id long, at long")
-        pairs = (
-            hits.join(F.broadcast(places.join(frequency, "gram")), "gram")  # at most a row for each word of the block
-            .groupBy("doc_id", "item_id", "gram")
-            .agg(F.first("weight").alias("weight"), F.collect_list(F.struct("position", "at")).alias("hits"))
-            .groupBy("doc_id", "item_id")
-            .agg(F.sum("weight").alias("weight"), F.flatten(F.collect_list("hits")).alias("hits"))
-            .where(F.col("weight") >= F.least(F.lit(least_weight), F.log(F.lit(float(rows)))))
-            .drop("weight")
-        )
-        pairs, _ = written(pairs, "pairs")
-        # candidates grow with the corpus, so their texts come by one shuffle of the documents at every size
-        found = _aligned(pairs.hint("merge").join(docs, "doc_id").join(own, "item_id"), share)
-        out = out.unionByName(found)
+        if len(seeds.grams):
+            out = out.unionByName(_found(docs, spark.sparkContext.broadcast(seeds), share))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 

@@ -148,6 +148,48 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert {(x["doc_id"], x["item_id"]) for x in got} == {(i, i) for i in range(6)}
 
 
+@pytest.mark.parametrize("every", [3, 1])
+def test_leaks_of_frequent_items(spark, every):
+    """Exact, edited and short copies held by a third and by all of the rows; a few rows share one frequent seed alone."""
+    r = random.Random(11)
+    item, short = [f"q{j}" for j in range(15)], "a b"
+    edited = [w if j % 4 else f"e{j}" for j, w in enumerate(item)]
+    filler = lambda n: " ".join(f"f{r.randint(0, 10**6)}" for _ in range(n))
+    docs, want = [], set()
+    for i in range(90):
+        some = [" ".join(item), " ".join(edited), f"x {short} y"][i // 3 % 3] if i % every == 0 else filler(9)
+        docs.append((i, f"{filler(20)} {some} {filler(20)}"))
+        want |= {(i, i // 3 % 3 // 2)} if i % every == 0 else set()
+    docs += [(100 + i, f"{filler(9)} q1 q2 q3 {filler(9)}") for i in range(every - 1)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(item)), (1, short)], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.leaks(d, b).collect()} == want
+
+
+def test_windows_in_slices(monkeypatch):
+    """Windows are the same whatever number of places is taken at a time, and the union about the seeds' diagonals."""
+    r = random.Random(5)
+    items = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(1, 12)))) for i in range(8)]
+    s = decontamination.Seeds(items, 3)
+    for n in (0, 2, 30, 200):
+        text = [r.choice("abcdefgh") for _ in range(n)]
+        want = []
+        for i, (_, t) in enumerate(items):
+            w = t.split()
+            k = min(3, len(w))
+            covered = set()
+            for p in range(n - k + 1):
+                for q in range(len(w) - k + 1):
+                    if text[p : p + k] == w[q : q + k]:
+                        covered |= set(range(max(0, p - q - len(w) // 2 - 4), min(n, p - q + len(w) + len(w) // 2 + 4)))
+            want.append(covered)
+        for size in (1, 7, 1 << 20):
+            monkeypatch.setattr(decontamination, "SLICE", size)
+            got = [set() for _ in items]
+            for i, lo, hi in s.windows(np.array([s.vocabulary.get(x.encode(), 0) for x in text], np.int64)).tolist():
+                got[i] |= set(range(lo, hi))
+            assert got == want
+
+
 def test_gradients():
     net, r = toxicity.Network(), np.random.default_rng(0)
     x, w, t = r.normal(0, 1, (40, toxicity.INPUT)), r.integers(0, 40, (6, toxicity.WINDOW)), np.array([1.0, 0, 1, 0, 0, 1])
