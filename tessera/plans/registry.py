@@ -542,6 +542,26 @@ def _(spark, d):
     return records.failure_stats(_failures(spark, d), EVENTS_AS_OF)
 
 
+# All error events. A file is a user and one of four runs of eight events, so that files with few failures occur too.
+FAILED_ALL = FAILED.replace(" AND event_id % 3 = 0", "").replace("'f' || user_id AS file_path", "'f' || user_id || '-' || (event_id // 8 % 4) AS file_path")
+
+
+def _all_failures(spark, d):
+    path = F.concat_ws("-", F.concat(F.lit("f"), F.col("user_id").cast("string")), F.expr("event_id div 8 % 4").cast("string"))
+    error = F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (F.col("event_id") % 8 + 1).cast("int"))
+    return records.failures(S.read(spark, d, "events").where("event_type = 'error'").select(path.alias("file_path"), F.col("ts").alias("at"), error.alias("error")))
+
+
+@register("failure_state_all", ORACLE_SQL["failure_state"].replace(FAILED, FAILED_ALL))
+def _(spark, d):
+    return _all_failures(spark, d)
+
+
+@register("failure_stats_all", ORACLE_SQL["failure_stats"].replace(FAILED, FAILED_ALL))
+def _(spark, d):
+    return records.failure_stats(_all_failures(spark, d), EVENTS_AS_OF)
+
+
 JOBS = "WITH " + S.EXECUTIONS_SQL
 
 

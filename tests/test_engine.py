@@ -155,6 +155,13 @@ def test_records(spark):
     assert runs == [datetime(2024, 1, 1, h, m) for h in (9, 10) for m in (0, 30)]
 
 
+def test_all_failures(spark, data):
+    errors = spark.read.parquet(f"{data}/events.parquet").where("event_type = 'error'").count()
+    state = registry.QUERIES["failure_state_all"](spark, data).collect()
+    assert sum(r["failure_count"] for r in state) == errors and {r["permanent"] for r in state} == {True, False}
+    assert sum(r["n"] for r in registry.QUERIES["failure_stats_all"](spark, data).collect()) == len(state)
+
+
 def test_page_files(spark, tmp_path):
     d = tmp_path / "tech" / "pages"
     d.mkdir(parents=True)
