@@ -617,6 +617,15 @@ def _(spark, d):
     return export.graph_json(S.pages(spark, d), S.edges(spark, d)).where("part = 'edge'")
 
 
+@register(
+    "graph_export_all",
+    f"{EDGES},{S.PAGES_SQL}" + ORACLE_SQL["graph_export"].removeprefix(EDGES) + """
+UNION ALL SELECT CAST(page_id AS VARCHAR), CAST(json_object('id', page_id, 'label', title, 'domain', domain, 'kind', kind) AS VARCHAR), 'node' FROM pages_""",
+)
+def _(spark, d):
+    return export.graph_json(S.pages(spark, d), S.edges(spark, d))
+
+
 @register("sitemap", f"{PAGES} SELECT 'https://wiki.example/' || domain || '/' || page_id AS loc, coalesce(strftime(updated, '%Y-%m-%d'), '2024-01-01') AS lastmod FROM pages_")
 def _(spark, d):
     return export.sitemap(S.pages(spark, d), "https://wiki.example", "2024-01-01")

@@ -162,6 +162,14 @@ def test_all_failures(spark, data):
     assert sum(r["n"] for r in registry.QUERIES["failure_stats_all"](spark, data).collect()) == len(state)
 
 
+def test_graph_nodes(spark, data):
+    import json
+
+    want = {str(r["page_id"]): {"id": r["page_id"], "label": r["title"], "domain": r["domain"], "kind": r["kind"]} for r in registry.S.pages(spark, data).collect()}
+    nodes = [r for r in registry.QUERIES["graph_export_all"](spark, data).collect() if r["part"] == "node"]
+    assert {r["key"]: json.loads(r["json"]) for r in nodes} == want and len(nodes) == len(want)
+
+
 def test_page_files(spark, tmp_path):
     d = tmp_path / "tech" / "pages"
     d.mkdir(parents=True)
