@@ -35,10 +35,35 @@ def llms_txt(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "domain", llms_page().alias("content"))
 
 
+RANGE, MOST_RANGES = 5000, 1000
+
+
+def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """n: from 1, the place of a row in its group by `order`. Ranges of (by, order) of about RANGE rows are numbered, then
+    moved by the rows of earlier ranges of the group, so that a large group is many tasks. Bounds are taken from a sample,
+    by hash, of the keys."""
+    key = F.struct(F.col(by).alias("a"), F.col(order).alias("b"))
+    ranges = min(MOST_RANGES, rows.count() // RANGE + 1)
+    some = rows.select(by, order).distinct().orderBy(F.xxhash64(by, order), by, order).limit(20 * ranges) if ranges > 1 else rows.limit(0)
+    bounds = [(r[by], r[order]) for r in some.orderBy(key).select(by, order).collect()][20::20]
+    below = F.lit(0)
+    if bounds:
+        kinds = [rows.schema[c].dataType.simpleString() for c in (by, order)]
+        at = [F.struct(F.lit(x).cast(kinds[0]).alias("a"), F.lit(y).cast(kinds[1]).alias("b")) for x, y in bounds]
+        below = F.size(F.filter(F.array(*at), lambda x: x <= key))
+    x = rows.withColumn("__range", below)
+    counts = x.groupBy(F.col(by).alias("__by"), F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(W.partitionBy("__by").orderBy("__r").rowsBetween(W.unboundedPreceding, -1))
+    before = counts.select("__by", "__r", F.coalesce(earlier, F.lit(0)).alias("__before"))  # a row per group and range
+    x = x.withColumn("__place", F.row_number().over(W.partitionBy(by, "__range").orderBy(order)))
+    same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))
+    return x.join(F.broadcast(before), same).withColumn("n", F.col("__place") + F.col("__before")).select(*rows.columns, "n")
+
+
 def llms_domains(pages: DataFrame, per_part: int = 1000) -> DataFrame:
     """domain, part, content: pages by id with separators. A part holds at most per_part pages, so a large domain is many
     rows, which follow one another by part."""
-    numbered = llms_txt(pages).withColumn("n", F.row_number().over(W.partitionBy("domain").orderBy("page_id")))
+    numbered = _numbered(llms_txt(pages), "domain", "page_id")
     parts = numbered.groupBy("domain", F.floor((F.col("n") - 1) / per_part).alias("part"))
     return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n---\n\n").alias("content"))
 

@@ -592,7 +592,7 @@ def _(spark, d):
 
 @register("llms_domains", f"{PAGES},{LLMS} SELECT domain, 0::BIGINT AS part, string_agg(content, chr(10) || '---' || chr(10) || chr(10) ORDER BY page_id) AS content FROM llms_ GROUP BY 1")
 def _(spark, d):
-    return export.llms_domains(S.pages(spark, d), 10**9)
+    return export.llms_domains(S.pages(spark, d))
 
 
 @register(

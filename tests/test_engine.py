@@ -194,6 +194,25 @@ def test_exports(spark):
     assert export.sidecar(p).first()["word_count"] == 1 and export.sitemap(p, "https://w", "x").first()["loc"] == "https://w/tech/a"
 
 
+@pytest.mark.parametrize("size", [10, 1000])
+def test_domains_in_parts(spark, monkeypatch, size):
+    """Pages of a hot domain, small ones and one without a name, numbered over many ranges and in one."""
+    monkeypatch.setattr(export, "RANGE", size)
+    ids = {"hot": [f"p{i * 7919 % 1000:03}" for i in range(250)], "tech": ["b", "a", "é"], "one": ["x"], None: ["n2", "n1"]}
+    p = spark.createDataFrame([page(i, domain=d) for d, own in ids.items() for i in own], PAGE)
+    got = {(r["domain"], r["part"]): [x.split(" -->")[0] for x in r["content"].split("<!-- id: ")[1:]] for r in export.llms_domains(p, 20).collect()}
+    assert got == {(d, k // 20): sorted(own)[k : k + 20] for d, own in ids.items() for k in range(0, len(own), 20)}
+
+
+def test_registered_domains_are_bounded(spark, data, monkeypatch):
+    p = registry.S.pages(spark, data)
+    many = p.withColumn("domain", F.lit("hot")).crossJoin(spark.range(6)).withColumn("page_id", F.col("page_id") * 6 + F.col("id")).drop("id")
+    monkeypatch.setattr(registry.S, "pages", lambda *_: many)
+    want = {k: min(1000, many.count() - 1000 * k) for k in range(-(-many.count() // 1000))}
+    got = registry.QUERIES["llms_domains"](spark, data).collect()
+    assert {r["part"]: r["content"].count("<!-- id: ") for r in got} == want and len(want) > 1
+
+
 def test_inbox_stream(spark, tmp_path):
     new = tmp_path / "new"
     new.mkdir()
