@@ -140,14 +140,21 @@ def _paired(found: DataFrame, kind: str, confidence, sev) -> DataFrame:
     )
 
 
+def number_gaps(c: DataFrame) -> DataFrame:
+    """c: masked, numbers -> masked, numbers, other, gap: the distinct number lists of a masked text that share no number,
+    each pair once."""
+    lists = c.select("masked", "numbers").distinct()
+    pairs = lists.join(lists.select("masked", F.col("numbers").alias("other")), "masked").where("numbers < other")
+    gap = F.array_min(F.flatten(F.transform("numbers", lambda x: F.transform("other", lambda y: F.abs(x - y)))))
+    return pairs.withColumn("gap", gap).where("gap > 0")
+
+
 def numeric_contradictions(claims: DataFrame) -> DataFrame:
     """Claims of two pages that differ in numbers alone: an equi-join on the text with its numbers masked, of distinct
-    number lists first, so that repeated claims meet no more than others."""
+    number lists first, so that repeated claims meet no more than others; then the claims of those lists."""
     c = claims.withColumns({"numbers": T.numbers(F.col("text")), "masked": T.masked_numbers(F.col("text"))}).where(F.size("numbers") > 0)
     c = c.select(F.struct("page_id", "claim_no").alias("a"), "masked", "numbers")
-    pairs = c.join(c.select(F.col("a").alias("b"), "masked", F.col("numbers").alias("other")), "masked").where("a < b and a.page_id != b.page_id")
-    gap = F.array_min(F.flatten(F.transform("numbers", lambda x: F.transform("other", lambda y: F.abs(x - y)))))
-    found = pairs.withColumn("gap", gap).where("gap > 0")
+    found = number_gaps(c).join(c, ["masked", "numbers"]).join(c.select(F.col("a").alias("b"), "masked", F.col("numbers").alias("other")), ["masked", "other"])
     return _paired(found, "numerical", F.lit(0.85), F.when(F.col("gap") > 10, "high").otherwise("medium"))
 
 

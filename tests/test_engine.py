@@ -131,6 +131,15 @@ def test_contradictions(spark):
     assert got == {("p1", 0, "p2"): ("numerical", "medium"), ("p1", 0, "p5"): ("numerical", "medium"), ("p1", 1, "p3"): ("negation", "high"), ("p1", 2, "p4"): ("temporal", "high")}
 
 
+def test_repeated_numbers_meet_once(spark):
+    texts = ["licence 2 of 2004"] * 60 + ["licence 3 of 2005", "licence 3 of 2004", "licence 2 of 2005"]
+    c = spark.createDataFrame([(f"p{i:02}", 0, t) for i, t in enumerate(texts)], "page_id string, claim_no long, text string")
+    lists = c.select(T.masked_numbers(F.col("text")).alias("masked"), T.numbers(F.col("text")).alias("numbers"))
+    assert matching.number_gaps(lists).count() == 2
+    got = {(r["page_1"], r["page_2"]) for r in matching.numeric_contradictions(c).collect()}
+    assert got == {(f"p{i:02}", "p60") for i in range(60)} | {("p61", "p62")}
+
+
 def test_similar_pairs_equal_all_pairs(spark):
     import random
 
