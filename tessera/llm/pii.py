@@ -6,7 +6,7 @@ an added span is kept when its score reaches `keep`. Offsets are code points, en
 
 Defined cases: null text counts as empty; a null doc_id is kept as it is; repeated rows are scanned one by one;
 an empty table gives an empty result; other columns are ignored. Scanning is linear in the text: no pattern is
-retried inside a run it has already consumed.
+retried inside a run it has already consumed, but for account numbers, whose runs are of bounded length.
 """
 
 from __future__ import annotations
@@ -97,10 +97,16 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        flat = m[0].replace(" ", "")
-        if 15 <= len(flat) <= 34 and mod97(flat):
-            yield m.span()
+    m = _IBAN.search(text)
+    while m:
+        end = m.end()
+        while end > 0:  # words after the number may look like groups of it: shorter ends are tested as well
+            flat = text[m.start() : end].replace(" ", "")
+            if 15 <= len(flat) <= 34 and mod97(flat):
+                yield m.start(), end
+                break
+            end = text.rfind(" ", m.start(), end)
+        m = _IBAN.search(text, end if end > 0 else m.start() + 1)
 
 
 def _ssns(text: str):

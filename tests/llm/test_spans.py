@@ -92,3 +92,14 @@ def test_random_tokens(spark):
     assert sum(got[i]["n_random"] for i in range(40)) >= 34
     assert sum(got[i]["n_random"] for i in range(100, 120)) == 0
     assert got[999]["n_random"] == 0 and got[999]["n_assign"] == 1
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("IBAN ES9121000418450200051332 BIC CAIX", ["ES9121000418450200051332"]), ("BE68 5390 0754 7034 NOW", ["BE68 5390 0754 7034"]), ("BE68 5390 0754 7034 NOW 2 PAYS", ["BE68 5390 0754 7034"]),
+        ("BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332", ["BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"]), ("AB12 CDEF GHIJ BE68 5390 0754 7034", ["BE68 5390 0754 7034"]), ("BE68 5390 0754 7035 NOW", []),
+    ],
+)
+def test_account_numbers_before_words(text, want):
+    assert [text[a:b] for kind, a, b, _ in pii.scan(text) if kind == "iban"] == want
