@@ -6,9 +6,10 @@ folds, whatever their label. Labels of quality 0 are never used. The class prior
 The model, a small network over text statistics, is fitted on a bounded sample (POSITIVES and UNLABELLED rows of least
 hash), whose features, not texts, reach the driver. Every text is scored whole; the weights travel with the task.
 
-Defined cases: null text counts as empty, and empty texts get a score as any other; null ids and repeated rows are
-scored one by one; repeated labels count as positive when one of them is; without any positive, every score is 0.5;
-an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty, and empty texts get a score as any other; very long texts are read whole; null
+ids and repeated rows are scored one by one, and of rows that repeat an id one text (of the least hash) may be learnt;
+repeated labels count as positive when one of them is; without any positive, every score is 0.5; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sampled
+from tessera.llm.common import one_text, sampled
 
 POSITIVES = 4000
 UNLABELLED = 8000
@@ -74,25 +75,28 @@ class Net:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
+    def gradients(self, p: np.ndarray, u: np.ndarray, prior: float) -> list[np.ndarray]:
+        """Of prior * R_p(+) + R_u(-) - prior * R_p(-) under the logistic loss, by the weights; where the negative part
+        R_u(-) - prior * R_p(-) is below 0, of that part's opposite."""
+        z = np.clip((np.concatenate([p, u]) - self.mean) / self.sd, -8, 8)
+        h = np.tanh(z @ self.w[0] + self.w[1])
+        s = 1 / (1 + np.exp(-np.clip(h @ self.w[2] + self.w[3][0], -30, 30)))
+        sp, su = s[: len(p)], s[len(p) :]
+        negative = (-np.log(1 - su + 1e-9)).mean() - prior * (-np.log(1 - sp + 1e-9)).mean()
+        if negative >= 0:
+            g = np.concatenate([(prior * (sp - 1) - prior * sp) / len(p), su / len(u)])
+        else:  # the negative part has been fitted beyond what is possible: step back
+            g = np.concatenate([prior * sp / len(p), -su / len(u)])
+        gh = np.outer(g, self.w[2]) * (1 - h * h)
+        return [z.T @ gh, gh.sum(0), h.T @ g, g.sum(keepdims=True)]
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Net:
         """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under the logistic loss."""
         rng = np.random.default_rng(seed)
         m, v = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
         for t in range(1, steps + 1):
             p, u = positive[rng.integers(0, len(positive), batch)], unlabelled[rng.integers(0, len(unlabelled), batch)]
-            x = np.concatenate([p, u])
-            z = np.clip((x - self.mean) / self.sd, -8, 8)
-            h = np.tanh(z @ self.w[0] + self.w[1])
-            s = 1 / (1 + np.exp(-np.clip(h @ self.w[2] + self.w[3][0], -30, 30)))
-            sp, su = s[:batch], s[batch:]
-            negative = (-np.log(1 - su + 1e-9)).mean() - prior * (-np.log(1 - sp + 1e-9)).mean()
-            if negative >= 0:
-                g = np.concatenate([prior * (sp - 1) - prior * sp, su]) / batch
-            else:  # the negative part has been fitted beyond what is possible: step back
-                g = np.concatenate([prior * sp, -su]) / batch
-            gh = np.outer(g, self.w[2]) * (1 - h * h)
-            grads = [z.T @ gh, gh.sum(0), h.T @ g, g.sum(keepdims=True)]
-            for i, d in enumerate(grads):
+            for i, d in enumerate(self.gradients(p, u, prior)):
                 d = d + 1e-4 * self.w[i]
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.999 * v[i] + 0.001 * d * d
@@ -139,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     good = labels.where((F.col(label) == 1) & learn).select("doc_id").distinct()
     chosen = sampled(ids.join(good, "doc_id", "left_semi").distinct(), positives, "doc_id").select("doc_id", F.lit(True).alias("positive"))
     chosen = chosen.unionByName(sampled(ids.distinct(), unlabelled, "doc_id").select("doc_id", F.lit(False).alias("positive")))
-    rows = _featured(docs.join(F.broadcast(chosen), "doc_id").select("positive", "text")).collect()  # positives + unlabelled rows at most
+    texts = one_text(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text"), "doc_id", "positive")
+    rows = _featured(texts.select("positive", "text")).collect()  # positives + unlabelled rows at most
     x = {side: np.array([r["x"] for r in rows if r["positive"] is side], np.float32).reshape(-1, FEATURES) for side in (True, False)}
     # the order in which tasks end must not matter
     x = {side: v[np.lexsort(v.T)] for side, v in x.items()}

@@ -10,9 +10,10 @@ The network is fitted on a bounded sample of labelled rows (TOXIC and CLEAN text
 so in every pass the window of a toxic text that scores highest is its positive example, and windows of clean texts
 are negative ones. Scoring needs no shuffle; the weights travel with the task.
 
-Defined cases: null text counts as empty, and empty texts are scored as a window of padding; null ids and repeated rows
-are scored one by one; repeated labels count as toxic when one of them is; without toxic or clean training rows every
-score is 0; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text counts as empty, and empty texts are scored as a window of padding; very long texts are scored
+whole; null ids and repeated rows are scored one by one, and of rows that repeat an id one text (of the least hash) may be
+learnt; repeated labels count as toxic when one of them is; without toxic or clean training rows every score is 0; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sampled
+from tessera.llm.common import one_text, sampled
 
 TOXIC = 1000
 CLEAN = 2000
@@ -358,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     """docs: doc_id, text. labels: doc_id and the label. learn: whether a doc_id's row may be learnt from."""
     marks = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = sampled(marks.where("y = 1"), toxic, "doc_id").unionByName(sampled(marks.where("y = 0"), clean, "doc_id"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").collect()  # toxic + clean rows at most
+    rows = one_text(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "y").collect()  # toxic + clean rows at most
     texts: dict = {1: {}, 0: {}}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "")):
         texts[r["y"]].setdefault(r["text"] or "", None)  # copies teach once
