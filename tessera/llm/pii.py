@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksum validators confirm them, context words adjust the score.
 
 Base kinds (email, ip, card, phone) are found leftmost and non-overlapping per kind and are always kept.
-The method adds `iban` (ISO 13616 length and mod-97) and `ssn` (grouped 3-2-4 digits with legal groups);
-an added span is kept when its score reaches `keep`. Offsets are code points, end exclusive.
+The method adds `iban` (15 to 34 characters that pass mod-97) and `ssn` (grouped 3-2-4 digits with legal groups, which
+only words nearby confirm); an added span is kept when its score reaches `keep`. Every span carries its score. Offsets are
+code points, end exclusive.
 
 Defined cases: null text counts as empty; a null doc_id is kept as it is; repeated rows are scanned one by one;
 an empty table gives an empty result; other columns are ignored. Scanning is linear in the text: no pattern is
@@ -179,7 +180,7 @@ def redact(docs: DataFrame, text_col: str = "text", keep: float = 0.5) -> DataFr
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of find_pii()'s rows."""
+    """Counts, digests and scores of find_pii()'s rows."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
 
     def count(kind):
@@ -190,4 +191,5 @@ def digest(found: DataFrame) -> DataFrame:
         *[count(kind) for kind in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
     )

@@ -1,8 +1,8 @@
 """Secret scans: patterns, and a battery of randomness tests under false-discovery control. DataFrame functions only.
 
 Base kinds (assign, access, hex) are found leftmost and non-overlapping per kind and always kept. The method adds
-`random` spans: runs of 20 or more encoding symbols whose encoding (hex, base32, base64) is inferred from their
-symbols. Three statistics are taken of each: the chi-squared statistic of the alphabet's symbol counts, the number of
+`random` spans: runs of 20 or more encoding symbols whose encoding (hex, base32, base36, base64) is inferred from their
+symbols; runs of letters alone have none. Three statistics are taken of each: the chi-squared statistic of the alphabet's symbol counts, the number of
 runs above and below the alphabet's middle, and the lag-1 serial correlation of symbol indices.
 
 * The chi-squared statistic is held against what ordinary writing of the same length gives (symbol concentration
@@ -16,8 +16,8 @@ runs above and below the alphabet's middle, and the lag-1 serial correlation of
 An added span never overlaps a base span. Positions come from splitting a text by the pattern that also extracts the
 matches: gap and match lengths add up to offsets (code points, end exclusive).
 
-Defined cases: null text counts as empty; null ids and repeated rows are kept as they are; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: null text counts as empty; very long texts are scanned whole; null ids and repeated rows are kept as they
+are; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,12 +35,19 @@ KINDS = ("assign", "access", "hex", "random")
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 #: Alphabets by encoding, and the sums of squares and cubes of symbol shares in ordinary writing in them.
-ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-TEXT_S2 = {"hex": 0.125, "base32": 0.0667, "base64": 0.0667}
-TEXT_S3 = {"hex": 0.0180, "base32": 0.0054, "base64": 0.0054}
+ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+TEXT_S2 = {"hex": 0.125, "base32": 0.0667, "base36": 0.0667, "base64": 0.0667}
+TEXT_S3 = {"hex": 0.0180, "base32": 0.0054, "base36": 0.0054, "base64": 0.0054}
 VETO = 0.001
 #: Chi-squared values of that level for an alphabet's classes (upper case, lower case, digits, signs) as cells.
-COARSE = {"hex": 10.83, "base32": 10.83, "base64": 16.27}
+COARSE = {"hex": 10.83, "base32": 10.83, "base36": 10.83, "base64": 16.27}
+#: Those classes, and how many symbols of each alphabet are in them.
+CELLS = (
+    ("[A-Z]", {"hex": 0.0, "base32": 26.0, "base36": 0.0, "base64": 26.0}),
+    ("[a-z]", {"hex": 6.0, "base32": 0.0, "base36": 26.0, "base64": 26.0}),
+    ("[0-9]", {"hex": 10.0, "base32": 6.0, "base36": 10.0, "base64": 10.0}),
+    ("[+/]", {"hex": 0.0, "base32": 0.0, "base36": 0.0, "base64": 2.0}),
+)
 STEP = 100
 
 
@@ -76,13 +83,14 @@ def _battery(tokens: Column) -> Column:
         kind = (
             F.when(mixed & s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex")
             .when(mixed & s.rlike("^[A-Z2-7]+$"), "base32")
+            .when(mixed & s.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), "base36")
             .when(mixed & s.rlike("[a-z]") & s.rlike("[A-Z]") & (s.rlike("^[A-Za-z0-9+/]+$") | s.rlike("^[A-Za-z0-9_-]+$")), "base64")
         )
-        plain = F.when(kind == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
+        plain = F.when(kind.isin("hex", "base36"), F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), plain.alias("s"))
 
     def pick(kind, values):
-        return F.when(kind == "hex", F.lit(values["hex"])).when(kind == "base32", F.lit(values["base32"])).otherwise(F.lit(values["base64"]))
+        return F.when(kind == "hex", F.lit(values["hex"])).when(kind == "base32", F.lit(values["base32"])).when(kind == "base36", F.lit(values["base36"])).otherwise(F.lit(values["base64"]))
 
     def indexed(x):
         chars = F.split(x["s"], "")
@@ -110,7 +118,7 @@ def _battery(tokens: Column) -> Column:
         runs = 1 + total(F.transform(pairs, lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double")))
         serial = total(F.transform(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean))) / ((n - 1) * (k * k - 1) / 12)
         chi = k / n * x["squares"] - n
-        cells = [(F.regexp_count(x["s"], F.lit(p)), w) for p, w in (("[A-Z]", {"hex": 0.0, "base32": 26.0, "base64": 26.0}), ("[a-z]", {"hex": 6.0, "base32": 0.0, "base64": 26.0}), ("[0-9]", {"hex": 10.0, "base32": 6.0, "base64": 10.0}), ("[+/]", {"hex": 0.0, "base32": 0.0, "base64": 2.0}))]
+        cells = [(F.regexp_count(x["s"], F.lit(p)), w) for p, w in CELLS]
         coarse = F.lit(0.0)
         for seen, widths in cells:
             expected = n * pick(x["kind"], widths) / k

@@ -103,3 +103,77 @@ def test_random_tokens(spark):
 )
 def test_account_numbers_before_words(text, want):
     assert [text[a:b] for kind, a, b, _ in pii.scan(text) if kind == "iban"] == want
+
+
+def plain_battery(s):
+    """(bits, t) of one token by plain Python; None if it has no encoding or an order test vetoes it."""
+    import math
+
+    if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
+        return None
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", s):
+        kind, s = "hex", s.lower()
+    elif re.fullmatch("[A-Z2-7]+", s):
+        kind = "base32"
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", s):
+        kind, s = "base36", s.lower()
+    elif re.search("[a-z]", s) and re.search("[A-Z]", s) and re.fullmatch("[A-Za-z0-9+/]+|[A-Za-z0-9_-]+", s):
+        kind, s = "base64", s.replace("-", "+").replace("_", "/")
+    else:
+        return None
+    alphabet = secrets.ALPHABET[kind]
+    n, k = len(s), len(alphabet)
+    v = [alphabet.index(c) + 1 for c in s]
+    expected = n / k
+    chi = sum((s.count(c) - expected) ** 2 / expected for c in alphabet)
+    runs = 1 + sum((a > k / 2) != (b > k / 2) for a, b in zip(v, v[1:]))
+    mean = (k + 1) / 2
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / ((n - 1) * (k * k - 1) / 12)
+    coarse = 0.0
+    for pattern, widths in secrets.CELLS:
+        e = n * widths[kind] / k
+        coarse += (len(re.findall(pattern, s)) - e) ** 2 / e if e else 0.0
+    s2, s3 = secrets.TEXT_S2[kind], secrets.TEXT_S3[kind]
+    t = (k * (1 + (n - 1) * s2) - n - chi) / (k * math.sqrt(4 * n * (s3 - s2 * s2) + 2 * s2))
+    ok = abs(runs - 1 - (n - 1) / 2) / math.sqrt((n - 1) / 4) < 3.2905 and abs(serial) * math.sqrt(n) < 3.2905 and coarse < secrets.COARSE[kind] and t > 0
+    return (n * math.log2(k), t) if ok else None
+
+
+def test_battery_equals_plain_python(spark):
+    """Each token's statistics, and the step-up over all of them."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abc1", "aeiou9XY_-"]
+    tokens = ["".join(r.choice(a) for _ in range(r.randint(20, 90))) for a in alphabets for _ in range(30)] + ["thisIsAVeryLongCamelCaseIdentifierNumber1", "a" * 20, "some_snake_case_identifier_2"]
+    df = spark.createDataFrame(list(enumerate(tokens)), "i long, s string")
+    one = F.array(F.struct(F.lit(0).alias("start"), F.char_length("s").alias("end"), F.col("s")))
+    got = {x["i"]: x["b"] for x in df.select("i", secrets._battery(one).alias("b")).collect()}
+    want = [plain_battery(s) for s in tokens]
+    for i, w in enumerate(want):
+        assert (len(got[i]) == 1) == (w is not None), tokens[i]
+        if w:
+            assert got[i][0]["bits"] == pytest.approx(w[0]) and got[i][0]["t"] == pytest.approx(w[1])
+    assert sum(w is not None for w in want) > 80
+    # Benjamini-Hochberg over weighted p-values, in buckets of a hundredth of a decade
+    texts = [f"x {s} y" for s in tokens if not re.search("[0-9a-f]{24,}", s)]
+    log_p = lambda t: math.log10(1 + math.exp(1.5976 * min(t, 15.0) + 0.070566 * min(t, 15.0) ** 3))
+    own = [(i, *w) for i, s in enumerate(texts) if (w := plain_battery(s[2:-2]))]
+    mean = sum(b for _, b, _ in own) / len(own)
+    levels = {i: math.floor(min(log_p(t) + math.log10(b), 60.0) * secrets.STEP + 1e-9) for i, b, t in own}
+    ranked = sorted(levels.values(), reverse=True)
+    cut = min((v for k, v in enumerate(ranked, 1) if len(own) * mean * 10 ** (-v / secrets.STEP) <= 0.05 * max(j for j, y in enumerate(ranked, 1) if y == v)), default=None)
+    found = {x["doc_id"] for x in secrets.digest(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).where("n_random > 0").collect()}
+    sure = {i for i, v in levels.items() if cut is not None and v > cut}
+    assert cut is not None and sure <= found <= {i for i, v in levels.items() if v >= cut - 1} and len(sure) > 30
+
+
+def test_one_case_keys(spark):
+    """Random keys of one case are candidates; words with a digit are not."""
+    r = random.Random(1)
+    keys = ["".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(48)) for _ in range(20)]
+    rows = [(i, f"key {k} end") for i, k in enumerate(keys + [k.upper() for k in keys])] + [(100, "see internationalizationandlocalization1 there")]
+    got = {x["doc_id"]: x["n_random"] for x in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert sum(got[i] > 0 for i in range(40)) >= 30 and got[100] == 0
