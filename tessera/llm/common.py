@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.session import ship
 
@@ -21,21 +23,33 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its
+    own; on a cluster that is an error, as executors would not see a folder of the driver's."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet into the shared folder and reread it: lineage ends in files that outlive any executor."""
+    """Write df as Parquet into the shared folder and reread it: lineage ends in files that outlive any executor, so the
+    job's shuffle files go with it (else they stay until the driver collects its garbage)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -54,8 +68,21 @@ def joined(spans: Column, *, kind: str = "kind") -> Column:
     )
 
 
+def whole_numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """df, whose id columns must be whole numbers: other ids would silently turn null or collide."""
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, IntegralType):
+            raise TypeError(f"{c} must be of a whole number type, not {df.schema[c].dataType.simpleString()}")
+    return df
+
+
 def sampled(rows: DataFrame, most: int, *by: str) -> DataFrame:
     """At most `most` rows, those of the least hash of `by`: the same rows whatever the partitions. No full sort: each
     task keeps its own `most`."""
     key = F.xxhash64(*[F.col(c).cast("string") for c in by])
     return rows.orderBy(key, *by).limit(most)
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, text: one text of each key, that of the least hash; a key's repeated rows are reduced before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

@@ -13,9 +13,10 @@ so edited or paraphrased copies are found too.
    the text adds 2 to a score if the item has it and takes 1 if not, so no stretch of it scores above its sum of these.
 
 Words are runs between white space and ASCII punctuation, lower-cased. Defined cases: null or empty texts on either
-side match nothing; items of fewer than `n` words have one seed, the whole item; repeated rows of a document or item
-are taken once per id and text, the best score stands for the pair; null ids are left out; empty tables give an empty
-result; other columns are ignored.
+side match nothing; items of fewer than `n` words have one seed, the whole item; texts are taken whole, however long;
+repeated rows of an item are taken once, of a document the best score stands for the pair (the first place of equal
+scores); leaks() leaves null ids out, decontaminate() judges each row by its own text, whatever its id; ids must be whole
+numbers in leaks() (else TypeError); empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import whole_numbers
+
 N = 3
 BLOCK_CHARS = 4_000_000
 SHARE = 0.4
@@ -154,31 +157,46 @@ def _best(b: np.ndarray, a: np.ndarray, windows: list[tuple[int, int]], least: f
     return best
 
 
+def _leaks(s: Seeds, text: str | None, share: float, known: np.ndarray):
+    """(index of the item, score, start, end) of each item of a block that a text leaks. known: as in _best()."""
+    w = words(text)
+    ids = np.fromiter((s.vocabulary.get(x, 0) for x in w), np.int64, len(w))
+    windows = s.windows(ids)
+    heads = np.flatnonzero(np.diff(windows[:, 0], prepend=-1))
+    for group in np.split(windows, heads[1:]) if len(heads) else ():
+        i = int(group[0, 0])
+        n = len(s.texts[i])
+        score, start, end = _best(ids, s.texts[i], group[:, 1:].tolist(), max(share * 2 * n, 2 * min(n, LEAST_WORDS)), known)
+        if score:
+            yield i, score / (2 * n), start, end
+
+
 def _found(docs: DataFrame, seeds, share: float) -> DataFrame:
     names = ["doc_id", "item_id", "score", "start_word", "end_word"]
 
     def run(batches):
         s = seeds.value
-        get, known = s.vocabulary.get, np.zeros(len(s.vocabulary) + 1, bool)
+        known = np.zeros(len(s.vocabulary) + 1, bool)
         for batch in batches:
-            out = []
-            for doc, t in zip(*batch.columns):
-                w = words(t.as_py())
-                ids = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-                windows = s.windows(ids)
-                heads = np.flatnonzero(np.diff(windows[:, 0], prepend=-1))
-                for group in np.split(windows, heads[1:]) if len(heads) else ():
-                    i = int(group[0, 0])
-                    n = len(s.texts[i])
-                    score, start, end = _best(ids, s.texts[i], group[:, 1:].tolist(), max(share * 2 * n, 2 * min(n, LEAST_WORDS)), known)
-                    if score:
-                        out.append((doc.as_py(), s.ids[i], score / (2 * n), start, end))
+            out = [(doc.as_py(), s.ids[i], *rest) for doc, t in zip(*batch.columns) for i, *rest in _leaks(s, t.as_py(), share, known)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
 
     return docs.mapInArrow(run, "doc_id long, item_id long, score double, start_word long, end_word long")
 
 
+def _blocks(spark: SparkSession, items: DataFrame, n: int):
+    """The seeds of each block of test items, as broadcasts of bounded size. items: item_id, item_text."""
+    items = items.where("item_text is not null").distinct()
+    chars = items.agg(F.sum(F.char_length("item_text"))).first()[0] or 0
+    blocks = math.ceil(chars / BLOCK_CHARS)
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block)
+        seeds = Seeds([(r["item_id"], r["item_text"]) for r in own.collect()], n)
+        if len(seeds.grams):
+            yield spark.sparkContext.broadcast(seeds)
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -191,22 +209,29 @@ def leaks(
 ) -> DataFrame:
     """One row per document and test item that it leaks: doc_id, item_id, score (0 to 1), start_word, end_word."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
-    items = items.where("item_id is not null and item_text is not null").distinct()
-    chars = items.agg(F.sum(F.char_length("item_text"))).first()[0] or 0
-    blocks = math.ceil(chars / BLOCK_CHARS)
+    docs = whole_numbers(docs, id_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    items = whole_numbers(benchmark, item_col).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("item_text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, start_word long, end_word long")
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block)
-        seeds = Seeds([(r["item_id"], r["item_text"]) for r in own.collect()], n)
-        if len(seeds.grams):
-            out = out.unionByName(_found(docs, spark.sparkContext.broadcast(seeds), share))
+    for seeds in _blocks(spark, items.where("item_id is not null"), n):
+        out = out.unionByName(_found(docs, seeds, share))
     best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that leak no test item, with their columns."""
-    found = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(found.hint("merge"), F.col("doc_id") == F.col("__leaks"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", n: int = N, share: float = SHARE) -> DataFrame:
+    """The rows whose text leaks no test item, with their columns: a filter for each block of items, nothing is joined or
+    shuffled."""
+
+    def clean(seeds):
+        @F.pandas_udf("boolean")
+        def ok(texts):
+            s = seeds.value
+            known = np.zeros(len(s.vocabulary) + 1, bool)
+            return texts.map(lambda t: next(_leaks(s, t, share, known), None) is None)
+
+        return ok(F.col(text_col))
+
+    items = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("item_text"))
+    for seeds in _blocks(docs.sparkSession, items, n):
+        docs = docs.where(clean(seeds))
+    return docs

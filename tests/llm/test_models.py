@@ -99,6 +99,67 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_or_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)] + [(10_000, 10_001 + i) for i in range(400)], "u long, v long")
+    assert {r["component"] for r in components(chain).collect()} == {0, 10_000}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=2)
+
+
+def test_salted_signatures():
+    """Sets that shared a signature still hang together, and a hot signature keeps a bounded number of rows."""
+    r = np.random.default_rng(0)
+    sig = np.concatenate([r.integers(-(2**62), 2**62, 500), np.full(400, 7), np.full(5, 8), np.full(ngram_join.SMALL, 9), np.full(ngram_join.SMALL + 1, 10)])
+    h = np.arange(len(sig))
+    order = r.permutation(len(sig))
+    got_h, got_s = ngram_join.salted(h[order], sig[order])
+    groups = {}
+    for a, b in zip(got_h.tolist(), got_s.tolist()):
+        groups.setdefault(b, set()).add(a)
+    assert max(len(v) for k, v in groups.items() if k == 7) == ngram_join.SMALL + 1
+    want = [set(h[sig == s].tolist()) for s in (7, 8, 9, 10)]
+    assert all(any(w == g for g in groups.values()) for w in want)
+    assert all(s not in sig or len(groups[s]) > ngram_join.SMALL for s in groups if len(groups[s]) > ngram_join.SMALL)
+
+
+def test_bitmaps_bound_the_intersection():
+    r = random.Random(3)
+    sets = []
+    for n in (1, 3, 20, 100, 130, 500, 1100, 3000, 20_000):
+        base = [r.getrandbits(63) for _ in range(n)]
+        for _ in range(6):
+            some = base[: r.randint(max(1, int(n * 0.75)), n)]
+            sets.append(np.unique(np.array([r.getrandbits(63) if r.random() < 0.03 else x for x in some], np.uint64)))
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (len(sets[i]) + len(sets[j]))}
+    assert len(links) > 20
+    for blocks in (1, 2):
+        rows = [(i, len(f), True, ngram_join.bitmap(f), i % blocks, 0, blocks - 1) for i, f in enumerate(sets)]
+        root = list(range(len(sets)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in ngram_join._likely(rows, 80, 100):
+            root[find(a)] = find(b)
+        assert all(find(a) == find(b) for a, b in links if blocks == 1 or a % 2 != b % 2)
+        assert len({find(i) for i in range(len(sets))}) > 8  # unlike sets stay apart
+
+
+def test_join_of_repeated_ids(spark):
+    """Rows of one id are rows of their own; a repeated id costs no text twice; other ids than whole numbers are refused."""
+    a, b, c = ("a b c d e f g h", "x y z u v w r s", "p q")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), *[(1, a)] * 50, (None, a), (5, "")]
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len(got) == len(rows)
+    by = {(r["doc_id"], r["n_links"], r["component_id"]) for r in got}
+    assert by == {(1, 51, 1), (1, 1, 1), (2, 51, 1), (3, 1, 1), (4, 0, 4), (None, 0, None), (5, 0, 5)}
+    assert len({r["group_id"] for r in got}) == 4
+    with pytest.raises(TypeError):
+        ngram_join.jaccard_join(spark.createDataFrame([("x", a)], "doc_id string, text string"))
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
@@ -136,7 +197,7 @@ def test_leaks(spark):
     assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
     assert all(x["score"] == 1.0 for x in got if x["doc_id"] < 100)
     left = decontamination.decontaminate(d, b)
-    assert left.columns == d.columns and {x["doc_id"] for x in left.collect()} == {x[0] for x in docs} - {x for x, _ in want}
+    assert left.columns == d.columns and {x["doc_id"] for x in left.collect()} == {x[0] for x in docs} - {x for x, _ in want} - {None}  # the row without an id leaks as well
     assert decontamination.leaks(d.limit(0), b).count() == 0 and decontamination.leaks(d, b.limit(0)).count() == 0
 
 
@@ -241,6 +302,63 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, None).agg(F.max("score")).first()[0] == 0.0 and toxicity.scored(docs.limit(0), net).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 4.0])
+def test_risk_gradient(shift):
+    """Against finite differences, with the negative part above 0 and below it."""
+    r = np.random.default_rng(2)
+    p, u = r.normal(0, 1, (30, 6)), r.normal(0, 1, (50, 6))
+    net, prior = quality.Net(np.concatenate([p, u])), 0.9
+    p = p + shift * net.w[0] @ net.w[2] / np.linalg.norm(net.w[0] @ net.w[2])
+
+    def risk():
+        sp, su = net.score(p), net.score(u)
+        negative = -np.log(1 - su + 1e-9).mean() + prior * np.log(1 - sp + 1e-9).mean()
+        return prior * -np.log(sp).mean() + negative if negative >= 0 else -negative
+
+    sp, su = net.score(p), net.score(u)
+    below = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean() < 0
+    assert below == (shift > 0)
+    for w, g in zip(net.w, net.gradients(p, u, prior)):
+        for _ in range(4):
+            i = tuple(r.integers(0, s) for s in w.shape)
+            old, e = w[i], 1e-5
+            w[i] = old + e
+            up = risk()
+            w[i] = old - e
+            down = risk()
+            w[i] = old
+            assert abs((up - down) / (2 * e) - g[i]) < 1e-6
+
+
+def test_prior_by_plain_thresholds():
+    r = np.random.default_rng(4)
+    for share in (0.3, 0.8):
+        pos = r.beta(6, 2, 800)
+        unl = np.where(r.random(1500) < share, r.beta(6, 2, 1500), r.beta(2, 6, 1500))
+        slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(1500) + 1 / np.sqrt(800))
+        best = min((((unl >= c).mean() + slack) / (pos >= c).mean(), (unl >= c).mean() / (pos >= c).mean()) for c in np.unique(pos))
+        assert quality.prior(pos, unl) == pytest.approx(min(0.99, max(0.05, best[1]))) and abs(quality.prior(pos, unl) - share) < 0.12
+
+
+def test_scorer_equals_a_loop_over_windows():
+    r = random.Random(6)
+    net = toxicity.Network()
+    net.learn([[w.encode() for w in r.choices(VOCAB[:20], k=30)] for _ in range(6)], [[w.encode() for w in r.choices(VOCAB[20:], k=40)] for _ in range(12)], passes=1)
+    texts = [None, "", "one", " ".join(r.choices(VOCAB, k=24)), " ".join(r.choices(VOCAB, k=25)), " ".join(r.choices(VOCAB, k=150))]
+    got = toxicity.Scorer(net)(texts)
+    for t, score in zip(texts, got):
+        w = toxicity.words(t)
+        best = -np.inf
+        for s in toxicity.starts(len(w)):
+            own = w[s : s + toxicity.WINDOW]
+            rows = np.zeros((toxicity.WINDOW + 1, toxicity.INPUT), np.float32)
+            for i, x in enumerate(own):
+                rows[i + 1] = net.inputs([x])[0]
+            at = [i + 1 if i < len(own) else 0 for i in range(toxicity.WINDOW)]
+            best = max(best, float(net.logits(net.project(rows), np.array([at]))[0]))
+        assert score == pytest.approx(1 / (1 + np.exp(-(net.slope * best + net.shift))), abs=1e-5)
+
+
 def test_quality(spark):
     def make(r):
         y = int(r.random() < 0.8)
@@ -284,6 +402,41 @@ def test_language(spark):
     assert profiles.predict(text)[0] == profiles.langs[int(np.argmin(costs))]
 
 
+def test_fits_are_bounded(spark, monkeypatch):
+    """One id repeated very often is learnt once."""
+    docs = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words number "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"other text {i}", "bb") for i in range(2, 40)], docs.schema))
+    labels = spark.createDataFrame([(i, 1, int(i < 5)) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda p, u: seen.append((len(p), len(u))))
+    quality.fit(docs, labels, F.lit(True), positives=10, unlabelled=20)
+    assert seen == [(10, 20)]
+    learnt = []
+    monkeypatch.setattr(toxicity.Network, "learn", lambda self, t, c: learnt.append((len(t), len(c))) or self)
+    toxicity.fit(docs, labels, F.lit(True), toxic=3, clean=10)
+    assert learnt == [(3, 10)]
+    assert set(langid.fit(docs, F.lit(True), sample=5).langs) == {"aa", "bb"}
+
+
+def test_stages_on_odd_rows(spark, data):
+    """Null and repeated ids, null, empty and very long texts, an extra column and an empty table pass every stage."""
+    import corpus_pipeline as P
+
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, "a b c d e f g"), (1, "one two three four five six"), (1, "one two three four five six"), (2, "a b c d e f g"), (3, None), (4, ""), (5, long), (6, long), (None, "a b c d e f g"), (None, None), (7, "  ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rep string")
+    kept = P.near_duplicate_stage(spark, docs, data)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or -1, (r["text"] or "")[:9]) for r in kept.collect()))
+    assert got == sorted([(1, "a b c d e"), (1, "one two t"), (3, ""), (4, ""), (5, "word0 wor"), (-1, "a b c d e"), (-1, ""), (7, "  ")])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, data)
+        n = out.count()
+        assert stage(spark, docs.limit(0), data).count() == 0
+        assert n == len(rows) or name in ("quality_classifier", "ngram_jaccard_join", "bestfit_packing")
+        assert name == "bestfit_packing" or out.columns == docs.columns
+
+
 def test_pipeline(spark, data):
     """Each stage by plain means on what the one before kept."""
     import corpus_pipeline as P
