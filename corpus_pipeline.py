@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of `documents`
-(the last one: packed pieces). run() writes each stage's rows as Parquet and rereads them as the next one's docs.
+(the last one: packed pieces). run() writes each stage's rows as Parquet and rereads them as the next one's docs. Empty
+tables pass every stage; extra columns are carried through all but the last.
 """
 
 from __future__ import annotations
@@ -10,43 +11,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, ngram_join, packing, pii, quality
-from tessera.llm.common import table, written
+from tessera.llm.common import dropped, table, written
 
 #: Near-duplicates: five-word shingles, a similarity of 0.8 or more.
 WIDTH, SIMILAR = 5, ngram_join.PartEnum(num=80, den=100)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Texts are judged whole, null ones as empty; rows that repeat
+    an id or have none are judged one by one; without labels nothing is rejected."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return docs.where(~quality.rejected(docs, model))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near-duplicates."""
-    found, _ = written(ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR), "groups")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    out = docs.join(kept.hint("merge"), "doc_id")  # what stays grows with the corpus: one plan at every size
-    once = out.where("__rows = 1").drop("__rows")
-    # rows that repeat an id are a group as well
-    again = out.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"]) if kept.where("__rows > 1").limit(1).count() else None
-    alone = docs.where("doc_id is null")
-    result = once.unionByName(alone) if again is None else once.unionByName(again).unionByName(alone)
-    return result.select(docs.columns)
+    """One document of each group of near-duplicates: that of the least id, of rows with one id that of the least text
+    hash, and of rows with one id and text that whose columns come first as JSON. Rows of one id with unlike texts are
+    unlike documents. Documents without words or without an id have no group and stay."""
+    found = ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR)
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    rows = found.where("group_id is not null").groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("__rows"))
+    best = rows.groupBy("group_id").agg(first, F.min_by("__rows", F.struct("doc_id", "text_hash")).alias("__rows"))
+    kept, path = written(best.select("first.*", "__rows").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "kept")
+    # what stays grows with the corpus: one plan at every size
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    out = docs.join(kept.hint("merge"), same)
+    result = out.where("__rows = 1").select(docs.columns)
+    if kept.where("__rows > 1").limit(1).count():  # copies of one id
+        every = F.struct(*docs.columns)
+        again = out.where("__rows > 1").groupBy("doc_id", "text").agg(F.min_by(every, F.to_json(every)).alias("x"))
+        result = result.unionByName(again.select("x.*"))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    alone = docs.where(F.col("doc_id").isNull() | wordless)
+    return result.unionByName(alone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no test item."""
+    """Documents that leak no test item, each row judged by its own whole text; null texts leak nothing, null and repeated
+    ids are nothing special, and an empty benchmark leaves all."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with personal data masked."""
+    """The same documents, row by row, with personal data masked; null texts stay null."""
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences. Null texts are empty (one piece: the end token); rows that repeat an id are packed one
+    by one."""
     import public_tokenizers
 
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -65,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
