@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -17,8 +17,10 @@ TITLE_WEIGHT = 3
 
 
 def _counted(pages: DataFrame) -> DataFrame:
+    """page_id, title, domain and the tokens of title (t) and body (b). inline() keeps what is extracted in one place: a
+    projection could be merged into those above and be computed for each use."""
     title, body = T.tokens(F.coalesce("title", F.lit(""))), T.tokens(F.coalesce("body", F.lit("")))
-    return pages.select("page_id", "title", "domain", title.alias("t"), body.alias("b"))
+    return pages.select("page_id", "title", "domain", F.inline(F.array(F.struct(title.alias("t"), body.alias("b")))))
 
 
 def postings(pages: DataFrame) -> DataFrame:
@@ -40,31 +42,32 @@ def query_tokens(query: str) -> list[str]:
     return [w for w in re.findall(r"\w+", query.lower()) if re.fullmatch("[a-z0-9]{2,}", w)]
 
 
+def _hits(pages: DataFrame, terms: list[str]) -> DataFrame:
+    """page_id, title, domain, wc and tf0, tf1, ... of the pages that hold a term. One scan, tokens extracted once."""
+    c = _counted(pages)
+    own = F.array(*[F.lit(t) for t in terms])
+    place = lambda words: F.filter(F.transform(words, lambda w: F.array_position(own, w)), lambda i: i > 0)
+    held = c.select("page_id", "title", "domain", F.inline(F.array(F.struct((F.size("t") * TITLE_WEIGHT + F.size("b")).alias("wc"), place(F.col("t")).alias("t"), place(F.col("b")).alias("b")))))
+    count = lambda words, i: F.size(F.filter(words, lambda x: x == i + 1))
+    tf = [(count("t", i) * TITLE_WEIGHT + count("b", i)).cast("long").alias(f"tf{i}") for i in range(len(terms))]
+    return held.where((F.size("t") > 0) | (F.size("b") > 0)).select("page_id", "title", "domain", "wc", *tf)
+
+
 def search(pages: DataFrame, query: str, domain: str | None = None, limit: int = 10) -> DataFrame:
     """page_id, title, domain, score of the best pages. Only the query's terms are counted: each page's tokens are
-    filtered in place, so the corpus is read once and what is shuffled is hits."""
+    filtered in place; one scan counts the pages that hold them, one scores. A stored index needs neither."""
     wanted = query_tokens(query)
-    c = _counted(pages)
     if not wanted:
-        return c.limit(0).select("page_id", "title", "domain", F.lit(0.0).alias("score"))
+        return pages.limit(0).select("page_id", "title", "domain", F.lit(0.0).alias("score"))
     terms = sorted(set(wanted))
-    tf = [_tf(term).alias(f"tf{i}") for i, term in enumerate(terms)]
-    held = c.select("page_id", "title", "domain", (F.size("t") * TITLE_WEIGHT + F.size("b")).alias("wc"), *tf)
-    held = held.where(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
-    df = held.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    joined = held.join(df, F.lit(True))  # df is one row
+    df = _hits(pages, terms).agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    held = _hits(pages if domain is None else pages.where(F.col("domain") == domain), terms)
+    joined = held.join(F.broadcast(df), F.lit(True))  # df is one row
     score = sum((F.lit(float(wanted.count(t))) * F.col(f"tf{i}") / F.greatest("wc", F.lit(1)) / (1 + F.col(f"df{i}")) for i, t in enumerate(terms)), F.lit(0.0))
-    if domain is not None:
-        joined = joined.where(F.col("domain") == domain)
     return joined.select("page_id", "title", "domain", score.alias("score")).orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
 
 
-def _tf(term: str):
-    count = lambda a: F.size(F.filter(a, lambda w: w == term))
-    return (count("t") * TITLE_WEIGHT + count("b")).cast("long")
-
-
-def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
+def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
     """The same over a stored index: only the postings of the query's terms are read."""
     wanted = query_tokens(query)
     spark = posted.sparkSession
@@ -72,4 +75,52 @@ def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10
     hits = posted.where(F.col("term").isin(sorted(set(wanted)))).join(F.broadcast(terms), "term")  # the query's words
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     part = F.col("times") * F.col("tf") / F.greatest("word_count", F.lit(1)) / (1 + F.col("df"))
-    return hits.join(df, "term").join(docs, "page_id").groupBy("page_id", "title", "domain").agg(F.sum(part).alias("score")).orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
+    docs = docs if domain is None else docs.where(F.col("domain") == domain)
+    return hits.join(F.broadcast(df), "term").join(docs, "page_id").groupBy("page_id", "title", "domain").agg(F.sum(part).alias("score")).orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
+
+
+# a stored index ------------------------------------------------------------------------------------------------------
+BUCKETS = 64
+
+
+def _bucket(term):
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def store(pages: DataFrame, path: str, segment: int = 0) -> None:
+    """Write the index of pages as one segment: postings by bucket of their term, so that a query reads the buckets of its
+    terms alone, and documents. Pages of a later segment replace those of earlier ones; write only what has changed."""
+    posted = postings(pages).withColumn("bucket", _bucket("term"))
+    parted = posted.repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
+    parted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    documents(pages).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
+
+
+def store_removed(gone: DataFrame, path: str, segment: int) -> None:
+    """A segment that takes the pages of `gone` (page_id) out of the index."""
+    spark = gone.sparkSession
+    schema = spark.read.parquet(f"{path}/documents").drop("segment").schema
+    rows = gone.select("page_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in ("page_id", "gone")], F.lit(True).alias("gone"))
+    rows.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
+
+
+def stored(spark: SparkSession, path: str, query: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, documents) of a stored index, of each page's last segment; with a query, only postings of its terms."""
+    every = spark.read.parquet(f"{path}/documents")
+    posted = spark.read.parquet(f"{path}/postings")
+    if query is not None:
+        terms = sorted(set(query_tokens(query)))
+        named = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms] or [F.lit(None).cast("string")])).alias("t"))
+        buckets = [r["b"] for r in named.select(_bucket("t").alias("b")).distinct().collect()]  # the query's words
+        posted = posted.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    if every.select("segment").distinct().count() > 1:
+        last = every.groupBy("page_id").agg(F.max("segment").alias("segment"))
+        docs = every.join(last, ["page_id", "segment"]).where("not gone")
+        posted = posted.join(docs.select("page_id", "segment"), ["page_id", "segment"], "left_semi")
+        return posted.select("page_id", "term", "tf"), docs.drop("gone", "segment")
+    return posted.select("page_id", "term", "tf"), every.where("not gone").drop("gone", "segment")
+
+
+def search_stored(spark: SparkSession, path: str, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
+    """search() over a stored index."""
+    return search_index(*stored(spark, path, query), query, limit, domain)

@@ -106,12 +106,13 @@ def band(score: Column, high: float, medium: float, strict: bool = False) -> Col
 def routing_mistakes(pages: DataFrame, keywords: DataFrame, links: DataFrame | None = None, least: float = 0.4) -> DataFrame:
     """page_id, domain, suggested, score. Signals for each foreign domain: 0.9 when the header names it (column
     `stated_domain`, where there is one); 0.5 * share of tags among its keywords; 0.4 * share of resolved links into it,
-    from two resolved links and a share of 0.6 on. keywords: domain, keyword, a small table. Ties go to the first name."""
+    from two resolved links and a share of 0.6 on; repeated links count each (links: src, dst). keywords: domain, keyword, a small table. Ties go to the first name."""
     own = pages.select("page_id", "domain")
     signals = []
     if "stated_domain" in pages.columns:
         signals.append(pages.where("stated_domain is not null and stated_domain != domain").select("page_id", F.col("stated_domain").alias("suggested"), F.lit(0.9).alias("part")))
-    tags = pages.select("page_id", "domain", F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("keyword"), F.size(F.array_distinct(F.transform("tags", F.lower))).alias("n"))
+    named = F.array_distinct(F.filter(F.transform("tags", lambda t: F.lower(F.trim(t))), lambda t: t != ""))
+    tags = pages.select("page_id", "domain", F.explode(named).alias("keyword"), F.size(named).alias("n"))
     hit = tags.join(keywords.withColumnRenamed("domain", "suggested"), "keyword").where("suggested != domain")
     signals.append(hit.groupBy("page_id", "suggested").agg((0.5 * F.count("*") / F.first("n")).alias("part")))
     if links is not None:

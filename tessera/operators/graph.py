@@ -66,7 +66,7 @@ def levels(edges: DataFrame, start: str, depth: int, undirected: bool, until: st
     for level in range(1, depth + 1):
         edge = step.join(edge.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
         if level > 1:
-            edge = edge.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else edge.persist()
+            edge = edge.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else edge
         seen = seen.unionByName(edge)
     return seen
 
@@ -137,8 +137,9 @@ RELATIONSHIP_TYPES = (
 
 
 def normal_type(kind):
-    """Lower case, underscores; a known type, else the first that shares three letters, else as it is."""
-    k = F.replace(F.lower(kind), F.lit(" "), F.lit("_"))
+    """Trimmed, lower case, underscores; a known type, else the first one that begins with its first three letters (or as
+    many as there are), else as it is."""
+    k = F.replace(F.lower(F.trim(kind)), F.lit(" "), F.lit("_"))
     known = F.array(*[F.lit(t) for t in RELATIONSHIP_TYPES])
-    near = F.filter(known, lambda t: F.left(t, F.lit(3)) == F.left(k, F.lit(3)))
+    near = F.filter(known, lambda t: F.startswith(t, F.left(k, F.lit(3))))
     return F.when(F.array_contains(known, k), k).otherwise(F.coalesce(F.get(near, 0), k))

@@ -111,20 +111,26 @@ def promoted_links(body, page_id: str):
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
-    """left, right: id and words (a set) -> a, b, similarity over a Jaccard threshold. Words are put in order of falling
+    """left, right: id and words (a set) -> a, b, similarity over a Jaccard threshold. Equal sets are one class, so repeats
+    meet no more than one set does; ids are joined to the classes' pairs last. A class's words are put in order of falling
     rarity; sets that reach the threshold share a word of their first n - ceil(above * n) + 1, so only those join."""
-    every = left.select(F.explode("words").alias("w")).unionByName(right.select(F.explode("words").alias("w")))
-    rank = every.groupBy("w").agg(F.count("*").alias("f"))
+    named = lambda df: df.select("id", F.array_sort("words").alias("words")).withColumn("c", F.sha1(F.array_join("words", "\x1f")))
+    l, r = named(left), named(right)
+    classes = lambda df: df.groupBy("c").agg(F.first("words").alias("words"))
+    lc, rc = classes(l), classes(r)
+    rank = lc.unionByName(rc).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
 
     def prefix(df, name):
-        x = df.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).join(rank, "w")
-        place = F.row_number().over(W.partitionBy("id").orderBy("f", "w"))
-        return x.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(above * F.col("n") - 1e-9) + 1).select(F.col("id").alias(name), "w", F.col("n").alias(f"n_{name}"))
+        x = df.select("c", F.size("words").alias("n"), F.explode("words").alias("w")).join(rank, "w")
+        place = F.row_number().over(W.partitionBy("c").orderBy("f", "w"))
+        return x.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(above * F.col("n") - 1e-9) + 1).select(F.col("c").alias(name), "w", F.col("n").alias(f"n_{name}"))
 
-    pairs = prefix(left, "a").join(prefix(right, "b"), "w").where(f"n_a >= {above} * n_b - 1e-9 and n_b >= {above} * n_a - 1e-9").select("a", "b").distinct()
-    sets = lambda df, name, w: df.select(F.col("id").alias(name), F.col("words").alias(w))
-    out = pairs.join(sets(left, "a", "wa"), "a").join(sets(right, "b", "wb"), "b").withColumn("similarity", T.jaccard(F.col("wa"), F.col("wb")))
-    return out.where(F.col("similarity") > above).select("a", "b", "similarity")
+    pairs = prefix(lc, "ca").join(prefix(rc, "cb"), "w").where(f"n_ca >= {above} * n_cb - 1e-9 and n_cb >= {above} * n_ca - 1e-9").select("ca", "cb").distinct()
+    sets = lambda df, name, w: df.select(F.col("c").alias(name), F.col("words").alias(w))
+    found = pairs.join(sets(lc, "ca", "wa"), "ca").join(sets(rc, "cb", "wb"), "cb").withColumn("similarity", T.jaccard(F.col("wa"), F.col("wb")))
+    found = found.where(F.col("similarity") > above).select("ca", "cb", "similarity")
+    ids = lambda df, name, c: df.select(F.col("id").alias(name), F.col("c").alias(c))
+    return found.join(ids(l, "a", "ca"), "ca").join(ids(r, "b", "cb"), "cb").select("a", "b", "similarity")
 
 
 def _numbered(claims: DataFrame) -> DataFrame:
@@ -169,8 +175,14 @@ def negation_contradictions(claims: DataFrame) -> DataFrame:
 def temporal_contradictions(claims: DataFrame) -> DataFrame:
     """Claims with opposite words of time whose other words are alike to more than 0.7."""
     c = _numbered(claims).where(T.temporal(F.col("text"))).select("id", F.lower("text").alias("text"), F.array_distinct(T.words(T.without_temporal(F.col("text")))).alias("words"))
-    found = similar_pairs(c.select("id", "words"), c.select("id", "words"), 0.7).where("a < b")
-    found = found.join(c.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(c.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").where(T.opposite(F.col("ta"), F.col("tb")))
+    # sides are claims that hold a word of a pair and claims that hold its opposite
+    sides = [[c.where(F.contains(F.col("text"), F.lit(w))) for w in pair] for pair in T.OPPOSITE]
+    found = None
+    for one, other in sides:
+        met = similar_pairs(one.select("id", "words"), other.select("id", "words"), 0.7).where("a != b")
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+        found = met if found is None else found.unionByName(met)
+    found = found.distinct()
     raw = 0.75 + F.col("similarity") * 0.15
     return _paired(found, "temporal", F.least(F.lit(0.95), raw), T.severity(raw))
 

@@ -55,11 +55,11 @@ def group_sizes(pages: DataFrame) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str | None = None, tags: list[str] | None = None, kind: str | None = None, domain: str | None = None, limit: int = 10) -> DataFrame:
-    """With a query: the 2 * limit best pages by text, then the filters (fewer than limit rows may stay); without: all
-    pages that pass the filters, with score 0."""
+    """With a query: the 2 * limit best pages of the domain by text, then the other filters (fewer than limit rows may
+    stay); without: all pages that pass the filters, with score 0."""
     passing = find(pages, kind, domain, tags).select("page_id", "kind", "tags")
     if query:
-        hits = fulltext.search(pages, query, limit=2 * limit)
+        hits = fulltext.search(pages, query, domain, limit=2 * limit)
         out = hits.join(passing, "page_id")
     else:
         out = defaults(pages).select("page_id", "title", "domain", F.lit(0.0).alias("score")).join(passing, "page_id")

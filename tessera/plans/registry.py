@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -61,10 +63,33 @@ def _(spark, d):
     return rounded(fulltext.search(S.pages(spark, d), QUERY, domain="src3"), "score")
 
 
+_stored: dict = {}
+
+
+def stored_index(spark, d) -> str:
+    """Where the index of the pages is stored; written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        _stored[key] = f"{base.rstrip('/')}/tessera-index-{uuid.uuid4().hex}"
+        fulltext.store(S.pages(spark, d), _stored[key])
+    return _stored[key]
+
+
+@register("fulltext_store", f"{PAGES},{POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post_ GROUP BY 1")
+def _(spark, d):
+    posted, _ = fulltext.stored(spark, stored_index(spark, d))
+    return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 @register("fulltext_index_topk", ORACLE_SQL["fulltext_topk"])
 def _(spark, d):
-    p = S.pages(spark, d)
-    return rounded(fulltext.search_index(fulltext.postings(p), fulltext.documents(p), QUERY), "score")
+    return rounded(fulltext.search_stored(spark, stored_index(spark, d), QUERY), "score")
+
+
+@register("fulltext_index_domain_topk", ORACLE_SQL["fulltext_domain_topk"])
+def _(spark, d):
+    return rounded(fulltext.search_stored(spark, stored_index(spark, d), QUERY, domain="src3"), "score")
 
 
 @register("fulltext_postings", f"{PAGES},{POSTINGS} SELECT page_id, term, tf FROM post_")
@@ -91,6 +116,15 @@ def _(spark, d):
     return rounded(metadata.search(S.pages(spark, d), QUERY, tags=["EN"]), "score")
 
 
+@register(
+    "search_in_domain",
+    f"""{PAGES},{POSTINGS},{ranked("WHERE w.domain = 'src3'")}, top_ AS (SELECT * FROM rank_ ORDER BY round(score, 12) DESC, page_id LIMIT 6)
+SELECT t.page_id, t.title, t.domain, kind, round(score, 9) AS score FROM top_ t JOIN pages_ p ON p.page_id = t.page_id WHERE kind = 'page' ORDER BY round(t.score, 12) DESC, t.page_id LIMIT 3""",
+)
+def _(spark, d):
+    return rounded(metadata.search(S.pages(spark, d), QUERY, kind="page", domain="src3", limit=3), "score")
+
+
 @register("tag_and_search", f"{PAGES} SELECT page_id, title, domain, kind, 0.0::DOUBLE AS score FROM pages_ WHERE list_has_all(tags, ['de', 'src4']) ORDER BY page_id LIMIT 10")
 def _(spark, d):
     return metadata.search(S.pages(spark, d), tags=["de", "SRC4"])

@@ -104,8 +104,11 @@ def pages(parsed_files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
     """path, content of whole files; bytes that are not UTF-8 are read as Latin-1."""
-    raw = spark.read.format("binaryFile").load(glob)
-    return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("content"))
+    return spark.read.format("binaryFile").load(glob).select("path", decoded(F.col("content")).alias("content"))
+
+
+def decoded(content: Column) -> Column:
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 # adapters ------------------------------------------------------------------------------------------------------------
@@ -137,13 +140,22 @@ def vault_note(notes: DataFrame) -> DataFrame:
     )
 
 
-def sessions(turns: DataFrame) -> DataFrame:
-    """turns: conv_id, turn, role, text -> conv_id, n_messages, markdown: `## n. Role` sections. Numbers count messages
-    without text, which give no section."""
+def session_blocks(turns: DataFrame, per_block: int = 200) -> DataFrame:
+    """turns: conv_id, turn, role, text -> conv_id, block, n_messages, markdown of `## n. Role` sections. A block holds
+    per_block turn numbers, so no conversation is gathered whole; in order of block they are the conversation."""
     section = F.concat(F.lit("## "), (F.col("turn") + 1).cast("string"), F.lit(". "), F.initcap("role"), F.lit("\n\n"), F.trim("text"))
     one = F.struct("turn", F.when(F.trim("text") != "", section).alias("md"))
     kept = F.filter(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["md"]), lambda m: m.isNotNull())
-    return turns.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.array_join(kept, "\n\n").alias("markdown"))
+    block = F.floor(F.coalesce("turn", F.lit(0)) / per_block).alias("block")
+    return turns.groupBy("conv_id", block).agg(F.count("*").alias("n_messages"), F.array_join(kept, "\n\n").alias("markdown"))
+
+
+def sessions(turns: DataFrame) -> DataFrame:
+    """conv_id, n_messages, markdown of conversations that fit a row; for very long ones take session_blocks(). Numbers
+    count messages without text, which give no section."""
+    blocks = session_blocks(turns)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("block", "markdown"))), lambda x: x["markdown"])
+    return blocks.groupBy("conv_id").agg(F.sum("n_messages").alias("n_messages"), F.array_join(F.filter(parts, lambda m: m != ""), "\n\n").alias("markdown"))
 
 
 def transcript_messages(lines: DataFrame) -> DataFrame:

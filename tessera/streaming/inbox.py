@@ -15,7 +15,7 @@ def normalized(files: DataFrame) -> DataFrame:
     kind, c = P.adapter(F.col("path"), F.col("content")), F.col("content")
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]+)?$", 1)
     return files.select(
-        "path", kind.alias("adapter"), F.coalesce(F.when(kind == "text", P.text_title(c)), F.initcap(F.translate(stem, "-_", "  "))).alias("title"),
+        "path", kind.alias("adapter"), F.coalesce(F.when(kind == "text", P.text_title(c)), T.title_case(F.translate(stem, "-_", "  "))).alias("title"),
         F.when(kind == "text", P.text_markdown(c)).otherwise(F.trim(c)).alias("markdown"), F.when(kind.isNull(), "unsupported type").when(F.trim(c) == "", "invalid format: empty").alias("error"),
     )
 
@@ -26,7 +26,7 @@ def run_inbox(spark: SparkSession, inbox: str, queue: str, failed: str, checkpoi
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(inbox)
 
     def take(batch: DataFrame, no: int) -> None:
-        rows = normalized(batch.select("path", F.col("content").cast("string").alias("content"))).persist()
+        rows = normalized(batch.select("path", P.decoded(F.col("content")).alias("content"))).persist()
         rows.where("error is null").drop("error").write.mode("overwrite").parquet(f"{queue}/batch={no}")
         rows.where("error is not null").select("path", "error", T.failure_reason(F.col("error")).alias("reason")).write.mode("overwrite").parquet(f"{failed}/batch={no}")
         rows.unpersist()
