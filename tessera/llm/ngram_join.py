@@ -54,7 +54,7 @@ BITS, NARROWEST, WIDEST = 4, 64, 8192
 #: From so many bytes on, a quarter of two bitmaps is compared first.
 PARTLY = 512
 #: So many signatures of a task are held together.
-CHUNK = 1_000_000
+CHUNK = 300_000
 #: Ratio of a size band's ends.
 BAND = 1.5
 _TOPS = [1]
@@ -93,7 +93,7 @@ class PartEnum:
 
     num: int = 90
     den: int = 100
-    n2: int = 2
+    n2: int = 3
     k2: int = 1
 
     def band(self, n: int) -> int:
