@@ -1,7 +1,8 @@
 """Connected components of an edge list by alternating stars (Kiveris et al., 2014).
 
 A node's least neighbour is found by a map-side aggregate and handed to the node's edges by a join in SALTS parts, so that
-the edges of a hot node, of which a star's centre has as many as it has leaves, are not one task's.
+the edges of a hot node, of which a star's centre has as many as it has leaves, are not one task's. The join is a merge at
+every size: the parts of a small file are many times its size, which a planner that broadcasts small files does not see.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def _with_least(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """sides: (u, v) -> the rows with m, the least of u and its v; and (u, m)."""
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     salted = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt"), least
+    return sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"]).drop("salt"), least
 
 
 def _large(edges: DataFrame) -> DataFrame:
