@@ -6,12 +6,12 @@ difference of its two ranks, or the profile's length where the profile lacks it.
 the score is the winner's share of exp(-BETA * mean cost), between 0 and 1. Equal costs go to the first language in
 alphabetical order.
 
-Profiles are learnt from a bounded sample (SAMPLE texts of least hash for each language); the texts' n-gram counts are
-added up by Spark, and what reaches the driver is PROFILE rows a language. Prediction reads whole texts, needs no
+Profiles are learnt from a bounded sample (SAMPLE texts of least hash of their id for each language, one text an id); the
+texts' n-gram counts are added up by Spark, and what reaches the driver is PROFILE rows a language. Prediction reads whole texts, needs no
 shuffle and keeps one text's counts at a time.
 
 Defined cases: null texts, and texts without a letter, are `und` with score 0; so is every text when nothing can be
-learnt; null ids and repeated rows are predicted one by one; an empty table gives an empty result; other columns are
+learnt; very long texts are read whole; null ids and repeated rows are predicted one by one; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -23,8 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import one_text
+
 SAMPLE = 1000
 PROFILE = 400
+#: So many languages are learnt at most; more are an error.
+LANGUAGES = 1000
 BETA = 40.0
 EDGE = 1
 
@@ -82,10 +86,16 @@ class Profiles:
 
 def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", sample: int = SAMPLE, most: int = PROFILE) -> Profiles:
     """docs: doc_id, text and the language. learn: whether a doc_id's row may be learnt from."""
-    ids = docs.where(learn & F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(lang_col).alias("lang"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = ids.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")  # each task keeps its own least
-    texts = docs.select("doc_id", "text", F.col(lang_col).alias("lang")).join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    own = docs.where(learn & F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col(lang_col).alias("lang"))
+    # a language's texts of small hash, somewhat more than the sample: no task meets all rows of one
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * sample / r["n"])) for r in sizes], "lang string, share double")
+    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    some = own.join(F.broadcast(shares), "lang").where(hashed.cast("double") / 2.0**64 + 0.5 <= F.col("share"))
+    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    texts = one_text(some, "lang", "doc_id").withColumn("h", hashed).withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "text")
 
     def count(batches):
         import collections
