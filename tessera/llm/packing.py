@@ -3,10 +3,11 @@
 Each partition is one online stream with `open_bins` open sequences. Open sequences are keyed by free space in a
 bitset (bit f is set when some open sequence has f places free), so the best fit is the lowest set bit at or above
 the piece's length. When a new sequence is needed and all are open, the fullest closes first. Nothing is shuffled,
-the state of a task is `open_bins` integers, and a rerun task gives the same sequences.
+the state of a task is `open_bins` integers, and a rerun task gives the same sequences. A stream leaves a few sequences
+unfilled at its end, so partitions of few bytes are read as one stream, of about STREAM_BYTES of text.
 
 Defined cases: null text counts as empty (one piece: the end token); repeated rows are packed one by one; an empty
-table gives an empty result; other columns are ignored. Only documents longer than the capacity are cut, into
+table gives an empty result; very long texts are encoded whole; other columns are ignored. Only documents longer than the capacity are cut, into
 pieces of the capacity of which the first may be shorter.
 """
 
@@ -23,6 +24,8 @@ CAPACITY = 1024
 OPEN_BINS = 1024
 #: So many pieces of the stream are put in order of falling length before they are placed.
 LOOKAHEAD = 1000
+#: Text of a stream, at least, where partitions can be joined.
+STREAM_BYTES = 4_000_000
 END_ID = 2
 
 
@@ -158,6 +161,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(1, total // STREAM_BYTES))  # larger partitions stay as they are
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = array("I", [end_id]).tobytes()
     names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
