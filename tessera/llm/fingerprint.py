@@ -5,9 +5,10 @@ shingle; a text without words has none). Sketches of parts merge into the sketch
 their union. From sketches alone come resemblance, containment and the number of distinct shingles; all three are
 exact while the sets have at most k shingles.
 
-Defined cases: null text counts as empty; two empty sketches resemble each other fully (1.0); rows with one doc_id
-are put in order by their text; null ids come first; an empty table gives an empty result; a table of one row is its
-own next document; other columns are ignored.
+Defined cases: null text counts as empty; very long texts are read whole; two empty sketches resemble each other fully
+(1.0); rows with one doc_id are put in order by their text's hash, then the text; null ids come first; an empty table
+gives an empty result; a table of one row is its own next document; ids must be whole numbers (else TypeError); other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import whole_numbers
+
 K = 128
 WIDTH = 5
+#: Rows that a range of ids holds, and the most ranges.
+ROWS, RANGES = 250, 40_000
 SPACE = r"[ \t-\r]+"
 
 
@@ -78,58 +83,72 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def range_of(df: DataFrame, id_col: str, ranges: int) -> Column:
-    """The number of a row's range of ids; ranges hold about as many rows each. The bounds are approximate quantiles
-    (one list, found without a shuffle of rows), held in two levels so that a row meets about 2 * sqrt(ranges)."""
+def range_of(df: DataFrame, id_col: str, text_col: str, rows: int = ROWS, most: int = RANGES) -> Column:
+    """A row's range of ids, as (range, part) in order; ranges hold about `rows` rows each, or the rows over `most`. The
+    bounds are approximate quantiles (one list, found without a shuffle of rows), held in two levels so that a row meets
+    about 2 * sqrt(ranges). An id that many rows have, and null ids, are cut into parts by the hash of the text."""
+    stats = df.agg(F.count("*").alias("n"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
+    ranges = int(min(most, max(1, stats["n"] // rows)))
     shares = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.percentile_approx(id_col, shares, max(10_000, 10 * ranges)).alias("b")).first() if shares else None
-    bounds = sorted(set(found["b"] or [])) if found else []
+    found = df.select(F.percentile_approx(id_col, shares, max(10_000, 10 * ranges)).alias("b")).first()["b"] if shares else None
+    times: dict[int, int] = {}
+    for b in found or []:
+        times[b] = times.get(b, 0) + 1
+    bounds = sorted(times)
+    share = F.xxhash64(text_col).cast("double") / 2.0**64 + 0.5
+    part = lambda n: F.least(F.floor(share * n), n - 1).cast("int")
+    none = F.struct(F.lit(-1).alias("range"), part(F.lit(max(1, round(stats["nulls"] * ranges / max(1, stats["n"]))))).alias("part"))
     if not bounds:
-        return F.lit(0)
+        return F.when(F.col(id_col).isNull(), none).otherwise(F.struct(F.lit(0).alias("range"), F.lit(0).alias("part")))
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    array = lambda values: f"array({', '.join(f'{v}L' for v in values)})"
-    heads = F.expr(array(g[0] for g in groups))
-    below = F.expr(f"array({', '.join(map(array, groups))})")
-    g = F.size(F.filter(heads, lambda b: b < F.col(id_col)))
-    return F.when(F.col(id_col).isNull() | (g == 0), 0).otherwise((g - 1) * step + F.size(F.filter(F.get(below, g - 1), lambda b: b < F.col(id_col))))
-
-
-def with_next(df: DataFrame, id_col: str, columns: list[str], ranges: int) -> DataFrame:
-    """df with `next_<column>` of the row that follows by id (after the last: the first). Rows are dealt into ranges of
-    ids, so no task orders the whole table; only the first row of each range is looked up across ranges, and that join
-    needs no second shuffle of the rows."""
-    dealt = df.withColumn("__range", range_of(df, id_col, ranges))
-    w = W.partitionBy("__range").orderBy(F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
-    rows = dealt.withColumn("__next", F.lead(F.struct(*columns)).over(w))
-    key = F.struct(F.col(id_col).isNotNull(), F.col(id_col), *columns)
-    firsts = dealt.groupBy("__range").agg(F.min_by(F.struct(*columns), key).alias("__first"))
-    order = W.orderBy("__range")  # a row per range
-    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    follow = firsts.select("__range", F.coalesce(F.lead("__first").over(order), F.first("__first").over(every)).alias("__after"))
-    nexts = F.coalesce("__next", "__after")
-    return rows.join(follow, "__range").select(*df.columns, *[nexts[c].alias(f"next_{c}") for c in columns])
+    array = lambda values, mark: f"array({', '.join(f'{v}{mark}' for v in values)})"
+    nested = lambda lists, mark: F.expr(f"array({', '.join(array(x, mark) for x in lists)})")
+    heads, below = F.expr(array((g[0] for g in groups), "L")), nested(groups, "L")
+    g = F.size(F.filter(heads, lambda b: b <= F.col(id_col))) - 1
+    inside = F.size(F.filter(F.get(below, g), lambda b: b <= F.col(id_col)))
+    at = F.when(g < 0, 0).otherwise(g * step + inside)  # bounds at or below the id
+    last = F.get(F.get(below, g), inside - 1)
+    repeats = F.get(F.get(nested([[times[b] for b in x] for x in groups], ""), g), inside - 1)
+    own = F.when((last == F.col(id_col)) & (repeats > 1), part(repeats)).when((last != F.col(id_col)) & (repeats > 1), repeats)
+    return F.when(F.col(id_col).isNull(), none).otherwise(F.struct(at.alias("range"), F.coalesce(own, F.lit(0)).cast("int").alias("part")))
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """df with `next_<column>` of the text and of the carried columns of the row that follows by id (after the last: the
+    first). Rows are dealt into ranges of ids, so no task orders the whole table; only the first text of each range is
+    looked up across ranges, and that join needs no second shuffle of the rows. Carried columns of a range's last row are
+    null: they are to be made of the next text."""
+    place = range_of(df, id_col, text_col)
+    order = [F.col(id_col).asc_nulls_first(), F.xxhash64(text_col), F.col(text_col)]
+    rows = df.withColumn("__range", place).withColumn("__next", F.lead(F.struct(text_col, *carried)).over(W.partitionBy("__range").orderBy(*order)))
+    key = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    placed = df.select(id_col, text_col).withColumn("__range", place)
+    least = placed.select("__range", key.alias("k")).groupBy("__range").agg(F.min("k").alias("k"))
+    least = F.broadcast(least.select("__range", F.col("k.id").alias("__id"), F.col("k.hash").alias("__hash")))  # a row per range, so RANGES and a few
+    heads = placed.join(least, "__range").where(F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")))
+    firsts = heads.groupBy("__range").agg(F.min(text_col).alias("__first"))
+    along = W.orderBy("__range")  # a row per range
+    every = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    follow = firsts.select("__range", F.coalesce(F.lead("__first").over(along), F.first("__first").over(every)).alias("__after"))
+    return rows.join(follow, "__range").select(
+        *df.columns, F.coalesce(F.col("__next")[text_col], "__after").alias(f"next_{text_col}"), *[F.col("__next")[c].alias(f"next_{c}") for c in carried]
+    )
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
     """One row per document: doc_id, text, and its sketch."""
-    return with_sketch(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "sketch", k, width)
+    return with_sketch(whole_numbers(docs, id_col).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "sketch", k, width)
 
 
 def digest(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of documents and of their edited texts, and how alike sketches find them."""
-    ranges = min(40_000, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    base = fingerprint(docs, k=k)
-    paired = with_next(base, "doc_id", ["text", "sketch"], ranges).withColumn("n_chars", F.char_length("text").cast("long"))
-    edited = paired.select(
-        "doc_id",
-        "n_chars",
-        "sketch",
-        "next_sketch",
-        F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"),
-    )
-    both = with_sketch(edited, "edited", "edited_sketch", k)
+    paired = with_next(fingerprint(docs, k=k), "doc_id", "text", ["sketch"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    paired = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+    # the next sketch has been made, but for the last row of a range
+    paired = paired.withColumn("after", F.when(F.col("next_sketch").isNull(), F.col("next_text")))
+    both = with_sketch(with_sketch(paired, "after", "after_sketch", k).drop("text", "next_text", "after"), "edited", "edited_sketch", k)
     return both.select(
         "doc_id",
         "n_chars",
@@ -137,5 +156,5 @@ def digest(docs: DataFrame, k: int = K) -> DataFrame:
         to_text(F.col("sketch")).alias("fingerprint"),
         to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        resemblance(F.col("sketch"), F.coalesce("next_sketch", "after_sketch"), k).alias("near_next"),
     )

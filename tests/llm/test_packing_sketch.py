@@ -6,8 +6,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tessera.llm import chat, fingerprint, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +55,13 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_few_sequences_at_any_partition_count(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    for parts in (1, 211):
+        out = packing.pack(docs.repartition(parts), PATH).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+        assert out[1] <= 1.02 * -(-out[0] // packing.CAPACITY)
+
+
 def test_bins_are_best_fit():
     """Against a list of open bins searched in full."""
     rng = np.random.default_rng(0)
@@ -108,6 +118,24 @@ def test_fingerprints(spark, data):
     assert len(got) == len(rows) and fingerprint.digest(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_next_documents(spark, monkeypatch, rows):
+    """The chain of next texts over many ranges, with ids and null ids that many rows repeat, and of a table of one row."""
+    monkeypatch.setattr(fingerprint, "ROWS", rows)
+    monkeypatch.setattr(fingerprint.range_of, "__defaults__", (rows, fingerprint.RANGES))
+    data = [(i * 3, f"t{i} a b c d e f") for i in range(60)] + [(30, f"r{i} x y z v w") for i in range(80)] + [(None, f"n{i} p q r s t") for i in range(70)] + [(90, "same text")] * 9
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    h = {r["text"]: r["h"] for r in docs.distinct().selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]], r[1]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2]).encode()).hexdigest() for k, (_, t) in enumerate(order))
+    got = fingerprint.digest(docs).collect()
+    assert sorted(r["edited_sha256"] for r in got) == want
+    texts = dict(zip(want, want))
+    assert len(texts) > 150 and all(r["near_edited"] <= 1 for r in got)
+    one = fingerprint.digest(spark.createDataFrame([(5, "a b c d e f")], "doc_id int, text string")).first()
+    assert one["near_next"] == 1.0
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
