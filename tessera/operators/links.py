@@ -20,6 +20,11 @@ def backlinks(links: DataFrame) -> DataFrame:
     return links.groupBy("dst").agg(F.count("*").alias("n_backlinks"), F.sort_array(F.collect_set("src")).alias("sources"))
 
 
+def backlink_counts(links: DataFrame) -> DataFrame:
+    """dst, n_backlinks, without the sources: a hub's are never gathered."""
+    return links.groupBy("dst").agg(F.count("*").alias("n_backlinks"))
+
+
 def broken(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(pages.select(F.col("page_id").alias("dst")), "dst", "left_anti").select("src", "dst")
 

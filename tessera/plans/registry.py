@@ -711,3 +711,6 @@ def _(spark, d):
 
     w = inbox.event_windows(S.read(spark, d, "events"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+from tessera.plans import extended  # noqa: E402, F401  (registers more)
