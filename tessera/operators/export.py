@@ -88,6 +88,29 @@ def llms_full(pages: DataFrame, min_quality: float | None = None, since: str | N
     return out.select("page_id", "domain", F.concat_ws("\n", llms_page(), share, linked).alias("content"))
 
 
+def _section(title: str, lines: Column) -> Column:
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"\n## {title}\n\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n")))
+
+
+def llms_full_sections(pages: DataFrame, extracted: DataFrame) -> DataFrame:
+    """page_id, domain, content with sections of what was extracted. extracted: page_id and arrays entities, concepts (names),
+    claims (texts) and relationships (structs of source, type, target); pages without any have no sections."""
+    e = extracted.select("page_id", "entities", "concepts", "claims", F.transform("relationships", lambda r: F.concat_ws(" ", r["source"], r["type"], r["target"])).alias("relationships"))
+    out = pages.join(e, "page_id", "left")
+    parts = [_section(name.title(), F.col(name)) for name in ("entities", "concepts", "claims", "relationships")]
+    return out.select("page_id", "domain", F.concat_ws("\n", llms_page(), *parts).alias("content"))
+
+
+def page_file(pages: DataFrame) -> DataFrame:
+    """path, content: pages as Markdown files with a YAML header, of the fields that they have. JSON scalars and lists are
+    YAML as well."""
+    fields = [f for f in ("page_id", "title", "kind", "domain", "tags", "summary", "source", "confidence", "created", "updated") if f in pages.columns]
+    lines = [F.regexp_replace(F.to_json(F.struct(F.col(f).alias("x"))), r'^\{"x":(.*)\}$', f"{'id' if f == 'page_id' else f}: $1") for f in fields]
+    shown = F.filter(F.array(*lines), lambda x: x != "{}")
+    content = F.concat(F.lit("---\n"), F.array_join(shown, "\n"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
+    return pages.select(F.concat_ws("/", "domain", F.lit("pages"), F.concat(F.col("page_id").cast("string"), F.lit(".md"))).alias("path"), content.alias("content"))
+
+
 def export_stats(pages: DataFrame, backlinks: DataFrame) -> DataFrame:
     b = backlinks.select(F.col("dst").alias("page_id"), "n_backlinks")
     return pages.join(b, "page_id", "left").agg(F.count("*").alias("n_pages"), F.countDistinct("domain").alias("n_domains"), F.count("n_backlinks").alias("n_with_backlinks"))

@@ -153,3 +153,16 @@ def promotion(links: DataFrame, pages: DataFrame, as_of: str, min_quality: float
         .withColumn("score", score)
         .select("page_id", "cross", "total", "quality", "score", F.when(F.col("score") >= 10, "auto").when(F.col("score") >= 5, "suggest").otherwise("none").alias("decision"))
     )
+
+
+def low_quality_reviews(pages: DataFrame, as_of: str, below: float = 0.4, urgent: float = 0.2) -> DataFrame:
+    """pages: page_id, quality_score (null: 1.0) -> review items of those below `below`; high priority below `urgent`."""
+    q = F.coalesce("quality_score", F.lit(1.0))
+    return pages.where(q < below).select(F.col("page_id").cast("string").alias("target_id"), F.lit("quality").alias("type"), F.when(q < urgent, "high").otherwise("medium").alias("priority"), F.lit("pending").alias("status"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
+
+
+def routing_report(mistakes: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: n_pages, n_mistakes, and mistakes by band (0.7 and 0.4)."""
+    b = band(F.col("score"), 0.7, 0.4)
+    found = mistakes.agg(F.count("*").alias("n_mistakes"), *[F.count_if(b == x).alias(x) for x in ("high", "medium", "low")])
+    return pages.agg(F.count("*").alias("n_pages")).join(F.broadcast(found), F.lit(True))  # one row each

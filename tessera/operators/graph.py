@@ -31,6 +31,44 @@ def replace_links(edges: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select("source", "target").distinct().withColumns({"type": F.lit("links"), "weight": F.lit(1.0)}).select(edges.columns))
 
 
+def relationship_edges(rels: DataFrame) -> DataFrame:
+    """rels: page_id, source, target, type, weight -> edges with page_id. A missing source is the page, a missing type
+    related_to (types are lower case), a missing weight 0.9; relationships without a target are left out."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return rels.where(blank("target").isNotNull()).select(
+        F.coalesce(blank("source"), "page_id").alias("source"), "target", F.lower(F.coalesce(blank("type"), F.lit("related_to"))).alias("type"), F.coalesce("weight", F.lit(0.9)).alias("weight"), "page_id"
+    )
+
+
+def replace_relationships(edges: DataFrame, rels: DataFrame, of: DataFrame) -> DataFrame:
+    """edges: source, target, type, weight, page_id. Of the pages in `of` (page_id), the edges other than links that start at
+    the page or were made by it give way to those of rels."""
+    kept = edges.where("type != 'links'").join(of.select(F.col("page_id").alias("source")), "source", "left_anti")
+    # an edge that no page made is no page's
+    kept = kept.join(of.select("page_id"), "page_id", "left_anti").select(edges.columns)
+    new = relationship_edges(rels.join(of.select("page_id"), "page_id", "left_semi"))
+    return edges.where("type = 'links'").unionByName(kept).unionByName(new)
+
+
+def rebuilt(pages: DataFrame, rels: DataFrame) -> DataFrame:
+    """All edges anew: raw wiki links of bodies, once each, and the pages' relationships."""
+    from tessera.operators import links as L
+
+    found = L.extract(pages, T.RAW_LINK).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("links").alias("type"), F.lit(1.0).alias("weight"), F.col("src").alias("page_id"))
+    return found.unionByName(relationship_edges(rels).select(found.columns))
+
+
+def rebuilt_relationships(rels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relationships with both ends; one row of counts: total, n_without_end). Repeats are kept."""
+    whole = (F.coalesce(F.trim("source"), F.lit("")) != "") & (F.coalesce(F.trim("target"), F.lit("")) != "")
+    return rels.where(whole), rels.agg(F.count("*").alias("total"), F.count_if(~whole).alias("n_without_end"))
+
+
+def new_relationships(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old rows as they are, then new ones, once for each source, type and target among themselves."""
+    return old.unionByName(new.dropDuplicates(["source", "type", "target"]))
+
+
 def outgoing(edges: DataFrame, node: str, kind: str | None = None) -> DataFrame:
     out = edges.where(F.col("source") == node)
     return out if kind is None else out.where(F.col("type") == kind)

@@ -199,3 +199,53 @@ def contradictions(claims: DataFrame, semantic=None) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(k) for k in CASCADE]), F.col("kind"))
     best = F.min_by(F.struct("kind", "confidence", "severity"), order).alias("x")
     return found.groupBy("page_1", "claim_1", "page_2", "claim_2").agg(best).select("page_1", "claim_1", "page_2", "claim_2", "x.*")
+
+
+def contradiction_report(found: DataFrame) -> DataFrame:
+    """kind, band (0.8 and 0.65 of confidence), n."""
+    band = F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.65, "medium").otherwise("low")
+    return found.groupBy("kind", band.alias("band")).agg(F.count("*").alias("n"))
+
+
+def auto_merges(pairs: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs that may be merged without review."""
+    return pairs.where((F.col("band") == "high") & (F.col("score") >= least))
+
+
+# promotion as changes of the pages table ------------------------------------------------------------------------------
+SHARED = "shared"
+
+
+def promoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """pages: page_id, domain, kind, title, body, ... with the pages of `chosen` (page_id, a string) moved to the shared
+    domain, a tombstone left in each one's place, and links of other pages to them pointing to shared/<id>. Each body is
+    rewritten once, by the chosen ids that it links to."""
+    gone = chosen.select(F.col("page_id").cast("string").alias("dst")).distinct()
+    text = pages.withColumn("__id", F.col("page_id").cast("string"))
+    hit = text.select("__id", F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).join(gone, "dst").where("__id != dst")
+    by_page = hit.groupBy("__id").agg(F.sort_array(F.collect_set("dst")).alias("__to"))  # at most the links of one body
+    out = text.join(by_page, "__id", "left").join(gone.withColumn("__gone", F.lit(True)), F.col("__id") == F.col("dst"), "left").drop("dst")
+
+    def linked(body, to):
+        return F.regexp_replace(body, F.concat(F.lit(r"\[\[(\Q"), to, F.lit(r"\E)(?:\|[^\]]+)?\]\]")), F.lit("[[shared/$1]]"))
+
+    body = F.when(F.col("__to").isNull(), F.col("body")).otherwise(F.aggregate("__to", F.col("body"), linked))
+    moved = out.where("__gone").withColumns({"domain": F.lit(SHARED), "body": body})
+    stone = out.where("__gone").withColumns({"kind": F.lit("tombstone"), "body": F.concat(F.lit("Moved to [[shared/"), "__id", F.lit("]]\n"))})
+    rest = out.where("__gone is null").withColumn("body", body)
+    return rest.unionByName(moved).unionByName(stone).select(pages.columns)
+
+
+def unpromoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The inverse: pages of `chosen` go back to the domains that their tombstones stand in, tombstones go, and links to
+    shared/<id> point to <id>."""
+    back = chosen.select(F.col("page_id").cast("string").alias("dst")).distinct()
+    stones = pages.where("kind = 'tombstone'").join(back, F.col("page_id").cast("string") == F.col("dst")).select("dst", F.col("domain").alias("__home"))
+    text = pages.withColumn("__id", F.col("page_id").cast("string"))
+    text = text.join(stones.withColumnRenamed("dst", "__dst"), F.col("__id") == F.col("__dst"), "left").where("__home is null or kind != 'tombstone'")
+    hit = text.select("__id", F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).where("dst like 'shared/%'").withColumn("dst", F.expr("substring(dst, 8)")).join(stones.select("dst"), "dst")
+    by_page = hit.groupBy("__id").agg(F.sort_array(F.collect_set("dst")).alias("__to"))
+    out = text.join(by_page, "__id", "left")
+    undo = lambda b, to: F.replace(b, F.concat(F.lit("[[shared/"), to, F.lit("]]")), F.concat(F.lit("[["), to, F.lit("]]")))
+    body = F.when(F.col("__to").isNull(), F.col("body")).otherwise(F.aggregate("__to", F.col("body"), undo))
+    return out.withColumns({"domain": F.coalesce("__home", "domain"), "body": body}).select(pages.columns)

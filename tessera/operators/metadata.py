@@ -81,3 +81,8 @@ def remove(pages: DataFrame, gone: DataFrame) -> DataFrame:
 def upsert(pages: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace those of their ids, in every lookup."""
     return remove(pages, new).unionByName(new)
+
+
+def promotable(domains: DataFrame) -> DataFrame:
+    """domains: domain, promote_to_shared -> the domains whose pages may be promoted."""
+    return domains.where("promote_to_shared").select("domain").orderBy("domain")

@@ -107,6 +107,19 @@ def page_diff(changes: DataFrame, page_id, first: str, last: str) -> DataFrame:
     return changes.where((F.col("page_id") == page_id) & text.between(first, last)).orderBy(F.desc("seq"))
 
 
+def entry(changes: DataFrame, change_id: str) -> DataFrame:
+    """One change by its id; changes as with_parents() gives them."""
+    return changes.where(F.col("change_id") == change_id)
+
+
+def change_lines(diffs: DataFrame, most: int = 120) -> DataFrame:
+    """diff()'s rows with `line`: + added, - removed, ~ modified; long values are cut."""
+    cut = lambda c: T.truncated(F.col(c), most, "\u2026")
+    head = lambda mark: F.concat(F.lit(mark + " "), "field", F.lit(": "))
+    line = F.when(F.col("change") == "added", F.concat(head("+"), cut("new_value"))).when(F.col("change") == "removed", F.concat(head("-"), cut("old_value")))
+    return diffs.withColumn("line", line.otherwise(F.concat(head("~"), cut("old_value"), F.lit(" -> "), cut("new_value"))))
+
+
 def change_stats(changes: DataFrame) -> DataFrame:
     """dimension, value, n: totals, by type and by actor, and the ten most changed pages. One scan by grouping sets."""
     changes = changes.select(F.col("change_type").alias("t"), F.col("actor").alias("a"), F.col("page_id").cast("string").alias("p"))
@@ -130,6 +143,13 @@ def review_list(items: DataFrame, status: str | None = None, kind: str | None =
     return out.orderBy(F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("priority")), F.desc("created_at"), "id")
 
 
+def review_get(items: DataFrame, item_id: str, status: str | None = None) -> DataFrame:
+    """The item of an id; should several statuses hold it, the first of them in their order."""
+    own = items.where(F.col("id") == item_id)
+    own = own if status is None else own.where(F.col("status") == status)
+    return own.orderBy(F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))).limit(1)
+
+
 def review_counts(items: DataFrame) -> DataFrame:
     """status, n: zero where there are none."""
     every = items.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
@@ -225,3 +245,25 @@ def cron_runs(spark, expression: str, start: str, end: str) -> DataFrame:
     t = F.col("run_at")
     every = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr("INTERVAL 1 MINUTE"))).alias("run_at"))
     return every.where((t < F.lit(end).cast("timestamp_ntz")) & F.minute(t).isin(minute) & F.hour(t).isin(hour) & F.dayofmonth(t).isin(day) & F.month(t).isin(month) & (F.dayofweek(t) - 1).isin(weekday))
+
+
+# extraction ----------------------------------------------------------------------------------------------------------
+def queue_stats(items: DataFrame) -> DataFrame:
+    """items: domain, status -> domain, processed, failed, skipped."""
+    return items.groupBy("domain").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("processed", "failed", "skipped")])
+
+
+def extraction_totals(found: DataFrame, fields: tuple[str, ...] = ("entities", "concepts", "claims", "relationships")) -> DataFrame:
+    """page_id, the number of items of each array, their total, and whether there are any."""
+    n = {f: F.coalesce(F.size(F.coalesce(F.col(f), F.array().cast(found.schema[f].dataType))), F.lit(0)) for f in fields}
+    total = sum(n.values(), F.lit(0))
+    return found.select("page_id", *[c.cast("long").alias(f"n_{f}") for f, c in n.items()], total.cast("long").alias("total"), (total > 0).alias("found_any"))
+
+
+def qa_pages(pairs: DataFrame) -> DataFrame:
+    """pairs: page_id, domain, question, answer -> one draft page of kind qa a pair, linked to its page. Ids are numbered
+    within a page, in order of the question, so that none collide."""
+    n = F.row_number().over(W.partitionBy("page_id").orderBy("question", "answer"))
+    ident = F.concat_ws("-", F.col("page_id").cast("string"), F.lit("qa"), n.cast("string"))
+    body = F.concat(F.lit("## Question\n\n"), "question", F.lit("\n\n## Answer\n\n"), "answer", F.lit("\n\n[["), F.col("page_id").cast("string"), F.lit("]]\n"))
+    return pairs.select(ident.alias("page_id"), F.lit("qa").alias("kind"), F.col("question").alias("title"), "domain", F.lit("draft").alias("status"), F.lit(0.6).alias("confidence"), body.alias("body"))

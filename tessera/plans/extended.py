@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import governance, graph, links, matching, metadata, records
-from tessera.plans.registry import CHANGES, EVENTS_AS_OF, LINKS, PAGES, register, rounded
+from tessera.operators import export, governance, graph, links, matching, metadata, records
+from tessera.plans.registry import CHANGES, EVENTS_AS_OF, LINKS, LLMS, PAGES, register, rounded
 from tessera.sources import tables as S
 
 # Words of nine letters and more stand as links, of eight as links with an alias, of seven as embeds, of six as hashtags
@@ -204,3 +204,101 @@ def _(spark, d):
     from tessera.sources import pagefiles
 
     return pagefiles.session_blocks(S.read(spark, d, "conversations"), 4)
+
+
+RELS = """WITH rel_ AS (SELECT CAST(doc_id AS VARCHAR) AS page_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'e' || doc_id % 7 END AS source, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 't' || doc_id % 11 END AS target,
+  CASE WHEN doc_id % 4 <> 0 THEN 'Uses' END AS type, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE END AS weight FROM documents)"""
+REL_EDGES = "re_ AS (SELECT coalesce(nullif(trim(source), ''), page_id) AS source, target, coalesce(lower(type), 'related_to') AS type, coalesce(weight, 0.9)::DOUBLE AS weight, page_id FROM rel_ WHERE trim(target) <> '')"
+
+
+def _rels(spark, d):
+    i = F.col("doc_id")
+    part = lambda p, n: F.concat(F.lit(p), (i % n).cast("string"))
+    return S.read(spark, d, "documents").select(
+        i.cast("string").alias("page_id"), F.when(i % 3 == 1, "").when(i % 3 == 2, part("e", 7)).alias("source"), F.when(i % 5 == 0, " ").otherwise(part("t", 11)).alias("target"),
+        F.when(i % 4 != 0, "Uses").alias("type"), F.when(i % 2 == 0, 0.5).alias("weight"),
+    )
+
+
+@register("edges_rebuilt", f"{RELS}, {REL_EDGES}, {NOTES.removeprefix('WITH ')}, r_ AS (SELECT DISTINCT CAST(page_id AS VARCHAR) AS source, unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1)) AS target FROM notes_) SELECT source, target, 'links' AS type, 1.0::DOUBLE AS weight, source AS page_id FROM r_ UNION ALL SELECT * FROM re_")
+def _(spark, d):
+    return graph.rebuilt(_notes(spark, d), _rels(spark, d))
+
+
+@register("edges_replaced", f"{RELS}, {REL_EDGES} SELECT * FROM re_ WHERE NOT (source IN (SELECT page_id FROM rel_ WHERE CAST(page_id AS INT) % 6 = 0) OR CAST(page_id AS INT) % 6 = 0) UNION ALL SELECT coalesce(nullif(trim(source), ''), page_id), 'new', 'related_to', 0.9, page_id FROM rel_ WHERE CAST(page_id AS INT) % 6 = 0")
+def _(spark, d):
+    rels = _rels(spark, d)
+    of = rels.where("cast(page_id as int) % 6 = 0").select("page_id")
+    new = rels.withColumns({"target": F.lit("new"), "type": F.lit(None).cast("string"), "weight": F.lit(None).cast("double")})
+    return graph.replace_relationships(graph.relationship_edges(rels), new, of)
+
+
+@register("relationships_rebuilt", f"{RELS} SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(trim(source), '') = '' OR trim(target) = '') AS n_without_end FROM rel_")
+def _(spark, d):
+    return graph.rebuilt_relationships(_rels(spark, d))[1]
+
+
+@register("relationships_added", f"{RELS} SELECT source, type, target, count(*) AS n FROM (SELECT source, type, target FROM rel_ UNION ALL SELECT DISTINCT source, type, target FROM rel_) GROUP BY ALL")
+def _(spark, d):
+    rels = _rels(spark, d).select("source", "type", "target")
+    return graph.new_relationships(rels, rels).groupBy("source", "type", "target").agg(F.count("*").alias("n"))
+
+
+@register("queue_stats", "SELECT event_type AS domain, count(*) FILTER (WHERE event_id % 4 < 2) AS processed, count(*) FILTER (WHERE event_id % 4 = 2) AS failed, count(*) FILTER (WHERE event_id % 4 = 3) AS skipped FROM events GROUP BY 1")
+def _(spark, d):
+    i = F.col("event_id")
+    return records.queue_stats(S.read(spark, d, "events").select(F.col("event_type").alias("domain"), F.when(i % 4 < 2, "processed").when(i % 4 == 2, "failed").otherwise("skipped").alias("status")))
+
+
+EXTRACTED = """x_ AS (SELECT doc_id AS page_id, CASE WHEN doc_id % 3 <> 0 THEN [lang, source] END AS entities, CASE WHEN doc_id % 2 = 0 THEN [lang] ELSE [] END AS concepts, [text[1:20]] AS claims FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+def _extracted(spark, d):
+    i = F.col("doc_id")
+    return S.read(spark, d, "documents").where("doc_id % 7 != 0").select(
+        i.alias("page_id"), F.when(i % 3 != 0, F.array("lang", "source")).alias("entities"), F.when(i % 2 == 0, F.array("lang")).otherwise(F.array().cast("array<string>")).alias("concepts"), F.array(F.substring("text", 1, 20)).alias("claims"),
+        F.array(F.struct(F.col("lang").alias("source"), F.lit("uses").alias("type"), F.col("source").alias("target"))).alias("relationships"),
+    )
+
+
+@register("extraction_totals", f"WITH {EXTRACTED} SELECT page_id, coalesce(len(entities), 0) AS n_entities, len(concepts) AS n_concepts, 1::BIGINT AS n_claims, 1::BIGINT AS n_relationships, coalesce(len(entities), 0) + len(concepts) + 2 AS total, TRUE AS found_any FROM x_")
+def _(spark, d):
+    return records.extraction_totals(_extracted(spark, d))
+
+
+@register(
+    "llms_full_sections",
+    f"""{PAGES},{LLMS},{EXTRACTED} SELECT l.page_id, l.domain, l.content || CASE WHEN x.page_id IS NULL THEN '' ELSE coalesce(chr(10) || chr(10) || '## Entities' || chr(10) || chr(10) || '- ' || array_to_string(entities, chr(10) || '- ') || chr(10), '')
+|| CASE WHEN len(concepts) > 0 THEN chr(10) || chr(10) || '## Concepts' || chr(10) || chr(10) || '- ' || concepts[1] || chr(10) ELSE '' END || chr(10) || chr(10) || '## Claims' || chr(10) || chr(10) || '- ' || claims[1] || chr(10)
+|| chr(10) || chr(10) || '## Relationships' || chr(10) || chr(10) || '- ' || d.lang || ' uses ' || d.source || chr(10) END AS content FROM llms_ l LEFT JOIN x_ x USING (page_id) JOIN documents d ON d.doc_id = l.page_id""",
+)
+def _(spark, d):
+    return export.llms_full_sections(S.pages(spark, d), _extracted(spark, d))
+
+
+@register("change_lines", f"{PAGES} SELECT page_id, '~ title: ' || CASE WHEN length(title) > 120 THEN title[1:120] || '…' ELSE title END || ' -> New' AS line FROM pages_ WHERE title <> 'New'")
+def _(spark, d):
+    p = S.pages(spark, d).select("page_id", "title")
+    return records.change_lines(records.diff(p, p.withColumn("title", F.lit("New")), ["title"])).select("page_id", "line")
+
+
+@register("review_get", "SELECT '12' AS id, 'approved' AS status")
+def _(spark, d):
+    items = spark.createDataFrame([("12", "deferred"), ("12", "approved"), ("13", "pending")], "id string, status string")
+    return records.review_get(items, "12")
+
+
+@register("low_quality_reviews", "SELECT CAST(doc_id AS VARCHAR) AS target_id, CASE WHEN quality * 0.3 < 0.2 THEN 'high' ELSE 'medium' END AS priority FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def _(spark, d):
+    p = S.read(spark, d, "documents").join(S.read(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("page_id"), (F.col("quality") * 0.3).alias("quality_score"))
+    return governance.low_quality_reviews(p, EVENTS_AS_OF).select("target_id", "priority")
+
+
+@register("promotable_domains", "SELECT DISTINCT source AS domain FROM documents WHERE source <> 'src1'")
+def _(spark, d):
+    return metadata.promotable(S.read(spark, d, "documents").select(F.col("source").alias("domain"), (F.col("source") != "src1").alias("promote_to_shared")).distinct())
+
+
+@register("page_paths", f"{PAGES} SELECT domain || '/pages/' || page_id || '.md' AS path, '---' || chr(10) || 'id: ' || page_id || chr(10) || 'domain: \"' || domain || '\"' || chr(10) || 'tags: [\"' || array_to_string(tags, '\",\"') || '\"]' || chr(10) || '---' || chr(10) || body AS content FROM pages_")
+def _(spark, d):
+    return export.page_file(S.pages(spark, d).select("page_id", "domain", "tags", "body"))

@@ -151,6 +151,45 @@ def test_similar_pairs_equal_all_pairs(spark):
         assert {(x["a"], x["b"]) for x in matching.similar_pairs(df, df, above).collect()} == want
 
 
+def test_promotion_moves_pages(spark):
+    rows = [page("a", body="see [[b]] and [[b.c|C]]"), page("b", body="to [[a]], self [[b]]", domain="tech"), page("b.c", body="x [[b]] [[bXc]]", domain="ops")]
+    p = spark.createDataFrame(rows, PAGE)
+    chosen = spark.createDataFrame([("b",), ("b.c",)], "page_id string")
+    got = {(r["page_id"], r["domain"], r["kind"]): r["body"] for r in matching.promoted(p, chosen).collect()}
+    assert got == {
+        ("a", "tech", "page"): "see [[shared/b]] and [[shared/b.c]]", ("b", "shared", "page"): "to [[a]], self [[b]]", ("b", "tech", "tombstone"): "Moved to [[shared/b]]\n",
+        ("b.c", "shared", "page"): "x [[shared/b]] [[bXc]]", ("b.c", "ops", "tombstone"): "Moved to [[shared/b.c]]\n",
+    }
+    back = {(r["page_id"], r["domain"], r["kind"]): r["body"] for r in matching.unpromoted(matching.promoted(p, chosen), chosen).collect()}
+    assert back == {("a", "tech", "page"): "see [[b]] and [[b.c]]", ("b", "tech", "page"): "to [[a]], self [[b]]", ("b.c", "ops", "page"): "x [[b]] [[bXc]]"}
+
+
+def test_reports_and_pages(spark):
+    c = spark.createDataFrame([("numerical", 0.85), ("numerical", 0.7), ("negation", 0.2)], "kind string, confidence double")
+    assert {tuple(r) for r in matching.contradiction_report(c).collect()} == {("numerical", "high", 1), ("numerical", "medium", 1), ("negation", "low", 1)}
+    pairs = spark.createDataFrame([(1, 2, 0.95, "high"), (1, 3, 0.85, "high")], "id_1 int, id_2 int, score double, band string")
+    assert [r["id_2"] for r in matching.auto_merges(pairs).collect()] == [2]
+    m = spark.createDataFrame([("a", 0.9), ("b", 0.5)], "page_id string, score double")
+    assert governance.routing_report(m, m).first().asDict() == {"n_pages": 2, "n_mistakes": 2, "high": 1, "medium": 1, "low": 0}
+    qa = records.qa_pages(spark.createDataFrame([("p", "d", "q2", "y"), ("p", "d", "q1", "x")], "page_id string, domain string, question string, answer string")).collect()
+    assert {(r["page_id"], r["title"]) for r in qa} == {("p-qa-1", "q1"), ("p-qa-2", "q2")} and all("[[p]]" in r["body"] for r in qa)
+    made = export.page_file(spark.createDataFrame([page("a", "A: b", "x", tags=("t", "u"))], PAGE)).first()
+    read = pagefiles.pages(pagefiles.parsed(spark.createDataFrame([("/w/" + made["path"], made["content"])], "path string, content string"))).first()
+    assert (read["page_id"], read["title"], read["tags"], read["body"], read["confidence"]) == ("a", "A: b", ["t", "u"], "x", 0.8)
+
+
+def test_stored_index_follows_changes(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    fulltext.store(spark.createDataFrame([page("p", "Python", "python code"), page("q", "Other", "python here"), page("r", "Rust", "rust")], PAGE), path)
+    best = lambda q, **k: [r["page_id"] for r in fulltext.search_stored(spark, path, q, **k).collect()]
+    assert best("python") == ["p", "q"] and best("") == [] and best("python", domain="none") == []
+    fulltext.store(spark.createDataFrame([page("q", "Python Python", "python"), page("r", "Go", "python")], PAGE), path, 1)
+    fulltext.store_removed(spark.createDataFrame([("p",)], "page_id string"), path, 2)
+    now = spark.createDataFrame([page("q", "Python Python", "python"), page("r", "Go", "python")], PAGE)
+    assert [(r["page_id"], round(r["score"], 9)) for r in fulltext.search_stored(spark, path, "python").collect()] == [(r["page_id"], round(r["score"], 9)) for r in fulltext.search(now, "python").collect()]
+    assert best("rust") == []
+
+
 def test_records(spark):
     old = spark.createDataFrame([("a", "Old", "d", ["x"], "s", None, 0.8), ("b", "B", "d", None, None, None, None)], "page_id string, title string, domain string, tags array<string>, summary string, source string, confidence double")
     new = spark.createDataFrame([("a", "New", None, ["x", "y"], "t", "src", 0.95), ("c", "C", "d", ["z"], None, None, 0.5)], old.schema)
