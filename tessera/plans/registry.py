@@ -548,7 +548,7 @@ ERRORS = ("Connection timeout", "network down", "try again later", "invalid head
 FAILED = (
     "WITH a_ AS (SELECT 'f' || user_id AS file_path, ts, ["
     + ", ".join(f"'{e}'" for e in ERRORS)
-    + """][CAST(event_id % 8 + 1 AS INT)] AS error FROM events WHERE event_type = 'error' AND event_id % 3 = 0),
+    + """][CAST(event_id % 8 + 1 AS INT)] AS error FROM events WHERE event_type = 'error'),
 r_ AS (SELECT *, ['llm_timeout', 'network_error', 'temporary_error', 'invalid_format', 'corrupted_file', 'missing_metadata', 'schema_validation_failed', 'unknown'][list_position(["""
     + ", ".join(f"'{e}'" for e in ERRORS)
     + """], error)] AS reason FROM a_),
@@ -558,7 +558,7 @@ state_ AS (SELECT *, CASE WHEN NOT permanent THEN last_attempt + to_seconds([300
 
 
 def _failures(spark, d):
-    e = S.read(spark, d, "events").where("event_type = 'error' and event_id % 3 = 0")
+    e = S.read(spark, d, "events").where("event_type = 'error'")
     return records.failures(e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file_path"), F.col("ts").alias("at"), F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (F.col("event_id") % 8 + 1).cast("int")).alias("error")))
 
 
@@ -576,8 +576,8 @@ def _(spark, d):
     return records.failure_stats(_failures(spark, d), EVENTS_AS_OF)
 
 
-# All error events. A file is a user and one of four runs of eight events, so that files with few failures occur too.
-FAILED_ALL = FAILED.replace(" AND event_id % 3 = 0", "").replace("'f' || user_id AS file_path", "'f' || user_id || '-' || (event_id // 8 % 4) AS file_path")
+# A file is a user and one of four runs of eight events, so that files with few failures occur too.
+FAILED_ALL = FAILED.replace("'f' || user_id AS file_path", "'f' || user_id || '-' || (event_id // 8 % 4) AS file_path")
 
 
 def _all_failures(spark, d):
