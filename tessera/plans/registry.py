@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -70,7 +71,10 @@ def stored_index(spark, d) -> str:
     """Where the index of the pages is stored; written once a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _stored:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:  # the warehouse is shared; a local session has no need of it
+            local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+            base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
         _stored[key] = f"{base.rstrip('/')}/tessera-index-{uuid.uuid4().hex}"
         fulltext.store(S.pages(spark, d), _stored[key])
     return _stored[key]
