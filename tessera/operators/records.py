@@ -5,37 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 
 # merge ---------------------------------------------------------------------------------------------------------------
-STRATEGIES = {"title": "keep_existing", "domain": "keep_existing", "tags": "union", "summary": "prefer_newer", "source": "keep_existing", "confidence": "prefer_newer"}
-
-
-def merge_field(old: Column, new: Column, strategy: str, old_conf: Column, new_conf: Column) -> tuple[Column, Column]:
-    """(value, conflict). Null new values are skipped; null old ones are filled. Confidences of 0 or null count as 0.5
-    (old) and 1.0 (new); prefer_newer replaces when the new one is over 0.1 more, and within 0.1 reports a conflict."""
+# Fixed values
+STRATEGIES = {
+    "title": "keep_existing",
+    "domain": "keep_existing",
+    "tags": "union",
+    "entities": "union",
+    "concepts": "union",
+    "summary": "prefer_newer",
+    "claims": "deduplicate_merge",
+    "relationships": "union",
+    "source": "keep_existing",
+    "created": "keep_existing",
+    "updated": "set_to_now",
+    "status": "keep_existing",
+    "confidence": "prefer_newer",
+    "links": "union",
+    "sources": "union",
+}
+ITEM_KEYS = ("name", "claim", "subject", "source_entity", "id")
+# End of fixed values
+
+
+def merge_field(old: Column, new: Column, strategy: str, old_conf: Column, new_conf: Column, keys: tuple[str, ...] | None = None, now: Column | None = None) -> tuple[Column, Column]:
+    """(value, conflict). Null new values are skipped; null old ones are filled. union and deduplicate_merge append what is
+    not there, in order: plain items by equality, structs by `keys`. Confidences of 0 or null count as 0.5 (old) and 1.0
+    (new); prefer_newer replaces when the new one is over 0.1 more, and within 0.1 reports a conflict. set_to_now gives
+    `now` where both are there."""
     none = F.lit(False)
-    if strategy == "union":
-        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(F.array_union(old, new)), none
+    if strategy in ("union", "deduplicate_merge"):
+        both = F.concat(old, F.array_except(new, old)) if keys is None else union_by_key(old, new, keys)
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(both), none
     if strategy == "use_extracted":
         return F.coalesce(new, old), none
+    if strategy == "set_to_now":
+        if now is None:
+            raise ValueError("set_to_now needs as_of")
+        return F.when(new.isNull(), old).when(old.isNull(), new).otherwise(now), none
     if strategy == "prefer_newer":
         zero = lambda c, d: F.when(c.isNull() | (c == 0), F.lit(d)).otherwise(c)
         gap = zero(new_conf, 1.0) - zero(old_conf, 0.5)
         differ = old.isNotNull() & new.isNotNull() & (old != new)
         return F.when(new.isNull(), old).when(old.isNull() | (differ & (gap > 0.1)), new).otherwise(old), differ & (F.abs(gap) <= 0.1)
+    if strategy != "keep_existing":
+        raise ValueError(f"no such strategy: {strategy}")
     return F.coalesce(old, new), none
 
 
-def integrate(old: DataFrame, new: DataFrame, strategies: dict[str, str] | None = None) -> DataFrame:
-    """page_id, merged fields, n_changes, conflicts: a full outer join by page_id. Both sides have page_id and the fields."""
-    plan = STRATEGIES if strategies is None else strategies
+def integrate(old: DataFrame, new: DataFrame, strategies: dict[str, str] | None = None, as_of: str | None = None) -> DataFrame:
+    """page_id, merged fields, n_changes, conflicts: a full outer join by page_id. Fields are those of `strategies` (by
+    default of STRATEGIES) that both sides have. as_of: the time that set_to_now gives."""
+    plan = {c: s for c, s in (STRATEGIES if strategies is None else strategies).items() if c in old.columns and c in new.columns}
+    now = None if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     n = new.select("page_id", *[F.col(c).alias(f"n_{c}") for c in plan])
     both = old.select("page_id", *plan, F.lit(True).alias("__old")).join(n, "page_id", "full")
     values, changed, conflicts = [], F.lit(0), []
     for field, strategy in plan.items():
-        value, conflict = merge_field(F.col(field), F.col(f"n_{field}"), strategy, F.col("confidence"), F.col("n_confidence"))
+        item = getattr(old.schema[field].dataType, "elementType", None)
+        keys = tuple(k for k in ITEM_KEYS if k in item.names) if isinstance(item, StructType) else None
+        value, conflict = merge_field(F.col(field), F.col(f"n_{field}"), strategy, F.col("confidence"), F.col("n_confidence"), keys, now)
         values.append(value.alias(field))
         changed = changed + F.when(F.col("__old") & ~value.eqNullSafe(F.col(field)), 1).otherwise(0)
         conflicts.append(F.when(conflict, F.lit(field)))
@@ -43,17 +76,32 @@ def integrate(old: DataFrame, new: DataFrame, strategies: dict[str, str] | None
 
 
 def union_by_key(old: Column, new: Column, keys: tuple[str, ...]) -> Column:
-    """Items of new that no item of old equals on the keys are appended, in order."""
+    """Items of new that no item before them equals are appended, in order. Items are equal if no key that both hold (is
+    not null in either) differs; so items that share no key are equal."""
 
     def same(a, b):
         out = F.lit(True)
         for k in keys:
-            out = out & a[k].eqNullSafe(b[k])
+            out = out & F.coalesce(a[k] == b[k], F.lit(True))
         return out
 
     return F.aggregate(new, old, lambda acc, x: F.when(F.exists(acc, lambda y: same(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
+def rolled_back(history: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """history: page_id, seq, ... (an integration a row); chosen: page_id, steps -> the row that each chosen page goes back
+    to (the first one, where it goes back past it), and the history without the rows undone. Pages with fewer rows than
+    steps give no row and keep theirs."""
+    n = history.groupBy("page_id").agg(F.count("*").alias("__n"))
+    plan = chosen.select("page_id", "steps").groupBy("page_id").agg(F.max("steps").alias("__steps")).join(n, "page_id").where("__steps between 1 and __n")
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("seq"))
+    placed = history.join(plan, "page_id").withColumn("__place", place)
+    left = F.col("__n") - F.col("__steps")
+    back = placed.where(F.col("__place") == F.greatest(left, F.lit(1))).select(history.columns)
+    kept = history.join(plan, "page_id", "left_anti").select(history.columns).unionByName(placed.where(F.col("__place") <= left).select(history.columns))
+    return back, kept
+
+
 def diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     """page_id, field, change, old_value, new_value of the fields that differ."""
     n = new.select("page_id", *[F.col(f).cast("string").alias(f"n_{f}") for f in fields])
@@ -173,6 +221,20 @@ def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def review_put(items: DataFrame, new: DataFrame) -> DataFrame:
+    """Items created or updated: a new row replaces the one of its id and status. Of new rows with one id and status the
+    latest stays."""
+    latest = W.partitionBy("id", "status").orderBy(F.desc("created_at"))
+    once = new.withColumn("__r", F.row_number().over(latest)).where("__r = 1").select(items.columns)
+    return items.join(once.select("id", "status"), ["id", "status"], "left_anti").select(items.columns).unionByName(once)
+
+
+def review_delete(items: DataFrame, gone: DataFrame) -> DataFrame:
+    """gone: id and, if it has one, status."""
+    by = [c for c in ("id", "status") if c in gone.columns]
+    return items.join(gone.select(by), by, "left_anti").select(items.columns)
+
+
 def review_cleanup(items: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return items.where(~F.coalesce(F.col("reviewed_at") < F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS"), F.lit(False)))
 
@@ -260,6 +322,36 @@ def extraction_totals(found: DataFrame, fields: tuple[str, ...] = ("entities", "
     return found.select("page_id", *[c.cast("long").alias(f"n_{f}") for f, c in n.items()], total.cast("long").alias("total"), (total > 0).alias("found_any"))
 
 
+def validated(answers: DataFrame, column: str, item: str, required: tuple[str, ...], most: int) -> DataFrame:
+    """answers with `column`, a model's JSON array as text, parsed: items are structs of the DDL `item`; those without a
+    required field, or with a confidence outside 0 to 1, go; the first `most` stay. Text that is no such array gives none."""
+    parsed = F.from_json(column, f"array<struct<{item}>>")
+    names = {f.strip().replace(":", " ").split()[0] for f in item.split(",")}
+
+    def valid(x):
+        ok = x.isNotNull()
+        for k in required:
+            ok = ok & (F.trim(F.coalesce(x[k].cast("string"), F.lit(""))) != "")
+        return ok & F.coalesce(x["confidence"].between(0, 1), F.lit(True)) if "confidence" in names else ok
+
+    none = F.array().cast(f"array<struct<{item}>>")
+    return answers.withColumn(column, F.coalesce(F.slice(F.filter(parsed, valid), 1, most), none))
+
+
+def filled(pages: DataFrame, model: dict[str, Column]) -> DataFrame:
+    """pages with what is missing (null, blank, an empty array) taken from a caller's model: columns over the page, such as
+    calls of a pandas UDF. What a page has is kept; a column that pages lack is added."""
+
+    def value(name, found):
+        if name not in pages.columns:
+            return found
+        old = F.col(name)
+        empty = F.size(old) == 0 if pages.schema[name].dataType.typeName() == "array" else F.trim(old.cast("string")) == ""
+        return F.when(old.isNull() | empty, found).otherwise(old)
+
+    return pages.withColumns({name: value(name, found) for name, found in model.items()})
+
+
 def qa_pages(pairs: DataFrame) -> DataFrame:
     """pairs: page_id, domain, question, answer -> one draft page of kind qa a pair, linked to its page. Ids are numbered
     within a page, in order of the question, so that none collide."""

@@ -302,3 +302,61 @@ def _(spark, d):
 @register("page_paths", f"{PAGES} SELECT domain || '/pages/' || page_id || '.md' AS path, '---' || chr(10) || 'id: ' || page_id || chr(10) || 'domain: \"' || domain || '\"' || chr(10) || 'tags: [\"' || array_to_string(tags, '\",\"') || '\"]' || chr(10) || '---' || chr(10) || body AS content FROM pages_")
 def _(spark, d):
     return export.page_file(S.pages(spark, d).select("page_id", "domain", "tags", "body"))
+
+
+@register(
+    "integrate_lists",
+    """WITH x_ AS (SELECT doc_id, coalesce(lang, 'no lang') AS l, coalesce(source, 'no source') AS s FROM documents)
+SELECT doc_id AS page_id, l || ',' || l || ',' || s AS tags, l || ':o,' || s || ':n' AS claims, TIMESTAMP '2024-03-01' AS updated, 3::BIGINT AS n_changes FROM x_""",
+)
+def _(spark, d):
+    x = S.read(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.coalesce("lang", F.lit("no lang")).alias("l"), F.coalesce("source", F.lit("no source")).alias("s"))
+    claim = lambda c, note: F.struct(F.col(c).alias("claim"), F.lit(note).alias("note"))
+    at = lambda t: F.lit(t).cast("timestamp_ntz").alias("updated")
+    old = x.select("page_id", F.array("l", "l").alias("tags"), F.array(claim("l", "o")).alias("claims"), at("2024-01-01"))
+    new = x.select("page_id", F.array("s", "l", "s").alias("tags"), F.array(claim("l", "n"), claim("s", "n"), claim("s", "m")).alias("claims"), at("2024-02-01"))
+    out = records.integrate(old, new, as_of="2024-03-01")
+    text = F.array_join(F.transform("claims", lambda c: F.concat_ws(":", c["claim"], c["note"])), ",")
+    return out.select("page_id", F.array_join("tags", ",").alias("tags"), text.alias("claims"), "updated", "n_changes")
+
+
+@register(
+    "integration_rollback",
+    """WITH h_ AS (SELECT user_id AS page_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id) AS n, user_id % 3 * 2 AS k FROM events),
+c_ AS (SELECT *, k BETWEEN 1 AND n AS ok FROM h_)
+SELECT 'back' AS part, page_id, seq FROM c_ WHERE ok AND r = greatest(n - k, 1) UNION ALL SELECT 'kept', page_id, seq FROM c_ WHERE NOT ok OR r <= n - k""",
+)
+def _(spark, d):
+    h = S.read(spark, d, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"))
+    back, kept = records.rolled_back(h, h.select("page_id", (F.col("page_id") % 3 * 2).alias("steps")))
+    return back.withColumn("part", F.lit("back")).unionByName(kept.withColumn("part", F.lit("kept"))).select("part", "page_id", "seq")
+
+
+REVIEWS = "i_ AS (SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status, ts AS created_at FROM events)"
+
+
+@register("reviews_changed", f"WITH {REVIEWS} SELECT id, status, created_at + CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS created_at FROM i_ WHERE CAST(id AS BIGINT) % 5 <> 1")
+def _(spark, d):
+    i = F.col("event_id")
+    items = S.read(spark, d, "events").select(i.cast("string").alias("id"), F.when(i % 2 == 0, "pending").otherwise("approved").alias("status"), F.col("ts").cast("timestamp_ntz").alias("created_at"))
+    number = F.col("id").cast("long")
+    later = items.where(number % 4 == 0)
+    new = later.unionByName(later.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY")))
+    return records.review_delete(records.review_put(items, new), items.where(number % 5 == 1).select("id"))
+
+
+@register("validated_answers", "SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'a,c' WHEN 1 THEN '' ELSE 'd' END AS names FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    found = '[{"name":"a","confidence":0.5},{"name":" "},{"name":"b","confidence":1.5},{"name":"c"},{"name":"e"}]'
+    answers = S.read(spark, d, "documents").select(i.alias("page_id"), F.when(i % 3 == 0, found).when(i % 3 == 1, "no JSON").otherwise('[{"name":"d","confidence":1}]').alias("found"))
+    out = records.validated(answers, "found", "name string, confidence double", ("name",), 2)
+    return out.select("page_id", F.array_join(F.transform("found", lambda x: x["name"]), ",").alias("names"))
+
+
+@register("filled_pages", "SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 THEN 'given' ELSE 'en' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE 'found' END AS tags FROM documents")
+def _(spark, d):
+    i = F.col("doc_id")
+    p = S.read(spark, d, "documents").select(i.alias("page_id"), F.when(i % 2 == 0, "given").when(i % 4 == 1, " ").alias("kind"), F.when(i % 3 == 0, F.array(F.lit("x"))).when(i % 3 == 1, F.array().cast("array<string>")).alias("tags"))
+    out = records.filled(p, {"kind": F.lit("en"), "tags": F.array(F.lit("found"))})
+    return out.select("page_id", "kind", F.array_join("tags", ",").alias("tags"))

@@ -218,6 +218,28 @@ def test_graph_nodes(spark, data):
     assert {r["key"]: json.loads(r["json"]) for r in nodes} == want and len(nodes) == len(want)
 
 
+def test_integrate_cases(spark):
+    item = "page_id string, claims array<struct<claim:string,id:string>>, relationships array<struct<a:string>>, tags array<string>"
+    old = spark.createDataFrame([("p", [("x", None)], [("1",)], ["t", "t", None]), ("q", None, [], None)], item)
+    new = spark.createDataFrame([("p", [("x", "7"), ("y", "7"), (None, None)], [("2",)], [None, "u", "u"]), ("q", [("z", None)], [("3",), ("4",)], []), ("r", None, None, ["n"])], item)
+    got = {r["page_id"]: r for r in records.integrate(old, new).collect()}
+    assert got["p"]["claims"] == [("x", None), ("y", "7")] and got["p"]["tags"] == ["t", "t", None, "u"]  # all-null items share no key
+    assert got["p"]["relationships"] == [("1",)] and got["q"]["relationships"] == [("3",)]  # items without any key are equal
+    assert got["q"]["claims"] == [("z", None)] and got["r"]["tags"] == ["n"] and got["r"]["n_changes"] == 0
+    dated = spark.createDataFrame([("p", datetime(2024, 1, 1))], "page_id string, updated timestamp_ntz")
+    with pytest.raises(ValueError):
+        records.integrate(dated, dated)
+    assert records.integrate(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_rolled_back_cases(spark):
+    h = spark.createDataFrame([("p", i, "v") for i in (1, 2, 3)] + [("q", 1, "v")], "page_id string, seq int, steps string")
+    for steps, back, kept in ((1, [2], [1, 2]), (3, [1], []), (4, [], [1, 2, 3]), (0, [], [1, 2, 3])):
+        b, k = records.rolled_back(h, spark.createDataFrame([("p", steps)], "page_id string, steps int"))
+        assert [r["seq"] for r in b.collect()] == back
+        assert sorted(r["seq"] for r in k.where("page_id = 'p'").collect()) == kept and k.where("page_id = 'q'").count() == 1
+
+
 def test_page_files(spark, tmp_path):
     d = tmp_path / "tech" / "pages"
     d.mkdir(parents=True)
