@@ -179,6 +179,7 @@ def retry_seconds(failures: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in RETRY_SECONDS]), F.greatest(F.lit(1), F.least(failures, F.lit(len(RETRY_SECONDS)))).cast("int"))
 
 
-def exponential_seconds(attempt: Column, first: float = 1.0, base: float = 2.0, most: float = 60.0) -> Column:
-    """The delay without jitter; add rand(seed) * delay / 2 for it."""
-    return F.least(F.lit(most), F.lit(first) * F.pow(F.lit(base), attempt))
+def exponential_seconds(attempt: Column, first: float = 1.0, base: float = 2.0, most: float = 60.0, jitter: Column | None = None) -> Column:
+    """The delay; jitter (0 to 1, as rand(seed) gives it) adds up to half of it."""
+    delay = F.least(F.lit(most), F.lit(first) * F.pow(F.lit(base), attempt))
+    return delay if jitter is None else delay * (F.lit(1.0) + jitter / 2)

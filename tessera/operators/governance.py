@@ -137,9 +137,10 @@ def route(sources: DataFrame, domains: list[str], rules: list[tuple[str, str]],
     return sources.withColumn("domain", out.otherwise(fallback))
 
 
-def promotion(links: DataFrame, pages: DataFrame, as_of: str, min_quality: float = 0.6, min_cross: int = 2) -> DataFrame:
+def promotion(links: DataFrame, pages: DataFrame, as_of: str, min_quality: float = 0.6, min_cross: int = 2, require_approval: bool = False) -> DataFrame:
     """page_id, cross, total, quality, score, decision: 2 * references from other domains + 0.5 * all references +
-    quality + 0.3 * age factor. pages: as for quality(); links: src, dst page ids."""
+    quality + 0.3 * age factor. pages: as for quality(); links: src, dst page ids. With require_approval nothing is
+    promoted by itself: what would be is suggested."""
     p = pages.select("page_id", "domain", "created")
     refs = links.select(F.col("src").alias("ref"), F.col("dst").alias("page_id")).distinct().where("ref != page_id")
     of = refs.join(p, "page_id").join(p.select(F.col("page_id").alias("ref"), F.col("domain").alias("ref_domain")), "ref")
@@ -151,7 +152,7 @@ def promotion(links: DataFrame, pages: DataFrame, as_of: str, min_quality: float
         counts.join(q, "page_id")
         .join(p, "page_id")
         .withColumn("score", score)
-        .select("page_id", "cross", "total", "quality", "score", F.when(F.col("score") >= 10, "auto").when(F.col("score") >= 5, "suggest").otherwise("none").alias("decision"))
+        .select("page_id", "cross", "total", "quality", "score", F.when(F.lit(not require_approval) & (F.col("score") >= 10), "auto").when(F.col("score") >= 5, "suggest").otherwise("none").alias("decision"))
     )
 
 

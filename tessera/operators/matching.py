@@ -44,23 +44,48 @@ def _described(pages: DataFrame) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
-def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[str, ...] = ("source",), backlinks: DataFrame | None = None) -> DataFrame:
+def _abbreviated(d: DataFrame, min_score: float) -> DataFrame:
+    """a, b: pairs of which one name is a known abbreviation (0.3) and that can reach min_score without an equal name, alias
+    or url. At 0.3 these are all such pairs, by definition. Above it they share three tags (0.1) or enough words (0.1 at
+    most); above 0.4 three tags. Tags are put in order of falling rarity: sets of n that share three share one of their
+    first n - 2, so only those join."""
+    short = d.where("abbreviation")
+    if min_score <= 0.3:
+        found = d.select(F.col("id").alias("y")).join(short.select(F.col("id").alias("x")), F.col("x") != F.col("y"))
+    else:
+        rank = d.select(F.explode("tags").alias("k")).groupBy("k").agg(F.count("*").alias("f"))
+
+        def rare(df, name):
+            tags = df.where(F.size("tags") >= 3).select(F.col("id").alias(name), F.size("tags").alias("n"), F.explode("tags").alias("k")).join(rank, "k")
+            place = F.row_number().over(W.partitionBy(name).orderBy("f", "k"))
+            return tags.withColumn("p", place).where(F.col("p") <= F.col("n") - 2).select(name, "k")
+
+        found = rare(short, "x").join(rare(d, "y"), "k").select("x", "y")
+        if min_score <= 0.4 + 1e-9:
+            words = lambda df: df.select("id", F.col("long_words").alias("words"))
+            alike = max(0.3, 10 * (min_score - 0.3)) - 1e-6
+            found = found.unionByName(similar_pairs(words(short), words(d), alike).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[str, ...] = ("source",), backlinks: DataFrame | None = None, domains: tuple[str, ...] | None = None) -> DataFrame:
     """id_1 < id_2, score, action, band, primary_id. score: 0.4 equal names + 0.3 alias + 0.2 equal url + 0.1 three tags
     in common + 0.1 * Jaccard of words of over two letters, from 0.3 on.
 
     For min_score above 0.2 every pair shares a name, an alias or a url, or one name is a known abbreviation; so candidates
-    come from equi-joins. (Abbreviations meet every page, by definition: that side has at most the table's names.)
+    come from equi-joins; only at 0.3 itself do abbreviations meet every page. domains: those whose pages are compared;
+    all by default.
     """
     if min_score <= 0.2:
         raise ValueError("at 0.2 or less every pair of pages is a candidate")
     rows = pages.where(~F.coalesce("kind", F.lit("page")).isin(*exclude_kinds))
+    rows = rows if domains is None else rows.where(F.col("domain").isin(*domains))
     d = _described(rows)
     key = lambda side, c: d.where(F.coalesce(F.col(c), F.lit("")) != "").select(F.col("id").alias(side), F.col(c).alias("k"))
     found = [key("a", c).join(key("b", c), "k").where("a < b").select("a", "b") for c in ("name", "source_url", "github_url")]
     alias = d.select(F.col("id").alias("a"), F.explode("aliases").alias("k")).where("k != ''")
     found.append(alias.join(key("b", "name"), "k").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    known = d.where("abbreviation").select(F.col("id").alias("x"))
-    found.append(d.select(F.col("id").alias("y")).join(known, F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    found.append(_abbreviated(d, min_score))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)

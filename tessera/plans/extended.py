@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import export, governance, graph, links, matching, metadata, records
-from tessera.plans.registry import CHANGES, EVENTS_AS_OF, LINKS, LLMS, PAGES, register, rounded
+from tessera.plans.registry import AS_OF, CHANGES, DUPLICATES, EVENTS_AS_OF, FAILED_ALL, LINKS, LLMS, PAGES, PROMOTION, all_failures, references, register, rounded
 from tessera.sources import tables as S
 
 # Words of nine letters and more stand as links, of eight as links with an alias, of seven as embeds, of six as hashtags
@@ -360,3 +360,90 @@ def _(spark, d):
     p = S.read(spark, d, "documents").select(i.alias("page_id"), F.when(i % 2 == 0, "given").when(i % 4 == 1, " ").alias("kind"), F.when(i % 3 == 0, F.array(F.lit("x"))).when(i % 3 == 1, F.array().cast("array<string>")).alias("tags"))
     out = records.filled(p, {"kind": F.lit("en"), "tags": F.array(F.lit("found"))})
     return out.select("page_id", "kind", F.array_join("tags", ",").alias("tags"))
+
+
+@register(
+    "duplicates_in_domains",
+    f"{PAGES},{DUPLICATES} SELECT id_1, id_2, round(score, 9) AS score FROM dup_ JOIN pages_ a ON a.page_id = id_1 JOIN pages_ b ON b.page_id = id_2 WHERE dup_.score >= 0.41 AND a.domain IN ('src1', 'src3') AND b.domain IN ('src1', 'src3')",
+)
+def _(spark, d):
+    return rounded(matching.duplicates(S.pages(spark, d), 0.41, domains=("src1", "src3")).select("id_1", "id_2", "score"), "score")
+
+
+@register("backoff_jitter", "SELECT CAST(n AS BIGINT) AS n, round(CAST(least(60.0, pow(2.0, n)) * (1 + n / 16.0) AS DOUBLE), 9) AS seconds FROM range(0, 8) t(n)")
+def _(spark, d):
+    n = F.col("id")
+    return rounded(spark.range(8).select(n.alias("n"), T.exponential_seconds(n, jitter=n / 8).alias("seconds")), "seconds")
+
+
+@register(
+    "retried_failures",
+    f"""{FAILED_ALL}, due_ AS (SELECT *, CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT) % 3 AS k, failure_count + 1 AS c FROM state_ WHERE NOT permanent AND failure_count < 5 AND next_retry <= TIMESTAMP '{EVENTS_AS_OF}')
+SELECT file_path, ['queued', 'failed', 'cleared'][k + 1] AS outcome, CASE WHEN k = 0 THEN 'a ' || file_path END AS markdown, CASE WHEN k = 1 THEN c END AS failure_count,
+CASE WHEN k = 1 THEN 'invalid_format' END AS reason, CASE WHEN k = 1 THEN true END AS permanent FROM due_""",
+)
+def _(spark, d):
+    from tessera.streaming import inbox
+
+    state = all_failures(spark, d)
+    k = F.regexp_extract("file_path", "[0-9]+", 0).cast("long") % 3
+    files = state.select(F.concat(F.lit("failed/"), F.col("file_path"), F.lit(".md")).alias("path"), F.concat(F.lit("a "), "file_path").alias("content"), k.alias("k"))
+    files = files.where("k < 2").withColumn("content", F.when(F.col("k") == 1, " ").otherwise(F.col("content"))).drop("k")
+    named = state.withColumn("file_path", F.concat("file_path", F.lit(".md")))
+    out = inbox.retried(named, files, EVENTS_AS_OF).withColumn("file_path", F.regexp_replace("file_path", r"\.md$", ""))
+    return out.select("file_path", "outcome", "markdown", "failure_count", "reason", "permanent")
+
+
+HEADERS = (
+    ("id: p\nkind: page\ntitle: T\ndomain: d\nupdated_at: 2024-01-01", None), ("id: p\nkind: entity\ntitle: T\ndomain: d\nupdated_at: 2024-01-01", "no entity_type"), ("title: T", "no kind"), ("kind: essay", "invalid kind"),
+    ("id: p\nkind: page\ntitle: ' '\ndomain: d", "no title"), ("id: p\nkind: page\ntitle: T\ndomain: d", "no updated_at"), ("id: p\nkind: page\ntitle: T\ndomain: d\nupdated_at: 2024-01-01\nstatus: lost", "invalid status"),
+    ("id: p\nkind: page\ntitle: T\ndomain: d\nupdated_at: 2024-01-01\nconfidence: 1.5", "invalid confidence"), (None, "no header"),
+)
+
+
+@register(
+    "checked_headers",
+    f"SELECT [{', '.join('NULL' if e is None else repr(e) for _, e in HEADERS)}][CAST(doc_id % {len(HEADERS)} + 1 AS INT)] AS error, count(*) AS n FROM documents GROUP BY 1",
+)
+def _(spark, d):
+    from tessera.sources import pagefiles
+
+    texts = F.array(*[F.lit("plain" if h is None else f"---\n{h}\n---\nbody") for h, _ in HEADERS])
+    i = F.col("doc_id")
+    files = S.read(spark, d, "documents").select(F.concat(F.lit("wiki/d/pages/"), i.cast("string"), F.lit(".md")).alias("path"), F.element_at(texts, (i % len(HEADERS) + 1).cast("int")).alias("content"))
+    return pagefiles.checked(pagefiles.parsed(files)).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@register(
+    "transcript_files",
+    """WITH m_ AS (SELECT conv_id, coalesce(role, 'none') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, role, count(*) AS n, count(*) FILTER (WHERE trim(text, chr(32)) <> '') AS n_text FROM m_ GROUP BY 1, 2""",
+)
+def _(spark, d):
+    from tessera.sources import pagefiles
+
+    c = S.read(spark, d, "conversations").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("text", F.lit("")).alias("content")).alias("m"))
+    list_ = F.to_json(F.sort_array(F.collect_list("m")))  # one file a conversation, as a tool would write it
+    content = F.when(F.col("conv_id") % 2 == 0, F.col("l")).otherwise(F.concat(F.lit('{"messages": '), "l", F.lit("}")))
+    path = F.concat(F.lit("session-"), F.col("conv_id").cast("string"), F.lit(".json"))
+    files = c.groupBy("conv_id").agg(list_.alias("l")).select(path.alias("path"), content.alias("content"))
+    m = pagefiles.transcript_file_messages(files).withColumn("conv_id", F.regexp_extract("path", r"session-(-?\d+)\.json$", 1).cast("long"))
+    return m.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.count_if(F.col("text") != "").alias("n_text"))
+
+
+@register("transcript_meta", "SELECT conv_id, count(*) AS n_messages, 's' || min(turn) AS session_id, coalesce('h' || max(turn) FILTER (WHERE turn % 2 = 1), 'unknown') AS capture_hook FROM conversations GROUP BY 1")
+def _(spark, d):
+    from tessera.sources import pagefiles
+
+    t = F.col("turn").cast("string")
+    hook = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("h"), t))
+    value = F.to_json(F.struct(F.lit("user").alias("role"), F.lit("x").alias("content"), F.concat(F.lit("s"), t).alias("session_id"), hook.alias("_capture_hook")))
+    lines = S.read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), value.alias("value"))
+    m = pagefiles.transcript_meta(pagefiles.transcript_messages(lines))
+    return m.withColumn("conv_id", F.col("path").cast("long")).drop("path")
+
+
+@register("promotion_suggested", f"{PROMOTION} SELECT page_id, CASE WHEN t_.score >= 5 THEN 'suggest' ELSE 'none' END AS decision FROM t_")
+def _(spark, d):
+    refs = references(spark, d)
+    return governance.promotion(refs, S.pages(spark, d), AS_OF, require_approval=True).select("page_id", "decision")

@@ -429,19 +429,25 @@ def _(spark, d):
     return matching.contradictions(S.claims(spark, d))
 
 
-@register(
-    "promotion_candidates",
-    f"""{PAGES},{QUALITY}, refs_ AS (SELECT DISTINCT (doc_id * 7 + k) % (SELECT count(*) FROM documents) AS dst, doc_id AS src FROM documents, range(1, 4) t(k)),
+PROMOTION = f"""{PAGES},{QUALITY}, refs_ AS (SELECT DISTINCT (doc_id * 7 + k) % (SELECT count(*) FROM documents) AS dst, doc_id AS src FROM documents, range(1, 4) t(k)),
 c_ AS (SELECT dst AS page_id, count(*) FILTER (WHERE a.domain <> b.domain) AS cross_refs, count(*) AS total FROM refs_ JOIN pages_ a ON a.page_id = dst JOIN pages_ b ON b.page_id = src WHERE src <> dst GROUP BY 1),
 s_ AS (SELECT page_id, cross_refs, total, q.score AS quality, floor(epoch(TIMESTAMP '{AS_OF}' - created) / 86400) AS days FROM c_ JOIN quality_ q USING (page_id) WHERE cross_refs >= 2 AND q.score >= 0.6),
-t_ AS (SELECT *, 2.0::DOUBLE * cross_refs + 0.5::DOUBLE * total + quality + 0.3::DOUBLE * CASE WHEN days <= 0 THEN 1.0::DOUBLE WHEN days >= 365 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - days / 365.0::DOUBLE END AS score FROM s_)
+t_ AS (SELECT *, 2.0::DOUBLE * cross_refs + 0.5::DOUBLE * total + quality + 0.3::DOUBLE * CASE WHEN days <= 0 THEN 1.0::DOUBLE WHEN days >= 365 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - days / 365.0::DOUBLE END AS score FROM s_)"""
+
+
+def references(spark, d):
+    docs = S.read(spark, d, "documents").select("doc_id")
+    n = docs.count()
+    return docs.select(F.col("doc_id").alias("src"), F.explode(F.array(*[(F.col("doc_id") * 7 + k) % n for k in (1, 2, 3)])).alias("dst"))
+
+
+@register(
+    "promotion_candidates",
+    f"""{PROMOTION}
 SELECT page_id, cross_refs AS "cross", total, round(quality, 9) AS quality, round(score, 9) AS score, CASE WHEN t_.score >= 10 THEN 'auto' WHEN t_.score >= 5 THEN 'suggest' ELSE 'none' END AS decision FROM t_""",
 )
 def _(spark, d):
-    docs = S.read(spark, d, "documents").select("doc_id")
-    n = docs.count()
-    refs = docs.select(F.col("doc_id").alias("src"), F.explode(F.array(*[(F.col("doc_id") * 7 + k) % n for k in (1, 2, 3)])).alias("dst"))
-    return rounded(governance.promotion(refs, S.pages(spark, d), AS_OF), "quality", "score")
+    return rounded(governance.promotion(references(spark, d), S.pages(spark, d), AS_OF), "quality", "score")
 
 
 MERGE = """
@@ -561,14 +567,14 @@ state_ AS (SELECT *, CASE WHEN NOT permanent THEN last_attempt + to_seconds([300
 )
 
 
-def _failures(spark, d):
+def failed_files(spark, d):
     e = S.read(spark, d, "events").where("event_type = 'error'")
     return records.failures(e.select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file_path"), F.col("ts").alias("at"), F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (F.col("event_id") % 8 + 1).cast("int")).alias("error")))
 
 
 @register("failure_state", f"{FAILED} SELECT file_path, failure_count, last_attempt, reason, permanent, next_retry FROM state_")
 def _(spark, d):
-    return _failures(spark, d)
+    return failed_files(spark, d)
 
 
 @register(
@@ -577,14 +583,14 @@ def _(spark, d):
 count(*) FILTER (WHERE NOT permanent AND next_retry <= TIMESTAMP '{EVENTS_AS_OF}') AS n_retryable FROM state_ GROUP BY 1""",
 )
 def _(spark, d):
-    return records.failure_stats(_failures(spark, d), EVENTS_AS_OF)
+    return records.failure_stats(failed_files(spark, d), EVENTS_AS_OF)
 
 
 # A file is a user and one of four runs of eight events, so that files with few failures occur too.
 FAILED_ALL = FAILED.replace("'f' || user_id AS file_path", "'f' || user_id || '-' || (event_id // 8 % 4) AS file_path")
 
 
-def _all_failures(spark, d):
+def all_failures(spark, d):
     path = F.concat_ws("-", F.concat(F.lit("f"), F.col("user_id").cast("string")), F.expr("event_id div 8 % 4").cast("string"))
     error = F.element_at(F.array(*[F.lit(x) for x in ERRORS]), (F.col("event_id") % 8 + 1).cast("int"))
     return records.failures(S.read(spark, d, "events").where("event_type = 'error'").select(path.alias("file_path"), F.col("ts").alias("at"), error.alias("error")))
@@ -592,12 +598,12 @@ def _all_failures(spark, d):
 
 @register("failure_state_all", ORACLE_SQL["failure_state"].replace(FAILED, FAILED_ALL))
 def _(spark, d):
-    return _all_failures(spark, d)
+    return all_failures(spark, d)
 
 
 @register("failure_stats_all", ORACLE_SQL["failure_stats"].replace(FAILED, FAILED_ALL))
 def _(spark, d):
-    return records.failure_stats(_all_failures(spark, d), EVENTS_AS_OF)
+    return records.failure_stats(all_failures(spark, d), EVENTS_AS_OF)
 
 
 JOBS = "WITH " + S.EXECUTIONS_SQL

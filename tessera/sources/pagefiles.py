@@ -102,6 +102,40 @@ def pages(parsed_files: DataFrame) -> DataFrame:
     )
 
 
+# What a header must hold
+STATUSES = ("draft", "published", "archived", "review")
+REQUIRED = ("id", "title", "domain")
+REQUIRED_BY_KIND = {"page": (), "entity": ("entity_type",), "concept": (), "source": ("source_type", "source_path"), "qa": ("question", "answer")}
+# End of fixed values
+
+
+def header_error(meta: Column) -> Column:
+    """What is wrong with a page's header (VARIANT), the first of: no header, no kind, an unknown kind, a required text that
+    is missing or blank, a time that is none, a status or confidence out of range. Null: nothing."""
+    get = lambda f, t="string": F.try_variant_get(meta, f"$.{f}", t)
+    is_text = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(meta, f"$.{f}", "variant")) == "STRING", F.lit(False))
+    missing = lambda f: ~is_text(f) | ~F.coalesce(get(f).rlike(r"\S"), F.lit(False))
+    timeless = lambda f: F.try_to_timestamp(get(f)).isNull()
+    present = lambda f: F.try_variant_get(meta, f"$.{f}", "variant").isNotNull()
+    kind = get("kind")
+    out = F.when(meta.isNull() | (F.schema_of_variant(meta) == "OBJECT<>"), "no header").when(~present("kind"), "no kind")
+    out = out.when(~is_text("kind") | ~kind.isin(*REQUIRED_BY_KIND), "invalid kind")
+    for f in REQUIRED:
+        out = out.when(missing(f), f"no {f}")
+    for k, fields in REQUIRED_BY_KIND.items():
+        for f in fields:
+            out = out.when((kind == k) & missing(f), f"no {f}")
+    out = out.when(timeless("updated_at"), "no updated_at").when((kind == "source") & timeless("ingested_at"), "no ingested_at")
+    out = out.when(present("status") & ~F.coalesce(get("status").isin(*STATUSES), F.lit(False)), "invalid status")
+    confident = F.coalesce(get("confidence", "double").between(0, 1), F.lit(False))
+    return out.when(present("confidence") & ~confident, "invalid confidence")
+
+
+def checked(parsed_files: DataFrame) -> DataFrame:
+    """parsed() with `error`: why a page's header is not valid; null if it is."""
+    return parsed_files.withColumn("error", F.coalesce("_parse_error", header_error(F.col("meta"))))
+
+
 def read_files(spark: SparkSession, glob: str) -> DataFrame:
     """path, content of whole files; bytes that are not UTF-8 are read as Latin-1."""
     return spark.read.format("binaryFile").load(glob).select("path", decoded(F.col("content")).alias("content"))
@@ -116,7 +150,7 @@ def adapter(path: Column, content: Column) -> Column:
     """The first adapter that takes a file: session transcript, vault note, Markdown, text."""
     note = path.rlike(r"\.(md|markdown)$") & content.rlike(r"\[\[[^\]|]+(\|[^\]]+)?\]\]|#[a-zA-Z0-9_\-]+")
     return (
-        F.when(path.rlike(r"/?session-[^/]*\.jsonl?$"), "session").when(note, "vault").when(path.rlike(r"\.(md|markdown)$"), "markdown").when(path.rlike(r"\.(txt|text)$"), "text")
+        F.when(path.rlike(r"(^|/)session-[^/]*\.(?i:jsonl?)$"), "session").when(note, "vault").when(path.rlike(r"\.(md|markdown)$"), "markdown").when(path.rlike(r"\.(txt|text)$"), "text")
     )
 
 
@@ -159,9 +193,29 @@ def sessions(turns: DataFrame) -> DataFrame:
 
 
 def transcript_messages(lines: DataFrame) -> DataFrame:
-    """lines: path, line_no, value of JSON-lines transcripts -> path, turn, role, text, session_id. Bad lines are skipped;
-    content is a string or blocks, of which text is kept and tool activity named."""
-    v = lines.select("path", "line_no", F.try_parse_json("value").alias("m")).where(F.schema_of_variant("m").startswith("OBJECT"))
+    """lines: path, line_no, value of JSON-lines transcripts -> path, turn, role, text, session_id, capture_hook. Bad lines
+    are skipped; content is a string or blocks, of which text is kept and tool activity named."""
+    return _messages(lines.select("path", "line_no", F.try_parse_json("value").alias("m")))
+
+
+def transcript_file_messages(files: DataFrame) -> DataFrame:
+    """The same of `.json` transcripts (path, content of whole files): a list of messages, or an object that holds one as
+    `messages`."""
+    v = files.select("path", F.try_parse_json("content").alias("v"))
+    held = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.try_variant_get("v", "$.messages", "array<variant>"))
+    return _messages(v.select("path", F.posexplode(held).alias("line_no", "m")))
+
+
+def transcript_meta(messages: DataFrame) -> DataFrame:
+    """path, n_messages, session_id (the first given), capture_hook (the last given, else `unknown`)."""
+    hook = F.max_by("capture_hook", F.when(F.col("capture_hook").isNotNull(), F.col("turn")))
+    first = F.min_by("session_id", F.when(F.coalesce("session_id", F.lit("")) != "", F.col("turn")))
+    return messages.groupBy("path").agg(F.count("*").alias("n_messages"), first.alias("session_id"), F.coalesce(hook, F.lit("unknown")).alias("capture_hook"))
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    """rows: path, line_no, m (VARIANT)."""
+    v = rows.where(F.schema_of_variant("m").startswith("OBJECT"))
     get = lambda f, t="string": F.try_variant_get("m", f"$.{f}", t)
     blocks = F.from_json(F.to_json(F.try_variant_get("m", "$.content", "variant")), "array<struct<type:string,text:string,name:string>>")
     shown = F.array_join(
@@ -176,13 +230,21 @@ def transcript_messages(lines: DataFrame) -> DataFrame:
         "\n\n",
     )
     is_text = F.schema_of_variant(F.try_variant_get("m", "$.content", "variant")) == "STRING"
-    return v.select("path", F.col("line_no").alias("turn"), get("role").alias("role"), F.when(is_text, F.trim(get("content"))).otherwise(shown).alias("text"), F.coalesce(get("session_id"), get("sessionId")).alias("session_id"))
+    return v.select("path", F.col("line_no").alias("turn"), get("role").alias("role"), F.when(is_text, F.trim(get("content"))).otherwise(shown).alias("text"), F.coalesce(get("session_id"), get("sessionId")).alias("session_id"), get("_capture_hook").alias("capture_hook"))
 
 
 def with_ids(pages: DataFrame, most: int = 100) -> DataFrame:
-    """page_id of `{slug(domain)}-{slug(title)}`; repeats get -2, -3 and so on, in order of title and path."""
+    """page_id of `{slug(domain)}-{slug(title)}` in `most` code points, without the domain if under 10 would be left for the
+    title; repeats get -2, -3 and so on, in order of title and path, and keep within `most`. (For entities the domain is
+    the entity's type, for concepts null.)"""
     from pyspark.sql import Window as W
 
-    base = pages.withColumn("__s", T.slugify(F.col("title"), most)).withColumn("__b", F.rtrim(F.substring(F.concat_ws("-", T.slugify(F.col("domain"), most), "__s"), 1, most), F.lit("-")))
+    domain = T.slugify(F.col("domain"))
+    room = F.lit(most) - F.char_length(domain) - 1
+    cut = F.rtrim(F.substring(F.col("__s"), F.lit(1), room), F.lit("-"))
+    named = F.coalesce(F.when((F.col("domain") != "") & (room >= 10), F.concat_ws("-", domain, cut)), F.col("__s"))
+    base = pages.withColumn("__s", T.slugify(F.col("title"), most)).withColumn("__b", named)
     n = F.row_number().over(W.partitionBy("__b").orderBy("title", "path"))
-    return base.withColumn("page_id", F.when(F.col("__s") == "", None).when(n == 1, F.col("__b")).otherwise(F.concat_ws("-", "__b", n.cast("string")))).drop("__s", "__b")
+    more = F.concat(F.lit("-"), n.cast("string"))
+    numbered = F.concat(F.substring(F.col("__b"), F.lit(1), F.lit(most) - F.char_length(more)), more)
+    return base.withColumn("page_id", F.when(F.col("__s") == "", None).when(n == 1, F.col("__b")).otherwise(numbered)).drop("__s", "__b")

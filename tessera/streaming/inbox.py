@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import records
 from tessera.sources import pagefiles as P
 
 
@@ -63,6 +64,25 @@ def retry_state(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
     return rows.groupBy("file_path").applyInPandasWithState(advance, RETRY_SCHEMA, "count int, permanent boolean", "update", "NoTimeout")
 
 
+def retried(state: DataFrame, files: DataFrame, as_of: str, max_retries: int = 5) -> DataFrame:
+    """The failed files (state: as records.failures() gives it) whose time has come, taken again from files (path, content
+    of the failed folder), by file name: file_path, outcome, title, markdown and the new failure_count, reason, permanent
+    and next_retry. Outcomes: `cleared` (the file is gone), `queued` (good now), `failed` (counted once more). An
+    availableNow run on a timer calls it with its own as_of."""
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    due = records.retryable(state, as_of, max_retries).select("file_path", name("file_path").alias("__name"), "failure_count")
+    taken = normalized(files).withColumn("__name", name("path"))
+    rows = due.join(taken, "__name", "left")
+    count, failed, reason = F.col("failure_count") + 1, F.col("error").isNotNull(), T.failure_reason(F.col("error"))
+    permanent = reason.isin(*T.PERMANENT) | (count >= max_retries)
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), T.retry_seconds(count))
+    only = lambda c: F.when(failed, c)
+    return rows.select(
+        "file_path", F.when(F.col("path").isNull(), "cleared").when(failed, "failed").otherwise("queued").alias("outcome"), F.when(~failed, F.col("title")).alias("title"), F.when(~failed, F.col("markdown")).alias("markdown"),
+        only(count).alias("failure_count"), only(reason).alias("reason"), only(permanent).alias("permanent"), F.when(failed & ~permanent, F.lit(as_of).cast("timestamp_ntz") + wait).alias("next_retry"),
+    )
+
+
 def event_windows(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """An extension: counts and sums of events in tumbling windows, late rows within the watermark included."""
     at = events.withColumn("ts", F.col("ts").cast("timestamp"))

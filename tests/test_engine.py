@@ -124,6 +124,21 @@ def test_duplicates_equal_all_pairs(spark, data):
     assert all(got[tuple(sorted(("e", x)))] >= 0.3 for x in "abcd") and not any("f" in k for k in got)
 
 
+def test_duplicates_of_abbreviations_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(("API", "aws", f"t{i}", "t")), rng.choice(("d", "e")), rng.sample("pqrstu", rng.randint(0, 5)), " ".join(rng.sample("one two three four five six seven".split(), rng.randint(0, 4)))) for i in range(60)]
+    p = spark.createDataFrame([(i, "page", n, d, t, b) for i, n, d, t, b in rows], "page_id long, kind string, title string, domain string, tags array<string>, body string")
+    every = {(r["id_1"], r["id_2"]): r["score"] for r in matching.duplicates(p).collect()}
+    for least in (0.32, 0.35, 0.4, 0.45, 0.5):
+        got = {(r["id_1"], r["id_2"]): r["score"] for r in matching.duplicates(p, least).collect()}
+        assert got == {k: v for k, v in every.items() if v >= least} and got
+    of = {r[0]: r[2] for r in rows}
+    got = {(r["id_1"], r["id_2"]) for r in matching.duplicates(p, domains=("d",)).collect()}
+    assert got == {k for k in every if of[k[0]] == of[k[1]] == "d"}
+
+
 def test_contradictions(spark):
     rows = [("p1", 0, "Python was released in 1991"), ("p2", 0, "Python was released in 1990"), ("p1", 1, "containers are very lightweight"), ("p3", 0, "containers are not very lightweight"), ("p1", 2, "it ran well before the big update"), ("p4", 0, "it ran well after the big update"), ("p5", 0, "Python was released in 1990")]
     c = spark.createDataFrame(rows, "page_id string, claim_no long, text string")
@@ -256,6 +271,17 @@ def test_page_files(spark, tmp_path):
     lines = [(1, '{"role": "user", "content": "hi", "session_id": "s"}'), (2, "bad"), (3, '{"role": "assistant", "content": [{"type": "text", "text": " yo "}, {"type": "tool_use", "name": "ls"}]}')]
     m = pagefiles.transcript_messages(spark.createDataFrame([("p", *x) for x in lines], "path string, line_no long, value string")).orderBy("turn").collect()
     assert [(r["role"], r["text"]) for r in m] == [("user", "hi"), ("assistant", "yo\n\n_[tool use: ls]_")]
+    whole = [("a", '[{"role": "user", "content": "x", "sessionId": "s"}, 3, {"content": []}]'), ("b", '{"messages": [{"role": "user", "content": "y"}]}'), ("c", '{"messages": 1}'), ("d", "no JSON"), ("e", None)]
+    m = pagefiles.transcript_file_messages(spark.createDataFrame(whole, "path string, content string"))
+    assert [(r["path"], r["turn"], r["text"]) for r in m.orderBy("path", "turn").collect()] == [("a", 0, "x"), ("a", 2, ""), ("b", 0, "y")]
+    assert [tuple(r) for r in pagefiles.transcript_meta(m).orderBy("path").collect()] == [("a", 2, "s", "unknown"), ("b", 1, None, "unknown")]
+
+
+def test_ids_keep_within_their_length(spark):
+    rows = [("1", "d", "x" * 30), ("2", "d", "x" * 30), ("3", "long-domain-name", "Title"), ("4", None, "Title"), ("5", "d", "!"), ("6", "", "My  Page")]
+    p = pagefiles.with_ids(spark.createDataFrame(rows, "path string, domain string, title string"), 20)
+    got = {r["path"]: r["page_id"] for r in p.collect()}
+    assert got == {"1": "d-" + "x" * 18, "2": "d-" + "x" * 16 + "-2", "3": "title", "4": "title-2", "5": None, "6": "my-page"}
 
 
 def test_exports(spark):
