@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, content_sort, decontamination, fingerprint, langid, negatives, ngram_join, packing, pii, quality, secrets, toxicity
+from tessera.llm import chat, content_sort, decontamination, fingerprint, langid, negatives, ngram_join, packing, pii, prefix_trie, quality, secrets, toxicity
 from tessera.llm.common import fold, table
 
 
@@ -61,6 +61,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
@@ -70,5 +74,5 @@ def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_language_id, op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity_bigru, op10_pii, op12_hard_negatives, op13_content_sort)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": chat.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_content_sort": content_sort.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_rotation, op2_language_id, op3_bottomk_fingerprint, op4_bestfit_packing, op5_quality_pu, op6_secret_scan, op7_ngram_jaccard_join, op8_decontamination, op9_toxicity_bigru, op10_pii, op11_prefix_trie, op12_hard_negatives, op13_content_sort)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_rotation": chat.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_hard_negatives": negatives.ORACLE_SQL, "op13_content_sort": content_sort.ORACLE_SQL}
