@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -86,3 +87,30 @@ def sampled(rows: DataFrame, most: int, *by: str) -> DataFrame:
 def one_text(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, text: one text of each key, that of the least hash; a key's repeated rows are reduced before the shuffle."""
     return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
+#: monotonically_increasing_id() has a row's number in its partition in so many bits.
+PLACE_BITS = 33
+
+
+def before(n: str) -> Column:
+    """Sum of n over the partitions before a row's, of a table with a row a partition."""
+    return F.coalesce(F.sum(n).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def places(rows: DataFrame, deal: list, order: list, keep: list) -> tuple[DataFrame, str]:
+    """keep, with `part` (the range a row lies in) and `place` (from 0, in the order of all), as a written table."""
+    held, path = written(rows.repartitionByRange(*deal).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("at")), "places")
+    held = held.withColumn("part", F.shiftright("at", PLACE_BITS)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+    sizes = held.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("part", before("n").alias("offset"))  # a row a partition
+    return held.join(F.broadcast(offsets), "part").withColumn("place", F.col("at") + F.col("offset")).drop("at", "offset"), path
+
+
+def numbered(rows: DataFrame, key: str, deal: list, order: list, keep: list) -> tuple[DataFrame, str]:
+    """keep (the key among it), with `pos`: a row's number, from 0, among its key's rows in the given order, which begins
+    with the key. A key's rows may lie in many ranges: each learns where its key began. Also the written table's path."""
+    held, path = places(rows, deal, order, keep)
+    starts = held.groupBy(key, "part").agg(F.min("place").alias("start"))
+    starts = starts.withColumn("start", F.min("start").over(W.partitionBy(key)))  # a row a range that holds the key
+    return held.join(starts, [key, "part"]).withColumn("pos", F.col("place") - F.col("start")).drop("part", "place", "start"), path

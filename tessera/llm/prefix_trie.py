@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, whole_numbers, written
+from tessera.llm.common import before, dropped, places, whole_numbers, written
 
 #: Turns of a block; rows of a join key (a power of BLOCK); ids of a chunk.
 BLOCK, FINE, IDS = 32, 32 * 32, 4096
@@ -39,22 +39,6 @@ STRETCH, STRETCHES = 10_000, 10_000
 #: Children of a node that one join key holds.
 CHILDREN = 1 << 16
 BASE, HEADS = 5, 9
-LAST_BITS = 33
-
-
-def _before(n: str) -> Column:
-    """Sum of n over the partitions before a row's, of a table with a row a partition."""
-    return F.coalesce(F.sum(n).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-
-def _places(rows: DataFrame, deal: list, order: list, keep: list) -> tuple[DataFrame, str]:
-    """keep, with `part` (the range a row lies in) and `place` (from 0, in the order of all), as a written table."""
-    held, path = written(rows.repartitionByRange(*deal).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("at")), "places")
-    held = held.withColumn("part", F.shiftright("at", LAST_BITS)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << LAST_BITS) - 1)))
-    sizes = held.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", _before("n").alias("offset"))  # a row a partition
-    return held.join(F.broadcast(offsets), "part").withColumn("place", F.col("at") + F.col("offset")).drop("at", "offset"), path
-
 
 def _dense(rows: DataFrame, *ties: str) -> tuple[DataFrame, str]:
     """rows (with a string column `key`) without it, with `rank`: the key's dense rank from 0. Rows of one key are spread
@@ -85,7 +69,7 @@ def _dense(rows: DataFrame, *ties: str) -> tuple[DataFrame, str]:
     goes_on = F.coalesce((F.lag("last").over(W.orderBy("part")) == F.col("first")).cast("long"), F.lit(0))
     sizes = ends.select("part", "n", goes_on.alias("on"))
     so_far = F.sum("on").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0))
-    offsets = sizes.select("part", (_before("n") - so_far - 1).alias("offset"))  # a row a partition
+    offsets = sizes.select("part", (before("n") - so_far - 1).alias("offset"))  # a row a partition
     return held.join(F.broadcast(offsets), "part").select(*names, (F.col("local") + F.col("offset")).alias("rank")), path
 
 
@@ -100,7 +84,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).where("conv_id is not null")
     token = F.substring(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), 256), 1, 24)
     order = ["conv_id", "turn", "role", F.substring("text", 1, 64), "text"]
-    held, path = _places(rows, order[:4], order, ["conv_id", token.alias("token"), F.octet_length("text").cast("long").alias("bytes")])
+    held, path = places(rows, order[:4], order, ["conv_id", token.alias("token"), F.octet_length("text").cast("long").alias("bytes")])
 
     parts = held.groupBy("conv_id", "part").agg(F.min("place").alias("start"), F.count("*").alias("n"))
     sizes = parts.groupBy("conv_id").agg(F.min("start").alias("start"), F.sum("n").alias("n"))
@@ -129,8 +113,8 @@ def _ranked(turns: DataFrame, block: int) -> tuple[DataFrame, str]:
     while unit < longest:
         token = F.lpad(F.hex("rank"), 16, "0")
         units = ranks.groupBy("conv_id", index(unit).alias("unit")).agg(F.max(F.when(F.col("d") % unit == 0, token)).alias("token"))
-        before = W.partitionBy("conv_id", F.floor(F.col("unit") / block)).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
-        heads = units.select("conv_id", "unit", F.array_join(F.collect_list("token").over(before), "").alias("head"))
+        above = W.partitionBy("conv_id", F.floor(F.col("unit") / block)).orderBy("unit").rowsBetween(W.unboundedPreceding, -1)
+        heads = units.select("conv_id", "unit", F.array_join(F.collect_list("token").over(above), "").alias("head"))
         fine = min(unit, FINE)  # a join key has so many rows at most
         heads = heads.select("conv_id", "head", F.explode(F.sequence(F.col("unit") * (unit // fine), F.col("unit") * (unit // fine) + (unit // fine - 1))).alias("fine"))
         keyed = ranks.withColumn("fine", index(fine)).join(heads, ["conv_id", "fine"]).withColumn("key", F.concat("head", token))
@@ -163,9 +147,9 @@ def _summed(nodes: DataFrame) -> DataFrame:
     own = nodes.withColumn("own_leaf", (F.col("end") == F.col("rank")).cast("long")).withColumn("own_saved", (F.col("n_convs") - 1) * F.col("bytes"))
     most = nodes.agg(F.max("rank")).first()[0] or 0
     own = own.withColumn("stretch", F.floor(F.col("rank") / max(STRETCH, -(-most // STRETCHES))))
-    along, before = W.partitionBy("stretch").orderBy("rank"), W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    along, earlier = W.partitionBy("stretch").orderBy("rank"), W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
     sums = own.groupBy("stretch").agg(F.sum("own_leaf").alias("l"), F.sum("own_saved").alias("s"))
-    offsets = sums.select("stretch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ls"])  # STRETCHES rows and one at most
+    offsets = sums.select("stretch", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "ls"])  # STRETCHES rows and one at most
     return own.join(F.broadcast(offsets), "stretch").select(
         *nodes.columns, "own_leaf", "own_saved", (F.sum("own_leaf").over(along) + F.col("l0")).alias("leaves"), (F.sum("own_saved").over(along) + F.col("s0")).alias("saved")
     )
@@ -202,10 +186,10 @@ def prefix_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     turns = whole_numbers(conversations, conv_col).select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")
     )
-    built, convs, places = rebuilt(turns)
+    built, convs, turns_path = rebuilt(turns)
     convs, _ = written(convs, "convs")
     ranks, _ = _ranked(built, block)
-    dropped(turns.sparkSession, places)
+    dropped(turns.sparkSession, turns_path)
     nodes, _ = written(_nodes(ranks, convs, block), "nodes")
     members = ranks.where("d = length").select("rank", "conv_id").unionByName(convs.where("length = 0").select(F.lit(0).cast("long").alias("rank"), "conv_id"))
 

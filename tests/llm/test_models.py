@@ -406,10 +406,12 @@ def test_language(spark):
     speech = {"aa": ["kova", "lanu", "mira"], "bb": ["schtz", "grumpf", "wort"], "cc": ["été", "ñandú", "où"]}
     rows = [(i, " ".join(r.choice(speech[x]) for _ in range(30)) + ".", x) for i in range(90) for x in [r.choice(sorted(speech))]]
     docs = spark.createDataFrame(rows + [(200, None, "aa"), (201, " 12 !", "bb"), (202, "", None), (None, "kova", None)], "doc_id long, text string, lang string")
-    profiles = langid.fit(docs, F.col("doc_id") % 2 == 0)
-    got = {x["doc_id"]: x for x in langid.identify(docs, profiles).collect()}
+    learnt = langid.fit(docs, F.col("doc_id") % 2 == 0)
+    got = {x["doc_id"]: x for x in langid.identify(docs, learnt).collect()}
+    (profiles,) = learnt.groups()
     assert all(got[i]["lang_pred"] == x for i, _, x in rows) and all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (200, 201, 202))
-    assert langid.fit(docs.limit(0), F.lit(True)).predict("kova") == ("und", 0.0)
+    (nothing,) = langid.fit(docs.limit(0), F.lit(True)).groups()
+    assert nothing.predict("kova") == ("und", 0.0)
     # counts and distances against plain Python
     text = "Kova, ñ kova!"
     padded = "_kova_ñ_kova_"
@@ -420,11 +422,29 @@ def test_language(spark):
     top = langid.ranked(keys, counts, profiles.most).tolist()
     costs = []
     for j in range(len(profiles.langs)):
-        rank = {int(k): int(v) for k, v in zip(profiles.keys, profiles.ranks[:-1, j]) if v >= 0}
+        rank = {int(k): int(v) for k, v in zip(profiles.tables[0][0], profiles.tables[0][1][:-1, j]) if v >= 0}
         costs.append(sum(abs(rank[k] - p) if k in rank else profiles.most for p, k in enumerate(top)))
     assert profiles.predict(text)[0] == profiles.langs[int(np.argmin(costs))]
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    """Groups and tables of languages, held against the texts one after another, predict what one group does."""
+    letters = [chr(0x4E00 + i) for i in range(1001)]
+    rows = [(i, f"{c}{c} common {c} word {c}{c}{c}", f"l{i:04}") for i, c in enumerate(letters)]
+    rows += [(5000, "a" * 200_000, None), (5001, None, None), (5001, "12", None), (None, letters[3], None), (None, letters[3], None)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, total string, cost int")
+    one = langid.identify(docs, langid.fit(docs, F.lit(True))).collect()
+    monkeypatch.setattr(langid, "GROUP", 300)
+    learnt = langid.fit(docs, F.lit(True))
+    assert learnt.parts == 4
+    many = langid.identify(docs, learnt).collect()
+    key = lambda x: (x["doc_id"] or -1, x["lang_pred"], round(x["score"], 9))
+    assert sorted(map(key, one)) == sorted(map(key, many))
+    got = {x["doc_id"]: x["lang_pred"] for x in many if x["doc_id"] is not None}
+    assert all(got[i] == lang for i, _, lang in rows[:1001]) and got[5001] == "und" and len(many) == len(rows)
+    assert [x["lang_pred"] for x in many if x["doc_id"] is None] == ["l0003"] * 2
+
+
 def test_fits_are_bounded(spark, monkeypatch):
     """One id repeated very often is learnt once."""
     docs = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words number "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
@@ -438,7 +458,8 @@ def test_fits_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity.Network, "learn", lambda self, t, c: learnt.append((len(t), len(c))) or self)
     toxicity.fit(docs, labels, F.lit(True), toxic=3, clean=10)
     assert learnt == [(3, 10)]
-    assert set(langid.fit(docs, F.lit(True), sample=5).langs) == {"aa", "bb"}
+    (profiles,) = langid.fit(docs, F.lit(True), sample=5).groups()
+    assert set(profiles.langs) == {"aa", "bb"}
 
 
 def test_stages_on_odd_rows(spark, data):

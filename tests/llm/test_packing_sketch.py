@@ -1,6 +1,7 @@
 """Packing, fingerprints and chat formatting."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -153,9 +154,40 @@ def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "he<|end|>y"), (1, 2, None, None), (2, 0, "system", "be kind"), (3, 5, "ann", "a"), (3, 5, "ann", "a"), (3, None, "bob", "b"), (None, 0, "user", "x"), (4, 70, "ann", "late"), (4, 0, "bob", "early")]
     out = chat.rotate(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn int, role string, text string, mask string")).collect()
     by = {(r["conv_id"], r["speaker"], r["block"]): r for r in out}
-    assert set(by) == {(1, s, 0) for s in ("user", "assistant", "unknown")} | {(3, s, b) for s in ("ann", "bob") for b in (0, -1)} | {(4, s, b) for s in ("ann", "bob") for b in (0, 1)}
+    assert set(by) == {(1, s, 0) for s in ("user", "assistant", "unknown")} | {(c, s, 0) for c in (3, 4) for s in ("ann", "bob")}
     r = by[(1, "assistant", 0)]
     assert r["rendered"] == "<|start|>user name=user\nhi<|end|>\n<|start|>assistant\nhe< |end|>y<|end|>\n<|start|>user name=unknown\n<|end|>\n"
     a, b = map(int, r["mask"].split("-"))
-    assert r["rendered"][a:b] == "he< |end|>y<|end|>\n" and by[(3, "ann", 0)]["n_turns"] == 2
+    assert r["rendered"][a:b] == "he< |end|>y<|end|>\n" and by[(3, "ann", 0)]["n_turns"] == 3
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_chat_blocks_are_bounded(spark):
+    """A long conversation, most of whose turns have no number or the same one, in blocks of 64 turns at most."""
+    from pyspark.sql import functions as F
+
+    turns = spark.range(100_000).select(F.lit(7).cast("long").alias("conv_id"), F.when(F.col("id") > 99_000, F.lit(3)).alias("turn"), F.when(F.col("id") % 2 == 0, "ann").otherwise("bob").alias("role"), F.col("id").cast("string").alias("text"))
+    out = chat.rotate(turns).select("speaker", "block", "n_turns", F.length("rendered").alias("n")).collect()
+    assert max(r["n_turns"] for r in out) == 64 and len(out) == 2 * -(-100_000 // 64)
+    for s in ("ann", "bob"):
+        assert sum(r["n_turns"] for r in out if r["speaker"] == s) == 100_000
+
+
+def test_chat_equals_plain_python(spark):
+    r = random.Random(4)
+    rows = [(c, r.choice([None, t, t // 3]), r.choice(["ann", "bob", "system", None]), r.choice(["a", "", None, "<|x", "é𝒳"])) for c in range(12) for t in range(r.choice([1, 3, 20]))]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)
+    want = {}
+    for c in range(12):
+        turns = sorted(((t is not None, t or 0, role or "unknown", (text or "").replace("<|", "< |")) for k, t, role, text in rows if k == c))
+        for s in {t[2] for t in turns} - {"system"}:
+            for block in range(-(-len(turns) // 8)):
+                text, mask = "", []
+                for *_, role, said in turns[8 * block : 8 * block + 8]:
+                    text += "<|start|>" + ("assistant" if role == s else role if role == "system" else f"user name={role}") + "\n"
+                    at = len(text)
+                    text += said + "<|end|>\n"
+                    mask += [f"{at}-{len(text)}"] if role == s else []
+                want[c, s, block] = (text, ",".join(mask))
+    got = {(x["conv_id"], x["speaker"], x["block"]): (x["rendered"], x["mask"]) for x in chat.rotate(table, per_block=8).collect()}
+    assert got == want
