@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_RUN = r"[\p{L}\p{M}\p{N}_]+"
-TOKEN = r"^[a-z0-9]{2,}$"
+WORD_PART = r"[\p{L}\p{M}\p{N}_]"
+TOKEN = rf"(?<!{WORD_PART})[a-z0-9]{{2,}}+(?!{WORD_PART})"
 WIKI_LINK = r"\[\[([^|\]]+)(?:\|[^\]]+)?\]\]"
 RAW_LINK = r"\[\[([^\]]+)\]\]"
 EMBED = r"!\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
@@ -27,7 +27,7 @@ _TEMPORAL = rf"\b({'|'.join(TEMPORAL)})\b"
 def tokens(text: Column) -> Column:
     """Lower-cased words of two or more of a-z and 0-9, in order, with repeats. A word is a run of letters, marks, digits
     and underscores; runs that hold anything else are no tokens."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD_RUN), F.lit(0)), lambda w: w.rlike(TOKEN))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -2,36 +2,54 @@
 
 Score of a page: the sum over query tokens (repeats count) of tf / max(word_count, 1) / (1 + df), where titles weigh
 three times and df counts pages of all domains. Ties (at 12 decimals) go to the least page id.
+
+The stored index is a versioned set of tables (sources/versions.py). Its postings lie in blocks: a row holds a term's
+postings of one range of pages, with their domain and word count inside and their greatest impact (tf / word_count) beside.
+Ranges are classes of like word counts, cut by the hash of the page, and the same for all terms; so what the terms of a
+query can add up to in a range is known from the blocks' heads alone. A search reads the heads, scores the ranges of
+greatest bounds, and then only those whose bound reaches the worst of the best so far. Pages are joined for the rows that
+are returned.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import versions
 
 TITLE_WEIGHT = 3
 
 
 def _counted(pages: DataFrame) -> DataFrame:
-    """page_id, title, domain and the tokens of title (t) and body (b). inline() keeps what is extracted in one place: a
-    projection could be merged into those above and be computed for each use."""
+    """page_id, title, domain, words: the tokens of the title TITLE_WEIGHT times and those of the body. inline() keeps what
+    is extracted in one place: a projection could be merged into those above and be computed for each use."""
     title, body = T.tokens(F.coalesce("title", F.lit(""))), T.tokens(F.coalesce("body", F.lit("")))
-    return pages.select("page_id", "title", "domain", F.inline(F.array(F.struct(title.alias("t"), body.alias("b")))))
+    held = pages.select("page_id", "title", "domain", F.inline(F.array(F.struct(title.alias("t"), body.alias("b")))))
+    return held.select("page_id", "title", "domain", F.concat(*[F.col("t")] * TITLE_WEIGHT, F.col("b")).alias("words"))
+
+
+def _term_counts(words: Column) -> Column:
+    """(term, tf) of an array of tokens: counted in place, by the ends of runs of the sorted array."""
+    held = F.sort_array(words)
+    ends = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: ~F.coalesce(F.get(w, i) == F.get(w, i + 1), F.lit(False)))
+    counted = F.transform(F.array(held), lambda w: F.transform(ends(w), lambda i: F.struct(F.get(w, i).alias("term"), i.alias("end"))))[0]
+    tf = lambda c: F.transform(c, lambda x, i: F.struct(x["term"].alias("term"), (x["end"] - F.coalesce(F.get(c, i - 1)["end"], F.lit(-1))).cast("long").alias("tf")))
+    return F.when(F.size(words) > 0, F.transform(F.array(counted), tf)[0])
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """page_id, term, tf: counted within each page by two explodes that aggregate before the shuffle."""
-    c = _counted(pages)
-    rows = c.select("page_id", F.explode("t").alias("term"), F.lit(TITLE_WEIGHT).alias("w")).unionByName(c.select("page_id", F.explode("b").alias("term"), F.lit(1).alias("w")))
-    return rows.groupBy("page_id", "term").agg(F.sum("w").alias("tf"))
+    """page_id, term, tf: counted within each page, without a shuffle."""
+    return _counted(pages).select("page_id", F.inline(_term_counts(F.col("words"))))
 
 
 def documents(pages: DataFrame) -> DataFrame:
-    return _counted(pages).select("page_id", "title", "domain", (F.size("t") * TITLE_WEIGHT + F.size("b")).cast("long").alias("word_count"))
+    return _counted(pages).select("page_id", "title", "domain", F.size("words").cast("long").alias("word_count"))
 
 
 def term_df(posted: DataFrame) -> DataFrame:
@@ -44,13 +62,12 @@ def query_tokens(query: str) -> list[str]:
 
 def _hits(pages: DataFrame, terms: list[str]) -> DataFrame:
     """page_id, title, domain, wc and tf0, tf1, ... of the pages that hold a term. One scan, tokens extracted once."""
-    c = _counted(pages)
     own = F.array(*[F.lit(t) for t in terms])
-    place = lambda words: F.filter(F.transform(words, lambda w: F.array_position(own, w)), lambda i: i > 0)
-    held = c.select("page_id", "title", "domain", F.inline(F.array(F.struct((F.size("t") * TITLE_WEIGHT + F.size("b")).alias("wc"), place(F.col("t")).alias("t"), place(F.col("b")).alias("b")))))
-    count = lambda words, i: F.size(F.filter(words, lambda x: x == i + 1))
-    tf = [(count("t", i) * TITLE_WEIGHT + count("b", i)).cast("long").alias(f"tf{i}") for i in range(len(terms))]
-    return held.where((F.size("t") > 0) | (F.size("b") > 0)).select("page_id", "title", "domain", "wc", *tf)
+    found = F.filter("words", lambda w: F.array_contains(own, w))
+    held = _counted(pages).select("page_id", "title", "domain", F.inline(F.array(F.struct(F.size("words").alias("wc"), found.alias("found")))))
+    count = lambda t: F.size(F.filter("found", lambda w: w == t)).cast("long")
+    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
+    return held.where(F.size("found") > 0).select("page_id", "title", "domain", "wc", *tf)
 
 
 def search(pages: DataFrame, query: str, domain: str | None = None, limit: int = 10) -> DataFrame:
@@ -80,47 +97,153 @@ def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10
 
 
 # a stored index ------------------------------------------------------------------------------------------------------
-BUCKETS = 64
+#: Pages that a block aims at; text characters that one file of one bucket aims at; the most buckets.
+BLOCK_PAGES, FILE_CHARS, BUCKETS = 4096, 1 << 23, 1024
+#: Blocks that are scored without a look at their bounds; ranges that are scored first where there are more.
+FEW, FIRST = 1000, 8
+#: Ranges that are broadcast; more are joined.
+MOST = 100_000
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return (F.crc32(term) % buckets).cast("int")
+
+
+def _layout(pages: DataFrame) -> tuple[int, int, int]:
+    """(buckets of terms, files of a bucket, parts of a word-count class): all follow the size of the text."""
+    size = pages.agg(F.count("*").alias("n"), F.sum(F.char_length("body")).alias("c")).first()
+    chars = size["c"] or 0
+    buckets = min(BUCKETS, 8 << max(0, round(math.log2(1 + chars / FILE_CHARS / 8))))
+    return buckets, max(1, round(chars / buckets / FILE_CHARS)), max(1, math.ceil(size["n"] / (8 * BLOCK_PAGES)))
+
+
+def _blocks(rows: DataFrame, layout: tuple[int, int, int]) -> DataFrame:
+    """rows: page_id, domain, wc, term, tf -> one row a term and range, sorted by term within files of buckets."""
+    buckets, files, parts = layout
+    kind = F.floor(4 * F.log2(F.greatest("wc", F.lit(1)))).cast("int")  # quarters of octaves of word counts
+    rows = rows.withColumn("range", kind * F.lit(parts) + F.pmod(F.xxhash64("page_id"), F.lit(parts)).cast("int")).withColumn("bucket", _bucket(F.col("term"), buckets))
+    # one shuffle, by bucket and file; a frequent term's ranges lie in all files of its bucket
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("range"), F.lit(files)).cast("int")).repartition(buckets * files, "bucket", "file")
+    found = dealt.groupBy("bucket", "file", "term", "range").agg(
+        F.count("*").alias("n"), F.max(F.col("tf") / F.greatest("wc", F.lit(1))).alias("impact"), F.collect_list(F.struct("page_id", "tf", "wc", "domain")).alias("postings")
+    )
+    return found.sortWithinPartitions("bucket", "term", "range").drop("file")
 
 
-def _bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def store(pages: DataFrame, path: str) -> int:
+    """Add pages to the index as one segment: tokens are extracted once and shuffled once. Pages of a later segment replace
+    those of earlier ones; write only what has changed. The new version."""
+    layout = _layout(pages)
+    rows = _counted(pages).select("page_id", "domain", F.size("words").cast("long").alias("wc"), F.inline(_term_counts(F.col("words"))))
+    return _append(pages, path, _blocks(rows, layout), layout[0], pages.select("page_id", "title", "domain", F.lit(False).alias("gone")))
 
 
-def store(pages: DataFrame, path: str, segment: int = 0) -> None:
-    """Write the index of pages as one segment: postings by bucket of their term, so that a query reads the buckets of its
-    terms alone, and documents. Pages of a later segment replace those of earlier ones; write only what has changed."""
-    posted = postings(pages).withColumn("bucket", _bucket("term"))
-    parted = posted.repartition("bucket", F.pmod(F.xxhash64("page_id"), F.lit(4))).sortWithinPartitions("bucket", "term")
-    parted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
-    documents(pages).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
+def _append(df: DataFrame, path: str, blocks: DataFrame | None, buckets: int, docs: DataFrame) -> int:
+    spark, base = df.sparkSession, versions.current(df.sparkSession, path)
+    held = versions.manifest(spark, path, base)
+    staged = versions.stage(blocks, path, f"blocks-{buckets}", ("bucket",)) if blocks is not None else "none"
+    new = {"blocks": staged, "documents": versions.stage(docs, path, "documents")}
+    return versions.switch(spark, path, {t: [*held.get(t, []), new[t]] for t in new}, base)
 
 
-def store_removed(gone: DataFrame, path: str, segment: int) -> None:
+def store_removed(gone: DataFrame, path: str) -> int:
     """A segment that takes the pages of `gone` (page_id) out of the index."""
-    spark = gone.sparkSession
-    schema = spark.read.parquet(f"{path}/documents").drop("segment").schema
-    rows = gone.select("page_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name not in ("page_id", "gone")], F.lit(True).alias("gone"))
-    rows.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
-
-
-def stored(spark: SparkSession, path: str, query: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, documents) of a stored index, of each page's last segment; with a query, only postings of its terms."""
-    every = spark.read.parquet(f"{path}/documents")
-    posted = spark.read.parquet(f"{path}/postings")
-    if query is not None:
-        terms = sorted(set(query_tokens(query)))
-        named = spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in terms] or [F.lit(None).cast("string")])).alias("t"))
-        buckets = [r["b"] for r in named.select(_bucket("t").alias("b")).distinct().collect()]  # the query's words
-        posted = posted.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    if every.select("segment").distinct().count() > 1:
-        last = every.groupBy("page_id").agg(F.max("segment").alias("segment"))
-        docs = every.join(last, ["page_id", "segment"]).where("not gone")
-        posted = posted.join(docs.select("page_id", "segment"), ["page_id", "segment"], "left_semi")
-        return posted.select("page_id", "term", "tf"), docs.drop("gone", "segment")
-    return posted.select("page_id", "term", "tf"), every.where("not gone").drop("gone", "segment")
+    text = F.lit(None).cast("string")
+    return _append(gone, path, None, 0, gone.select("page_id", text.alias("title"), text.alias("domain"), F.lit(True).alias("gone")))
+
+
+def _documents(spark: SparkSession, held: dict) -> DataFrame:
+    """page_id, title, domain, gone, segment of all segments."""
+    out = None
+    for i, p in enumerate(held["documents"]):
+        rows = spark.read.parquet(p).withColumn("segment", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _heads(spark: SparkSession, held: dict, terms: list[str] | None) -> DataFrame:
+    """segment, term, range, n, impact, postings of the segments' blocks; with terms, of their buckets alone."""
+    out = None
+    for i, p in enumerate(held["blocks"]):
+        if p == "none":
+            continue
+        read = spark.read.option("basePath", p)
+        if terms is not None:
+            buckets = int(re.search(r"/blocks-(\d+)-", p)[1])
+            own = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
+            rows = read.parquet(p).where(F.col("bucket").isin(own) & F.col("term").isin(terms))
+        else:
+            rows = read.parquet(p)
+        rows = rows.select(F.lit(i).alias("segment"), "term", "range", "n", "impact", "postings")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _live(spark: SparkSession, held: dict) -> DataFrame | None:
+    """page_id, segment of the pages as they are now; None if there is one segment, whose pages all are."""
+    if len(held["documents"]) == 1:
+        return None
+    last = _documents(spark, held).groupBy("page_id").agg(F.max_by(F.struct("segment", "gone"), "segment").alias("x"))
+    return last.where("not x.gone").select("page_id", "x.segment")
+
+
+def _opened(heads: DataFrame, live: DataFrame | None) -> DataFrame:
+    """term, page_id, tf, wc, domain of the blocks' live postings."""
+    rows = heads.select("segment", "term", F.inline("postings"))
+    return (rows if live is None else rows.join(live, ["page_id", "segment"], "left_semi")).select("term", "page_id", "tf", "wc", "domain")
+
+
+def stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, documents) of a stored index, of each page's last segment."""
+    held = versions.manifest(spark, path)
+    live, docs = _live(spark, held), _documents(spark, held)
+    docs = docs.where("not gone") if live is None else docs.join(live, ["page_id", "segment"], "left_semi")
+    return _opened(_heads(spark, held, None), live), docs.select("page_id", "title", "domain")
+
+
+def compacted(spark: SparkSession, path: str) -> int:
+    """Merge the segments into one that holds the live pages alone, as a new version: readers see the old one or the new."""
+    base = versions.current(spark, path)
+    held = versions.manifest(spark, path, base)
+    rows, docs = stored(spark, path)
+    buckets = max([8, *(int(re.search(r"/blocks-(\d+)-", p)[1]) for p in held["blocks"] if p != "none")])
+    n = docs.count()
+    layout = buckets, max(1, round(sum(p != "none" for p in held["blocks"]) ** 0.5)), max(1, math.ceil(n / (8 * BLOCK_PAGES)))
+    blocks = versions.stage(_blocks(rows, layout), path, f"blocks-{buckets}", ("bucket",))
+    staged = versions.stage(docs.withColumn("gone", F.lit(False)), path, "documents")
+    return versions.switch(spark, path, {"blocks": [blocks], "documents": [staged]}, base)
 
 
 def search_stored(spark: SparkSession, path: str, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
     """search() over a stored index."""
-    return search_index(*stored(spark, path, query), query, limit, domain)
+    wanted, held = query_tokens(query), versions.manifest(spark, path)
+    docs, terms = _documents(spark, held), sorted(set(wanted))
+    live = _live(spark, held)
+    if live is not None:
+        docs = docs.join(live, ["page_id", "segment"], "left_semi")
+    if not terms or all(p == "none" for p in held["blocks"]):
+        return docs.limit(0).select("page_id", "title", "domain", F.lit(0.0).alias("score"))
+    heads = _heads(spark, held, terms)
+    counts = heads.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("blocks")).collect()  # the query's words
+    df, blocks = {r["term"]: r["df"] for r in counts}, sum(r["blocks"] for r in counts)
+    if live is not None:
+        df = {r["term"]: r["df"] for r in _opened(heads, live).groupBy("term").agg(F.count("*").alias("df")).collect()}
+    if not df:
+        return docs.limit(0).select("page_id", "title", "domain", F.lit(0.0).alias("score"))
+    weight = F.element_at(F.create_map(*[x for t, n in df.items() for x in (F.lit(t), F.lit(wanted.count(t) / (1.0 + n)))]), F.col("term"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        rows = _opened(some, live)
+        rows = rows if domain is None else rows.where(F.col("domain") == domain)
+        sums = rows.groupBy("page_id").agg(F.sum(F.col("tf") / F.greatest("wc", F.lit(1)) * weight).alias("score"))
+        return sums.orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
+
+    if blocks > FEW:  # what a page of a range can score at most: the greatest impact of each term there
+        bounds = heads.groupBy("range", "term").agg(F.max("impact").alias("impact")).groupBy("range").agg(F.sum(F.col("impact") * weight).alias("bound"))
+        first = [r["range"] for r in bounds.orderBy(F.desc("bound")).limit(FIRST).collect()]
+        best = scored(heads.where(F.col("range").isin(first))).collect()
+        if len(best) == limit:  # no range below the worst of these can add a page
+            enough = bounds.where(F.col("bound") >= best[-1]["score"] - 1e-9).select("range")
+            heads = heads.join(F.broadcast(enough) if enough.count() <= MOST else enough, "range", "left_semi")
+    top = scored(heads)
+    return top.join(docs.select("page_id", "title", "domain"), "page_id").select("page_id", "title", "domain", "score").orderBy(F.desc(F.round("score", 12)), "page_id")

@@ -67,19 +67,31 @@ def _(spark, d):
 _stored: dict = {}
 
 
+def shared_path(spark, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, else in the warehouse; a local session may use its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
 def stored_index(spark, d) -> str:
-    """Where the index of the pages is stored; written once a session."""
-    key = (spark.sparkContext.applicationId, d)
+    """Where the index of the pages is stored; written once a session and state of the files that it was made from."""
+    files = [f"{s.getPath()} {s.getModificationTime()} {s.getLen()}" for t in ("documents", "labels") for s in _listed(spark, f"{d}/{t}.parquet")]
+    key = (spark.sparkContext.applicationId, *files)
     if key not in _stored:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:  # the warehouse is shared; a local session has no need of it
-            local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-            base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-        _stored[key] = f"{base.rstrip('/')}/tessera-index-{uuid.uuid4().hex}"
-        fulltext.store(S.pages(spark, d), _stored[key])
+        path = shared_path(spark, "index")
+        fulltext.store(S.pages(spark, d), path)
+        _stored[key] = path
     return _stored[key]
 
 
+def _listed(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+
+
 @register("fulltext_store", f"{PAGES},{POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM post_ GROUP BY 1")
 def _(spark, d):
     posted, _ = fulltext.stored(spark, stored_index(spark, d))

@@ -20,9 +20,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer splits than the session has cores (one row group is one task, however long its texts
+    are) is dealt out first. Larger ones are read as they lie."""
+    d, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document. Times are made from the id, so that every age occurs; kinds and summaries too."""
-    d = read(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     marks = read(spark, sf_dir, "labels").select("doc_id", "quality")
     i = F.col("doc_id")
     created = F.date_add(F.lit("2023-06-01").cast("date"), (i % 360).cast("int")).cast("timestamp_ntz")
@@ -102,7 +109,7 @@ edges_ AS (
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of at least three words, with a confidence made from their length, numbered within their page."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"[.!?]\s+")).alias("claim_no", "text"))
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", r"[.!?]\s+")).alias("claim_no", "text"))
     return d.select("page_id", F.col("claim_no").cast("long").alias("claim_no"), F.trim("text").alias("text")).where(T.word_count(F.col("text")) >= 3).withColumn(
         "confidence", (F.char_length("text") % 50) / 50.0
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, records
 from tessera.plans import registry
-from tessera.sources import pagefiles
+from tessera.sources import pagefiles, versions
 from tessera.streaming import inbox
 
 PAGE = "page_id string, kind string, title string, domain string, tags array<string>, summary string, source string, confidence double, created timestamp_ntz, updated timestamp_ntz, body string"
@@ -197,12 +197,52 @@ def test_stored_index_follows_changes(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     fulltext.store(spark.createDataFrame([page("p", "Python", "python code"), page("q", "Other", "python here"), page("r", "Rust", "rust")], PAGE), path)
     best = lambda q, **k: [r["page_id"] for r in fulltext.search_stored(spark, path, q, **k).collect()]
-    assert best("python") == ["p", "q"] and best("") == [] and best("python", domain="none") == []
-    fulltext.store(spark.createDataFrame([page("q", "Python Python", "python"), page("r", "Go", "python")], PAGE), path, 1)
-    fulltext.store_removed(spark.createDataFrame([("p",)], "page_id string"), path, 2)
+    assert best("python") == ["p", "q"] and best("") == [] and best("python", domain="none") == [] and best("nothing") == []
+    fulltext.store(spark.createDataFrame([page("q", "Python Python", "python"), page("r", "Go", "python")], PAGE), path)
+    assert fulltext.store_removed(spark.createDataFrame([("p",)], "page_id string"), path) == 3
     now = spark.createDataFrame([page("q", "Python Python", "python"), page("r", "Go", "python")], PAGE)
-    assert [(r["page_id"], round(r["score"], 9)) for r in fulltext.search_stored(spark, path, "python").collect()] == [(r["page_id"], round(r["score"], 9)) for r in fulltext.search(now, "python").collect()]
-    assert best("rust") == []
+    rows = lambda df: [(r["page_id"], r["title"], round(r["score"], 9)) for r in df.collect()]
+    want = rows(fulltext.search(now, "python"))
+    assert rows(fulltext.search_stored(spark, path, "python")) == want and best("rust") == []
+    fulltext.compacted(spark, path)
+    assert len(versions.manifest(spark, path)["blocks"]) == 1 and rows(fulltext.search_stored(spark, path, "python")) == want and best("rust") == []
+    assert versions.vacuum(spark, path) == 5 and rows(fulltext.search_stored(spark, path, "python")) == want
+
+
+def test_search_that_skips_blocks(spark, tmp_path, monkeypatch):
+    """The best pages of any query and domain are those of a full scan, though most ranges are never opened."""
+    import random
+
+    monkeypatch.setattr(fulltext, "BLOCK_PAGES", 4)
+    monkeypatch.setattr(fulltext, "FIRST", 2)
+    monkeypatch.setattr(fulltext, "FEW", 5)
+    r = random.Random(6)
+    words = [f"w{min(int(r.expovariate(0.2)), 60)}" for _ in range(300)]
+    rows = [page(f"p{i:04}", " ".join(r.choices(words, k=2)), " ".join(r.choices(words, k=r.choice([3, 10, 40, 400]))), domain=f"d{i % 3}") for i in range(600)]
+    pages = spark.createDataFrame(rows + [page("none", None, None)], PAGE)
+    path = f"file://{tmp_path}/index"
+    fulltext.store(pages, path)
+    got = lambda df: [(x["page_id"], round(x["score"], 9)) for x in df.collect()]
+    for q in ("w1", "w0 w5 w5", "w40 w41 w2", "w60", "w7 absent"):
+        for d in (None, "d1"):
+            assert got(fulltext.search_stored(spark, path, q, 7, d)) == got(fulltext.search(pages, q, d, 7)), (q, d)
+    posted, docs = fulltext.stored(spark, path)
+    assert sorted(map(tuple, posted.select("page_id", "term", "tf").collect())) == sorted(map(tuple, fulltext.postings(pages).collect())) and docs.count() == 601
+
+
+def test_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    df = lambda *x: spark.createDataFrame([(i,) for i in x], "i int")
+    got = lambda v=None, t="a": sorted(x["i"] for x in versions.read(spark, root, t, v).collect())
+    assert versions.current(spark, root) == 0 and versions.commit(spark, root, {"a": df(1), "b": df(5)}) == 1
+    assert versions.commit(spark, root, {"a": df(1, 2)}) == 2 and got() == [1, 2] and got(1) == [1] and got(t="b") == [5]
+    with pytest.raises(RuntimeError):  # another writer of the same version was first
+        versions.switch(spark, root, {}, 1)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):  # one of two tables fails: neither is replaced
+        versions.commit(spark, root, {"a": df(9), "b": spark.range(1).select((F.lit(1) / F.col("id")).alias("i"))})
+    assert got() == [1, 2] and got(t="b") == [5]
+    assert versions.rollback(spark, root, 1) == 3 and got() == [1] and got(2) == [1, 2]
+    assert versions.vacuum(spark, root) >= 2 and got() == [1] and versions.current(spark, root) == 3
 
 
 def test_records(spark):
