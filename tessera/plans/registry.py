@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import text as T
 from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, records
 from tessera.sources import pagefiles
@@ -67,21 +65,12 @@ def _(spark, d):
 _stored: dict = {}
 
 
-def shared_path(spark, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, else in the warehouse; a local session may use its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
-
-
 def stored_index(spark, d) -> str:
     """Where the index of the pages is stored; written once a session and state of the files that it was made from."""
     files = [f"{s.getPath()} {s.getModificationTime()} {s.getLen()}" for t in ("documents", "labels") for s in _listed(spark, f"{d}/{t}.parquet")]
     key = (spark.sparkContext.applicationId, *files)
     if key not in _stored:
-        path = shared_path(spark, "index")
+        path = scratch.shared_path(spark, "index")
         fulltext.store(S.pages(spark, d), path)
         _stored[key] = path
     return _stored[key]
@@ -717,6 +706,12 @@ def _(spark, d):
     return pagefiles.with_ids(p).select("path", "page_id")
 
 
+@register("slug_id_totals", f"{PAGES} SELECT count(*) FILTER (WHERE regexp_matches(strip_accents(title), '[a-zA-Z0-9]')) AS n_ids, count(*) FILTER (WHERE regexp_matches(strip_accents(title), '[a-zA-Z0-9]')) AS n_distinct, count(*) AS n_pages FROM pages_")
+def _(spark, d):
+    p = S.pages(spark, d).select("title", "domain", F.col("page_id").cast("string").alias("path"))
+    return pagefiles.with_ids(p).agg(F.count("page_id").alias("n_ids"), F.countDistinct("page_id").alias("n_distinct"), F.count("*").alias("n_pages"))
+
+
 @register("slug_ascii", rf"{PAGES} SELECT page_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages_")
 def _(spark, d):
     return S.pages(spark, d).select("page_id", T.slug_ascii(F.col("title")).alias("slug"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera import scratch
 from tessera.functions import text as T
 
 HEADER = r"(?s)^---[ \t]*\n(.*?)\n---[ \t]*(?:\n|$)"
@@ -235,16 +236,46 @@ def _messages(rows: DataFrame) -> DataFrame:
 
 def with_ids(pages: DataFrame, most: int = 100) -> DataFrame:
     """page_id of `{slug(domain)}-{slug(title)}` in `most` code points, without the domain if under 10 would be left for the
-    title; repeats get -2, -3 and so on, in order of title and path, and keep within `most`. (For entities the domain is
-    the entity's type, for concepts null.)"""
-    from pyspark.sql import Window as W
-
+    title. No id stands for two paths: of pages that would share one, the first in order of title and path keeps it; the
+    others try -2, -3 and so on (within `most`), and go on where a number is another page's id, until none repeats. (For
+    entities the domain is the entity's type, for concepts null.) A path is one page; pages without a slug have no id."""
     domain = T.slugify(F.col("domain"))
     room = F.lit(most) - F.char_length(domain) - 1
     cut = F.rtrim(F.substring(F.col("__s"), F.lit(1), room), F.lit("-"))
     named = F.coalesce(F.when((F.col("domain") != "") & (room >= 10), F.concat_ws("-", domain, cut)), F.col("__s"))
-    base = pages.withColumn("__s", T.slugify(F.col("title"), most)).withColumn("__b", named)
-    n = F.row_number().over(W.partitionBy("__b").orderBy("title", "path"))
-    more = F.concat(F.lit("-"), n.cast("string"))
-    numbered = F.concat(F.substring(F.col("__b"), F.lit(1), F.lit(most) - F.char_length(more)), more)
-    return base.withColumn("page_id", F.when(F.col("__s") == "", None).when(n == 1, F.col("__b")).otherwise(numbered)).drop("__s", "__b")
+    first = pages.groupBy("path").agg(F.min(F.struct("title", "domain")).alias("x")).select("path", "x.*")
+    named = first.withColumn("__s", T.slugify(F.col("title"), most)).where("__s != ''").select("path", F.coalesce("title", F.lit("")).alias("title"), named.alias("base"))
+    ids, _ = unique_ids(named, most)
+    return pages.join(ids, "path", "left")
+
+
+def unique_ids(named: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """named: path, title, base -> (path, page_id), each id once; and the rounds that it took. In each round the pages of a
+    base that have no id yet try the numbers that follow the last one tried for it. A number that is taken, or that a page
+    of a lesser base tries as well, is given up for the next round."""
+    spark = named.sparkSession
+    rows, path = scratch.numbered(named, "base", "title", "path")
+    waiting, rounds = rows.select("path", "base", "n", F.lit(0).cast("long").alias("skipped")), 0
+    taken = []
+    while True:
+        more = F.concat(F.lit("-"), (F.col("n") + F.col("skipped")).cast("string"))
+        tried = F.when(F.col("n") + F.col("skipped") == 1, F.col("base")).otherwise(F.concat(F.substring(F.col("base"), F.lit(1), F.lit(most) - F.char_length(more)), more))
+        trying = waiting.withColumn("page_id", tried)
+        one = F.struct((F.col("n") + F.col("skipped") != 1).alias("numbered"), "base", "n", "path")
+        won = trying.groupBy("page_id").agg(F.min(one).alias("x")).select("page_id", "x.path")
+        for old in taken:
+            won = won.join(old.select("page_id"), "page_id", "left_anti")
+        won, _ = scratch.written(won, "ids")
+        taken.append(won)
+        rounds += 1
+        lost = trying.join(won.select("path"), "path", "left_anti")
+        if not lost.limit(1).count():
+            break
+        last = trying.groupBy("base").agg(F.max(F.col("n") + F.col("skipped")).alias("last"))
+        left, _ = scratch.numbered(lost.select("path", "base", F.col("n").alias("place")), "base", "place")
+        waiting, _ = scratch.written(left.join(last, "base").select("path", "base", "n", F.col("last").alias("skipped")), "waiting")
+    scratch.dropped(spark, path)
+    ids = taken[0]
+    for t in taken[1:]:
+        ids = ids.unionByName(t)
+    return ids.select("path", "page_id"), rounds

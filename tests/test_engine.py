@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import text as T
 from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, records
 from tessera.plans import registry
@@ -230,6 +231,32 @@ def test_search_that_skips_blocks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, posted.select("page_id", "term", "tf").collect())) == sorted(map(tuple, fulltext.postings(pages).collect())) and docs.count() == 601
 
 
+@pytest.mark.parametrize("cell", [5, 1000])
+def test_renames_equal_all_pairs(spark, monkeypatch, cell):
+    """Names of which very many share their first three characters, in cells, against every pair."""
+    import difflib
+    import random
+
+    monkeypatch.setattr(links, "CELL", cell)
+    r = random.Random(8)
+    name = lambda: r.choice(["the", "the", "ab", "", "xyz"]) + "".join(r.choice("abcdeé-") for _ in range(r.randint(0, 12))) + r.choice(["", "", "ing"])
+    old, new = sorted({name() for _ in range(120)}), sorted({name() for _ in range(150)})
+    want, met = {}, set()
+    for a in old:
+        for b in new:
+            if a[:3] == b[:3] or a[-3:] == b[-3:]:
+                score = difflib.SequenceMatcher(None, a, b).ratio()
+                if score > 0.6:
+                    met.add((a, b))
+                    want[a] = min(want.get(a, (1, "")), (-score, b))
+    o, n = spark.createDataFrame([(x,) for x in old], "old string"), spark.createDataFrame([(x,) for x in new], "new string")
+    got = {x["old"]: (-x["ratio"], x["new"]) for x in links.detect_renames(o, n).collect()}
+    assert got == want and len(want) > 50
+    found = links.rename_candidates(o, n, 0.6).collect()
+    pairs = {(x["old"], x["new"]) for x in found}
+    assert len(pairs) == len(found) and met <= pairs and links.detect_renames(o.limit(0), n).count() == 0
+
+
 def test_versions(spark, tmp_path):
     root = f"file://{tmp_path}/v"
     df = lambda *x: spark.createDataFrame([(i,) for i in x], "i int")
@@ -317,11 +344,35 @@ def test_page_files(spark, tmp_path):
     assert [tuple(r) for r in pagefiles.transcript_meta(m).orderBy("path").collect()] == [("a", 2, "s", "unknown"), ("b", 1, None, "unknown")]
 
 
+def ids_of(spark, rows, most):
+    p = pagefiles.with_ids(spark.createDataFrame(rows, "path string, domain string, title string"), most)
+    return {r["path"]: r["page_id"] for r in p.collect()}
+
+
 def test_ids_keep_within_their_length(spark):
     rows = [("1", "d", "x" * 30), ("2", "d", "x" * 30), ("3", "long-domain-name", "Title"), ("4", None, "Title"), ("5", "d", "!"), ("6", "", "My  Page")]
-    p = pagefiles.with_ids(spark.createDataFrame(rows, "path string, domain string, title string"), 20)
-    got = {r["path"]: r["page_id"] for r in p.collect()}
-    assert got == {"1": "d-" + "x" * 18, "2": "d-" + "x" * 16 + "-2", "3": "title", "4": "title-2", "5": None, "6": "my-page"}
+    assert ids_of(spark, rows, 20) == {"1": "d-" + "x" * 18, "2": "d-" + "x" * 16 + "-2", "3": "title", "4": "title-2", "5": None, "6": "my-page"}
+
+
+def test_ids_never_repeat(spark):
+    """A numbered id that is another page's own, or that two bases come to, moves on."""
+    assert ids_of(spark, [("1", "d", "A"), ("2", "d", "A"), ("3", "d", "A 2"), ("4", "d", "A"), ("5", "d", "A 3")], 100) == {"1": "d-a", "2": "d-a-4", "3": "d-a-2", "4": "d-a-5", "5": "d-a-3"}
+    rows = [(f"{i:03}", None, t) for i, t in enumerate(["a"] * 30 + [f"a {k}" for k in range(2, 20, 3)] * 3 + ["a 2 2"] * 4 + ["abcdefghijkl"] * 15 + ["abcdefghijk"] * 15 + ["abcdefghij 2"] * 3)]
+    got = ids_of(spark, rows, 12)
+    assert len(set(got.values())) == len(rows) and all(len(v) <= 12 for v in got.values())
+    first = {}
+    for path, _, title in rows:  # the first page of a base keeps it
+        first.setdefault(title.replace(" ", "-"), path)
+    assert all(got[p] == base for base, p in first.items())
+
+
+def test_numbers_of_a_key_in_many_ranges(spark):
+    rows = [("hot", i * 7 % 2000) for i in range(2000)] + [(f"k{i % 50}", i) for i in range(300)]
+    found, _ = scratch.numbered(spark.createDataFrame(rows, "k string, v long"), "k", "v")
+    want = {}
+    for k, v in sorted(rows):
+        want.setdefault(k, []).append(v)
+    assert sorted((r["k"], r["v"], r["n"]) for r in found.collect()) == sorted((k, v, n) for k, x in want.items() for n, v in enumerate(x, 1))
 
 
 def test_exports(spark):
