@@ -1,4 +1,4 @@
-"""Typed edges: edges(source, target, type, weight). Traversals join frontiers, a job a hop."""
+"""Typed edges: edges(source, target, type, weight). Traversals write a frontier a hop and join it with the edges."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import text as T
 
 
@@ -90,23 +91,48 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
 
 
+#: Parts that the edges of one node are joined in.
+SALTS = 16
+
+
+def _reached(step: DataFrame, frontier: DataFrame) -> DataFrame:
+    """node: the ends of the steps (a, b) that start in the frontier (node). A hub's steps are dealt by their ends, each
+    frontier node meets them in SALTS parts; a small frontier is broadcast by its size instead."""
+    salted = frontier.select(F.col("node").alias("a"), F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    dealt = step.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["a", "salt"]).select(F.col("b").alias("node")).distinct()
+
+
+def _tables(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def levels(edges: DataFrame, start: str, depth: int, undirected: bool, until: str | None = None) -> DataFrame:
-    """node, level: breadth-first levels from start. until: a node that is not passed through."""
+    """node, level: breadth-first levels from start. until: a node that is not passed through. Each level is written once,
+    by one scan of the edges, and read as a table from then on; a level without nodes ends the walk."""
     spark = edges.sparkSession
     step = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     if undirected:
-        step = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = step.select(F.inline(both))
     step = step.where("a != b")
     if until is not None:
         step = step.where((F.col("a") != until) & (F.col("b") != until))
-    seen = spark.createDataFrame([(start, 0)], "node string, level int")
-    edge = seen
+    seen = [spark.createDataFrame([(start, 0)], "node string, level int")]
     for level in range(1, depth + 1):
-        edge = step.join(edge.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        if level > 1:
-            edge = edge.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else edge
-        seen = seen.unionByName(edge)
-    return seen
+        found = _reached(step, seen[-1])
+        # a step leads to the same level, to the one before (if steps go both ways) or to an earlier one
+        for old in seen[-2:] if undirected else seen:
+            found = found.join(old.select("node"), "node", "left_anti")
+        now, path = scratch.written(found.withColumn("level", F.lit(level)), "level")
+        if not now.limit(1).count():
+            scratch.dropped(spark, path)
+            break
+        seen.append(now)
+    return _tables(seen)
 
 
 def neighbors(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
@@ -116,27 +142,33 @@ def neighbors(edges: DataFrame, node: str, depth: int = 1) -> DataFrame:
 
 def paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -> DataFrame:
     """path: arrays of nodes from source to target, at most max_depth hops. Every step but the last goes one breadth-first
-    level on; the last may enter the target from any reached node; parallel edges give a path each."""
+    level on; the last may enter the target from any reached node; parallel edges give a path each.
+
+    The steps between levels are one table with the number of parallel edges. It is cut from behind to those that lead to the
+    target, so paths are written out last and none of them is a dead end."""
     spark = edges.sparkSession
     if source == target:
         return spark.createDataFrame([([source],)], "path array<string>")
     at = levels(edges, source, max_depth - 1, undirected=False, until=target)
-    e = edges.select("source", "target", "type")
-    onward = (
-        e.join(at.select(F.col("node").alias("source"), F.col("level").alias("from")), "source")
-        .join(at.select(F.col("node").alias("target"), F.col("level").alias("to")), "target")
-        .where(F.col("to") == F.col("from") + 1)
-        .select(F.col("source").alias("a"), F.col("target").alias("b"))
-    )
-    last = e.where(F.col("target") == target).select(F.col("source").alias("end"))
-    walk = spark.createDataFrame([([source], source)], "path array<string>, end string")
-    out = None
-    for hop in range(max_depth):
-        done = walk.join(last, "end").select(F.concat("path", F.array(F.lit(target))).alias("path"))
-        out = done if out is None else out.unionByName(done)
-        if hop < max_depth - 1:
-            walk = walk.join(onward, walk.end == onward.a).select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("end"))
-    return out
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
+    below = at.select(F.col("node").alias("a"), F.col("level").alias("from"))
+    steps, steps_path = scratch.written(e.join(below, "a"), "steps")
+    ends = steps.where(F.col("b") == target).select(F.col("a").alias("node"), F.col("from").alias("level"), "times")
+    steps = steps.join(at.select(F.col("node").alias("b"), F.col("level").alias("to")), "b").where(F.col("to") == F.col("from") + 1).select("a", "b", "from", "times")
+    good = {max_depth - 1: ends.where(F.col("level") == max_depth - 1).select("node")}
+    onward = {}
+    for level in range(max_depth - 2, -1, -1):  # what leads to the target, level by level from behind
+        onward[level], _ = scratch.written(steps.where(F.col("from") == level).join(good[level + 1].select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "times"), "onward")
+        good[level] = onward[level].select(F.col("a").alias("node")).unionByName(ends.where(F.col("level") == level).select("node")).distinct()
+    walk = spark.createDataFrame([([source], source, 1)], "path array<string>, end string, times long")
+    last = ends.select(F.col("node").alias("end"), F.col("times").alias("own"))
+    out = []
+    for level in range(max_depth):
+        out.append(walk.join(last, "end").select(F.concat("path", F.array(F.lit(target))).alias("path"), (F.col("times") * F.col("own")).alias("times")))
+        if level in onward:
+            on = onward[level].select(F.col("a").alias("end"), "b", F.col("times").alias("own"))
+            walk = walk.join(on, "end").select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("end"), (F.col("times") * F.col("own")).alias("times"))
+    return _tables(out).select("path", F.explode(F.sequence(F.lit(1), "times"))).select("path")
 
 
 # relationships: the same edges, looked up by lower-cased, trimmed names

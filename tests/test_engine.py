@@ -85,6 +85,36 @@ def test_traversal(spark):
     assert graph.subgraph(e, spark.createDataFrame([("a",), ("b",)], "node string")).count() == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_traversals_equal_plain_python(spark, seed):
+    """Random graphs with a hub, loops and parallel edges."""
+    import random
+
+    r = random.Random(seed)
+    pairs = [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(22)] + [("n0", f"n{i}") for i in range(6)]
+    pairs += pairs[:4]
+    e = edges(spark, pairs)
+
+    def bfs(start, depth, step, until=None):
+        level, now = {start: 0}, [start]
+        for d in range(1, depth + 1):
+            now = sorted({b for a, b in step if a in now and b not in level and until not in (a, b)})
+            level |= dict.fromkeys(now, d)
+        return level
+
+    both = pairs + [(b, a) for a, b in pairs]
+    for start in ("n0", "n5"):
+        want = {k: v for k, v in bfs(start, 3, both).items() if v}
+        assert {x["node"]: x["level"] for x in graph.neighbors(e, start, 3).collect()} == want
+    for depth in (1, 2, 4):
+        level = bfs("n0", depth - 1, pairs, "n7")
+        want, walks = [], [["n0"]]
+        for _ in range(depth):
+            want += [[*w, "n7"] for w in walks for a, b in pairs if a == w[-1] and b == "n7"]
+            walks = [[*w, b] for w in walks for a, b in pairs if a == w[-1] and b in level and level[b] == level[a] + 1]
+        assert sorted(x["path"] for x in graph.paths(e, "n0", "n7", depth).collect()) == sorted(want)
+
+
 def test_edges(spark):
     rows = [("a", "b", "uses", 1.5, True, 1), ("a", "b", "uses", 0.4, False, 2), ("c", "d", "uses", -1.0, True, 1)]
     got = {(r["source"], r["target"]): r["weight"] for r in graph.upserted(spark.createDataFrame(rows, "source string, target string, type string, weight double, bidirectional boolean, seq int")).collect()}
