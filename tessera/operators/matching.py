@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import text as T
 
 # Fixed values
@@ -158,16 +159,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
     return found.join(ids(l, "a", "ca"), "ca").join(ids(r, "b", "cb"), "cb").select("a", "b", "similarity")
 
 
-def _numbered(claims: DataFrame) -> DataFrame:
-    return claims.withColumn("id", F.struct("page_id", "claim_no"))
-
-
-def _paired(found: DataFrame, kind: str, confidence, sev) -> DataFrame:
+def _paired(found: DataFrame, kind, confidence, sev) -> DataFrame:
     """(a, b, ...) of claim ids in either order -> page and claim numbers, the earlier claim first."""
     first, second = F.least("a", "b"), F.greatest("a", "b")
     return found.where("a.page_id != b.page_id").select(
         first["page_id"].alias("page_1"), first["claim_no"].alias("claim_1"), second["page_id"].alias("page_2"), second["claim_no"].alias("claim_2"),
-        F.lit(kind).alias("kind"), confidence.alias("confidence"), sev.alias("severity"),
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), confidence.alias("confidence"), sev.alias("severity"),
     )
 
 
@@ -183,33 +180,90 @@ def number_gaps(c: DataFrame) -> DataFrame:
 def numeric_contradictions(claims: DataFrame) -> DataFrame:
     """Claims of two pages that differ in numbers alone: an equi-join on the text with its numbers masked, of distinct
     number lists first, so that repeated claims meet no more than others; then the claims of those lists."""
-    c = claims.withColumns({"numbers": T.numbers(F.col("text")), "masked": T.masked_numbers(F.col("text"))}).where(F.size("numbers") > 0)
-    c = c.select(F.struct("page_id", "claim_no").alias("a"), "masked", "numbers")
+    return _numeric(claims.select("page_id", "claim_no", T.numbers(F.col("text")).alias("numbers"), T.masked_numbers(F.col("text")).alias("masked")))
+
+
+def _numeric(features: DataFrame) -> DataFrame:
+    c = features.where(F.size("numbers") > 0).select(F.struct("page_id", "claim_no").alias("a"), "masked", "numbers")
     found = number_gaps(c).join(c, ["masked", "numbers"]).join(c.select(F.col("a").alias("b"), "masked", F.col("numbers").alias("other")), ["masked", "other"])
     return _paired(found, "numerical", F.lit(0.85), F.when(F.col("gap") > 10, "high").otherwise("medium"))
 
 
+#: What the words of two claims must be alike above, by the detector.
+ALIKE = {"negation": 0.75, "temporal": 0.7}
+#: Classes of one side that meet in one task for a shared word.
+CELL = 1000
+
+
+def claim_features(claims: DataFrame) -> DataFrame:
+    """page_id, claim_no, sides, numbers, masked: what all detectors read of a claim. A side is (kind, role, c, words): the
+    detector (of times, one for each pair of opposite words), which of its two sides the claim stands on, and the claim's
+    other words as sorted hashes, with their digest as their class."""
+    text, low = F.col("text"), F.lower("text")
+    side = lambda when, kind, role, w: F.when(when, F.struct(F.lit(kind).alias("kind"), role.alias("role"), w["c"].alias("c"), w["w"].alias("words")))
+    hashed = lambda w: F.struct(F.sha1(F.array_join(F.array_sort(w), "\x1f")).alias("c"), F.sort_array(F.transform(w, lambda x: F.xxhash64(x))).alias("w"))
+    plain = F.array_distinct(T.words(T.without_negation(text)))
+    timed = F.when(T.temporal(text), F.array_distinct(T.words(T.without_temporal(text))))
+    held = claims.select("page_id", "claim_no", "text", F.inline(F.array(F.struct(hashed(plain).alias("n"), F.when(timed.isNotNull(), hashed(timed)).alias("t")))))
+    sides = [side(F.lit(True), "negation", F.when(T.negated(text), 0).otherwise(1), F.col("n"))]
+    for i, pair in enumerate(T.OPPOSITE):
+        sides += [side(F.col("t").isNotNull() & F.contains(low, F.lit(w)), f"temporal{i}", F.lit(role), F.col("t")) for role, w in enumerate(pair)]
+    return held.select("page_id", "claim_no", F.filter(F.array(*sides), lambda x: x.isNotNull()).alias("sides"), T.numbers(text).alias("numbers"), T.masked_numbers(text).alias("masked"))
+
+
+def alike_classes(classes: DataFrame) -> DataFrame:
+    """classes: kind, role, c, words -> kind, ca, cb, similarity of classes of the two sides of a kind that are alike above
+    its threshold. Words are put in order of falling rarity, once for all kinds; sets that reach a threshold share one of
+    their first n - ceil(threshold * n) + 1, at places that leave enough words behind them. Words of many sets are cut into
+    cells of CELL sets a side, and a pair is taken at the first word that it shares."""
+    above = F.when(F.col("kind") == "negation", ALIKE["negation"]).otherwise(ALIKE["temporal"])
+    classes = classes.where(F.size("words") > 0)
+    rank = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+    every = classes.select("kind", "role", "c", "words", F.explode("words").alias("w")).join(rank, "w")
+    ordered = every.groupBy("kind", "role", "c", "words").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("x"))  # a claim's words
+    n = F.size("words")
+    first = F.transform(F.slice("x", F.lit(1), (n - F.ceil(above * n - 1e-9) + 1).cast("int")), lambda y: y["w"])
+    prefix, _ = scratch.written(ordered.select("kind", "role", "c", "words", first.alias("x")).select("*", F.posexplode("x").alias("at", "w")), "prefix")
+
+    key = ["kind", "w"]
+    sizes = prefix.groupBy(key).agg(*[F.ceil(F.count_if(F.col("role") == r) / CELL).alias(f"s{r}") for r in (0, 1)]).where("s0 > 0 and s1 > 0")
+
+    def celled(role):
+        own, other = f"s{role}", f"s{1 - role}"
+        rows = prefix.where(F.col("role") == role).join(sizes, key)
+        part = F.pmod(F.xxhash64("c"), F.col(own)).alias(f"i{role}")
+        named = [F.col(c).alias(f"{c}{role}") for c in ("c", "words", "x", "at")]
+        return rows.select(*key, *named, part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"i{1 - role}"))
+
+    met = celled(0).join(celled(1), [*key, "i0", "i1"])
+    n0, n1 = F.size("words0"), F.size("words1")
+    left = F.least(n0 - F.col("at0"), n1 - F.col("at1"))  # words that may be shared, this one included
+    met = met.where((n0 >= above * n1 - 1e-9) & (n1 >= above * n0 - 1e-9) & (left >= above / (1 + above) * (n0 + n1) - 1e-9))
+    met = met.where(F.get(F.array_intersect("x0", "x1"), 0) == F.col("w"))
+    found = met.withColumn("similarity", T.jaccard(F.col("words0"), F.col("words1"))).where(F.col("similarity") > above)
+    return found.select("kind", F.col("c0").alias("ca"), F.col("c1").alias("cb"), "similarity")
+
+
+def _opposed(features: DataFrame, kinds: str) -> DataFrame:
+    """Contradictions of the detectors whose name begins with `kinds`, of claim_features()."""
+    sides = features.select(F.struct("page_id", "claim_no").alias("id"), F.inline("sides")).where(F.startswith("kind", F.lit(kinds)))
+    classes = sides.groupBy("kind", "role", "c").agg(F.first("words").alias("words"))
+    side = lambda role, name, c: sides.where(F.col("role") == role).select("kind", F.col("id").alias(name), F.col("c").alias(c))
+    found = alike_classes(classes).join(side(0, "a", "ca"), ["kind", "ca"]).join(side(1, "b", "cb"), ["kind", "cb"])
+    neg = F.col("kind") == "negation"
+    raw = F.when(neg, 0.7 + F.col("similarity") * 0.25).otherwise(0.75 + F.col("similarity") * 0.15)
+    kind = F.when(neg, "negation").otherwise("temporal")
+    return _paired(found, kind, F.least(F.lit(0.95), raw), T.severity(raw)).distinct()
+
+
 def negation_contradictions(claims: DataFrame) -> DataFrame:
     """A negated and a plain claim whose words, without negations, are alike to more than 0.75."""
-    c = _numbered(claims).select("id", T.negated(F.col("text")).alias("neg"), F.array_distinct(T.words(T.without_negation(F.col("text")))).alias("words"))
-    found = similar_pairs(c.where("neg").drop("neg"), c.where("not neg").drop("neg"), 0.75)
-    raw = 0.7 + F.col("similarity") * 0.25
-    return _paired(found, "negation", F.least(F.lit(0.95), raw), T.severity(raw))
+    return _opposed(claim_features(claims), "negation")
 
 
 def temporal_contradictions(claims: DataFrame) -> DataFrame:
     """Claims with opposite words of time whose other words are alike to more than 0.7."""
-    c = _numbered(claims).where(T.temporal(F.col("text"))).select("id", F.lower("text").alias("text"), F.array_distinct(T.words(T.without_temporal(F.col("text")))).alias("words"))
-    # sides are claims that hold a word of a pair and claims that hold its opposite
-    sides = [[c.where(F.contains(F.col("text"), F.lit(w))) for w in pair] for pair in T.OPPOSITE]
-    found = None
-    for one, other in sides:
-        met = similar_pairs(one.select("id", "words"), other.select("id", "words"), 0.7).where("a != b")
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
-        found = met if found is None else found.unionByName(met)
-    found = found.distinct()
-    raw = 0.75 + F.col("similarity") * 0.15
-    return _paired(found, "temporal", F.least(F.lit(0.95), raw), T.severity(raw))
+    return _opposed(claim_features(claims), "temporal")
 
 
 CASCADE = ("negation", "temporal", "numerical", "semantic")
@@ -218,7 +272,8 @@ CASCADE = ("negation", "temporal", "numerical", "semantic")
 def contradictions(claims: DataFrame, semantic=None) -> DataFrame:
     """One row per contradicting pair of claims, by the first detector that finds it. semantic: a function of claims that
     returns rows of the same columns (a model's verdicts); none by default."""
-    found = negation_contradictions(claims).unionByName(temporal_contradictions(claims)).unionByName(numeric_contradictions(claims))
+    features, _ = scratch.written(claim_features(claims), "claims")  # claims are read once
+    found = _opposed(features, "").unionByName(_numeric(features))
     if semantic is not None:
         found = found.unionByName(semantic(claims))
     order = F.array_position(F.array(*[F.lit(k) for k in CASCADE]), F.col("kind"))

@@ -177,6 +177,35 @@ def test_contradictions(spark):
     assert got == {("p1", 0, "p2"): ("numerical", "medium"), ("p1", 0, "p5"): ("numerical", "medium"), ("p1", 1, "p3"): ("negation", "high"), ("p1", 2, "p4"): ("temporal", "high")}
 
 
+@pytest.mark.parametrize("cell", [3, 1000])
+def test_contradictions_equal_all_pairs(spark, monkeypatch, cell):
+    """Every pair of random claims, judged by the definitions alone."""
+    import random
+
+    monkeypatch.setattr(matching, "CELL", cell)
+    r = random.Random(12)
+    words = ["red", "blue", "green", "fast", "slow", "big", "cat", "dog", "5", "7"]
+    extra = ["not", "no", "before", "after", "earlier", "later", "formerly", "now", "cannot", "afterwards", ""]
+    rows = [(f"p{i % 40:02}", i, " ".join(filter(None, [*r.choices(words, k=r.choice([1, 4, 5, 6])), r.choice(extra), r.choice(extra)]))) for i in range(160)]
+    rows += [(f"q{i}", i, f"the red cat is {w}fast") for i in range(6) for w in ("", "not ")] + [("z", 0, ""), ("z", 1, None)] + [(f"s{i}", 0, f"size {i % 3} and {i % 2} feet") for i in range(6)]
+    c = spark.createDataFrame([x for x in rows if x[2] is not None], "page_id string, claim_no long, text string")
+    side = lambda n: c.select(*[F.col(x).alias(f"{x}_{n}") for x in c.columns])
+    t, u = F.col("text_1"), F.col("text_2")
+    both = side(1).join(side(2), F.struct("page_id_1", "claim_no_1") < F.struct("page_id_2", "claim_no_2")).where("page_id_1 != page_id_2")
+    alike = lambda f: T.jaccard(F.array_distinct(T.words(f(t))), F.array_distinct(T.words(f(u))))
+    neg, tmp = alike(T.without_negation), alike(T.without_temporal)
+    gap = F.array_min(F.flatten(F.transform(T.numbers(t), lambda x: F.transform(T.numbers(u), lambda y: F.abs(x - y)))))
+    kind = (
+        F.when((T.negated(t) != T.negated(u)) & (neg > 0.75), "negation")
+        .when(T.temporal(t) & T.temporal(u) & T.opposite(F.lower(t), F.lower(u)) & (tmp > 0.7), "temporal")
+        .when((T.masked_numbers(t) == T.masked_numbers(u)) & (gap > 0), "numerical")
+    )
+    want = {tuple(x) for x in both.select("page_id_1", "claim_no_1", "page_id_2", "claim_no_2", kind.alias("kind")).where("kind is not null").collect()}
+    got = matching.contradictions(c).collect()
+    assert {(x["page_1"], x["claim_1"], x["page_2"], x["claim_2"], x["kind"]) for x in got} == want and len(got) == len(want)
+    assert {x[-1] for x in want} == {"negation", "temporal", "numerical"}
+
+
 def test_repeated_numbers_meet_once(spark):
     texts = ["licence 2 of 2004"] * 60 + ["licence 3 of 2005", "licence 3 of 2004", "licence 2 of 2005"]
     c = spark.createDataFrame([(f"p{i:02}", 0, t) for i, t in enumerate(texts)], "page_id string, claim_no long, text string")
