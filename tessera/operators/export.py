@@ -68,6 +68,15 @@ def llms_domains(pages: DataFrame, per_part: int = 1000) -> DataFrame:
     return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n---\n\n").alias("content"))
 
 
+def llms_all(pages: DataFrame, per_part: int = 1000) -> DataFrame:
+    """domain, part, content of all domains in one file: each domain begins with a heading, each page ends with a separator.
+    Rows in order of domain and part follow one another as they are; parts hold at most per_part pages."""
+    parts = llms_domains(pages, per_part)
+    last = F.col("part") == F.max("part").over(W.partitionBy("domain"))  # a row a part
+    head = F.when(F.col("part") == 0, F.concat(F.lit("# Domain: "), F.coalesce("domain", F.lit("")), F.lit("\n\n"))).otherwise("")
+    return parts.select("domain", "part", F.concat(head, "content", F.lit("\n---\n\n"), F.when(last, "\n\n").otherwise("")).alias("content"))
+
+
 def llms_full(pages: DataFrame, min_quality: float | None = None, since: str | None = None, max_pages: int | None = None, backlinks: DataFrame | None = None) -> DataFrame:
     """Filtered full export: page_id, domain, content, with confidence and links sections. max_pages counts over domains in
     order of domain and id."""
@@ -101,6 +110,93 @@ def llms_full_sections(pages: DataFrame, extracted: DataFrame) -> DataFrame:
     return out.select("page_id", "domain", F.concat_ws("\n", llms_page(), *parts).alias("content"))
 
 
+#: What extraction leaves of a page, as its side files hold it.
+EXTRACTION = (
+    "entities array<struct<name:string,entity_type:string,description:string,aliases:array<string>,confidence:double,context:string>>, "
+    "concepts array<struct<name:string,definition:string,category:string,related_concepts:array<string>,confidence:double,examples:array<string>>>, "
+    "claims array<struct<claim:string,confidence:double,subject:string,predicate:string,object:string,temporal_context:string,qualifiers:array<string>>>, "
+    "relationships array<struct<source_entity:string,relationship_type:string,target_entity:string,confidence:double,bidirectional:boolean,description:string>>"
+)
+
+
+def side_files(files: DataFrame) -> DataFrame:
+    """files: path, content of `{id}_extraction.json` -> page_id and the arrays of EXTRACTION. Files that are no such JSON
+    are left out."""
+    name = F.regexp_extract("path", r"([^/]+)_extraction\.json$", 1)
+    held = files.where(name != "").select(name.alias("page_id"), F.from_json("content", EXTRACTION, {"mode": "PERMISSIVE"}).alias("x"), F.try_parse_json("content").alias("v"))
+    return held.where(F.schema_of_variant("v").startswith("OBJECT")).select("page_id", "x.*")
+
+
+def _some(name: str, value: Column) -> Column:
+    """`- name: value`, if there is a value."""
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"- {name}: "), value))
+
+
+def _listed(values: Column, mark: str = ", ") -> Column:
+    return F.array_join(F.coalesce(values, F.array().cast("array<string>")), mark)
+
+
+def _share(confidence: Column, default: float = 1.0) -> Column:
+    return F.format_string("%.0f%%", 100 * F.coalesce(confidence, F.lit(default)))
+
+
+def _block(title: str, items: Column, close: str = "") -> Column:
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"<!-- {title} -->\n\n"), F.array_join(items, "\n"), F.lit(close)))
+
+
+def _headed(x: Column, *lines: Column) -> Column:
+    less = F.when(x["confidence"] < 1, F.concat(F.lit("- Confidence: "), F.format_string("%.2f", x["confidence"])))
+    return F.concat(F.concat_ws("\n", F.concat(F.lit("#### "), x["name"]), *lines[:-1], less, lines[-1]), F.lit("\n"))
+
+
+def full_page(pages: DataFrame, extracted: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """page_id, domain, content: one page in full: title, metadata, summary, body, what was extracted of it (extracted: page_id
+    and the arrays of EXTRACTION) and its links (links: src, dst; `links` of the pages themselves, too). Sections without
+    content are left out; a page's links and backlinks stand in order."""
+    out, has = pages, lambda c: c in pages.columns
+    get = lambda c: F.col(c).cast("string") if has(c) else F.lit(None).cast("string")
+    lists = lambda c, mark=", ": _listed(F.col(c), mark) if has(c) else F.lit("")
+    text_id = F.col("page_id").cast("string")
+    meta = [_some(n, c) for n, c in (
+        ("id", text_id), ("domain", get("domain")), ("kind", get("kind")), ("status", get("status")), ("confidence", get("confidence")), ("created_at", get("created")), ("updated_at", get("updated")),
+        ("entity_type", get("entity_type")), ("aliases", lists("aliases")), ("related_concepts", lists("related_concepts")), ("source_type", get("source_type")), ("tags", lists("tags")), ("sources", lists("sources", "; ")),
+    )]
+    metadata = F.concat_ws("\n", F.lit("<!-- Metadata -->"), *meta, F.lit(""))
+    summary = F.when(F.coalesce(get("summary"), F.lit("")) != "", F.concat(F.lit("<!-- Summary -->\n> "), get("summary"), F.lit("\n")))
+    body = F.concat(F.lit("<!-- Content -->\n\n"), F.trim(F.coalesce("body", F.lit(""))), F.lit("\n"))
+    sections = []
+    if extracted is not None:
+        out = out.withColumn("__id", text_id).join(extracted.select(F.col("page_id").cast("string").alias("__id"), *[F.col(c).alias(f"__{c}") for c in ("entities", "concepts", "claims", "relationships")]), "__id", "left")
+        entity = lambda x: _headed(x, F.concat(F.lit("- Type: "), F.coalesce(x["entity_type"], F.lit(""))), _some("Description", x["description"]), _some("Aliases", _listed(x["aliases"])), _some("Context", x["context"]))
+        concept = lambda x: _headed(x, _some("Definition", x["definition"]), _some("Category", x["category"]), _some("Related", _listed(x["related_concepts"])), _some("Examples", _listed(F.slice(x["examples"], 1, 3), "; ")))
+        of = lambda x, n: F.when(F.coalesce(x[n], F.lit("")) != "", F.concat(F.lit(f"{n}="), x[n]))
+
+        def claim(x):
+            detail = F.concat_ws(", ", of(x, "subject"), of(x, "predicate"), of(x, "object"))
+            under = lambda mark, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"  - {mark}"), v))
+            return F.concat_ws("\n", F.concat(F.lit("- "), x["claim"], F.lit(" ("), _share(x["confidence"]), F.lit(")")), under("", detail), under("temporal: ", x["temporal_context"]), under("qualifiers: ", _listed(x["qualifiers"], "; ")))
+
+        def relationship(x):
+            left = F.when(F.coalesce(x["bidirectional"], F.lit(False)), F.lit("<--[")).otherwise("--[")
+            line = F.concat(F.lit("- "), x["source_entity"], F.lit(" "), left, x["relationship_type"], F.lit("]--> "), x["target_entity"], F.lit(" ("), _share(x["confidence"]), F.lit(")"))
+            return F.concat_ws("\n", line, F.when(F.coalesce(x["description"], F.lit("")) != "", F.concat(F.lit("  - "), x["description"])))
+
+        each = (("Entities", "entities", entity, ""), ("Concepts", "concepts", concept, ""), ("Claims", "claims", claim, "\n"), ("Relationships", "relationships", relationship, "\n"))
+        sections += [_block(title, F.transform(f"__{c}", f), close) for title, c, f, close in each]
+    if links is not None:
+        own = links.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
+        known = pages.select(text_id.alias("dst"), F.lit(True).alias("known")).distinct()
+        forward = own.join(known, "dst", "left").groupBy(F.col("src").alias("__l")).agg(F.sort_array(F.collect_list("dst")).alias("__forward"), F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.col("dst")))).alias("__broken"))
+        back = own.groupBy(F.col("dst").alias("__b")).agg(F.sort_array(F.collect_list("src")).alias("__back"))
+        out = out.join(forward, text_id == F.col("__l"), "left").join(back, text_id == F.col("__b"), "left")
+        kinds = ([("Links (from metadata):", F.col("links"))] if has("links") else []) + [("Forward links:", F.col("__forward")), ("Backlinks:", F.col("__back")), ("Broken links (targets not found):", F.col("__broken"))]
+        part = lambda title, a: F.when(F.size(a) > 0, F.concat(F.lit(f"**{title}**\n"), F.array_join(F.transform(a, lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), "\n"), F.lit("\n")))
+        sections.append(_block("Links", F.array_compact(F.array(*[part(t, a) for t, a in kinds]))))
+    title = F.concat(F.lit("# "), F.coalesce("title", text_id), F.lit("\n"))
+    ends = [F.concat(s, F.lit("\n")) for s in sections]
+    return out.select("page_id", "domain", F.concat_ws("\n", title, metadata, summary, body, *ends).alias("content"))
+
+
 def page_file(pages: DataFrame) -> DataFrame:
     """path, content: pages as Markdown files with a YAML header, of the fields that they have. JSON scalars and lists are
     YAML as well."""
@@ -111,7 +207,12 @@ def page_file(pages: DataFrame) -> DataFrame:
     return pages.select(F.concat_ws("/", "domain", F.lit("pages"), F.concat(F.col("page_id").cast("string"), F.lit(".md"))).alias("path"), content.alias("content"))
 
 
-def export_stats(pages: DataFrame, backlinks: DataFrame) -> DataFrame:
+def export_stats(pages: DataFrame, backlinks: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """One row: n_pages, n_domains, n_with_backlinks and, with extracted (page_id), n_with_extractions."""
+    if extracted is not None:
+        own = extracted.select(F.col("page_id").cast("string").alias("__x")).distinct()
+        with_extractions = pages.join(own, F.col("page_id").cast("string") == F.col("__x"), "left_semi").agg(F.count("*").alias("n_with_extractions"))
+        return export_stats(pages, backlinks).join(with_extractions, F.lit(True))  # one row each
     b = backlinks.select(F.col("dst").alias("page_id"), "n_backlinks")
     return pages.join(b, "page_id", "left").agg(F.count("*").alias("n_pages"), F.countDistinct("domain").alias("n_domains"), F.count("n_backlinks").alias("n_with_backlinks"))
 
@@ -143,8 +244,8 @@ def template(body: Column, values: dict[str, Column]) -> Column:
     return body
 
 
-def governance_summary(pages: DataFrame, as_of: str, links: DataFrame, site: DataFrame) -> DataFrame:
-    """check, n: a row per detector."""
+def governance_summary(pages: DataFrame, as_of: str, links: DataFrame, site: DataFrame, duplicates: DataFrame | None = None, contradictions: DataFrame | None = None) -> DataFrame:
+    """check, n: a row per detector; duplicates and contradictions are counted where their detectors' rows are given."""
     from tessera.operators import governance as G
     from tessera.operators import links as L
 
@@ -153,6 +254,8 @@ def governance_summary(pages: DataFrame, as_of: str, links: DataFrame, site: Dat
     out = one("lint_errors", issues.where("severity = 'error'"))
     for name, df in (("lint_warnings", issues.where("severity = 'warning'")), ("stale", G.staleness(pages, as_of).where("score >= 0.3")), ("low_quality", G.quality(pages).where("score <= 0.6")), ("broken_links", L.broken(links, site)), ("orphans", L.orphans(links, site))):
         out = out.unionByName(one(name, df))
+    for name, df in (("duplicates", duplicates), ("contradictions", contradictions)):
+        out = out if df is None else out.unionByName(one(name, df))
     return out
 
 

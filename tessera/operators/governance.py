@@ -153,6 +153,7 @@ def promotion(links: DataFrame, pages: DataFrame, as_of: str, min_quality: float
         .join(p, "page_id")
         .withColumn("score", score)
         .select("page_id", "cross", "total", "quality", "score", F.when(F.lit(not require_approval) & (F.col("score") >= 10), "auto").when(F.col("score") >= 5, "suggest").otherwise("none").alias("decision"))
+        .orderBy(F.desc("score"), "page_id")
     )
 
 

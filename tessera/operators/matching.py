@@ -69,13 +69,14 @@ def _abbreviated(d: DataFrame, min_score: float) -> DataFrame:
     return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[str, ...] = ("source",), backlinks: DataFrame | None = None, domains: tuple[str, ...] | None = None) -> DataFrame:
+def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[str, ...] = ("source",), backlinks: DataFrame | None = None, domains: tuple[str, ...] | None = None, products: bool = True) -> DataFrame:
     """id_1 < id_2, score, action, band, primary_id. score: 0.4 equal names + 0.3 alias + 0.2 equal url + 0.1 three tags
     in common + 0.1 * Jaccard of words of over two letters, from 0.3 on.
 
     For min_score above 0.2 every pair shares a name, an alias or a url, or one name is a known abbreviation; so candidates
-    come from equi-joins; only at 0.3 itself do abbreviations meet every page. domains: those whose pages are compared;
-    all by default.
+    come from equi-joins; only at 0.3 itself do abbreviations meet every page, unless products is false: then pairs that
+    have nothing but an abbreviation are left to duplicate_classes(). domains: those whose pages are compared; all by
+    default.
     """
     if min_score <= 0.2:
         raise ValueError("at 0.2 or less every pair of pages is a candidate")
@@ -86,7 +87,7 @@ def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[st
     found = [key("a", c).join(key("b", c), "k").where("a < b").select("a", "b") for c in ("name", "source_url", "github_url")]
     alias = d.select(F.col("id").alias("a"), F.explode("aliases").alias("k")).where("k != ''")
     found.append(alias.join(key("b", "name"), "k").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    found.append(_abbreviated(d, min_score))
+    found.append(_abbreviated(d, min_score if products else max(min_score, 0.3 + 1e-9)))
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
@@ -113,6 +114,33 @@ def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[st
     )
 
 
+def duplicate_classes(pages: DataFrame, pairs: DataFrame, exclude_kinds: tuple[str, ...] = ("source",)) -> DataFrame:
+    """id, score, n_pairs: the pages whose name is a known abbreviation, each of which makes a pair of score 0.3 with every
+    page that it has no pair of `pairs` (duplicates(products=False)) with. A row stands for n_pairs pairs, of two
+    abbreviations with the lesser id; abbreviation_pairs() writes them out."""
+    d = pages.where(~F.coalesce("kind", F.lit("page")).isin(*exclude_kinds)).select(F.col("page_id").alias("id"), T.normal_name(F.coalesce("title", F.lit(""))).alias("name")).groupBy("id").agg(F.min("name").alias("name"))
+    known = F.col("name").isin(*[x for pair in ABBREVIATIONS for x in pair])
+    total = d.count()
+    short = d.where(known).select("id")
+    # of two abbreviations the greater id leaves the pair to the lesser one
+    place = scratch.numbered(short.withColumn("k", F.lit(0)), "k", "id")[0].select("id", "n")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("id_1").alias("id"), F.col("id_2").alias("other")), F.struct(F.col("id_2").alias("id"), F.col("id_1").alias("other")))).alias("x")).select("x.*")
+    own = ends.join(short, "id", "left_semi").join(short.select(F.col("id").alias("other"), F.lit(1).alias("both")), "other", "left")
+    taken = own.where("both is null or id < other").groupBy("id").agg(F.count("*").alias("taken"))
+    n = F.lit(total) - F.col("n") - F.coalesce("taken", F.lit(0))
+    return place.join(taken, "id", "left").select("id", F.lit(0.3).alias("score"), n.alias("n_pairs"))
+
+
+def abbreviation_pairs(pages: DataFrame, classes: DataFrame, pairs: DataFrame, of: list, exclude_kinds: tuple[str, ...] = ("source",)) -> DataFrame:
+    """id_1, id_2: the pairs that the classes of the ids `of` stand for."""
+    d = pages.where(~F.coalesce("kind", F.lit("page")).isin(*exclude_kinds)).select(F.col("page_id").alias("other")).distinct()
+    ids = classes.where(F.col("id").isin(of)).select("id")
+    all_ids = classes.select(F.col("id").alias("other"), F.lit(1).alias("both"))
+    met = d.join(all_ids, "other", "left").join(F.broadcast(ids), F.col("other") != F.col("id")).where("both is null or id < other")  # the ids that were asked for
+    found = met.select(F.least("id", "other").alias("id_1"), F.greatest("id", "other").alias("id_2"))
+    return found.join(pairs.select("id_1", "id_2"), ["id_1", "id_2"], "left_anti")
+
+
 def merged(keep: DataFrame, gone: DataFrame) -> DataFrame:
     """keep and gone share `pair`: one row each. Bodies are appended, tags united."""
     g = gone.select("pair", F.col("page_id").alias("g_id"), F.col("title").alias("g_title"), F.col("tags").alias("g_tags"), F.col("body").alias("g_body"))
@@ -124,18 +152,34 @@ def merged(keep: DataFrame, gone: DataFrame) -> DataFrame:
     )
 
 
+def merge_duplicates(pages: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """pairs: primary_id, secondary_id, each page in one pair at most. The tables after the merge: `pages` (primaries with the
+    secondary's content and tags, secondaries gone, links of all pages to them rewritten), `redirects` (redirect_from,
+    redirect_to, domain, body) and `archive` (the secondaries' rows as they were)."""
+    p = pairs.select(F.col("primary_id").alias("__p"), F.col("secondary_id").alias("__s"))
+    keep = pages.join(p, F.col("page_id") == F.col("__p")).withColumn("pair", F.col("__p"))
+    archive = pages.join(p, F.col("page_id") == F.col("__s"), "left_semi")
+    gone = pages.join(p, F.col("page_id") == F.col("__s")).withColumn("pair", F.col("__p"))
+    joined = merged(keep.select("pair", *pages.columns), gone.select("pair", *pages.columns)).select("page_id", F.col("tags").alias("__tags"), F.col("body").alias("__body"))
+    rest = pages.join(p.select(F.col("__s").alias("page_id")), "page_id", "left_anti").join(joined, "page_id", "left")
+    rest = rest.withColumns({"tags": F.coalesce("__tags", "tags"), "body": F.coalesce("__body", "body")}).select(pages.columns)
+    # each body is rewritten once, by the secondaries that it links to
+    text = F.col("page_id").cast("string")
+    to = p.select(F.col("__s").cast("string").alias("dst"), F.col("__p").cast("string").alias("to"))
+    hit = rest.select(text.alias("__id"), F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).join(to, "dst")
+    by_page = hit.groupBy("__id").agg(F.sort_array(F.collect_set(F.struct("dst", "to"))).alias("__to"))  # at most the links of one body
+    body = F.aggregate("__to", F.col("body"), lambda b, x: rewritten_links(b, x["dst"], x["to"]))
+    out = rest.withColumn("__id", text).join(by_page, "__id", "left").withColumn("body", F.when(F.col("__to").isNull(), F.col("body")).otherwise(body))
+    note = F.concat(F.lit("# Redirect\n\nThis page has been merged into [["), F.col("redirect_to").cast("string"), F.lit("]].\n"))
+    redirects = gone.select(F.col("__s").alias("redirect_from"), F.col("__p").alias("redirect_to"), "domain").withColumn("body", note)
+    return {"pages": out.select(pages.columns), "redirects": redirects, "archive": archive}
+
+
 def rewritten_links(body, old, new):
     """[[old]] and [[old|text]] point to new."""
     return F.replace(F.replace(body, F.concat(F.lit("[["), old, F.lit("]]")), F.concat(F.lit("[["), new, F.lit("]]"))), F.concat(F.lit("[["), old, F.lit("|")), F.concat(F.lit("[["), new, F.lit("|")))
 
 
-def promoted_links(body, page_id: str):
-    """[[X]] and [[X|text]] become [[shared/X]]."""
-    import re
-
-    return F.regexp_replace(body, rf"\[\[{re.escape(page_id)}(?:\|[^\]]+)?\]\]", f"[[shared/{page_id}]]".replace("$", r"\$"))
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, above: float) -> DataFrame:
     """left, right: id and words (a set) -> a, b, similarity over a Jaccard threshold. Equal sets are one class, so repeats
     meet no more than one set does; ids are joined to the classes' pairs last. A class's words are put in order of falling
@@ -299,7 +343,10 @@ SHARED = "shared"
 def promoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """pages: page_id, domain, kind, title, body, ... with the pages of `chosen` (page_id, a string) moved to the shared
     domain, a tombstone left in each one's place, and links of other pages to them pointing to shared/<id>. Each body is
-    rewritten once, by the chosen ids that it links to."""
+    rewritten once, by the chosen ids that it links to. A promoted page's own links, but those to itself, point to shared/
+    as well. Pages that are shared already are left as they are."""
+    here = pages.where(F.col("domain") != SHARED).select(F.col("page_id").cast("string").alias("page_id"))
+    chosen = chosen.select(F.col("page_id").cast("string").alias("page_id")).join(here, "page_id", "left_semi")
     gone = chosen.select(F.col("page_id").cast("string").alias("dst")).distinct()
     text = pages.withColumn("__id", F.col("page_id").cast("string"))
     hit = text.select("__id", F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).join(gone, "dst").where("__id != dst")
@@ -310,7 +357,8 @@ def promoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
         return F.regexp_replace(body, F.concat(F.lit(r"\[\[(\Q"), to, F.lit(r"\E)(?:\|[^\]]+)?\]\]")), F.lit("[[shared/$1]]"))
 
     body = F.when(F.col("__to").isNull(), F.col("body")).otherwise(F.aggregate("__to", F.col("body"), linked))
-    moved = out.where("__gone").withColumns({"domain": F.lit(SHARED), "body": body})
+    others = F.concat(F.lit(r"\[\[(?!shared/)(?!\Q"), "__id", F.lit(r"\E[|\]])([^|\]]+)(?:\|[^\]]+)?\]\]"))
+    moved = out.where("__gone").withColumns({"domain": F.lit(SHARED), "body": F.regexp_replace(body, others, F.lit("[[shared/$1]]"))})
     stone = out.where("__gone").withColumns({"kind": F.lit("tombstone"), "body": F.concat(F.lit("Moved to [[shared/"), "__id", F.lit("]]\n"))})
     rest = out.where("__gone is null").withColumn("body", body)
     return rest.unionByName(moved).unionByName(stone).select(pages.columns)
@@ -318,12 +366,16 @@ def promoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def unpromoted(pages: DataFrame, chosen: DataFrame) -> DataFrame:
     """The inverse: pages of `chosen` go back to the domains that their tombstones stand in, tombstones go, and links to
-    shared/<id> point to <id>."""
-    back = chosen.select(F.col("page_id").cast("string").alias("dst")).distinct()
-    stones = pages.where("kind = 'tombstone'").join(back, F.col("page_id").cast("string") == F.col("dst")).select("dst", F.col("domain").alias("__home"))
-    text = pages.withColumn("__id", F.col("page_id").cast("string"))
+    shared/<id> point to <id>; a page that goes back keeps links to shared/ only for pages that stay there."""
+    text_id = F.col("page_id").cast("string")
+    back = chosen.select(text_id.alias("dst")).distinct()
+    stones = pages.where("kind = 'tombstone'").join(back, text_id == F.col("dst")).select("dst", F.col("domain").alias("__home"))
+    text = pages.withColumn("__id", text_id)
     text = text.join(stones.withColumnRenamed("dst", "__dst"), F.col("__id") == F.col("__dst"), "left").where("__home is null or kind != 'tombstone'")
-    hit = text.select("__id", F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).where("dst like 'shared/%'").withColumn("dst", F.expr("substring(dst, 8)")).join(stones.select("dst"), "dst")
+    hit = text.select("__id", "__home", F.explode(F.array_distinct(T.links(F.coalesce("body", F.lit(""))))).alias("dst")).where("dst like 'shared/%'").withColumn("dst", F.expr("substring(dst, 8)"))
+    stay = pages.where((F.col("domain") == SHARED) & (F.col("kind") != "tombstone")).select(text_id.alias("dst")).join(stones.select("dst"), "dst", "left_anti")
+    own = hit.where("__home is not null").join(stay, "dst", "left_anti")
+    hit = hit.where("__home is null").join(stones.select("dst"), "dst", "left_semi").unionByName(own)
     by_page = hit.groupBy("__id").agg(F.sort_array(F.collect_set("dst")).alias("__to"))
     out = text.join(by_page, "__id", "left")
     undo = lambda b, to: F.replace(b, F.concat(F.lit("[[shared/"), to, F.lit("]]")), F.concat(F.lit("[["), to, F.lit("]]")))

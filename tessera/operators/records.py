@@ -112,13 +112,31 @@ def diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     return out.select("page_id", "field", change.alias("change"), "old_value", "new_value")
 
 
-def enrich(pages: DataFrame, found: DataFrame, most_tags: int = 10) -> DataFrame:
-    """found: page_id, tags, summary, kind. Kinds and summaries are kept, tags united in order and capped."""
-    f = found.select("page_id", *[F.col(c).alias(f"f_{c}") for c in ("tags", "summary", "kind")])
+#: How many of each list a page keeps.
+MOST_TAGS, MOST_RELATIONSHIPS = 10, 15
+
+
+def enrich(pages: DataFrame, found: DataFrame, most_tags: int = MOST_TAGS, most_relationships: int = MOST_RELATIONSHIPS) -> DataFrame:
+    """found: page_id, tags, summary, kind and, where it has them, entities, concepts, claims and relationships. Kinds and
+    summaries are kept, tags united in order and capped; entities, concepts and claims that were found replace a page's;
+    relationships are appended, once for each source, type and target of those found, and capped."""
+    lists = [c for c in ("entities", "concepts", "claims", "relationships") if c in found.columns]
+    f = found.select("page_id", *[F.col(c).alias(f"f_{c}") for c in ("tags", "summary", "kind", *lists)])
     tags = F.slice(F.sort_array(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("f_tags", F.array().cast("array<string>")))), 1, most_tags)
-    out = pages.join(f, "page_id", "left")
-    out = out.withColumns({"tags": tags, "summary": F.coalesce("summary", "f_summary"), "kind": F.coalesce("kind", "f_kind"), "status": F.lit("enriched")})
-    return out.drop("f_tags", "f_summary", "f_kind")
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    new = {"tags": tags, "summary": F.coalesce(blank("summary"), "f_summary"), "kind": F.coalesce(blank("kind"), "f_kind"), "status": F.lit("enriched")}
+    for c in lists:
+        kind = found.schema[c].dataType
+        old = F.col(c) if c in pages.columns else F.lit(None).cast(kind)
+        if c == "relationships":
+            key = lambda r: F.struct(*[F.coalesce(r[k], F.lit("")).alias(k) for k in ("source_entity", "relationship_type", "target_entity")])
+            keys = F.transform(F.col("f_relationships"), key)
+            once = F.filter(F.col("f_relationships"), lambda r, i: F.array_position(keys, key(r)) == i + 1)
+            new[c] = F.when(F.size(f"f_{c}") > 0, F.slice(F.concat(F.coalesce(old, F.array().cast(kind)), once), 1, most_relationships)).otherwise(old)
+        else:
+            new[c] = F.when(F.size(f"f_{c}") > 0, F.col(f"f_{c}")).otherwise(old)
+    out = pages.join(f, "page_id", "left").withColumns(new)
+    return out.drop(*[c for c in f.columns if c != "page_id"])
 
 
 # change log ----------------------------------------------------------------------------------------------------------
@@ -170,10 +188,9 @@ def change_lines(diffs: DataFrame, most: int = 120) -> DataFrame:
 
 def change_stats(changes: DataFrame) -> DataFrame:
     """dimension, value, n: totals, by type and by actor, and the ten most changed pages. One scan by grouping sets."""
-    changes = changes.select(F.col("change_type").alias("t"), F.col("actor").alias("a"), F.col("page_id").cast("string").alias("p"))
-    spark = changes.sparkSession
-    changes.createOrReplaceTempView("__tessera_changes")
-    sets = spark.sql("SELECT grouping_id(t, a, p) AS g, coalesce(t, a, p) AS value, count(*) AS n FROM __tessera_changes GROUP BY GROUPING SETS ((t), (a), (p), ())")
+    c = changes.select(F.col("change_type").alias("t"), F.col("actor").alias("a"), F.col("page_id").cast("string").alias("p"))
+    cols = [F.col(x) for x in "tap"]
+    sets = c.groupingSets([[x] for x in cols] + [[]], *cols).agg(F.grouping_id().alias("g"), F.coalesce("t", "a", "p").alias("value"), F.count("*").alias("n")).select("g", "value", "n")
     named = sets.select(F.when(F.col("g") == 3, "type").when(F.col("g") == 5, "actor").when(F.col("g") == 6, "page").otherwise("total").alias("dimension"), F.coalesce("value", F.lit("*")).alias("value"), "n")
     top = named.where("dimension = 'page'").orderBy(F.desc("n"), "value").limit(10)
     return named.where("dimension != 'page'").unionByName(top)
@@ -209,6 +226,22 @@ def review_stats(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total"), F.count_if(one).alias("pending"), *[F.count_if(one & (F.col("priority") == p)).alias(f"pending_{p}") for p in PRIORITIES])
 
 
+# Kinds of review items
+KINDS = ("page", "claim", "contradiction", "promotion", "duplicate", "routing_mistake", "sourceless_claim", "manual")
+# End of fixed values
+
+
+def review_totals(items: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """what, name, n: items by status, pending ones by priority and by type, and totals; zero where there are none."""
+    pending = F.col("status") == "pending"
+    rows = [("status", s, F.count_if(F.col("status") == s)) for s in STATUSES]
+    rows += [("pending_by_priority", p, F.count_if(pending & (F.col("priority") == p))) for p in PRIORITIES]
+    rows += [("pending_by_type", k, F.count_if(pending & (F.col("type") == k))) for k in kinds]
+    rows += [("total", "pending", F.count_if(pending)), ("total", "all", F.count_if(F.col("status").isin(*STATUSES)))]
+    counted = items.agg(F.array(*[F.struct(F.lit(w).alias("what"), F.lit(n).alias("name"), c.alias("n")) for w, n, c in rows]).alias("x"))
+    return counted.select(F.inline("x"))
+
+
 def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """decisions: id, decision, reviewer, at, notes. Only pending items change; a deferral sets no review time."""
     d = decisions.select("id", "decision", "reviewer", "at", F.col("notes").alias("d_notes"))
@@ -261,6 +294,16 @@ def retryable(state: DataFrame, as_of: str, max_retries: int = 5) -> DataFrame:
     return state.where(~F.col("permanent") & (F.col("failure_count") < max_retries) & (F.col("next_retry") <= F.lit(as_of).cast("timestamp_ntz")))
 
 
+def permanent(state: DataFrame) -> DataFrame:
+    """The failed files that are given up."""
+    return state.where("permanent")
+
+
+def failed(state: DataFrame, file_path: str) -> DataFrame:
+    """One file's state; no row if it has not failed."""
+    return state.where(F.col("file_path") == file_path)
+
+
 def failure_stats(state: DataFrame, as_of: str) -> DataFrame:
     ready = ~F.col("permanent") & (F.col("next_retry") <= F.lit(as_of).cast("timestamp_ntz"))
     return state.groupBy("reason").agg(F.count("*").alias("n"), F.count_if("permanent").alias("n_permanent"), F.count_if(F.col("reason").isin(*T.TRANSIENT)).alias("n_transient"), F.count_if(ready).alias("n_retryable"))
@@ -278,6 +321,17 @@ def job_stats(executions: DataFrame, as_of: str, minutes: int = 60) -> DataFrame
     return out.select("job_name", "total", "completed", "failed", (F.col("completed") / F.col("total")).alias("success_rate"), "avg_duration", "recent_failures", F.col("last.status").alias("last_status"), F.col("last.started_at").alias("last_started"))
 
 
+def job_history(executions: DataFrame, job: str | None = None, most: int = 10) -> DataFrame:
+    """The last `most` runs of one job, or of each, the latest first. Each task keeps its own `most` of a job."""
+    out = executions if job is None else executions.where(F.col("job_name") == job)
+    last = W.partitionBy("job_name").orderBy(F.desc("started_at"), F.desc("execution_id"))
+    return out.withColumn("place", F.row_number().over(last)).where(F.col("place") <= most)
+
+
+def jobs(executions: DataFrame) -> DataFrame:
+    return executions.select("job_name").distinct()
+
+
 NAMES = {n: i + 1 for i, n in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 DAYS = {n: i for i, n in enumerate("sun mon tue wed thu fri sat".split())}
 

@@ -731,3 +731,4 @@ def _(spark, d):
 
 
 from tessera.plans import extended  # noqa: E402, F401  (registers more)
+from tessera.plans import complete  # noqa: E402, F401  (registers the rest)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.functions import text as T
-from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, records
+from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, promotion, records
 from tessera.plans import registry
 from tessera.sources import pagefiles, versions
 from tessera.streaming import inbox
@@ -232,13 +232,118 @@ def test_promotion_moves_pages(spark):
     chosen = spark.createDataFrame([("b",), ("b.c",)], "page_id string")
     got = {(r["page_id"], r["domain"], r["kind"]): r["body"] for r in matching.promoted(p, chosen).collect()}
     assert got == {
-        ("a", "tech", "page"): "see [[shared/b]] and [[shared/b.c]]", ("b", "shared", "page"): "to [[a]], self [[b]]", ("b", "tech", "tombstone"): "Moved to [[shared/b]]\n",
-        ("b.c", "shared", "page"): "x [[shared/b]] [[bXc]]", ("b.c", "ops", "tombstone"): "Moved to [[shared/b.c]]\n",
+        ("a", "tech", "page"): "see [[shared/b]] and [[shared/b.c]]", ("b", "shared", "page"): "to [[shared/a]], self [[b]]", ("b", "tech", "tombstone"): "Moved to [[shared/b]]\n",
+        ("b.c", "shared", "page"): "x [[shared/b]] [[shared/bXc]]", ("b.c", "ops", "tombstone"): "Moved to [[shared/b.c]]\n",
     }
     back = {(r["page_id"], r["domain"], r["kind"]): r["body"] for r in matching.unpromoted(matching.promoted(p, chosen), chosen).collect()}
     assert back == {("a", "tech", "page"): "see [[b]] and [[b.c]]", ("b", "tech", "page"): "to [[a]], self [[b]]", ("b.c", "ops", "page"): "x [[b]] [[bXc]]"}
 
 
+def test_promotion_is_a_commit(spark, tmp_path):
+    """Promote, go back, and a half that fails; a page that goes back keeps its links to what stays shared."""
+    root = f"file://{tmp_path}/wiki"
+    rows = [page("a", body="see [[b]]"), page("b", body="to [[a]] and [[c|C]]"), page("c", body="[[b]] [[shared/b]]", domain="ops")]
+    assert promotion.create(spark.createDataFrame(rows, PAGE), root) == 1
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "page_id string")
+    read = lambda v=None: {(r["page_id"], r["domain"], r["kind"]): r["body"] for r in versions.read(spark, root, "pages", v).collect()}
+    log = lambda: sorted(r["page_id"] for r in versions.read(spark, root, "promotions").collect())
+    first = read()
+    assert promotion.promote(spark, root, ids("b", "c", "none"), "2024-01-01") == 2 and log() == ["b", "c"]
+    assert read() == {
+        ("a", "tech", "page"): "see [[shared/b]]", ("b", "shared", "page"): "to [[shared/a]] and [[shared/c]]", ("b", "tech", "tombstone"): "Moved to [[shared/b]]\n",
+        ("c", "shared", "page"): "[[shared/b]] [[shared/b]]", ("c", "ops", "tombstone"): "Moved to [[shared/c]]\n",
+    }
+    promotion.promote(spark, root, ids("b"), "2024-01-02")  # it is shared already
+    assert log() == ["b", "c"] and read() == read(2)
+    promotion.unpromote(spark, root, ids("b", "a"))
+    assert log() == ["c"] and read()[("b", "tech", "page")] == "to [[a]] and [[shared/c]]" and read()[("a", "tech", "page")] == "see [[b]]"
+    before, now = versions.current(spark, root), read()
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):  # the log fails after the pages are staged
+        promotion.promote(spark, root, ids("a"), "no time")
+    assert versions.current(spark, root) == before and read() == now and log() == ["c"]
+    versions.rollback(spark, root, 1)
+    assert read() == first and log() == []
+
+
+def test_duplicates_of_classes_equal_all_pairs(spark):
+    """At 0.3: pairs and what the classes of abbreviations stand for are the pairs of the product."""
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [page(f"p{i:02}", t, " ".join(words[: i % 5]), tags=("a", "b", "c")[: 3 if i % 3 else 1]) for i, t in enumerate(["AWS", "the api", "SDK", "Other", "AWS", "Python", "Else", "API", *[f"T{k}" for k in range(8)]])]
+    pages = spark.createDataFrame(rows + [page("s", "AWS", kind="source")], PAGE)
+    every = {(r["id_1"], r["id_2"]): round(r["score"], 9) for r in matching.duplicates(pages, 0.3).collect()}
+    some = matching.duplicates(pages, 0.3, products=False)
+    pairs = {(r["id_1"], r["id_2"]): round(r["score"], 9) for r in some.collect()}
+    classes = matching.duplicate_classes(pages, some)
+    rest = {(r["id_1"], r["id_2"]): 0.3 for r in matching.abbreviation_pairs(pages, classes, some, [r["id"] for r in classes.collect()]).collect()}
+    assert not rest.keys() & pairs.keys() and rest | pairs == every and len(rest) >= 20
+    assert classes.agg(F.sum("n_pairs")).first()[0] == len(rest)
+
+
+def test_full_page(spark):
+    files = spark.createDataFrame([("index/p_extraction.json", """{"entities": [{"name": "Spark", "entity_type": "tool", "aliases": ["S"], "confidence": 0.5}], "concepts": [{"name": "RDD", "definition": "d", "examples": ["1", "2", "3", "4"]}],
+"claims": [{"claim": "c", "confidence": 0.9, "subject": "s", "temporal_context": "2024"}], "relationships": [{"source_entity": "a", "relationship_type": "uses", "target_entity": "b", "confidence": 1.0, "bidirectional": true, "description": "r"}]}"""), ("index/q_extraction.json", "{"), ("x.json", "{}")], "path string, content string")
+    p = spark.createDataFrame([page("p", "Title", " body ", summary="sum"), page("q", None, None, summary=None, tags=None)], PAGE).select("page_id", "kind", "title", "domain", "tags", "summary", "body")
+    li = spark.createDataFrame([("p", "q"), ("p", "gone"), ("q", "p")], "src string, dst string")
+    got = {r["page_id"]: r["content"] for r in export.full_page(p, export.side_files(files), li).collect()}
+    assert got["p"] == """# Title
+
+<!-- Metadata -->
+- id: p
+- domain: tech
+- kind: page
+- tags: a
+
+<!-- Summary -->
+> sum
+
+<!-- Content -->
+
+body
+
+<!-- Entities -->
+
+#### Spark
+- Type: tool
+- Aliases: S
+- Confidence: 0.50
+
+
+<!-- Concepts -->
+
+#### RDD
+- Definition: d
+- Examples: 1; 2; 3
+
+
+<!-- Claims -->
+
+- c (90%)
+  - subject=s
+  - temporal: 2024
+
+
+<!-- Relationships -->
+
+- a <--[uses]--> b (100%)
+  - r
+
+
+<!-- Links -->
+
+**Forward links:**
+- [[gone]]
+- [[q]]
+
+**Backlinks:**
+- [[q]]
+
+**Broken links (targets not found):**
+- [[gone]]
+
+"""
+    assert got["q"].startswith("# q\n\n<!-- Metadata -->\n- id: q\n") and "Entities" not in got["q"] and "**Forward links:**\n- [[p]]\n\n**Backlinks:**\n- [[p]]\n" in got["q"]
+
+
 def test_reports_and_pages(spark):
     c = spark.createDataFrame([("numerical", 0.85), ("numerical", 0.7), ("negation", 0.2)], "kind string, confidence double")
     assert {tuple(r) for r in matching.contradiction_report(c).collect()} == {("numerical", "high", 1), ("numerical", "medium", 1), ("negation", "low", 1)}
