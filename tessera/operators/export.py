@@ -197,14 +197,18 @@ def full_page(pages: DataFrame, extracted: DataFrame | None = None, links: DataF
     return out.select("page_id", "domain", F.concat_ws("\n", title, metadata, summary, body, *ends).alias("content"))
 
 
-def page_file(pages: DataFrame) -> DataFrame:
-    """path, content: pages as Markdown files with a YAML header, of the fields that they have. JSON scalars and lists are
-    YAML as well."""
-    fields = [f for f in ("page_id", "title", "kind", "domain", "tags", "summary", "source", "confidence", "created", "updated") if f in pages.columns]
+def page_content(columns: list[str]) -> Column:
+    """A page row as a Markdown file with a YAML header, of the fields that it has. JSON scalars and lists are YAML as well."""
+    fields = [f for f in ("page_id", "title", "kind", "domain", "status", "tags", "summary", "source", "confidence", "created", "updated") if f in columns]
     lines = [F.regexp_replace(F.to_json(F.struct(F.col(f).alias("x"))), r'^\{"x":(.*)\}$', f"{'id' if f == 'page_id' else f}: $1") for f in fields]
     shown = F.filter(F.array(*lines), lambda x: x != "{}")
-    content = F.concat(F.lit("---\n"), F.array_join(shown, "\n"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
-    return pages.select(F.concat_ws("/", "domain", F.lit("pages"), F.concat(F.col("page_id").cast("string"), F.lit(".md"))).alias("path"), content.alias("content"))
+    return F.concat(F.lit("---\n"), F.array_join(shown, "\n"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
+
+
+def page_file(pages: DataFrame) -> DataFrame:
+    """path, content: pages as files of their domain."""
+    path = F.concat_ws("/", "domain", F.lit("pages"), F.concat(F.col("page_id").cast("string"), F.lit(".md")))
+    return pages.select(path.alias("path"), page_content(pages.columns).alias("content"))
 
 
 def export_stats(pages: DataFrame, backlinks: DataFrame, extracted: DataFrame | None = None) -> DataFrame:

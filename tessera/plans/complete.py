@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.operators import export, governance, links, matching, promotion, records
+from tessera.operators import export, extraction, governance, links, matching, promotion, records
 from tessera.plans.extended import NOTES, _notes
 from tessera.plans.registry import AS_OF, FAILED_ALL, JOBS, LINKS, LLMS, ORACLE_SQL, PAGES, PROMOTION, REVIEWS, _reviews, all_failures, references, register, rounded
+from tessera.sources import queue
 from tessera.sources import tables as S
 from tessera.sources import versions
 
@@ -240,3 +241,85 @@ def _(spark, d):
     pages = S.pages(spark, d)
     found = [matching.duplicates(pages, 0.43), matching.numeric_contradictions(S.claims(spark, d))]
     return export.governance_summary(pages, AS_OF, S.links(spark, d), S.site_pages(spark, d), *found)
+
+
+# extraction by a model ------------------------------------------------------------------------------------------------
+def stub(item: str, title: str, content: str) -> str:
+    """A model that answers by the length of what it sees: an item for every hundred characters, some of them bad."""
+    import json
+
+    n = len(content) // 100
+    if item == "metadata":
+        return json.dumps({"kind": "entity" if n % 3 == 0 else "concept" if n % 3 == 1 else "page", "summary": f"s{n}", "tags": ["t"]})
+    if item == "claims":
+        return json.dumps({"claims": [{"claim": f"c{i}", "source_reference": "" if i % 4 == 3 else "r", "confidence": i % 13 / 10} for i in range(n)]})
+    if item == "relationships":
+        return json.dumps([{"source_entity": " A ", "relationship_type": "Uses", "target_entity": f"b{i}", "confidence": 2 if i % 5 == 4 else 0.5} for i in range(n)])
+    if item == "qa":
+        return json.dumps({"pairs": [{"question": f"q{i:02}", "answer": "a" if i % 2 == 0 else ""} for i in range(n)]})
+    if n % 2 and item == "entities":
+        return "no JSON"
+    return json.dumps({item: [{"name": f"{item[0]}{i}", "type": "T"} if i % 3 else {"type": "T"} for i in range(n)]})
+
+
+SEEN = "n_ AS (SELECT page_id, domain, least(length(body), {0}) // 100 AS n FROM pages_)"
+
+
+def _valid(item: str, most: int, chars: int, bad: str) -> str:
+    """page_id and the number of items that stay of each page."""
+    return f"{item}_ AS (SELECT page_id, least({most}, len(list_filter(range(least(length(body), {chars}) // 100), lambda i: NOT ({bad})))) AS n_{item} FROM pages_)"
+
+
+@register("extracted_claims", f"{PAGES}, k_ AS (SELECT page_id, list_filter(range(least(length(body), 3000) // 100), lambda i: i % 4 <> 3 AND i % 13 <= 10)[1:20] AS k FROM pages_) SELECT page_id, CAST(place AS INT) AS place, 'c' || k[place] AS claim, round(k[place] % 13 / 10.0, 9)::DOUBLE AS confidence FROM (SELECT page_id, k, unnest(range(1, len(k) + 1)) AS place FROM k_)")
+def _(spark, d):
+    return rounded(extraction.extract(S.pages(spark, d), "claims", stub).select("page_id", "place", "claim", "confidence"), "confidence")
+
+
+DRAINED = f"""{PAGES}, {_valid('claims', 20, 3000, 'i % 4 = 3 OR i % 13 > 10')}, {_valid('relationships', 15, 3000, 'i % 5 = 4')}, {_valid('entities', 10, 2000, 'i % 3 = 0')}, {_valid('concepts', 8, 2000, 'i % 3 = 0')}, {_valid('qa', 20, 16000, 'i % 2 = 1')},
+k_ AS (SELECT page_id, domain, summary, ['entity', 'concept', 'page'][CAST(least(length(body), 1500) // 100 % 3 + 1 AS INT)] AS kind, 's' || (least(length(body), 1500) // 100) AS s, least(length(body), 2000) // 100 % 2 = 1 AS odd FROM pages_)"""
+
+
+@register(
+    "queue_drained",
+    f"""{DRAINED} SELECT page_id, kind, coalesce(nullif(trim(summary, ' '), ''), s) AS summary, 'enriched' AS status, n_claims, n_relationships, CASE WHEN kind = 'entity' AND NOT odd THEN n_entities ELSE 0 END AS n_entities, CASE WHEN kind = 'concept' THEN n_concepts ELSE 0 END AS n_concepts
+FROM k_ JOIN claims_ USING (page_id) JOIN relationships_ USING (page_id) JOIN entities_ USING (page_id) JOIN concepts_ USING (page_id)""",
+)
+def _(spark, d):
+    out = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["pages"]
+    n = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("claims", "relationships", "entities", "concepts")]
+    return out.select("page_id", "kind", "summary", "status", *n)
+
+
+@register("drained_edges", f"{DRAINED} SELECT source, type, count(*) AS n, round(sum(0.5), 6)::DOUBLE AS weight FROM (SELECT 'A' AS source, 'uses' AS type, unnest(range(n_relationships)) FROM relationships_) GROUP BY 1, 2")
+def _(spark, d):
+    e = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["edges"]
+    return e.groupBy("source", "type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@register("drained_questions", f"{DRAINED} SELECT page_id || '-qa-' || i AS page_id, domain, 'qa' AS kind FROM (SELECT page_id, domain, unnest(range(1, n_qa + 1)) AS i FROM k_ JOIN qa_ USING (page_id) WHERE kind = 'page')")
+def _(spark, d):
+    return extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["questions"].select("page_id", "domain", "kind")
+
+
+def verdict(left: str, right: str) -> str:
+    return '{"contradicts": true, "confidence": 0.9}' if len(left) != len(right) else "{}"
+
+
+@register("contradictions_semantic")
+def _(spark, d):
+    return extraction.semantic(verdict, 0.8)(S.claims(spark, d))
+
+
+# the queue ------------------------------------------------------------------------------------------------------------
+QUEUED = r"""f_ AS (SELECT 'inbox/' || doc_id || '.txt' AS source, 'Page ' || doc_id AS title, coalesce(lang, '') AS body, CASE WHEN contains('inbox/' || doc_id || '.txt', 'inbox/1') THEN 'alpha' ELSE 'general' END AS domain FROM documents),
+q_ AS (SELECT *, domain || '-' || replace(lower(title), ' ', '-') AS page_id FROM f_)"""
+
+
+@register(
+    "queue_pages",
+    f"""WITH {QUEUED} SELECT page_id, domain, 'domains/' || domain || '/queue/' || page_id || '.md' AS path, '---' || chr(10) || 'id: "' || page_id || '"' || chr(10) || 'title: "' || title || '"' || chr(10) || 'kind: "source"' || chr(10) || 'domain: "' || domain || '"' || chr(10) || 'status: "queued"' || chr(10) || 'source: "' || source || '"' || chr(10) || '---' || chr(10) || body AS content FROM q_""",
+)
+def _(spark, d):
+    i = F.col("doc_id").cast("string")
+    taken = S.read(spark, d, "documents").select(F.concat(F.lit("inbox/"), i, F.lit(".txt")).alias("path"), F.concat(F.lit("Page "), i).alias("title"), F.coalesce("lang", F.lit("")).alias("markdown"))
+    return queue.queued(taken, [], [("inbox/1", "alpha")], "general")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tessera.functions import text as T
 from tessera.operators import records
@@ -64,6 +65,64 @@ def retry_state(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
     return rows.groupBy("file_path").applyInPandasWithState(advance, RETRY_SCHEMA, "count int, permanent boolean", "update", "NoTimeout")
 
 
+class Retries(StatefulProcessor):
+    """State of one file: its failures, and a processing-time timer at its next retry. When the timer fires the file is due:
+    a row says so, and whoever replays it sends the outcome back as the next attempt."""
+
+    def __init__(self, max_retries: int = 5, seconds: tuple[float, ...] = T.RETRY_SECONDS):
+        self.max_retries, self.seconds = max_retries, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("failures", "count int, reason string, permanent boolean, due long")
+
+    def _row(self, key, event, count, reason, permanent, due):
+        at = pd.Timestamp(due, unit="ms", tz="UTC") if due is not None else pd.NaT
+        return pd.DataFrame({"file_path": [key[0]], "event": [event], "failure_count": [count], "reason": [reason], "permanent": [permanent], "next_retry": pd.Series([at], dtype="datetime64[ns, UTC]")})
+
+    def handleInputRows(self, key, rows, timerValues):
+        attempts = pd.concat(list(rows)).sort_values("at")
+        count, reason, permanent, due = self.state.get() if self.state.exists() else (0, None, False, None)
+        for r in attempts.itertuples():
+            if due is not None:
+                self.handle.deleteTimer(due)
+                due = None
+            if r.reason is None:
+                count, reason, permanent = 0, None, False
+                continue
+            count, reason = count + 1, r.reason
+            permanent = permanent or reason in T.PERMANENT or count >= self.max_retries
+            if not permanent:
+                due = int(timerValues.getCurrentProcessingTimeInMs() + 1000 * self.seconds[min(count, len(self.seconds)) - 1])
+                self.handle.registerTimer(due)
+        if count:
+            self.state.update((count, reason, permanent, due))
+        else:
+            self.state.clear()
+        yield self._row(key, "failed" if count else "cleared", count, reason, permanent, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.state.exists():
+            count, reason, permanent, due = self.state.get()
+            if due is not None and due <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.update((count, reason, permanent, None))
+                yield self._row(key, "due", count, reason, permanent, due)
+
+    def close(self) -> None:
+        pass
+
+
+RETRY_EVENTS = "file_path string, event string, failure_count int, reason string, permanent boolean, next_retry timestamp"
+
+
+def retries(attempts: DataFrame, max_retries: int = 5, seconds: tuple[float, ...] = T.RETRY_SECONDS) -> DataFrame:
+    """attempts (a stream): file_path, at, error (null: it succeeded) -> `failed` and `cleared` as they come, and `due` when a
+    file's time has come, by the processing time. State and timers are the state store's (RocksDB; set
+    spark.sql.streaming.stateStore.providerClass), so they outlive the query and any executor."""
+    rows = attempts.select("file_path", "at", F.when(F.col("error").isNotNull(), T.failure_reason(F.col("error"))).alias("reason"))
+    return rows.groupBy("file_path").transformWithStateInPandas(Retries(max_retries, seconds), RETRY_EVENTS, "Update", "ProcessingTime")
+
+
 def retried(state: DataFrame, files: DataFrame, as_of: str, max_retries: int = 5) -> DataFrame:
     """The failed files (state: as records.failures() gives it) whose time has come, taken again from files (path, content
     of the failed folder), by file name: file_path, outcome, title, markdown and the new failure_count, reason, permanent

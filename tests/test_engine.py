@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.functions import text as T
-from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, promotion, records
+from tessera.operators import export, extraction, fulltext, governance, graph, links, matching, metadata, promotion, records
 from tessera.plans import registry
 from tessera.sources import pagefiles, versions
 from tessera.streaming import inbox
@@ -588,6 +588,105 @@ def test_retry_stream(spark, tmp_path):
     assert got["f"]["failure_count"] == 2 and got["f"]["next_retry"] == t(31) and got["g"]["permanent"] and got["h"]["reason"] == "cleared"
 
 
+def test_retry_timers(spark, tmp_path):
+    """Failures set timers, which fire in the stream; an attempt that succeeds clears the file and its timer."""
+    import json
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    os.mkdir(f"{tmp_path}/in")
+
+    def put(n, *rows):
+        with open(f"{tmp_path}/{n}", "w") as f:
+            f.writelines(json.dumps({"file_path": p, "at": f"2024-01-01 00:{n:02}:{i:02}", "error": e}) + "\n" for i, (p, e) in enumerate(rows))
+        os.rename(f"{tmp_path}/{n}", f"{tmp_path}/in/{n}.json")
+
+    put(1, ("f", "Connection timeout"), ("g", "unsupported type"), ("h", "network down"), ("h", None))
+    attempts = spark.readStream.schema("file_path string, at timestamp, error string").json(f"file://{tmp_path}/in")
+    events = inbox.retries(attempts, 2, (2, 600))
+    q = events.writeStream.format("memory").queryName("retry_events").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(processingTime="300 milliseconds").start()
+    try:
+        seen = lambda: {(r["file_path"], r["event"], r["failure_count"]) for r in spark.sql("select * from retry_events").collect()}
+
+        def until(*rows):
+            for _ in range(240):
+                if set(rows) <= seen():
+                    return
+                time.sleep(0.25)
+            raise AssertionError(seen())
+
+        until(("f", "failed", 1), ("g", "failed", 1), ("h", "cleared", 0), ("f", "due", 1))
+        put(2, ("f", "try again later"))  # what the replay of the due file came to
+        until(("f", "failed", 2))
+        assert not {("g", "due", 1), ("h", "due", 1), ("f", "due", 2)} & seen()
+        rows = {(r["file_path"], r["event"]): r for r in spark.sql("select * from retry_events where failure_count > 0").collect()}
+        assert rows["g", "failed"]["permanent"] and rows["g", "failed"]["next_retry"] is None
+    finally:
+        q.stop()
+
+
+def test_queue_source_and_sink(spark, tmp_path):
+    """Files through plug-in adapters into the queue; a batch written again gives the same files, a failed one none."""
+    from tessera.sources import queue
+
+    os.makedirs(f"{tmp_path}/in/sub")
+    for name, data in (("a.txt", b"Title one\n\nbody"), ("sub/b.md", b"# B\n"), ("c.bin", b"x"), ("d.txt", b"  "), ("e.bad", b"x"), ("f.txt", "caf\u00e9".encode("latin-1"))):
+        with open(f"{tmp_path}/in/{name}", "wb") as f:
+            f.write(data)
+    stem = lambda p: p.rsplit("/", 1)[1].split(".")[0]
+    adapters = [
+        queue.Adapter("text", lambda p, c: p.endswith(".txt"), lambda p, c: (c.split("\n")[0].strip() or stem(p), c)),
+        queue.Adapter("markdown", lambda p, c: p.endswith(".md"), lambda p, c: (stem(p), c)),
+        queue.Adapter("bad", lambda p, c: p.endswith(".bad"), lambda p, c: 1 / 0),
+    ]
+    spark.dataSource.register(queue.inbox(adapters))
+    rows = spark.read.format("tessera_inbox").option("path", f"{tmp_path}/in").load()
+    got = {r["path"].split("/in/")[1]: (r["adapter"], r["title"], r["error"]) for r in rows.collect()}
+    assert got == {
+        "a.txt": ("text", "Title one", None), "sub/b.md": ("markdown", "b", None), "c.bin": (None, None, "unsupported type"), "d.txt": ("text", "d", "invalid format: empty"),
+        "e.bad": (None, None, "ZeroDivisionError: division by zero"), "f.txt": ("text", "caf\u00e9", None),
+    }
+    pages = queue.queued(rows.where("error is null"), ["ops"], [("/sub/", "deep")], "general").cache()
+
+    def files():
+        found = glob.glob(f"{tmp_path}/out/**/*.*", recursive=True)
+        return {f.split("/out/")[1]: open(f).read() for f in found}
+
+    queue.write_queue(spark, pages, f"{tmp_path}/out")
+    first = files()
+    assert set(first) == {"domains/general/queue/general-title-one.md", "domains/deep/queue/deep-b.md", "domains/general/queue/general-cafe.md"}
+    assert first["domains/deep/queue/deep-b.md"].startswith('---\nid: "deep-b"\ntitle: "b"\nkind: "source"\ndomain: "deep"\nstatus: "queued"\nsource: "') and first["domains/deep/queue/deep-b.md"].endswith("\n---\n# B\n")
+    queue.write_queue(spark, pages, f"{tmp_path}/out")
+    assert files() == first and not glob.glob(f"{tmp_path}/out/_staging/*")
+    bad = spark.createDataFrame([("domains/x/queue/x.md", "x"), ("domains/y/queue/y.md", None)], "path string, content string").repartition(2)
+    with pytest.raises(Exception, match="NoneType"):
+        queue.write_queue(spark, bad, f"{tmp_path}/out")
+    assert files() == first and not glob.glob(f"{tmp_path}/out/_staging/*/*/*")
+
+
+@pytest.mark.parametrize(
+    "item,answer,want",
+    [
+        ("claims", '{"claims": [{"claim": " a ", "source_reference": "r"}, {"claim": "b"}, {"claim": "c", "source_reference": "r", "confidence": 2}, 3, {"claim": "d", "source_reference": "r", "confidence": "x"}]}', [("a", "r", 0.5, None, None, None, None, [])]),
+        ("entities", '[{"name": "N", "type": " Tool "}, {"name": "M"}]', [("N", "tool", "")]),
+        ("concepts", '{"concepts": ' + str([{"name": f"c{i}"} for i in range(12)]).replace("'", '"') + "}", [(f"c{i}", "") for i in range(8)]),
+        ("relationships", '{"relationships": [{"source_entity": "a", "relationship_type": "USES", "target_entity": "b", "bidirectional": true}]}', [("a", "uses", "b", None, None, 0.9, True)]),
+        ("qa", '{"pairs": [{"question": "q", "answer": "a", "tags": [" x ", ""]}, {"question": " ", "answer": "a"}]}', [("q", "a", ["x"])]),
+        ("qa", "no JSON", []), ("claims", "null", []), ("claims", '{"other": 1}', []),
+    ],
+)
+def test_checked_answers(item, answer, want):
+    assert extraction.checked(item, answer) == want
+
+
+def test_semantic_contradictions(spark):
+    rows = [("p1", 0, "the cat sat on the red mat"), ("p2", 0, "the cat sat on the blue mat"), ("p3", 0, "something else"), ("p1", 1, "the cat sat on the blue mat"), ("p4", 0, "the cat sat on the green mat")]
+    c = spark.createDataFrame(rows, "page_id string, claim_no long, text string")
+    model = lambda a, b: '{"contradicts": true, "confidence": 0.9}' if "red" in a + b else "bad"
+    got = {(r["page_1"], r["claim_1"], r["page_2"], r["claim_2"], r["kind"], r["severity"]) for r in matching.contradictions(c, extraction.semantic(model)).collect()}
+    assert got == {("p1", 0, "p2", 0, "semantic", "high"), ("p1", 0, "p4", 0, "semantic", "high")}
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     c = duckdb.connect()
