@@ -124,7 +124,7 @@ def drain(queue: DataFrame, model: Callable) -> dict[str, DataFrame]:
     come of it: pages (status enriched), claims, edges, and questions (draft pages of kind qa, of pages and sources)."""
     found = _asked(queue, "metadata", model).select("page_id", "kind", "summary", "tags")
     kinds = queue.join(found.select("page_id", F.col("kind").alias("__kind")), "page_id", "left")
-    kinds = kinds.withColumn("__kind", F.coalesce(F.nullif(F.trim("kind"), F.lit("")), "__kind", F.lit("page")))
+    kinds = kinds.withColumn("__kind", F.coalesce(F.nullif("kind", F.lit("")), "__kind", F.lit("page")))
     of = lambda *names: kinds.where(F.col("__kind").isin(*names)).drop("__kind")
     claims = _asked(queue, "claims", model)
     relationships = _asked(queue, "relationships", model)

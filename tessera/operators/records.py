@@ -123,8 +123,8 @@ def enrich(pages: DataFrame, found: DataFrame, most_tags: int = MOST_TAGS, most_
     lists = [c for c in ("entities", "concepts", "claims", "relationships") if c in found.columns]
     f = found.select("page_id", *[F.col(c).alias(f"f_{c}") for c in ("tags", "summary", "kind", *lists)])
     tags = F.slice(F.sort_array(F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("f_tags", F.array().cast("array<string>")))), 1, most_tags)
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    new = {"tags": tags, "summary": F.coalesce(blank("summary"), "f_summary"), "kind": F.coalesce(blank("kind"), "f_kind"), "status": F.lit("enriched")}
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    new = {"tags": tags, "summary": F.coalesce(given("summary"), "f_summary"), "kind": F.coalesce(given("kind"), "f_kind"), "status": F.lit("enriched")}
     for c in lists:
         kind = found.schema[c].dataType
         old = F.col(c) if c in pages.columns else F.lit(None).cast(kind)
@@ -355,12 +355,21 @@ def _cron(expression: str) -> list[set[int]]:
     return out
 
 
+def _cron_match(t: Column, expression: str) -> Column:
+    minute, hour, day, month, weekday = (sorted(s) for s in _cron(expression))
+    return F.minute(t).isin(minute) & F.hour(t).isin(hour) & F.dayofmonth(t).isin(day) & F.month(t).isin(month) & (F.dayofweek(t) - 1).isin(weekday)
+
+
+def cron_matches(rows: DataFrame, at: str, expression: str) -> DataFrame:
+    """The rows whose time lies in a minute that the expression names; day and weekday must both match."""
+    return rows.where(_cron_match(F.col(at), expression))
+
+
 def cron_runs(spark, expression: str, start: str, end: str) -> DataFrame:
     """run_at of each minute in [start, end) that matches; day and weekday must both."""
-    minute, hour, day, month, weekday = (sorted(s) for s in _cron(expression))
     t = F.col("run_at")
     every = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr("INTERVAL 1 MINUTE"))).alias("run_at"))
-    return every.where((t < F.lit(end).cast("timestamp_ntz")) & F.minute(t).isin(minute) & F.hour(t).isin(hour) & F.dayofmonth(t).isin(day) & F.month(t).isin(month) & (F.dayofweek(t) - 1).isin(weekday))
+    return every.where((t < F.lit(end).cast("timestamp_ntz")) & _cron_match(t, expression))
 
 
 # extraction ----------------------------------------------------------------------------------------------------------

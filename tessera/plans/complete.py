@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.operators import export, extraction, governance, links, matching, promotion, records
-from tessera.plans.extended import NOTES, _notes
-from tessera.plans.registry import AS_OF, FAILED_ALL, JOBS, LINKS, LLMS, ORACLE_SQL, PAGES, PROMOTION, REVIEWS, _reviews, all_failures, references, register, rounded
+from tessera.plans.models import stub, verdict
+from tessera.plans.registry import AS_OF, FAILED_ALL, JOBS, LLMS, ORACLE_SQL, PAGES, PROMOTION, REVIEWS, _reviews, all_failures, references, register, rounded
 from tessera.sources import queue
 from tessera.sources import tables as S
 from tessera.sources import versions
@@ -221,7 +221,7 @@ def _(spark, d):
     had = F.transform(F.sequence(F.lit(1), F.lit(14)), one)
     docs = S.read(spark, d, "documents").select(i.alias("page_id"))
     p = F.col("page_id")
-    pages = docs.select("page_id", none.alias("tags"), F.lit(" ").alias("summary"), F.lit("page").alias("kind"), F.array(F.lit("old")).alias("entities"), F.when(p % 2 == 0, had).alias("relationships"))
+    pages = docs.select("page_id", none.alias("tags"), F.lit("").alias("summary"), F.lit("page").alias("kind"), F.array(F.lit("old")).alias("entities"), F.when(p % 2 == 0, had).alias("relationships"))
     found = docs.select("page_id", none.alias("tags"), F.lit("s").alias("summary"), F.lit("x").alias("kind"), F.when(p % 3 != 0, F.array(F.lit("new"))).alias("entities"), F.array(*[one(F.lit(n)) for n in (1, 1, 20)]).alias("relationships"))
     out = records.enrich(pages, found)
     return out.select("page_id", F.array_join("entities", ",").alias("entity"), F.size("relationships").alias("n_relationships"))
@@ -244,27 +244,6 @@ def _(spark, d):
 
 
 # extraction by a model ------------------------------------------------------------------------------------------------
-def stub(item: str, title: str, content: str) -> str:
-    """A model that answers by the length of what it sees: an item for every hundred characters, some of them bad."""
-    import json
-
-    n = len(content) // 100
-    if item == "metadata":
-        return json.dumps({"kind": "entity" if n % 3 == 0 else "concept" if n % 3 == 1 else "page", "summary": f"s{n}", "tags": ["t"]})
-    if item == "claims":
-        return json.dumps({"claims": [{"claim": f"c{i}", "source_reference": "" if i % 4 == 3 else "r", "confidence": i % 13 / 10} for i in range(n)]})
-    if item == "relationships":
-        return json.dumps([{"source_entity": " A ", "relationship_type": "Uses", "target_entity": f"b{i}", "confidence": 2 if i % 5 == 4 else 0.5} for i in range(n)])
-    if item == "qa":
-        return json.dumps({"pairs": [{"question": f"q{i:02}", "answer": "a" if i % 2 == 0 else ""} for i in range(n)]})
-    if n % 2 and item == "entities":
-        return "no JSON"
-    return json.dumps({item: [{"name": f"{item[0]}{i}", "type": "T"} if i % 3 else {"type": "T"} for i in range(n)]})
-
-
-SEEN = "n_ AS (SELECT page_id, domain, least(length(body), {0}) // 100 AS n FROM pages_)"
-
-
 def _valid(item: str, most: int, chars: int, bad: str) -> str:
     """page_id and the number of items that stay of each page."""
     return f"{item}_ AS (SELECT page_id, least({most}, len(list_filter(range(least(length(body), {chars}) // 100), lambda i: NOT ({bad})))) AS n_{item} FROM pages_)"
@@ -281,28 +260,24 @@ k_ AS (SELECT page_id, domain, summary, ['entity', 'concept', 'page'][CAST(least
 
 @register(
     "queue_drained",
-    f"""{DRAINED} SELECT page_id, kind, coalesce(nullif(trim(summary, ' '), ''), s) AS summary, 'enriched' AS status, n_claims, n_relationships, CASE WHEN kind = 'entity' AND NOT odd THEN n_entities ELSE 0 END AS n_entities, CASE WHEN kind = 'concept' THEN n_concepts ELSE 0 END AS n_concepts
+    f"""{DRAINED} SELECT page_id, kind, coalesce(nullif(summary, ''), s) AS summary, 'enriched' AS status, n_claims, n_relationships, CASE WHEN kind = 'entity' AND NOT odd THEN n_entities ELSE 0 END AS n_entities, CASE WHEN kind = 'concept' THEN n_concepts ELSE 0 END AS n_concepts
 FROM k_ JOIN claims_ USING (page_id) JOIN relationships_ USING (page_id) JOIN entities_ USING (page_id) JOIN concepts_ USING (page_id)""",
 )
 def _(spark, d):
-    out = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["pages"]
+    out = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit("")), stub)["pages"]
     n = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(f"n_{c}") for c in ("claims", "relationships", "entities", "concepts")]
     return out.select("page_id", "kind", "summary", "status", *n)
 
 
 @register("drained_edges", f"{DRAINED} SELECT source, type, count(*) AS n, round(sum(0.5), 6)::DOUBLE AS weight FROM (SELECT 'A' AS source, 'uses' AS type, unnest(range(n_relationships)) FROM relationships_) GROUP BY 1, 2")
 def _(spark, d):
-    e = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["edges"]
+    e = extraction.drain(S.pages(spark, d).withColumn("kind", F.lit("")), stub)["edges"]
     return e.groupBy("source", "type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 @register("drained_questions", f"{DRAINED} SELECT page_id || '-qa-' || i AS page_id, domain, 'qa' AS kind FROM (SELECT page_id, domain, unnest(range(1, n_qa + 1)) AS i FROM k_ JOIN qa_ USING (page_id) WHERE kind = 'page')")
 def _(spark, d):
-    return extraction.drain(S.pages(spark, d).withColumn("kind", F.lit(" ")), stub)["questions"].select("page_id", "domain", "kind")
-
-
-def verdict(left: str, right: str) -> str:
-    return '{"contradicts": true, "confidence": 0.9}' if len(left) != len(right) else "{}"
+    return extraction.drain(S.pages(spark, d).withColumn("kind", F.lit("")), stub)["questions"].select("page_id", "domain", "kind")
 
 
 @register("contradictions_semantic")

@@ -114,12 +114,6 @@ def _(spark, d):
     return rounded(out.withColumn("page_id", F.col("page_id").cast("long")), "score")
 
 
-@register("relationship_types", "SELECT * FROM (VALUES (' Uses ', 'uses'), ('us', 'uses'), ('', 'uses'), ('depends on', 'depends_on'), ('Used by', 'uses'), ('zzz', 'zzz'), ('PART_OF', 'part_of'), ('partner', 'part_of')) t(kind, normal)")
-def _(spark, d):
-    kinds = [" Uses ", "us", "", "depends on", "Used by", "zzz", "PART_OF", "partner"]
-    return spark.createDataFrame([(k,) for k in kinds], "kind string").select("kind", graph.normal_type(F.col("kind")).alias("normal"))
-
-
 @register(
     "edges_upserted",
     """WITH e_ AS (SELECT 'u' || user_id AS source, event_type AS target, CASE WHEN event_id % 2 = 0 THEN 'uses' ELSE 'cites' END AS type, value / 50.0 AS w, event_id % 5 = 0 AS bidirectional, event_id AS seq FROM events),
@@ -179,17 +173,12 @@ def _(spark, d):
     return records.review_fan_in(pairs, queued, EVENTS_AS_OF).select("target_id", "priority")
 
 
-@register("cron_runs", "SELECT CAST(t AS TIMESTAMP) AS run_at FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-15', INTERVAL 1 MINUTE) r(t) WHERE minute(t) % 30 = 0 AND hour(t) BETWEEN 9 AND 10 AND dayofweek(t) = 1")
-def _(spark, d):
-    return records.cron_runs(spark, "*/30 9-10 * * mon", "2024-01-01 00:00:00", "2024-01-15 00:00:00")
-
-
 @register("page_diff", f"{CHANGES} SELECT page_id, seq FROM changes_ WHERE page_id = 8 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20 00:00:01'")
 def _(spark, d):
     return records.page_diff(S.changes(spark, d), 8, "2024-01-05T00:00:00", "2024-01-20T00:00:00").select("page_id", "seq")
 
 
-@register("enriched_pages", f"{PAGES} SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(tags, ['zeta', lower(kind)]))), ',') AS tags, coalesce(summary, 'found') AS summary, 'enriched' AS status FROM pages_")
+@register("enriched_pages", f"{PAGES} SELECT page_id, array_to_string(list_sort(list_distinct(list_concat(tags, ['zeta', lower(kind)]))), ',') AS tags, coalesce(nullif(summary, ''), 'found') AS summary, 'enriched' AS status FROM pages_")
 def _(spark, d):
     p = S.pages(spark, d)
     found = p.select("page_id", F.array(F.lit("zeta"), F.lower("kind")).alias("tags"), F.lit("found").alias("summary"), F.lit("page").alias("kind"))
@@ -282,12 +271,6 @@ def _(spark, d):
     return records.change_lines(records.diff(p, p.withColumn("title", F.lit("New")), ["title"])).select("page_id", "line")
 
 
-@register("review_get", "SELECT '12' AS id, 'approved' AS status")
-def _(spark, d):
-    items = spark.createDataFrame([("12", "deferred"), ("12", "approved"), ("13", "pending")], "id string, status string")
-    return records.review_get(items, "12")
-
-
 @register("low_quality_reviews", "SELECT CAST(doc_id AS VARCHAR) AS target_id, CASE WHEN quality * 0.3 < 0.2 THEN 'high' ELSE 'medium' END AS priority FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
 def _(spark, d):
     p = S.read(spark, d, "documents").join(S.read(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("page_id"), (F.col("quality") * 0.3).alias("quality_score"))
@@ -370,12 +353,6 @@ def _(spark, d):
     return rounded(matching.duplicates(S.pages(spark, d), 0.41, domains=("src1", "src3")).select("id_1", "id_2", "score"), "score")
 
 
-@register("backoff_jitter", "SELECT CAST(n AS BIGINT) AS n, round(CAST(least(60.0, pow(2.0, n)) * (1 + n / 16.0) AS DOUBLE), 9) AS seconds FROM range(0, 8) t(n)")
-def _(spark, d):
-    n = F.col("id")
-    return rounded(spark.range(8).select(n.alias("n"), T.exponential_seconds(n, jitter=n / 8).alias("seconds")), "seconds")
-
-
 @register(
     "retried_failures",
     f"""{FAILED_ALL}, due_ AS (SELECT *, CAST(regexp_extract(file_path, '[0-9]+') AS BIGINT) % 3 AS k, failure_count + 1 AS c FROM state_ WHERE NOT permanent AND failure_count < 5 AND next_retry <= TIMESTAMP '{EVENTS_AS_OF}')

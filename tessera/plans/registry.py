@@ -620,11 +620,6 @@ def _(spark, d):
     return rounded(records.job_stats(S.executions(spark, d), EVENTS_AS_OF, 600), "success_rate").withColumn("avg_duration", F.round("avg_duration", 6))
 
 
-@register("backoff_schedule", "SELECT CAST(n AS BIGINT) AS n, [300, 1800, 7200, 21600, 86400][CAST(least(greatest(n, 1), 5) AS INT)] AS by_table, CAST(least(60.0, pow(2.0, n)) AS DOUBLE) AS exponential FROM range(0, 8) t(n)")
-def _(spark, d):
-    return spark.range(8).select(F.col("id").alias("n"), T.retry_seconds(F.col("id")).alias("by_table"), T.exponential_seconds(F.col("id")).alias("exponential"))
-
-
 LLMS = """
 llms_ AS (SELECT page_id, domain, created, updated, confidence, concat_ws(chr(10), '# ' || title, '', '<!-- id: ' || page_id || ' -->', '<!-- domain: ' || domain || ' -->', '<!-- kind: ' || kind || ' -->',
   CASE WHEN len(tags) > 0 THEN '<!-- tags: ' || array_to_string(tags, ', ') || ' -->' END, '', CASE WHEN summary <> '' THEN '> ' || summary || chr(10) END, trim(body, ' '), '') AS content FROM pages_)"""
@@ -717,11 +712,6 @@ def _(spark, d):
     return S.pages(spark, d).select("page_id", T.slug_ascii(F.col("title")).alias("slug"))
 
 
-@register("failure_classes", "SELECT e AS error, r AS reason FROM (SELECT unnest([" + ", ".join(f"'{e}'" for e in ERRORS) + "]) AS e, unnest(['llm_timeout', 'network_error', 'temporary_error', 'invalid_format', 'corrupted_file', 'missing_metadata', 'schema_validation_failed', 'unknown']) AS r)")
-def _(spark, d):
-    return spark.createDataFrame([(e,) for e in ERRORS], "error string").select("error", T.failure_reason(F.col("error")).alias("reason"))
-
-
 @register("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def _(spark, d):
     from tessera.streaming import inbox
@@ -731,4 +721,5 @@ def _(spark, d):
 
 
 from tessera.plans import extended  # noqa: E402, F401  (registers more)
-from tessera.plans import complete  # noqa: E402, F401  (registers the rest)
+from tessera.plans import complete  # noqa: E402, F401  (registers more)
+from tessera.plans import coverage  # noqa: E402, F401  (registers the rest)
