@@ -35,7 +35,7 @@ from tessera.llm.common import before, dropped, places, whole_numbers, written
 #: Turns of a block; rows of a join key (a power of BLOCK); ids of a chunk.
 BLOCK, FINE, IDS = 32, 32 * 32, 4096
 #: Least ranks of a stretch, and the most stretches.
-STRETCH, STRETCHES = 10_000, 10_000
+STRETCH, STRETCHES = 500, 10_000
 #: Children of a node that one join key holds.
 CHILDREN = 1 << 16
 BASE, HEADS = 5, 9
