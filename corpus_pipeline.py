@@ -17,9 +17,21 @@ from tessera.llm.common import dropped, table, written
 WIDTH, SIMILAR = 5, ngram_join.PartEnum(num=80, den=100)
 
 
+#: Rows of a batch that a task hands to Python; texts are long, and at the default of 10,000 a batch is a whole partition,
+#: which stands in the executor's JVM and in its Python workers at once.
+BATCH = 1000
+
+
+def _bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject. Texts are judged whole, null ones as empty; rows that repeat
     an id or have none are judged one by one; without labels nothing is rejected."""
+    _bounded_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return docs.where(~quality.rejected(docs, model))
 
@@ -28,6 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates: that of the least id, of rows with one id that of the least text
     hash, and of rows with one id and text that whose columns come first as JSON. Rows of one id with unlike texts are
     unlike documents. Documents without words or without an id have no group and stay."""
+    _bounded_batches(spark)
     found = ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR)
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     rows = found.where("group_id is not null").groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("__rows"))
@@ -49,11 +62,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no test item, each row judged by its own whole text; null texts leak nothing, null and repeated
     ids are nothing special, and an empty benchmark leaves all."""
+    _bounded_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents, row by row, with personal data masked; null texts stay null."""
+    _bounded_batches(spark)
     return pii.redact(docs)
 
 
@@ -62,6 +77,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     by one."""
     import public_tokenizers
 
+    _bounded_batches(spark)
     return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
