@@ -42,17 +42,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     unlike documents. Documents without words or without an id have no group and stay."""
     _bounded_batches(spark)
     found = ngram_join.jaccard_join(docs, width=WIDTH, how=SIMILAR)
+    mark = "__kept"
+    while any(c.startswith(mark) for c in docs.columns):  # an input may have any columns
+        mark += "_"
+    one, digest, times = (f"{mark}_{c}" for c in ("id", "hash", "rows"))
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    rows = found.where("group_id is not null").groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("__rows"))
-    best = rows.groupBy("group_id").agg(first, F.min_by("__rows", F.struct("doc_id", "text_hash")).alias("__rows"))
-    kept, path = written(best.select("first.*", "__rows").withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"}), "kept")
+    rows = found.where("group_id is not null").groupBy("group_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = rows.groupBy("group_id").agg(first, F.min_by("n", F.struct("doc_id", "text_hash")).alias("n"))
+    kept, path = written(best.select(F.col("first.doc_id").alias(one), F.col("first.text_hash").alias(digest), F.col("n").alias(times)), "kept")
     # what stays grows with the corpus: one plan at every size
-    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    same = (F.col("doc_id") == F.col(one)) & (F.xxhash64("text") == F.col(digest))
     out = docs.join(kept.hint("merge"), same)
-    result = out.where("__rows = 1").select(docs.columns)
-    if kept.where("__rows > 1").limit(1).count():  # copies of one id
+    result = out.where(F.col(times) == 1).select(docs.columns)
+    if kept.where(F.col(times) > 1).limit(1).count():  # copies of one id
         every = F.struct(*docs.columns)
-        again = out.where("__rows > 1").groupBy("doc_id", "text").agg(F.min_by(every, F.to_json(every)).alias("x"))
+        again = out.where(F.col(times) > 1).groupBy("doc_id", "text").agg(F.min_by(every, F.to_json(every)).alias("x"))
         result = result.unionByName(again.select("x.*"))
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     alone = docs.where(F.col("doc_id").isNull() | wordless)

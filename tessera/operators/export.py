@@ -57,7 +57,8 @@ def _numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     before = counts.select("__by", "__r", F.coalesce(earlier, F.lit(0)).alias("__before"))  # a row per group and range
     x = x.withColumn("__place", F.row_number().over(W.partitionBy(by, "__range").orderBy(order)))
     same = F.col(by).eqNullSafe(F.col("__by")) & (F.col("__range") == F.col("__r"))
-    return x.join(F.broadcast(before), same).withColumn("n", F.col("__place") + F.col("__before")).select(*rows.columns, "n")
+    few = before.count() <= 100 * MOST_RANGES  # a row per group and range
+    return x.join(F.broadcast(before) if few else before, same).withColumn("n", F.col("__place") + F.col("__before")).select(*rows.columns, "n")
 
 
 def llms_domains(pages: DataFrame, per_part: int = 1000) -> DataFrame:

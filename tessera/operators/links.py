@@ -21,6 +21,13 @@ def backlinks(links: DataFrame) -> DataFrame:
     return links.groupBy("dst").agg(F.count("*").alias("n_backlinks"), F.sort_array(F.collect_set("src")).alias("sources"))
 
 
+def backlink_blocks(links: DataFrame, per_block: int = 1000) -> DataFrame:
+    """dst, block, sources: at most per_block sorted sources a row, so that a hub is many rows; in order of block they are
+    all of its sources."""
+    rows, _ = scratch.numbered(links.select("dst", "src").distinct(), "dst", "src")
+    return rows.groupBy("dst", F.floor((F.col("n") - 1) / per_block).alias("block")).agg(F.sort_array(F.collect_list("src")).alias("sources"))
+
+
 def backlink_counts(links: DataFrame) -> DataFrame:
     """dst, n_backlinks, without the sources: a hub's are never gathered."""
     return links.groupBy("dst").agg(F.count("*").alias("n_backlinks"))

@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import export, fulltext, governance, graph, links, matching, metadata, records
 from tessera.sources import pagefiles
 from tessera.sources import tables as S
+from tessera.sources import versions
 
 QUERY = "the of and"
 AS_OF = S.AS_OF
@@ -69,7 +70,7 @@ def stored_index(spark, d) -> str:
     """Where the index of the pages is stored; written once a session and state of the files that it was made from."""
     files = [f"{s.getPath()} {s.getModificationTime()} {s.getLen()}" for t in ("documents", "labels") for s in _listed(spark, f"{d}/{t}.parquet")]
     key = (spark.sparkContext.applicationId, *files)
-    if key not in _stored:
+    if key not in _stored or not versions.current(spark, _stored[key]):  # cleared tables are written again
         path = scratch.shared_path(spark, "index")
         fulltext.store(S.pages(spark, d), path)
         _stored[key] = path

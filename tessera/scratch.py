@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 #: monotonically_increasing_id() has a row's number in its partition in so many bits.
 PLACE_BITS = 33
 _own: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names, else in the warehouse, which executors share too; a local
     session without either setting uses a folder of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if base is None:
-        app = spark.sparkContext.applicationId
         if re.match(r"local(\[|$)", spark.sparkContext.master):
             base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
         else:
             base = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(app, []).append(f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}")
+    return _paths[app][-1]
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -54,3 +55,11 @@ def numbered(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, str]:
     starts = held.groupBy(key, "__part").agg(F.min("__at").alias("__first")).join(sizes, [key, "__part"]).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
     placed = held.join(starts, [key, "__part"])
     return placed.withColumn("n", F.col("__at") - F.col("__first") + F.col("__before") + 1).select(*rows.columns, "n"), path
+
+
+def cleared(spark: SparkSession) -> int:
+    """Delete all that this session has in its shared folder; how many tables that were. Run it when their results have been
+    written or read."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    dropped(spark, *paths)
+    return len(paths)

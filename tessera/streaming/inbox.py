@@ -45,21 +45,36 @@ def retry_state(attempts: DataFrame, max_retries: int = 5) -> DataFrame:
 
     def advance(key, batches, state):
         count, permanent = state.get if state.exists else (0, False)
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = None
-        for r in rows.itertuples():
-            if r.reason is None:
-                count, permanent, out = 0, False, (key[0], 0, "cleared", False, pd.NaT)
-                continue
-            count += 1
-            permanent = permanent or r.reason in T.PERMANENT or count >= max_retries
+        # each batch is reduced as it comes: the attempts after the last success count, and the last one's reason and time
+        cleared, fails, last = None, [], None
+        for rows in batches:
+            good = rows[rows["reason"].isna()]["at"].max()
+            if not pd.isna(good) and (cleared is None or good > cleared):
+                cleared = good
+            bad = rows[rows["reason"].notna()]
+            if cleared is not None:
+                bad = bad[bad["at"] > cleared]
+            if len(bad):
+                fails.append(pd.DataFrame({"at": bad["at"], "end": bad["reason"].isin(T.PERMANENT)}).groupby("at", as_index=False).agg(n=("end", "size"), end=("end", "any")))
+                end = bad.sort_values("at").iloc[-1]
+                last = end if last is None or end["at"] >= last["at"] else last
+        counted = pd.concat(fails) if fails else None
+        if cleared is not None:
+            count, permanent = 0, False
+            counted = counted[counted["at"] > cleared] if counted is not None else None
+        if counted is None or not len(counted):
+            out = (key[0], 0, "cleared", False, pd.NaT) if cleared is not None else None
+        else:
+            count += int(counted["n"].sum())
+            permanent = permanent or bool(counted["end"].any()) or count >= max_retries
             wait = T.RETRY_SECONDS[min(count, len(T.RETRY_SECONDS)) - 1]
-            out = (key[0], count, r.reason, permanent, pd.NaT if permanent else r.at + pd.Timedelta(seconds=wait))
+            out = (key[0], count, last["reason"], permanent, pd.NaT if permanent else last["at"] + pd.Timedelta(seconds=wait))
         if count:
             state.update((count, permanent))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([out], columns=["file_path", "failure_count", "reason", "permanent", "next_retry"])
+        if out:
+            yield pd.DataFrame([out], columns=["file_path", "failure_count", "reason", "permanent", "next_retry"])
 
     rows = attempts.select("file_path", "at", F.when(F.col("error").isNotNull(), T.failure_reason(F.col("error"))).alias("reason"))
     return rows.groupBy("file_path").applyInPandasWithState(advance, RETRY_SCHEMA, "count int, permanent boolean", "update", "NoTimeout")

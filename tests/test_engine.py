@@ -530,6 +530,15 @@ def test_ids_never_repeat(spark):
     assert all(got[p] == base for base, p in first.items())
 
 
+def test_backlinks_in_blocks_and_cleared_tables(spark):
+    rows = [(f"s{i:04}", "hub") for i in range(2500)] + [("a", "b")]
+    got = links.backlink_blocks(spark.createDataFrame(rows + rows[:5], "src string, dst string")).collect()
+    assert sorted((r["dst"], r["block"], len(r["sources"])) for r in got) == [("b", 0, 1), ("hub", 0, 1000), ("hub", 1, 1000), ("hub", 2, 500)]
+    assert [s for r in sorted((r for r in got if r["dst"] == "hub"), key=lambda r: r["block"]) for s in r["sources"]] == [x for x, _ in rows[:2500]]
+    kept, path = scratch.written(spark.range(3), "kept")
+    assert kept.count() == 3 and scratch.cleared(spark) >= 1 and not os.path.exists(path.removeprefix("file://")) and scratch.cleared(spark) == 0
+
+
 def test_numbers_of_a_key_in_many_ranges(spark):
     rows = [("hot", i * 7 % 2000) for i in range(2000)] + [(f"k{i % 50}", i) for i in range(300)]
     found, _ = scratch.numbered(spark.createDataFrame(rows, "k string, v long"), "k", "v")
