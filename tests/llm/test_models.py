@@ -325,6 +325,21 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, None).agg(F.max("score")).first()[0] == 0.0 and toxicity.scored(docs.limit(0), net).count() == 0
 
 
+def test_toxicity_of_very_long_and_repeated_rows(spark):
+    """A toxic passage is found wherever it stands in a long text; rows that repeat an id are scored one by one."""
+    r = random.Random(5)
+    fill = lambda n: " ".join(r.choice(VOCAB) for _ in range(n))
+    bad = "vilify scumbag loathe filthy vilify loathe"
+    rows = [(i, f"{fill(30)} {bad} {fill(30)}" if i % 2 else fill(70), i % 2) for i in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1, 0), (1, None)], "doc_id long, toxic int")
+    net = toxicity.fit(docs, labels, F.lit(True))
+    long = fill(20_000).split()
+    odd = [(1, " ".join(long)), (1, " ".join(long[:15_003] + bad.split() + long[15_003:])), (1, " ".join(long)), (None, bad), (None, None)]
+    got = [x["score"] for x in toxicity.scored(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1), net).collect()]
+    assert len(got) == 5 and got[0] == got[2] and got[1] > 0.3 > got[4] and got[1] > got[0]
+
+
 @pytest.mark.parametrize("shift", [0.0, 4.0])
 def test_risk_gradient(shift):
     """Against finite differences, with the negative part above 0 and below it."""
@@ -473,6 +488,9 @@ def test_stages_on_odd_rows(spark, data):
     assert kept.columns == docs.columns
     got = sorted(((r["doc_id"] or -1, (r["text"] or "")[:9]) for r in kept.collect()))
     assert got == sorted([(1, "a b c d e"), (1, "one two t"), (3, ""), (4, ""), (5, "word0 wor"), (-1, "a b c d e"), (-1, ""), (7, "  ")])
+    clash = docs.withColumns({"__kept_id": F.lit(1), "__kept_rows": F.lit("x"), "group_id": F.lit(2), "text_hash": F.lit(3)})
+    again = P.near_duplicate_stage(spark, clash, data)
+    assert again.columns == clash.columns and again.count() == len(got)
     for name, stage in P.STAGES:
         out = stage(spark, docs, data)
         n = out.count()
