@@ -13,12 +13,14 @@ are returned.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.sources import versions
@@ -141,11 +143,21 @@ def store(pages: DataFrame, path: str) -> int:
 def _append(df: DataFrame, path: str, blocks: DataFrame | None, buckets: int, docs: DataFrame) -> int:
     spark, base = df.sparkSession, versions.current(df.sparkSession, path)
     held = versions.manifest(spark, path, base)
-    staged = versions.stage(blocks, path, f"blocks-{buckets}", ("bucket",)) if blocks is not None else "none"
-    new = {"blocks": staged, "documents": versions.stage(docs, path, "documents")}
+    new = _staged(path, blocks, buckets, docs)
     return versions.switch(spark, path, {t: [*held.get(t, []), new[t]] for t in new}, base)
 
 
+def _staged(path: str, blocks: DataFrame | None, buckets: int, docs: DataFrame) -> dict[str, str]:
+    """What a manifest holds of a segment: its paths, and their schemas, so that a search need not look into files for them."""
+    staged = versions.stage(blocks, path, f"blocks-{buckets}", ("bucket",)) if blocks is not None else "none"
+    schema = blocks.schema.json() if blocks is not None else "none"
+    return {"blocks": staged, "documents": versions.stage(docs, path, "documents"), "block_schemas": schema, "document_schemas": docs.schema.json()}
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(StructType.fromJson(json.loads(schema))).option("basePath", path).parquet(path)
+
+
 def store_removed(gone: DataFrame, path: str) -> int:
     """A segment that takes the pages of `gone` (page_id) out of the index."""
     text = F.lit(None).cast("string")
@@ -156,7 +168,7 @@ def _documents(spark: SparkSession, held: dict) -> DataFrame:
     """page_id, title, domain, gone, segment of all segments."""
     out = None
     for i, p in enumerate(held["documents"]):
-        rows = spark.read.parquet(p).withColumn("segment", F.lit(i))
+        rows = _read(spark, p, held["document_schemas"][i]).withColumn("segment", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -167,13 +179,11 @@ def _heads(spark: SparkSession, held: dict, terms: list[str] | None) -> DataFram
     for i, p in enumerate(held["blocks"]):
         if p == "none":
             continue
-        read = spark.read.option("basePath", p)
+        rows = _read(spark, p, held["block_schemas"][i])
         if terms is not None:
             buckets = int(re.search(r"/blocks-(\d+)-", p)[1])
             own = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
-            rows = read.parquet(p).where(F.col("bucket").isin(own) & F.col("term").isin(terms))
-        else:
-            rows = read.parquet(p)
+            rows = rows.where(F.col("bucket").isin(own) & F.col("term").isin(terms))
         rows = rows.select(F.lit(i).alias("segment"), "term", "range", "n", "impact", "postings")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -209,9 +219,8 @@ def compacted(spark: SparkSession, path: str) -> int:
     buckets = max([8, *(int(re.search(r"/blocks-(\d+)-", p)[1]) for p in held["blocks"] if p != "none")])
     n = docs.count()
     layout = buckets, max(1, round(sum(p != "none" for p in held["blocks"]) ** 0.5)), max(1, math.ceil(n / (8 * BLOCK_PAGES)))
-    blocks = versions.stage(_blocks(rows, layout), path, f"blocks-{buckets}", ("bucket",))
-    staged = versions.stage(docs.withColumn("gone", F.lit(False)), path, "documents")
-    return versions.switch(spark, path, {"blocks": [blocks], "documents": [staged]}, base)
+    new = _staged(path, _blocks(rows, layout), buckets, docs.withColumn("gone", F.lit(False)))
+    return versions.switch(spark, path, {t: [x] for t, x in new.items()}, base)
 
 
 def search_stored(spark: SparkSession, path: str, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:

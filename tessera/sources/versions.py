@@ -86,7 +86,7 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Delete all but the last `keep` versions and the data that only they name; how many paths went. Run it when no reader
     has an older version open and no write is under way."""
     versions = _versions(spark, root)
-    held = {p for v in versions[-keep:] for paths in manifest(spark, root, v).values() for p in paths}
+    held = {p for v in versions[-keep:] for paths in manifest(spark, root, v).values() for p in paths if "/" in p}
     names = {p.rsplit("/", 1)[1] for p in held}
     fs, data = _fs(spark, f"{root}/data")
     gone = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName() not in names] if fs.exists(data) else []
