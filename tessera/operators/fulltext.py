@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera import scratch
 from tessera.functions import text as T
 from tessera.sources import versions
 
@@ -73,17 +74,17 @@ def _hits(pages: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def search(pages: DataFrame, query: str, domain: str | None = None, limit: int = 10) -> DataFrame:
-    """page_id, title, domain, score of the best pages. Only the query's terms are counted: each page's tokens are
-    filtered in place; one scan counts the pages that hold them, one scores. A stored index needs neither."""
+    """page_id, title, domain, score of the best pages. One scan extracts each page's tokens and writes what it holds of the
+    query's terms; df and scores come from that table. A stored index needs no scan."""
     wanted = query_tokens(query)
     if not wanted:
         return pages.limit(0).select("page_id", "title", "domain", F.lit(0.0).alias("score"))
     terms = sorted(set(wanted))
-    df = _hits(pages, terms).agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    held = _hits(pages if domain is None else pages.where(F.col("domain") == domain), terms)
-    joined = held.join(F.broadcast(df), F.lit(True))  # df is one row
-    score = sum((F.lit(float(wanted.count(t))) * F.col(f"tf{i}") / F.greatest("wc", F.lit(1)) / (1 + F.col(f"df{i}")) for i, t in enumerate(terms)), F.lit(0.0))
-    return joined.select("page_id", "title", "domain", score.alias("score")).orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
+    held, _ = scratch.written(_hits(pages, terms), "hits")
+    df = held.agg(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms))]).first()  # df counts pages of all domains
+    held = held if domain is None else held.where(F.col("domain") == domain)
+    score = sum((F.lit(float(wanted.count(t))) * F.col(f"tf{i}") / F.greatest("wc", F.lit(1)) / F.lit(1 + df[i]) for i, t in enumerate(terms)), F.lit(0.0))
+    return held.select("page_id", "title", "domain", score.alias("score")).orderBy(F.desc(F.round("score", 12)), "page_id").limit(limit)
 
 
 def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10, domain: str | None = None) -> DataFrame:
