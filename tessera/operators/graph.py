@@ -121,7 +121,7 @@ def levels(edges: DataFrame, start: str, depth: int, undirected: bool, until: st
     step = step.where("a != b")
     if until is not None:
         step = step.where((F.col("a") != until) & (F.col("b") != until))
-    seen = [spark.createDataFrame([(start, 0)], "node string, level int")]
+    seen = [spark.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("level"))]
     for level in range(1, depth + 1):
         found = _reached(step, seen[-1])
         # a step leads to the same level, to the one before (if steps go both ways) or to an earlier one
@@ -148,7 +148,7 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -> Dat
     target, so paths are written out last and none of them is a dead end."""
     spark = edges.sparkSession
     if source == target:
-        return spark.createDataFrame([([source],)], "path array<string>")
+        return spark.range(1).select(F.array(F.lit(source)).alias("path"))
     at = levels(edges, source, max_depth - 1, undirected=False, until=target)
     e = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))
     below = at.select(F.col("node").alias("a"), F.col("level").alias("from"))
@@ -160,7 +160,7 @@ def paths(edges: DataFrame, source: str, target: str, max_depth: int = 3) -> Dat
     for level in range(max_depth - 2, -1, -1):  # what leads to the target, level by level from behind
         onward[level], _ = scratch.written(steps.where(F.col("from") == level).join(good[level + 1].select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "times"), "onward")
         good[level] = onward[level].select(F.col("a").alias("node")).unionByName(ends.where(F.col("level") == level).select("node")).distinct()
-    walk = spark.createDataFrame([([source], source, 1)], "path array<string>, end string, times long")
+    walk = spark.range(1).select(F.array(F.lit(source)).alias("path"), F.lit(source).alias("end"), F.lit(1).cast("long").alias("times"))
     last = ends.select(F.col("node").alias("end"), F.col("times").alias("own"))
     out = []
     for level in range(max_depth):

@@ -26,7 +26,8 @@ ABBREVIATIONS = (
 
 
 def _described(pages: DataFrame) -> DataFrame:
-    """id, name, aliases, urls, tags and long words of the first row of each id."""
+    """id, name, aliases, urls, tags and long words (sorted hashes) of the first row of each id, as a table: the blocks and
+    the scores read it by columns."""
     has = lambda c, t: F.col(c) if c in pages.columns else F.lit(None).cast(t)
     name = T.normal_name(F.coalesce("title", F.lit("")))
     short = F.array(*[F.lit(x) for pair in ABBREVIATIONS for x in pair])
@@ -37,12 +38,14 @@ def _described(pages: DataFrame) -> DataFrame:
         F.nullif(has("source_url", "string"), F.lit("")).alias("source_url"),
         F.nullif(has("github_url", "string"), F.lit("")).alias("github_url"),
         F.array_distinct(F.coalesce(F.col("tags"), F.array().cast("array<string>"))).alias("tags"),
-        F.array_distinct(F.filter(T.words(F.coalesce("body", F.lit(""))), lambda w: F.char_length(w) > 2)).alias("long_words"),
+        F.coalesce("body", F.lit("")).alias("body"),
         F.char_length(F.coalesce("body", F.lit(""))).alias("length"),
         F.array_contains(short, name).alias("abbreviation"),
     )
     first = W.partitionBy("id").orderBy("name", "length")
-    return rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    long_words = F.array_distinct(F.transform(F.filter(T.words(F.col("body")), lambda w: F.char_length(w) > 2), lambda w: F.xxhash64(w)))
+    return scratch.written(rows.withColumn("long_words", F.sort_array(long_words)).withColumn("n_words", F.size("long_words")).drop("body"), "described")[0]
 
 
 def _abbreviated(d: DataFrame, min_score: float) -> DataFrame:
@@ -63,7 +66,7 @@ def _abbreviated(d: DataFrame, min_score: float) -> DataFrame:
 
         found = rare(short, "x").join(rare(d, "y"), "k").select("x", "y")
         if min_score <= 0.4 + 1e-9:
-            words = lambda df: df.select("id", F.col("long_words").alias("words"))
+            words = lambda df: df.select("id", F.transform("long_words", lambda w: w.cast("string")).alias("words"))
             alike = max(0.3, 10 * (min_score - 0.3)) - 1e-6
             found = found.unionByName(similar_pairs(words(short), words(d), alike).select(F.col("a").alias("x"), F.col("b").alias("y")))
     return found.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -91,15 +94,24 @@ def duplicates(pages: DataFrame, min_score: float = 0.3, exclude_kinds: tuple[st
     pairs = found[0]
     for f in found[1:]:
         pairs = pairs.unionByName(f)
-    side = lambda s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in d.columns])
+    told = [c for c in d.columns if c != "long_words"]
+    side = lambda s: d.select(*[F.col(c).alias(f"{s}_{c}") for c in told])
     both = pairs.distinct().join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
     named = (F.col("a_name") == F.col("b_name")) & (F.col("a_name") != "")
     aliased = F.array_contains("b_aliases", F.col("a_name")) | F.array_contains("a_aliases", F.col("b_name")) | F.col("a_abbreviation") | F.col("b_abbreviation")
     url = F.coalesce(F.col("a_source_url") == F.col("b_source_url"), F.lit(False)) | F.coalesce(F.col("a_github_url") == F.col("b_github_url"), F.lit(False))
-    alike = T.jaccard(F.col("a_long_words"), F.col("b_long_words"))
     part = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
-    score = part(named, 0.4) + part(aliased, 0.3) + part(url, 0.2) + part(F.size(F.array_intersect("a_tags", "b_tags")) >= 3, 0.1) + F.when(alike >= 0.3, 0.1 * alike).otherwise(0.0)
-    out = both.withColumn("score", score).where(F.col("score") >= min_score)
+    by_names = part(named, 0.4) + part(aliased, 0.3) + part(url, 0.2) + part(F.size(F.array_intersect("a_tags", "b_tags")) >= 3, 0.1)
+    # words can add no more than the ratio of their numbers lets them: only pairs that can still qualify read theirs
+    least, most = F.least("a_n_words", "b_n_words"), F.greatest("a_n_words", "b_n_words")
+    kept = ["a", "b", "a_length", "b_length"]
+    both = both.select(*kept, F.inline(F.array(F.struct(by_names.alias("base"), F.when(least >= 0.3 * most - 1e-9, least / F.greatest(most, F.lit(1))).otherwise(0.0).alias("bound")))))
+    both = both.where(F.col("base") + 0.1 * F.col("bound") >= min_score - 1e-9)
+    worded = lambda s: d.select(F.col("id").alias(s), F.col("long_words").alias(f"{s}_words"))
+    shared = F.size(F.array_intersect("a_words", "b_words"))
+    met = both.join(worded("a"), "a").join(worded("b"), "b").select(*kept, "base", F.inline(F.array(F.struct(shared.alias("shared"), (F.size("a_words") + F.size("b_words")).alias("sum")))))
+    alike = F.when(F.col("shared") > 0, F.col("shared") / (F.col("sum") - F.col("shared"))).otherwise(0.0)
+    out = met.withColumn("score", F.col("base") + F.when(alike >= 0.3, 0.1 * alike).otherwise(0.0)).where(F.col("score") >= min_score)
     if backlinks is not None:  # id, n_backlinks
         for s in "ab":
             out = out.join(backlinks.select(F.col("id").alias(s), F.col("n_backlinks").alias(f"{s}_links")), s, "left")
@@ -242,17 +254,22 @@ CELL = 1000
 def claim_features(claims: DataFrame) -> DataFrame:
     """page_id, claim_no, sides, numbers, masked: what all detectors read of a claim. A side is (kind, role, c, words): the
     detector (of times, one for each pair of opposite words), which of its two sides the claim stands on, and the claim's
-    other words as sorted hashes, with their digest as their class."""
-    text, low = F.col("text"), F.lower("text")
-    side = lambda when, kind, role, w: F.when(when, F.struct(F.lit(kind).alias("kind"), role.alias("role"), w["c"].alias("c"), w["w"].alias("words")))
-    hashed = lambda w: F.struct(F.sha1(F.array_join(F.array_sort(w), "\x1f")).alias("c"), F.sort_array(F.transform(w, lambda x: F.xxhash64(x))).alias("w"))
-    plain = F.array_distinct(T.words(T.without_negation(text)))
-    timed = F.when(T.temporal(text), F.array_distinct(T.words(T.without_temporal(text))))
-    held = claims.select("page_id", "claim_no", "text", F.inline(F.array(F.struct(hashed(plain).alias("n"), F.when(timed.isNotNull(), hashed(timed)).alias("t")))))
-    sides = [side(F.lit(True), "negation", F.when(T.negated(text), 0).otherwise(1), F.col("n"))]
+    other words as sorted hashes, with their digest as their class. inline() keeps each step's columns in one place: merged
+    projections would match the patterns once for each use."""
+    text, low = F.col("text"), F.col("low")
+    held = claims.select("page_id", "claim_no", "text", F.inline(F.array(F.struct(F.lower("text").alias("low"), T.negated(text).alias("no"), T.temporal(text).alias("at_time")))))
+    kept = F.array_distinct(T.words(F.when(F.col("no"), T.without_negation(low)).otherwise(low)))
+    timed = F.when(F.col("at_time"), F.array_distinct(T.words(T.without_temporal(low))))
+    held = held.select("page_id", "claim_no", "text", "low", "no", F.inline(F.array(F.struct(kept.alias("n"), timed.alias("t")))))
+    hashed = lambda c: F.sort_array(F.transform(c, lambda x: F.xxhash64(x)))
+    held = held.select("page_id", "claim_no", "text", "low", "no", F.inline(F.array(F.struct(hashed("n").alias("n"), hashed("t").alias("t")))))
+    marked = lambda c: F.struct(F.sha1(F.array_join(F.transform(c, lambda x: x.cast("string")), " ")).alias("c"), F.col(c).alias("words"))
+    held = held.select("page_id", "claim_no", "text", "low", "no", F.inline(F.array(F.struct(marked("n").alias("n"), F.when(F.col("t").isNotNull(), marked("t")).alias("t")))))
+    side = lambda kind, role, w: F.struct(F.lit(kind).alias("kind"), role.alias("role"), w["c"].alias("c"), w["words"].alias("words"))
+    sides = [side("negation", F.when(F.col("no"), 0).otherwise(1), F.col("n"))]
     for i, pair in enumerate(T.OPPOSITE):
-        sides += [side(F.col("t").isNotNull() & F.contains(low, F.lit(w)), f"temporal{i}", F.lit(role), F.col("t")) for role, w in enumerate(pair)]
-    return held.select("page_id", "claim_no", F.filter(F.array(*sides), lambda x: x.isNotNull()).alias("sides"), T.numbers(text).alias("numbers"), T.masked_numbers(text).alias("masked"))
+        sides += [F.when(F.col("t").isNotNull() & F.contains(low, F.lit(w)), side(f"temporal{i}", F.lit(role), F.col("t"))) for role, w in enumerate(pair)]
+    return held.select("page_id", "claim_no", F.array_compact(F.array(*sides)).alias("sides"), T.numbers(text).alias("numbers"), T.masked_numbers(text).alias("masked"))
 
 
 def alike_classes(classes: DataFrame) -> DataFrame:
@@ -263,13 +280,14 @@ def alike_classes(classes: DataFrame) -> DataFrame:
     above = F.when(F.col("kind") == "negation", ALIKE["negation"]).otherwise(ALIKE["temporal"])
     classes = classes.where(F.size("words") > 0)
     rank = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    every = classes.select("kind", "role", "c", "words", F.explode("words").alias("w")).join(rank, "w")
-    ordered = every.groupBy("kind", "role", "c", "words").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("x"))  # a claim's words
+    every = classes.select("kind", "role", "c", F.explode("words").alias("w")).join(rank, "w")
+    ordered = every.groupBy("c", "kind", "role").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("x"))  # a claim's words
+    ordered = ordered.select("kind", "role", "c", F.col("x.w").alias("words"))
     n = F.size("words")
-    first = F.transform(F.slice("x", F.lit(1), (n - F.ceil(above * n - 1e-9) + 1).cast("int")), lambda y: y["w"])
+    first = F.slice("words", F.lit(1), (n - F.ceil(above * n - 1e-9) + 1).cast("int"))
     prefix, _ = scratch.written(ordered.select("kind", "role", "c", "words", first.alias("x")).select("*", F.posexplode("x").alias("at", "w")), "prefix")
 
-    key = ["kind", "w"]
+    key = ["w", "kind"]
     sizes = prefix.groupBy(key).agg(*[F.ceil(F.count_if(F.col("role") == r) / CELL).alias(f"s{r}") for r in (0, 1)]).where("s0 > 0 and s1 > 0")
 
     def celled(role):
@@ -284,16 +302,17 @@ def alike_classes(classes: DataFrame) -> DataFrame:
     left = F.least(n0 - F.col("at0"), n1 - F.col("at1"))  # words that may be shared, this one included
     met = met.where((n0 >= above * n1 - 1e-9) & (n1 >= above * n0 - 1e-9) & (left >= above / (1 + above) * (n0 + n1) - 1e-9))
     met = met.where(F.get(F.array_intersect("x0", "x1"), 0) == F.col("w"))
-    found = met.withColumn("similarity", T.jaccard(F.col("words0"), F.col("words1"))).where(F.col("similarity") > above)
-    return found.select("kind", F.col("c0").alias("ca"), F.col("c1").alias("cb"), "similarity")
+    shared = F.size(F.array_intersect("words0", "words1"))
+    found = met.select("kind", F.col("c0").alias("ca"), F.col("c1").alias("cb"), F.inline(F.array(F.struct(shared.alias("both"), (n0 + n1).alias("sum")))))
+    return found.select("kind", "ca", "cb", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity")).where(F.col("similarity") > above)
 
 
 def _opposed(features: DataFrame, kinds: str) -> DataFrame:
     """Contradictions of the detectors whose name begins with `kinds`, of claim_features()."""
     sides = features.select(F.struct("page_id", "claim_no").alias("id"), F.inline("sides")).where(F.startswith("kind", F.lit(kinds)))
-    classes = sides.groupBy("kind", "role", "c").agg(F.first("words").alias("words"))
+    classes = sides.groupBy("c", "kind", "role").agg(F.first("words").alias("words"))  # the digest first: sorts compare a key's first bytes
     side = lambda role, name, c: sides.where(F.col("role") == role).select("kind", F.col("id").alias(name), F.col("c").alias(c))
-    found = alike_classes(classes).join(side(0, "a", "ca"), ["kind", "ca"]).join(side(1, "b", "cb"), ["kind", "cb"])
+    found = alike_classes(classes).join(side(0, "a", "ca"), ["ca", "kind"]).join(side(1, "b", "cb"), ["cb", "kind"])
     neg = F.col("kind") == "negation"
     raw = F.when(neg, 0.7 + F.col("similarity") * 0.25).otherwise(0.75 + F.col("similarity") * 0.15)
     kind = F.when(neg, "negation").otherwise("temporal")
