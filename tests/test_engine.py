@@ -170,6 +170,33 @@ def test_duplicates_of_abbreviations_equal_all_pairs(spark):
     assert got == {k for k in every if of[k[0]] == of[k[1]] == "d"}
 
 
+def test_duplicate_scores_equal_plain_python(spark):
+    """Words are read only for pairs that can still qualify: no pair at a threshold is lost, at ratios around 0.3 too."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(20)]
+    rows = [(i, "page", rng.choice(("one", "two")), rng.sample("abcd", 3), " ".join(rng.sample(vocabulary, rng.choice((0, 1, 3, 10, 20))) + ["of", "of"]), rng.choice((None, "u", "v"))) for i in range(24)]
+    rows += [(24, "page", "one", None, None, None), (25, "page", "two", [], "", "u")]
+    p = spark.createDataFrame(rows, "page_id long, kind string, title string, tags array<string>, body string, source_url string")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                x, y = ({w for w in (r[4] or "").split() if len(w) > 2} for r in (a, b))
+                alike = len(x & y) / len(x | y) if x and y else 0.0
+                tags = len(set(a[3] or ()) & set(b[3] or ())) >= 3
+                want[a[0], b[0]] = 0.4 * (a[2] == b[2]) + 0.2 * (a[5] is not None and a[5] == b[5]) + 0.1 * tags + (0.1 * alike if alike >= 0.3 else 0)
+    for least in (0.4, 0.43, 0.5, 0.63):
+        got = {(r["id_1"], r["id_2"]): r["score"] for r in matching.duplicates(p, least - 1e-9).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= least - 1e-9}) and got
+
+
+@pytest.mark.parametrize("text,want", [("it is NOT so", True), ("they didnt'go", True), ("they didnt' go", False), ("we don't", True), ("can't", True), ("now", True), ("a note on snow", False), ("isn't", False), ("", False), (None, None)])
+def test_negated(spark, text, want):
+    assert one(spark, T.negated, text) is want
+
+
 def test_contradictions(spark):
     rows = [("p1", 0, "Python was released in 1991"), ("p2", 0, "Python was released in 1990"), ("p1", 1, "containers are very lightweight"), ("p3", 0, "containers are not very lightweight"), ("p1", 2, "it ran well before the big update"), ("p4", 0, "it ran well after the big update"), ("p5", 0, "Python was released in 1990")]
     c = spark.createDataFrame(rows, "page_id string, claim_no long, text string")
