@@ -745,3 +745,35 @@ def test_registered_query(spark, data, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.column_names)
     assert plain(tuple(r[c] for c in columns) for r in got.collect()) == plain(zip(*[want[c].to_pylist() for c in columns]))
+
+
+@pytest.mark.parametrize("block,small", [(3, 0), (4, 8), (1000, 1000)])
+def test_duplicates_in_cells_equal_plain_python(spark, monkeypatch, block, small):
+    """Groups cut into blocks and groups dealt out together give the pairs of all rows, each once; no pair is shuffled."""
+    import random
+
+    from tessera.operators import pairing
+
+    monkeypatch.setattr(pairing, "BLOCK", block)
+    monkeypatch.setattr(pairing, "SMALL", small)
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(12)]
+    names = ("one", "two", "py", "aws", "")
+    rows = [(i, "page", rng.choice(names), rng.sample("abcde", rng.randint(0, 4)), " ".join(rng.sample(vocabulary, rng.choice((0, 3, 8)))), rng.choice((None, [], ["py", "two"], ["one"], ["py", "py"])), rng.choice((None, "u")), rng.choice((None, "g", "h"))) for i in range(40)]
+    p = spark.createDataFrame(rows, "page_id long, kind string, title string, tags array<string>, body string, aliases array<string>, source_url string, github_url string")
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0]:
+                x, y = (set(r[4].split()) for r in (a, b))
+                alike = len(x & y) / len(x | y) if x and y else 0.0
+                score = 0.4 if a[2] == b[2] != "" else 0.0
+                score += 0.3 if a[2] in (b[5] or ()) or b[2] in (a[5] or ()) or "aws" in (a[2], b[2]) else 0.0
+                score += 0.2 if a[6] == b[6] is not None or a[6] is not None and a[6] == b[6] or a[7] is not None and a[7] == b[7] else 0.0
+                want[a[0], b[0]] = score + (0.1 if len(set(a[3]) & set(b[3])) >= 3 else 0.0) + (0.1 * alike if alike >= 0.3 else 0)
+    for least in (0.25, 0.3, 0.43):
+        found = matching.duplicates(p, least, marked=True)
+        got = found.collect()
+        assert {(r["id_1"], r["id_2"]): r["score"] for r in got} == pytest.approx({k: v for k, v in want.items() if v >= least}) and len({(r["id_1"], r["id_2"]) for r in got}) == len(got)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroupsIn" in plan and "Exchange" not in plan.split("FlatMapGroupsIn")[0].split("Initial Plan")[0]
