@@ -777,3 +777,28 @@ def test_duplicates_in_cells_equal_plain_python(spark, monkeypatch, block, small
         assert {(r["id_1"], r["id_2"]): r["score"] for r in got} == pytest.approx({k: v for k, v in want.items() if v >= least}) and len({(r["id_1"], r["id_2"]) for r in got}) == len(got)
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsIn" in plan and "Exchange" not in plan.split("FlatMapGroupsIn")[0].split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize("cell", [2, 1000])
+def test_alike_texts_equal_all_pairs(spark, monkeypatch, cell):
+    """Each pair of unlike texts once, texts of the same words too; words that make no pair are no rows of the join."""
+    import random
+
+    monkeypatch.setattr(matching, "CELL", cell)
+    rng = random.Random(4)
+    rows = [" ".join(rng.sample("a b c d e f g".split(), rng.randint(1, 7))) for _ in range(60)] + [f"own{i} only{i} a b c" for i in range(20)] + [" "]
+    texts = spark.createDataFrame([(t,) for t in sorted(set(rows))], "text string")
+    for above in (0.6, 0.8):
+        want = {(x, y) for x in set(rows) for y in set(rows) if x < y and x.split() and len(set(x.split()) & set(y.split())) > above * len(set(x.split()) | set(y.split()))}
+        got = [tuple(r) for r in matching.alike_texts(texts, above).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_words_without_a_pair_are_not_joined(spark, monkeypatch):
+    seen = []
+    write = scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    rows = [("p", 0, "the cats are not here today")] + [(f"q{i}", 0, f"own{i} other{i} third{i} the cats") for i in range(50)] + [("r", 0, "the cats are here today")]
+    got = matching.negation_contradictions(spark.createDataFrame(rows, "page_id string, claim_no long, text string")).collect()
+    assert [(r["page_1"], r["page_2"]) for r in got] == [("p", "r")]
+    assert {r["c"] for r in dict(seen)["prefix"][0].select("c").collect()}.__len__() == 1  # of both, whose words are equal; none of fifty
