@@ -162,8 +162,7 @@ def semantic(model: Callable[[str, str], str], alike: float = ALIKE, sure: float
                 yield pair["left"], pair["right"], share
 
     def detect(claims: DataFrame) -> DataFrame:
-        texts = claims.select("text").distinct().select(F.col("text").alias("id"), F.array_distinct(T.words(F.col("text"))).alias("words"))
-        pairs = matching.similar_pairs(texts, texts, alike).where("a < b").select(F.col("a").alias("left"), F.col("b").alias("right"))
+        pairs = matching.alike_texts(claims.select("text").distinct(), alike)
         judged = Judge(pairs.asTable())
         side = lambda name, text: claims.select(F.struct("page_id", "claim_no").alias(name), F.col("text").alias(text))
         found = judged.join(side("a", "left"), "left").join(side("b", "right"), "right")
