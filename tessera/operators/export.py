@@ -69,10 +69,14 @@ def llms_domains(pages: DataFrame, per_part: int = 1000) -> DataFrame:
     return parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "content"))), lambda x: x["content"]), "\n---\n\n").alias("content"))
 
 
-def llms_all(pages: DataFrame, per_part: int = 1000) -> DataFrame:
+def llms_all(pages: DataFrame, per_part: int | None = 1000) -> DataFrame:
     """domain, part, content of all domains in one file: each domain begins with a heading, each page ends with a separator.
-    Rows in order of domain and part follow one another as they are; parts hold at most per_part pages."""
-    parts = llms_domains(pages, per_part)
+    Rows in order of domain and part follow one another as they are; parts hold at most per_part pages. None: a domain is
+    one part, put together of parts, so it must fit one row."""
+    parts = llms_domains(pages, 1000 if per_part is None else per_part)
+    if per_part is None:
+        texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "content"))), lambda x: x["content"])  # a row a part
+        parts = parts.groupBy("domain").agg(F.lit(0).cast("long").alias("part"), F.array_join(texts, "\n---\n\n").alias("content"))
     last = F.col("part") == F.max("part").over(W.partitionBy("domain"))  # a row a part
     head = F.when(F.col("part") == 0, F.concat(F.lit("# Domain: "), F.coalesce("domain", F.lit("")), F.lit("\n\n"))).otherwise("")
     return parts.select("domain", "part", F.concat(head, "content", F.lit("\n---\n\n"), F.when(last, "\n\n").otherwise("")).alias("content"))

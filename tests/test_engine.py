@@ -802,3 +802,19 @@ def test_words_without_a_pair_are_not_joined(spark, monkeypatch):
     got = matching.negation_contradictions(spark.createDataFrame(rows, "page_id string, claim_no long, text string")).collect()
     assert [(r["page_1"], r["page_2"]) for r in got] == [("p", "r")]
     assert {r["c"] for r in dict(seen)["prefix"][0].select("c").collect()}.__len__() == 1  # of both, whose words are equal; none of fifty
+
+
+def test_all_domains_have_a_row_each(spark, data, monkeypatch, duck):
+    """llms_all is its SQL where a domain has more pages than a part holds."""
+    p = registry.S.pages(spark, data)
+    many = p.withColumn("domain", F.lit("hot")).crossJoin(spark.range(6)).withColumn("page_id", F.col("page_id") * 6 + F.col("id")).drop("id")
+    monkeypatch.setattr(registry.S, "pages", lambda *_: many)
+    got = registry.QUERIES["llms_all"](spark, data).collect()
+    pages = [r["content"] for r in export.llms_txt(many).orderBy("page_id").collect()]
+    assert len(pages) > 1000 and [(r["domain"], r["part"]) for r in got] == [("hot", 0)]
+    assert got[0]["content"] == "# Domain: hot\n\n" + "".join(x + "\n---\n\n" for x in pages) + "\n\n"
+
+
+def test_relationship_types_are_spelt_in_many_ways(spark, data):
+    got = {(r["kind"], r["normal"]) for r in registry.QUERIES["relationship_types"](spark, data).collect()}
+    assert {(" Uses ", "uses"), ("us", "uses"), ("", "uses"), ("depends on", "depends_on"), ("Used by", "uses"), ("zzz", "zzz"), ("PART_OF", "part_of"), ("partner", "part_of"), ("PLACED BY", "placed_by")} <= got
