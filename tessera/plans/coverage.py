@@ -222,10 +222,21 @@ def _(spark, d):
     return rounded(S.read(spark, d, "events").select("event_id", T.exponential_seconds(i % 8, jitter=i % 16 / 16.0).alias("seconds")), "seconds")
 
 
-@register("relationship_types", f"{EDGES} SELECT type, CASE type WHEN 'placed_by' THEN 'placed_by' WHEN 'in_nation' THEN 'in_nation' ELSE 'in_region' END AS normal, count(*) AS n FROM edges_ GROUP BY 1, 2")
+# Spellings that edges of a type are given by the number at the end of their source
+KINDS = [(" Uses ", "uses"), ("us", "uses"), ("", "uses"), ("depends on", "depends_on"), ("Used by", "uses"), ("zzz", "zzz"), ("PART_OF", "part_of"), ("partner", "part_of")]
+KINDS_SQL = "[" + ", ".join(f"'{k}'" for k, _ in KINDS) + "]"
+NORMAL_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in KINDS) + " ELSE type END"
+
+
+@register(
+    "relationship_types",
+    f"{EDGES}, k_ AS (SELECT type, upper(replace(type, '_', ' ')) AS kind FROM edges_ UNION ALL SELECT type, {KINDS_SQL}[CAST(CAST(substring(source, 2) AS BIGINT) % 8 + 1 AS INT)] FROM edges_) SELECT type, kind, {NORMAL_SQL} AS normal, count(*) AS n FROM k_ GROUP BY 1, 2, 3",
+)
 def _(spark, d):
-    e = S.edges(spark, d).select("type", graph.normal_type(F.upper(F.replace("type", F.lit("_"), F.lit(" ")))).alias("normal"))
-    return e.groupBy("type", "normal").agg(F.count("*").alias("n"))
+    e = S.edges(spark, d)
+    spelt = F.element_at(F.array(*[F.lit(k) for k, _ in KINDS]), (F.substring("source", 2, 20).cast("long") % 8 + 1).cast("int"))
+    e = e.select("type", F.explode(F.array(F.upper(F.replace("type", F.lit("_"), F.lit(" "))), spelt)).alias("kind"))
+    return e.groupBy("type", "kind").agg(F.count("*").alias("n")).select("type", "kind", graph.normal_type(F.col("kind")).alias("normal"), "n")
 
 
 @register("review_get", "SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status FROM events WHERE event_id = (SELECT max(event_id) FROM events)")
