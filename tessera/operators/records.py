@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera import scratch
 from tessera.functions import text as T
 
 # merge ---------------------------------------------------------------------------------------------------------------
@@ -94,8 +95,9 @@ def rolled_back(history: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataF
     steps give no row and keep theirs."""
     n = history.groupBy("page_id").agg(F.count("*").alias("__n"))
     plan = chosen.select("page_id", "steps").groupBy("page_id").agg(F.max("steps").alias("__steps")).join(n, "page_id").where("__steps between 1 and __n")
-    place = F.row_number().over(W.partitionBy("page_id").orderBy("seq"))
-    placed = history.join(plan, "page_id").withColumn("__place", place)
+    # numbered in ranges of page and seq, so that a page may have any number of rows
+    rows = history.join(plan.select("page_id"), "page_id", "left_semi").select("page_id", "seq", F.struct(*history.columns).alias("__row"))
+    placed = scratch.numbered(rows, "page_id", "seq")[0].join(plan, "page_id").select("__row.*", F.col("n").alias("__place"), "__n", "__steps")
     left = F.col("__n") - F.col("__steps")
     back = placed.where(F.col("__place") == F.greatest(left, F.lit(1))).select(history.columns)
     kept = history.join(plan, "page_id", "left_anti").select(history.columns).unionByName(placed.where(F.col("__place") <= left).select(history.columns))

@@ -818,3 +818,11 @@ def test_all_domains_have_a_row_each(spark, data, monkeypatch, duck):
 def test_relationship_types_are_spelt_in_many_ways(spark, data):
     got = {(r["kind"], r["normal"]) for r in registry.QUERIES["relationship_types"](spark, data).collect()}
     assert {(" Uses ", "uses"), ("us", "uses"), ("", "uses"), ("depends on", "depends_on"), ("Used by", "uses"), ("zzz", "zzz"), ("PART_OF", "part_of"), ("partner", "part_of"), ("PLACED BY", "placed_by")} <= got
+
+
+def test_rollback_numbers_rows_in_ranges(spark):
+    """A page's history is not one window's: no plan holds a window by page alone, at any number of rows."""
+    h = spark.range(3000).select(F.lit("p").alias("page_id"), F.col("id").alias("seq"), F.lit(7).alias("n"))
+    back, kept = records.rolled_back(h, spark.createDataFrame([("p", 10)], "page_id string, steps int"))
+    assert [tuple(r) for r in back.collect()] == [("p", 2990 - 1, 7)] and kept.agg(F.count("*"), F.max("seq")).first() == (2990, 2989)
+    assert "row_number" not in kept._jdf.queryExecution().optimizedPlan().toString()
