@@ -86,7 +86,8 @@ def normal_name(name: Column) -> Column:
 
 
 def time_sensitive(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(f"(?:{p})" for p in TIME_SENSITIVE))
+    # all begin at a word's edge: looked for once, not by each of them
+    return F.lower(text).rlike(r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in TIME_SENSITIVE) + ")")
 
 
 def url_count(text: Column) -> Column:

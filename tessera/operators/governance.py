@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions import text as T
 
 SHORT, GOOD = 100, 500
@@ -54,7 +55,8 @@ def staleness(pages: DataFrame, as_of: str) -> DataFrame:
 
 
 def stale(pages: DataFrame, as_of: str, least: float = 0.3) -> DataFrame:
-    return staleness(pages, as_of).where(F.col("score") >= least).orderBy(F.desc("score"), "page_id")
+    """The stale ones, stalest first. Written before they are sorted: a sort reads its rows twice, to find ranges."""
+    return scratch.written(staleness(pages, as_of).where(F.col("score") >= least), "stale")[0].orderBy(F.desc("score"), "page_id")
 
 
 LINT_KINDS = ("page", "entity", "concept", "source")

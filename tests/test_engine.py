@@ -826,3 +826,16 @@ def test_rollback_numbers_rows_in_ranges(spark):
     back, kept = records.rolled_back(h, spark.createDataFrame([("p", 10)], "page_id string, steps int"))
     assert [tuple(r) for r in back.collect()] == [("p", 2990 - 1, 7)] and kept.agg(F.count("*"), F.max("seq")).first() == (2990, 2989)
     assert "row_number" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stale_pages_are_scored_once(spark):
+    """The sort reads a table; marks of time are found as by the single patterns."""
+    from tessera.functions import text as T
+
+    texts = ["in 2024 it", "a2024", "20245", "Current", "currently", "anew", "new", "version  3", "versions 3", "v1.2", "v1", "av1.2", "know", "it is now", "", "subversion 2", "x v10.20y"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    one = F.lower("t").rlike("|".join(f"(?:{p})" for p in T.TIME_SENSITIVE))
+    assert t.where(T.time_sensitive(F.col("t")) != one).count() == 0
+    p = spark.createDataFrame([page("a", created=datetime(2024, 1, 1)), page("b", "T", "new", updated=datetime(2024, 1, 1))], PAGE)
+    found = governance.stale(p, "2024-07-01 00:00:00")
+    assert [r["page_id"] for r in found.collect()] == ["b", "a"] and "unix_timestamp" not in found._jdf.queryExecution().optimizedPlan().toString() and "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
