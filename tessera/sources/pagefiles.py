@@ -249,6 +249,23 @@ def with_ids(pages: DataFrame, most: int = 100) -> DataFrame:
     return pages.join(ids, "path", "left")
 
 
+#: Numbers that are looked at ahead of a base's last one after the first round; twice as many each round.
+AHEAD = 4
+
+
+def _past_taken(last: DataFrame, taken: list[DataFrame], most: int, ahead: int) -> DataFrame:
+    """last: base, last, lost -> base, last: moved on by whole steps of `lost` numbers that are all taken, as rounds would
+    one by one; so a small base next to a large one of the same beginning is done in few rounds."""
+    free = last.withColumn("k", F.explode(F.sequence(F.col("last") + 1, F.col("last") + ahead)))
+    more = F.concat(F.lit("-"), F.col("k").cast("string"))
+    free = free.select("base", "k", F.concat(F.substring(F.col("base"), F.lit(1), F.lit(most) - F.char_length(more)), more).alias("page_id"))
+    for old in taken:
+        free = free.join(old.select("page_id"), "page_id", "left_anti")
+    free = last.join(free.groupBy("base").agg(F.min("k").alias("k")), "base", "left")
+    steps = F.floor((F.coalesce("k", F.col("last") + ahead + 1) - F.col("last") - 1) / F.col("lost"))
+    return free.select("base", (F.col("last") + steps * F.col("lost")).alias("last"))
+
+
 def unique_ids(named: DataFrame, most: int) -> tuple[DataFrame, int]:
     """named: path, title, base -> (path, page_id), each id once; and the rounds that it took. In each round the pages of a
     base that have no id yet try the numbers that follow the last one tried for it. A number that is taken, or that a page
@@ -271,7 +288,8 @@ def unique_ids(named: DataFrame, most: int) -> tuple[DataFrame, int]:
         lost = trying.join(won.select("path"), "path", "left_anti")
         if not lost.limit(1).count():
             break
-        last = trying.groupBy("base").agg(F.max(F.col("n") + F.col("skipped")).alias("last"))
+        tries = trying.groupBy("base").agg(F.max(F.col("n") + F.col("skipped")).alias("last"))
+        last = _past_taken(tries.join(lost.groupBy("base").agg(F.count("*").alias("lost")), "base"), taken, most, AHEAD << rounds)
         left, _ = scratch.numbered(lost.select("path", "base", F.col("n").alias("place")), "base", "place")
         waiting, _ = scratch.written(left.join(last, "base").select("path", "base", "n", F.col("last").alias("skipped")), "waiting")
     scratch.dropped(spark, path)

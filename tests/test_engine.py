@@ -839,3 +839,11 @@ def test_stale_pages_are_scored_once(spark):
     p = spark.createDataFrame([page("a", created=datetime(2024, 1, 1)), page("b", "T", "new", updated=datetime(2024, 1, 1))], PAGE)
     found = governance.stale(p, "2024-07-01 00:00:00")
     assert [r["page_id"] for r in found.collect()] == ["b", "a"] and "unix_timestamp" not in found._jdf.queryExecution().optimizedPlan().toString() and "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ids_of_a_small_base_beside_a_large_one(spark):
+    """Numbers that the large base took are passed over, not tried one a round."""
+    rows = [(f"a{i:03}", "t", "abcdefghijka") for i in range(40)] + [(f"z{i}", "t", "abcdefghijkz") for i in range(2)]
+    ids, rounds = pagefiles.unique_ids(spark.createDataFrame(rows, "path string, title string, base string"), 12)
+    got = {r["path"]: r["page_id"] for r in ids.collect()}
+    assert len(set(got.values())) == 42 and got["z0"] == "abcdefghijkz" and got["z1"] == "abcdefghi-41" and rounds <= 6
