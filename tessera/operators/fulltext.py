@@ -102,6 +102,9 @@ def search_index(posted: DataFrame, docs: DataFrame, query: str, limit: int = 10
 # a stored index ------------------------------------------------------------------------------------------------------
 #: Pages that a block aims at; text characters that one file of one bucket aims at; the most buckets.
 BLOCK_PAGES, FILE_CHARS, BUCKETS = 4096, 1 << 23, 1024
+#: Pages that the files of one number, over all buckets, aim at: what a frequent term can add to one file. Text characters
+#: that a posting stands for.
+FILE_PAGES, POSTING_CHARS = 1 << 16, 16
 #: Blocks that are scored without a look at their bounds; ranges that are scored first where there are more.
 FEW, FIRST = 1000, 8
 #: Ranges that are broadcast; more are joined.
@@ -112,21 +115,28 @@ def _bucket(term: Column, buckets: int) -> Column:
     return (F.crc32(term) % buckets).cast("int")
 
 
+def _cut(pages: int, chars: int) -> tuple[int, int, int]:
+    """(buckets of terms, files of a bucket, parts of a word-count class). Files follow the pages, for a term of all pages has
+    all its postings in one bucket; buckets follow the text of a file's pages. A part lies in one file."""
+    files = max(1, math.ceil(pages / FILE_PAGES))
+    buckets = min(BUCKETS, 8 << max(0, round(math.log2(1 + chars / files / FILE_CHARS / 8))))
+    files = max(files, round(chars / buckets / FILE_CHARS))
+    return buckets, files, files * max(1, math.ceil(pages / (8 * BLOCK_PAGES) / files))
+
+
 def _layout(pages: DataFrame) -> tuple[int, int, int]:
-    """(buckets of terms, files of a bucket, parts of a word-count class): all follow the size of the text."""
     size = pages.agg(F.count("*").alias("n"), F.sum(F.char_length("body")).alias("c")).first()
-    chars = size["c"] or 0
-    buckets = min(BUCKETS, 8 << max(0, round(math.log2(1 + chars / FILE_CHARS / 8))))
-    return buckets, max(1, round(chars / buckets / FILE_CHARS)), max(1, math.ceil(size["n"] / (8 * BLOCK_PAGES)))
+    return _cut(size["n"], size["c"] or 0)
 
 
 def _blocks(rows: DataFrame, layout: tuple[int, int, int]) -> DataFrame:
     """rows: page_id, domain, wc, term, tf -> one row a term and range, sorted by term within files of buckets."""
     buckets, files, parts = layout
     kind = F.floor(4 * F.log2(F.greatest("wc", F.lit(1)))).cast("int")  # quarters of octaves of word counts
-    rows = rows.withColumn("range", kind * F.lit(parts) + F.pmod(F.xxhash64("page_id"), F.lit(parts)).cast("int")).withColumn("bucket", _bucket(F.col("term"), buckets))
-    # one shuffle, by bucket and file; a frequent term's ranges lie in all files of its bucket
-    dealt = rows.withColumn("file", F.pmod(F.xxhash64("range"), F.lit(files)).cast("int")).repartition(buckets * files, "bucket", "file")
+    part = F.pmod(F.xxhash64("page_id"), F.lit(parts)).cast("int")
+    rows = rows.withColumn("range", kind * F.lit(parts) + part).withColumn("bucket", _bucket(F.col("term"), buckets))
+    # one shuffle, a task a bucket and file; a frequent term's ranges lie in all files of its bucket, by their part
+    dealt = rows.withColumn("file", F.col("bucket") * F.lit(files) + F.pmod("range", F.lit(files))).repartitionById(buckets * files, "file")
     found = dealt.groupBy("bucket", "file", "term", "range").agg(
         F.count("*").alias("n"), F.max(F.col("tf") / F.greatest("wc", F.lit(1))).alias("impact"), F.collect_list(F.struct("page_id", "tf", "wc", "domain")).alias("postings")
     )
@@ -217,10 +227,8 @@ def compacted(spark: SparkSession, path: str) -> int:
     base = versions.current(spark, path)
     held = versions.manifest(spark, path, base)
     rows, docs = stored(spark, path)
-    buckets = max([8, *(int(re.search(r"/blocks-(\d+)-", p)[1]) for p in held["blocks"] if p != "none")])
-    n = docs.count()
-    layout = buckets, max(1, round(sum(p != "none" for p in held["blocks"]) ** 0.5)), max(1, math.ceil(n / (8 * BLOCK_PAGES)))
-    new = _staged(path, _blocks(rows, layout), buckets, docs.withColumn("gone", F.lit(False)))
+    layout = _cut(docs.count(), POSTING_CHARS * (_heads(spark, held, None).agg(F.sum("n")).first()[0] or 0))
+    new = _staged(path, _blocks(rows, layout), layout[0], docs.withColumn("gone", F.lit(False)))
     return versions.switch(spark, path, {t: [x] for t, x in new.items()}, base)
 
 

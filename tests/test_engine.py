@@ -847,3 +847,20 @@ def test_ids_of_a_small_base_beside_a_large_one(spark):
     ids, rounds = pagefiles.unique_ids(spark.createDataFrame(rows, "path string, title string, base string"), 12)
     got = {r["path"]: r["page_id"] for r in ids.collect()}
     assert len(set(got.values())) == 42 and got["z0"] == "abcdefghijkz" and got["z1"] == "abcdefghi-41" and rounds <= 6
+
+
+def test_a_frequent_term_lies_in_many_tasks(spark, tmp_path, monkeypatch):
+    """A task of the index build holds one file of one bucket, and of a word that all pages have the postings of some pages."""
+    monkeypatch.setattr(fulltext, "FILE_PAGES", 50, raising=False)
+    monkeypatch.setattr(fulltext, "BLOCK_PAGES", 4)
+    pages = spark.createDataFrame([page(i, None, "of the " + f"w{i % 90} " * (1 + i % 9)) for i in range(600)], PAGE)
+    rows = fulltext._counted(pages).select("page_id", "domain", F.size("words").cast("long").alias("wc"), F.inline(fulltext._term_counts(F.col("words"))))
+    blocks = fulltext._blocks(rows, fulltext._layout(pages)).withColumn("task", F.spark_partition_id())
+    tasks = blocks.groupBy("task").agg(F.countDistinct("bucket").alias("buckets"), F.sum(F.when(F.col("term") == "the", F.col("n"))).alias("the")).collect()
+    most = [r["the"] for r in tasks if r["the"]]
+    assert {r["buckets"] for r in tasks} == {1} and sum(most) == 600 and max(most) <= 100
+    path = f"file://{tmp_path}/index"
+    fulltext.store(pages, path)
+    fulltext.compacted(spark, path)
+    posted, _ = fulltext.stored(spark, path)
+    assert sorted(map(tuple, posted.select("page_id", "term", "tf").collect())) == sorted(map(tuple, rows.select("page_id", "term", "tf").collect()))
