@@ -51,6 +51,17 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, title, domain, body of pages(). Labels could only repeat rows here, so unless some document has two, they are
+    not joined: the join would shuffle all texts."""
+    marks = read(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    held = ("page_id", "title", "domain", "body")
+    if not marks.where("n > 1").isEmpty():
+        return pages(spark, sf_dir).select(*held)
+    d = documents(spark, sf_dir)
+    return d.select(F.col("doc_id").alias("page_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("domain"), F.col("text").alias("body"))
+
+
 PAGES_SQL = """
 pages_ AS (
   SELECT d.doc_id AS page_id, ['page','entity','concept','source','qa'][CAST(d.doc_id % 5 + 1 AS INT)] AS kind,

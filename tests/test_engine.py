@@ -864,3 +864,15 @@ def test_a_frequent_term_lies_in_many_tasks(spark, tmp_path, monkeypatch):
     fulltext.compacted(spark, path)
     posted, _ = fulltext.stored(spark, path)
     assert sorted(map(tuple, posted.select("page_id", "term", "tf").collect())) == sorted(map(tuple, rows.select("page_id", "term", "tf").collect()))
+
+
+def test_texts_are_indexed_without_a_shuffle_of_texts(spark, data, tmp_path):
+    """page_texts has the rows of pages; the labels are joined only where a document has two."""
+    held = ("page_id", "title", "domain", "body")
+    rows = lambda df: sorted(map(tuple, df.select(*held).collect()), key=repr)
+    for name, labels in (("one", [(1, 1, 0), (2, 0, 0), (None, 1, 0), (None, 1, 0)]), ("two", [(1, 1, 0), (1, 0, 0), (2, 0, 0)])):
+        d = f"file://{tmp_path}/{name}"
+        spark.createDataFrame([(1, "a\nb", "en", "s", 3), (2, None, "en", None, 0), (3, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        assert rows(registry.S.page_texts(spark, d)) == rows(registry.S.pages(spark, d)) and registry.S.page_texts(spark, d).count() == (4 if name == "two" else 3), name
+    assert "Join" not in registry.S.page_texts(spark, data)._jdf.queryExecution().optimizedPlan().toString()
