@@ -162,10 +162,12 @@ def semantic(model: Callable[[str, str], str], alike: float = ALIKE, sure: float
                 yield pair["left"], pair["right"], share
 
     def detect(claims: DataFrame) -> DataFrame:
-        pairs = matching.alike_texts(claims.select("text").distinct(), alike)
-        judged = Judge(pairs.asTable())
-        side = lambda name, text: claims.select(F.struct("page_id", "claim_no").alias(name), F.col("text").alias(text))
-        found = judged.join(side("a", "left"), "left").join(side("b", "right"), "right")
+        judged, _ = scratch.written(Judge(matching.alike_texts(claims, alike).asTable()), "judged")
+        key = lambda text: F.unhex(F.sha1(text))
+        texts = judged.select(F.explode(F.array(key("left"), key("right"))).alias("key")).distinct()
+        rows = claims.select(key("text").alias("key"), F.struct("page_id", "claim_no").alias("id"))
+        of, _ = scratch.written(rows.join(matching.few(texts), "key", "left_semi"), "judged")
+        found = matching.members(judged.select(key("left").alias("x"), key("right").alias("y"), "confidence"), of)
         return matching._paired(found, "semantic", F.col("confidence"), T.severity(F.col("confidence")))
 
     return detect

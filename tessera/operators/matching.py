@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.functions import text as T
-from tessera.operators import pairing
+from tessera.operators import pairing, prefixes
 
 # Fixed values
 ABBREVIATIONS = (
@@ -267,75 +267,110 @@ def claim_features(claims: DataFrame) -> DataFrame:
     return held.select("page_id", "claim_no", F.array_compact(F.array(*sides)).alias("sides"), T.numbers(text).alias("numbers"), T.masked_numbers(text).alias("masked"))
 
 
-#: Words that are broadcast to put those of classes in order; more are joined.
-MOST_WORDS = 200_000
+#: Classes or texts that are broadcast to find their rows again; more are joined.
+MOST_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids as a table, which is broadcast if it is no larger than MOST_IDS."""
+    held, _ = scratch.written(ids, "ids")
+    return F.broadcast(held) if held.count() <= MOST_IDS else held
 
 
 def alike_classes(classes: DataFrame, above=None, same: bool = False) -> DataFrame:
-    """classes: kind, role, c, words -> kind, ca, cb, similarity of classes of the two sides of a kind that are alike above
-    its threshold; same: of one side, ca < cb. Words that can make no pair, since the other side has none, come first in the
-    order, then those of few pairs: sets that reach a threshold share one of their first n - ceil(threshold * n) + 1, at
-    places that leave enough words behind them. So a class of too many words without a pair is dropped before any other
-    word of it is looked at. Words of many sets are cut into cells of CELL sets a side, and a pair is taken at the first
-    word that it shares."""
+    """classes: kind, role, c, words (rows of a class may repeat) -> kind, ca, cb, similarity of classes of the two sides of
+    a kind that are alike above its threshold; same: of one side, each pair once. Words that can make no pair, since the
+    other side has none, come first in the order, then those of few pairs: sets that reach a threshold share one of their
+    first n - ceil(threshold * n) + 1, at places that leave enough words behind them. So a class of too many words without
+    a pair is dropped before any other word of it is looked at. A prefix is taken where its class lies; a row of it is one
+    word and a map of the whole set in 64 bits, which bounds what two sets can share, so the sets themselves move only for
+    the pairs that are left, to be compared. Words of many sets are cut into cells of CELL sets a side."""
     above = F.when(F.col("kind") == "negation", ALIKE["negation"]).otherwise(ALIKE["temporal"]) if above is None else F.lit(above)
-    classes = classes.where(F.size("words") > 0).select("kind", "role", "c", F.size("words").alias("n"), "words")
-    of = lambda role: classes.where(F.col("role") == role).select("kind", "c", F.explode("words").alias("w"))
-    few = lambda df: F.broadcast(df) if df.count() <= MOST_WORDS else df
-    key = ["w", "kind"]
-    rank = scratch.written(of(0).groupBy(key).agg(F.count("*").alias("f")), "words")[0]
-    if same:
-        rank = rank.where("f > 1")
-    else:
-        other = of(1).join(few(rank.select(*key)), key).groupBy(key).agg(F.count("*").alias("g"))
-        rank = scratch.written(rank.join(other, key).select(*key, (F.col("f") * F.col("g")).alias("f")), "words")[0]
-    every = classes.select("kind", "role", "c", "n", F.explode("words").alias("w")).join(few(rank), key)
-    ordered = every.groupBy("c", "kind", "role").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "w"))).alias("x"))  # a claim's words
-    ordered = ordered.select("kind", "role", "c", "n", F.col("x.w").alias("words"))
-    most = (F.size("words") - F.ceil(above * F.col("n") - 1e-9) + 1).cast("int")
-    ordered = ordered.where(most > 0).select("*", F.slice("words", F.lit(1), most).alias("x"))
-    prefix, _ = scratch.written(ordered.select("*", F.posexplode("x").alias("at", "w")), "prefix")
-
-    roles = (0, 0) if same else (0, 1)
-    sizes = prefix.groupBy(key).agg(*[F.ceil(F.count_if(F.col("role") == r) / CELL).alias(f"s{i}") for i, r in enumerate(roles)]).where("s0 > 0 and s1 > 0")
-
-    def celled(i):
-        own, other = f"s{i}", f"s{1 - i}"
-        rows = prefix.where(F.col("role") == roles[i]).join(sizes, key)
-        part = F.pmod(F.xxhash64("c"), F.col(own)).alias(f"i{i}")
-        named = [F.col(c).alias(f"{c}{i}") for c in ("c", "n", "words", "x", "at")]
-        return rows.select(*key, *named, part, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"i{1 - i}"))
-
-    met = celled(0).join(celled(1), [*key, "i0", "i1"])
-    met = met.where("c0 < c1") if same else met
-    n0, n1 = F.col("n0"), F.col("n1")
-    left = F.least(F.size("words0") - F.col("at0"), F.size("words1") - F.col("at1"))  # words that may be shared, this one included
-    met = met.where((n0 >= above * n1 - 1e-9) & (n1 >= above * n0 - 1e-9) & (left >= above / (1 + above) * (n0 + n1) - 1e-9))
-    met = met.where(F.get(F.array_intersect("x0", "x1"), 0) == F.col("w"))
+    salt = F.xxhash64("kind")
+    classes = classes.where(F.size("words") > 0).select("kind", "role", "c", "words")
+    of = lambda role, f: classes.where(F.col("role") == role).select(salt.alias("salt"), F.explode("words").alias("w")).select(F.col("w").bitwiseXOR(F.col("salt")).alias("w")).groupBy("w").agg(F.count("*").alias(f))
+    rank = of(0, "f").where("f > 1") if same else of(0, "f").join(of(1, "g"), "w").select("w", (F.col("f") * F.col("g")).alias("f"))
+    rank, _ = scratch.written(rank, "words")
+    known = rank.sparkSession.sparkContext.broadcast(prefixes.ranked(rank))
+    h = F.xxhash64("kind", "c").alias("h")
+    rows = classes.select(h.alias("c"), "role", above.cast("double").alias("above"), salt.alias("salt"), "words")
+    prefix, _ = scratch.written(rows.mapInArrow(prefixes.taken(known), prefixes.SCHEMA), "prefix")
+
+    blocks = lambda r: F.ceil(F.count_if(F.col("role") == r) / CELL)
+    many = prefix.groupBy("w").agg(blocks(0).alias("s0"), blocks(0 if same else 1).alias("s1")).where("s0 > 1 or s1 > 1")  # of CELL rows each
+    held = prefix.join(F.broadcast(many), "w", "left").withColumns({f"s{i}": F.greatest(F.lit(1), F.coalesce(F.col(f"s{i}"), F.lit(1))) for i in (0, 1)})
+    first = F.col("role") == 0
+    own, other = F.when(first, F.col("s0")).otherwise(F.col("s1")), F.when(first, F.col("s1")).otherwise(F.col("s0"))
+    held = held.withColumn("p", F.pmod("c", own)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    low = F.col("p") <= F.col("q") if same else first
+    side = F.when(F.col("p") == F.col("q"), 2).when(low, 0).otherwise(1) if same else F.col("role")
+    cell = F.when(low, F.col("p") * F.col("s1") + F.col("q")).otherwise(F.col("q") * F.col("s1") + F.col("p"))
+    dealt = held.select("w", cell.alias("cell"), side.alias("role"), "c", "above", "n", "k", "at", "bits").repartition("w", "cell").distinct()
+    named = lambda i: dealt.select("w", "cell", *[F.col(x).alias(f"{x}{i}") for x in ("role", "c", "above", "n", "k", "at", "bits")])
+    share, n0, n1 = F.col("above0"), F.col("n0"), F.col("n1")
+    left = F.least(F.col("k0") - F.col("at0"), F.col("k1") - F.col("at1"))  # words that may be shared, this one included
+    # not an equality: as a key of the join it would have both sides dealt anew; on both sides, they are one exchange
+    met = named(0).join(named(1), ["w", "cell"]).where("above0 <= above1 and above0 >= above1").where("c0 < c1 and (role0 = 2 or role0 != role1)" if same else "role0 = 0 and role1 = 1")
+    met = met.where((n0 >= share * n1 - 1e-9) & (n1 >= share * n0 - 1e-9) & (left >= share / (1 + share) * (n0 + n1) - 1e-9))
+    met = met.where(F.bit_count(F.col("bits0").bitwiseXOR(F.col("bits1"))) <= (1 - share) / (1 + share) * (n0 + n1) + 1e-9)
+    pairs, _ = scratch.written(met.select(F.col("c0").alias("h0"), F.col("c1").alias("h1")).distinct(), "met")
+
+    ids = pairs.select(F.explode(F.array("h0", "h1")).alias("h")).distinct()
+    sets, _ = scratch.written(classes.withColumn("h", h).join(few(ids), "h", "left_semi").groupBy("h", "kind", "role", "c").agg(F.first("words").alias("words")), "sets")
+    of = lambda role, i: sets.where(F.col("role") == role).select(F.col("h").alias(f"h{i}"), F.col("kind").alias(f"kind{i}"), F.col("c").alias(f"c{i}"), F.col("words").alias(f"words{i}"))
+    met = pairs.join(of(0, 0), "h0").join(of(0 if same else 1, 1), "h1").where("kind0 = kind1")
     shared = F.size(F.array_intersect("words0", "words1"))
-    found = met.select("kind", F.col("c0").alias("ca"), F.col("c1").alias("cb"), F.inline(F.array(F.struct(shared.alias("both"), (n0 + n1).alias("sum")))))
+    found = met.select(F.col("kind0").alias("kind"), F.col("c0").alias("ca"), F.col("c1").alias("cb"), F.inline(F.array(F.struct(shared.alias("both"), (F.size("words0") + F.size("words1")).alias("sum")))))
     return found.select("kind", "ca", "cb", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity")).where(F.col("similarity") > above)
 
 
-def alike_texts(texts: DataFrame, above: float) -> DataFrame:
-    """text (each once) -> left < right: texts whose words are alike above a threshold. Texts of equal words are a class."""
+def _text_words(texts: DataFrame) -> DataFrame:
+    """text, c, words: a text's words as sorted hashes, and their digest, its class. Texts without words are left out."""
     words = F.sort_array(F.transform(F.array_distinct(T.words(F.col("text"))), lambda w: F.xxhash64(w)))
-    held = texts.select("text", F.inline(F.array(F.struct(words.alias("words")))))
-    held = held.where(F.size("words") > 0).withColumn("c", _digest("words"))
-    classes = held.groupBy("c").agg(F.first("words").alias("words")).select(F.lit("text").alias("kind"), F.lit(0).alias("role"), "c", "words")
-    found = alike_classes(classes, above, same=True).select("ca", "cb")
-    side = lambda name, c: held.select(F.col("text").alias(name), F.col("c").alias(c))
+    return texts.select("text", F.inline(F.array(F.struct(words.alias("words"))))).where(F.size("words") > 0).withColumn("c", _digest("words"))
+
+
+def alike_texts(texts: DataFrame, above: float) -> DataFrame:
+    """text (rows may repeat) -> left < right: texts whose words are alike above a threshold, each pair once. Texts of equal
+    words are a class. Only texts that have a partner are moved."""
+    held = _text_words(texts.select("text"))
+    classes = held.select(F.lit("text").alias("kind"), F.lit(0).alias("role"), "c", "words")
+    found, _ = scratch.written(alike_classes(classes, above, same=True).select("ca", "cb"), "found")
+    ids = found.select(F.explode(F.array("ca", "cb")).alias("c"))
+    if above < 1:
+        t = F.xxhash64("text")
+        ids = ids.unionByName(held.groupBy("c").agg(F.min(t).alias("t"), F.max(t).alias("u")).where("t < u").select("c"))
+    some, _ = scratch.written(held.join(few(ids.distinct()), "c", "left_semi").select("c", "text").distinct(), "texts")
+    side = lambda name, c: some.select(F.col("text").alias(name), F.col("c").alias(c))
     pairs = found.join(side("x", "ca"), "ca").join(side("y", "cb"), "cb").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
     own = side("left", "c").join(side("right", "c"), "c").where("left < right").select("left", "right")
     return pairs.unionByName(own) if above < 1 else pairs
 
 
+#: Members of a group that lie in one cell when pairs of groups are written out.
+MEMBERS = 1000
+
+
+def members(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """pairs: x, y (keys of groups) and more -> a, b and more, for each member a of x and b of y. of: key, id. What is moved
+    are the members of the smaller group of each pair, to cells of MEMBERS members of the larger one; the pairs of members
+    are made there and not moved."""
+    n = of.groupBy("key").agg(F.count("*").alias("n"))
+    sized = pairs.join(n.select(F.col("key").alias("x"), F.col("n").alias("nx")), "x").join(n.select(F.col("key").alias("y"), F.col("n").alias("ny")), "y")
+    more = [c for c in pairs.columns if c not in ("x", "y")]
+    turned = F.col("nx") > F.col("ny")
+    sized = sized.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("s"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("key"), F.ceil(F.greatest("nx", "ny") / MEMBERS).alias("cells"), turned.alias("turned"), *more)
+    small = sized.join(of.select(F.col("key").alias("s"), F.col("id").alias("i")), "s").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    large = of.join(n, "key").select("key", F.col("id").alias("j"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("cell"))
+    met = small.select("key", "cell", "i", "turned", *more).join(large.repartition("key", "cell"), ["key", "cell"])
+    return met.select(F.when(F.col("turned"), F.col("j")).otherwise(F.col("i")).alias("a"), F.when(F.col("turned"), F.col("i")).otherwise(F.col("j")).alias("b"), *more)
+
+
 def _opposed(features: DataFrame, kinds: str) -> DataFrame:
     """Contradictions of the detectors whose name begins with `kinds`, of claim_features()."""
     sides = features.select(F.struct("page_id", "claim_no").alias("id"), F.inline("sides")).where(F.startswith("kind", F.lit(kinds)))
-    classes = sides.groupBy("c", "kind", "role").agg(F.first("words").alias("words"))  # the digest first: sorts compare a key's first bytes
     side = lambda role, name, c: sides.where(F.col("role") == role).select("kind", F.col("id").alias(name), F.col("c").alias(c))
-    found = alike_classes(classes).join(side(0, "a", "ca"), ["ca", "kind"]).join(side(1, "b", "cb"), ["cb", "kind"])
+    found = alike_classes(sides.select("kind", "role", "c", "words")).join(side(0, "a", "ca"), ["ca", "kind"]).join(side(1, "b", "cb"), ["cb", "kind"])
     neg = F.col("kind") == "negation"
     raw = F.when(neg, 0.7 + F.col("similarity") * 0.25).otherwise(0.75 + F.col("similarity") * 0.15)
     kind = F.when(neg, "negation").otherwise("temporal")

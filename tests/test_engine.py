@@ -876,3 +876,37 @@ def test_texts_are_indexed_without_a_shuffle_of_texts(spark, data, tmp_path):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         assert rows(registry.S.page_texts(spark, d)) == rows(registry.S.pages(spark, d)) and registry.S.page_texts(spark, d).count() == (4 if name == "two" else 3), name
     assert "Join" not in registry.S.page_texts(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("most,bits", [(0, 64), (4, 1 << 26)])
+def test_prefixes_hold_no_sets(spark, monkeypatch, most, bits):
+    """A row of the join is one word of a set, however long the set; words of unknown frequency and repeated texts lose no pair."""
+    import random
+
+    from tessera.operators import prefixes
+
+    monkeypatch.setattr(prefixes, "MOST_WORDS", most)
+    monkeypatch.setattr(prefixes, "BITS", bits)
+    monkeypatch.setattr(prefixes, "SEEN", 3)
+    monkeypatch.setattr(matching, "CELL", 2)
+    seen = []
+    write = scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    rng = random.Random(5)
+    long = [f"w{i}" for i in range(400)]
+    rows = [" ".join(long), " ".join(long[:-20]), " ".join(long[:300])] + [" ".join(rng.sample("a b c d e f".split(), rng.randint(1, 6))) for _ in range(80)]
+    got = [tuple(r) for r in matching.alike_texts(spark.createDataFrame([(t,) for t in rows], "text string"), 0.7).collect()]
+    want = {(x, y) for x in rows for y in rows if x < y and len({*x.split()} & {*y.split()}) > 0.7 * len({*x.split()} | {*y.split()})}
+    assert set(got) == want and len(got) == len(want)
+    assert not [c for c, kind in dict(seen)["prefix"][0].dtypes if kind.startswith("array")]
+
+
+def test_members_of_pairs(spark, monkeypatch):
+    """Pairs of groups become all pairs of their members, whichever group is the larger one and in however many cells it lies."""
+    monkeypatch.setattr(matching, "MEMBERS", 4)
+    size = {"a": 1, "b": 30, "c": 7, "d": 7}
+    of = spark.createDataFrame([(k, i) for k, n in size.items() for i in range(n)], "key string, id long")
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "none")]
+    out = matching.members(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "x string, y string, no long"), of)
+    want = sorted((i, j, n) for n, (x, y) in enumerate(pairs[:3]) for i in range(size[x]) for j in range(size[y]))
+    assert sorted(map(tuple, out.collect())) == want
