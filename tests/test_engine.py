@@ -910,3 +910,25 @@ def test_members_of_pairs(spark, monkeypatch):
     out = matching.members(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "x string, y string, no long"), of)
     want = sorted((i, j, n) for n, (x, y) in enumerate(pairs[:3]) for i in range(size[x]) for j in range(size[y]))
     assert sorted(map(tuple, out.collect())) == want
+
+
+def test_abbreviations_meet_all_pages_without_a_shuffle(spark, monkeypatch):
+    """No row of a page is dealt out or repeated, however many blocks of abbreviations there are; the pairs are those of all pages."""
+    from tessera.operators import pairing
+
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    rows = [(i, "page", ("aws", "API", "other", None, "x")[i % 5], ["a", "b", "c"][: 2 + i % 2], " ".join(f"word{k}" for k in range(i % 7)), (["aws"], ["x", "y"], None)[i % 3]) for i in range(60)]
+    p = spark.createDataFrame(rows + [(None, "page", "aws", None, "word1", None), (7, "page", "aws", None, "word1 word2 again", None)], "page_id long, kind string, title string, tags array<string>, body string, aliases array<string>")
+    columns = ("id_1", "id_2", "score", "primary_id", "short_1", "short_2")
+    for products in (True, False):
+        every = [tuple(r[c] for c in columns) for r in matching.duplicates(p, 0.3, products=products, marked=True).collect()]
+        found = matching.duplicates(p, 0.3, products=products, marked=True, abbreviated=True)
+        assert sorted(tuple(r[c] for c in columns) for r in found.collect()) == sorted(r for r in every if r[4] or r[5]) and len(every) > 100
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("MapInPandas") >= 4
+    once = p.where("page_id is not null and page_id != 7")
+    seen = []
+    write = scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: seen.append((name, df)) or write(df, name))
+    matching.duplicates(once, 0.3, abbreviated=True)
+    assert [name for name, _ in seen] == ["described"] and "Window" not in seen[0][1]._jdf.queryExecution().optimizedPlan().toString()
