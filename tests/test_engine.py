@@ -932,3 +932,14 @@ def test_abbreviations_meet_all_pages_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(scratch, "written", lambda df, name: seen.append((name, df)) or write(df, name))
     matching.duplicates(once, 0.3, abbreviated=True)
     assert [name for name, _ in seen] == ["described"] and "Window" not in seen[0][1]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_are_cut_before_they_are_compared(monkeypatch):
+    import pandas as pd
+
+    from tessera.operators import pairing
+
+    monkeypatch.setattr(pairing, "BLOCK", 4)
+    monkeypatch.setattr(pairing, "ROUND_WORDS", 100)
+    sizes = lambda n: [len(x) for x in pairing.cut(pd.DataFrame({"i": range(len(n)), "n_words": n}))]
+    assert sizes([1] * 10) == [4, 3, 3] and sizes([50] * 8) == [2, 2, 2, 2] and sum(sizes([])) == 0
